@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import with_partition_offsets, written
-from .tokens import encoder, slices
+from .tokens import encoder, portions
 
 DIMENSIONS, BITS, HASHED = 3, 10, 4096
 
@@ -84,17 +84,13 @@ def pack(
     signs = projection()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        tok = encoder(tokenizer)
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for a, b in slices(texts):
-                found = [x + end for x in tok.encode(texts[a:b])]
-                sizes = np.array([len(x) // 4 for x in found], dtype=np.int64)
-                keys = curve_keys(np.frombuffer(b"".join(found), "<u4"), np.concatenate([[0], np.cumsum(sizes)]), signs)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(keys), pa.array(sizes), pa.array(found, pa.binary())],
-                    ["row", "doc_id", "curve", "doc_tokens", "ids"],
-                )
+            for rows in portions(batch, 2):
+                ids, bounds = tok.encode_with_end(rows.column(2), end_id)
+                binary = pa.Array.from_buffers(pa.binary(), rows.num_rows, [None, pa.py_buffer((bounds * 4).astype(np.int32)), pa.py_buffer(ids)])
+                columns = [rows.column(0), rows.column(1), pa.array(curve_keys(ids, bounds, signs)), pa.array(np.diff(bounds)), binary]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "curve", "doc_tokens", "ids"])
 
     def running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, total = TaskContext.get().partitionId(), 0

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, secrets, sharding, token_files, toxicity
+from . import decontam, licenses, packing, secrets, sharding, token_files, toxicity
 from .shared import new_path
 
 
@@ -55,3 +55,61 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {}
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    items = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items, "contaminated")
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "digest", "license", F.array_join("notices", ",").alias("notices"))
+
+
+QUERIES |= {"op1_decontamination": op1_decontamination, "op2_license_scan": op2_license_scan}
+
+_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{decontam.UPPER}', '{decontam.LOWER}'), '{decontam.WORD}')"
+ORACLE_SQL["op1_decontamination"] = f"""
+WITH item AS (SELECT item_id, {_WORDS} AS ws FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, least(len(ws), 10) AS n, array_to_string(list_slice(ws, i, i + least(len(ws), 10) - 1), ' ') AS span
+  FROM item, LATERAL (SELECT unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS i) WHERE len(ws) > 0
+),
+doc AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+grams AS (
+  SELECT doc_id, i, n, array_to_string(list_slice(ws, i, i + n - 1), ' ') AS span
+  FROM doc, (SELECT DISTINCT n FROM win), LATERAL (SELECT unnest(range(1, len(ws) - n + 2)) AS i)
+),
+hit AS (SELECT doc_id, i, n, item_id FROM grams JOIN win USING (n, span)),
+covered AS (SELECT doc_id, count(DISTINCT w) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS w FROM hit) GROUP BY doc_id),
+named AS (
+  SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
+def _canonical_sql(text: str) -> str:
+    out = f"regexp_replace(lower({text}), '{licenses.COPYRIGHT_LINE}', ' ', 'g')"
+    out = f"' ' || trim(regexp_replace({out}, '{licenses.SEPARATORS}', ' ', 'g')) || ' '"
+    for old, new in licenses.SPELLINGS.items():
+        out = f"replace({out}, ' {old} ', ' {new} ')"
+    return f"trim({out})"
+
+
+_KNOWN = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in licenses.KNOWN.items())
+ORACLE_SQL["op2_license_scan"] = f"""
+WITH known AS (SELECT sha256({_canonical_sql("body")}) AS digest, min(license) AS license FROM (VALUES {_KNOWN}) AS k(license, body) GROUP BY 1),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+named AS (
+  SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS notices
+  FROM (SELECT doc_id, sha256({_canonical_sql("line")}) AS digest FROM lines WHERE regexp_matches(lower(line), 'licen[cs]e')) JOIN known USING (digest) GROUP BY doc_id
+)
+SELECT d.doc_id, d.digest, k.license, coalesce(n.notices, '') AS notices
+FROM (SELECT doc_id, sha256({_canonical_sql("text")}) AS digest FROM documents) AS d LEFT JOIN known AS k USING (digest) LEFT JOIN named AS n USING (doc_id)
+"""

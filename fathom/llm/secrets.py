@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import slices
+from .tokens import ranks_of, slices
 
 KINDS = ("assign", "access", "hex", "random")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -46,18 +46,6 @@ def looks_random(run: str) -> bool:
     return not (_DIGEST.fullmatch(run) or _UUID.fullmatch(run) or _IDENTIFIER.fullmatch(run))
 
 
-def _vocabulary(name: str):
-    import base64
-
-    import public_tokenizers
-    import tiktoken
-
-    path = name if "/" in name else public_tokenizers.path(name)
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
 _VOCABULARIES: dict = {}
 
 
@@ -81,7 +69,7 @@ def scan(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", max_ratio:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if vocabulary not in _VOCABULARIES:
-            _VOCABULARIES[vocabulary] = _vocabulary(vocabulary)
+            _VOCABULARIES[vocabulary] = ranks_of(vocabulary)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
             at = batch.schema.get_field_index(text_col)

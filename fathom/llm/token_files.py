@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import with_partition_offsets
-from .tokens import encoder, slices
+from .tokens import encoder, portions
 
 _FILE = "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>"
 
@@ -40,20 +40,14 @@ def write_token_files(
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, part, total, end = encoder(tokenizer), TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
+        tok, part, total = encoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                found = [x + end for x in tok.encode(texts[a:b])]
-                sizes = np.array([len(x) // 4 for x in found], dtype=np.int64)
-                bounds = np.concatenate([[0], np.cumsum(sizes)])
-                ids = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4")))
-                starts = total + bounds[:-1]
+            for rows in portions(batch, 1):
+                ids, bounds = tok.encode_with_end(rows.column(1), end_id)
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.view("<i4")))
+                columns = [rows.column(0), pa.array(np.full(rows.num_rows, part, np.int32)), pa.array(total + bounds[:-1]), pa.array(np.diff(bounds)), lists]
                 total += int(bounds[-1])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(np.full(b - a, part, np.int32)), pa.array(starts, pa.int64()), pa.array(sizes), ids],
-                    ["doc_id", "part", "start_in_part", "n_tokens", "ids"],
-                )
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "part", "start_in_part", "n_tokens", "ids"])
 
     keys = ["doc_id", "_hash", "_row"]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("_hash"), F.monotonically_increasing_id().alias("_row"))

@@ -1,20 +1,34 @@
 """Token ids of whole texts by a public tokenizer file, with a bounded cache of encoded pieces.
 
-A text is cut at single spaces that no token crosses, and each distinct piece is encoded once per worker
-while the cache holds it. The ids are those of encoding the text whole; ``tests/llm`` compares both.
+A batch of texts is cut at single spaces that no token crosses; its distinct pieces are looked up, those not
+known are encoded, and the ids of all texts are gathered from them. The ids are those of encoding each text
+whole; ``tests/llm`` compares both.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterable
+import base64
+import os
+from array import array
+from collections.abc import Iterable, Iterator
+from unicodedata import is_normalized
 
 import numpy as np
-
-#: Pieces a worker keeps, and the longest that it keeps: some 60 MB.
-CACHE_PIECES, CACHE_CHARS = 250_000, 64
-
-_BESIDE_SPACE = re.compile(r" \s|\s ")
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Pieces in each of the two generations of a worker's cache, and the longest kept: at most some 200 MB.
+GENERATION, CACHE_CHARS = 500_000, 64
+
+#: White space by Unicode or by Python, beside a space.
+_WHITE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+_BESIDE_SPACE = f" {_WHITE}|{_WHITE} "
+#: Where a token must end: a mark behind a letter or digit, but for the marks of 's and the like,
+#: those that combine, and the letter whose lower case ends in one.
+_MARK_BEHIND_WORD = r"([^\PL\x{130}]|\pN)([^\pL\pN\pM\s'])"
+#: The characters that byte-level vocabularies write for bytes: themselves where printable, else from 256 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
@@ -25,10 +39,18 @@ def encoder(name: str) -> "Encoder":
     return _ENCODERS[name]
 
 
+def ranks_of(name: str):
+    """A tiktoken encoding of a file of ranks in the public folder, or by path."""
+    import public_tokenizers
+    import tiktoken
+
+    with open(name if "/" in name else public_tokenizers.path(name), "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 class Encoder:
     def __init__(self, name: str):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         from tokenizers import Tokenizer
@@ -37,39 +59,89 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         #: A byte-level vocabulary joins a space to the word after it; a lower-casing one drops spaces.
         self.joins_space = self.tokenizer.normalizer is None
-        self.cache: dict[str, bytes] = {"": b""}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
-
-    def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers; a null text has none."""
-        cache, cut = self.cache, []
-        for text in texts:
-            if not text:
-                cut.append([])
-            elif self.joins_space:
-                if _BESIDE_SPACE.search(text):
-                    cut.append([text])
-                else:
-                    head, *rest = text.split(" ")
-                    cut.append([head, *(" " + x for x in rest)])
-            else:
-                cut.append(text.replace("\n", " ").split(" "))
-        new = list({x for pieces in cut for x in pieces if x not in cache})
-        if len(cache) + len(new) > CACHE_PIECES:
-            cache.clear()
-            cache[""] = b""
-            new = list({x for pieces in cut for x in pieces if x})
-        fresh = dict(zip(new, self._whole(new), strict=True)) if new else {}
-        cache.update((k, v) for k, v in fresh.items() if len(k) <= CACHE_CHARS)
-        get = lambda x: cache[x] if x in cache else fresh[x]
-        return [b"".join(map(get, pieces)) for pieces in cut]
+        self.lead = BYTE_CHARS[32] if self.joins_space else ""
+        self.marks = {"": []} | {x: self.tokenizer.encode(x, add_special_tokens=False).ids for x in ",."}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _encoded(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces. A piece of letters that the normalizer leaves alone is one word of the vocabulary's
+        model, which gets it directly; the rest take the tokenizer's whole way."""
+        out: list[bytes] = [b""] * len(pieces)
+        rest, tokenize = [], self.tokenizer.model.tokenize
+        for i, x in enumerate(pieces):
+            word, mark = (x[:-1], x[-1]) if self.joins_space and x[-1:] in (",", ".") else (x, "")
+            if word.isalpha() and (self.joins_space or (word == word.lower() and is_normalized("NFC", word))):
+                found = tokenize(self.lead + word.encode().decode("latin-1").translate(BYTE_CHARS))
+                out[i] = array("I", [t.id for t in found] + self.marks[mark]).tobytes()
+            elif x or self.joins_space:
+                rest.append(i)
+        if rest:
+            lead = " " if self.joins_space else ""
+            found = self.tokenizer.encode_batch_fast([lead + pieces[i] for i in rest], add_special_tokens=False)
+            for i, e in zip(rest, found, strict=True):
+                out[i] = array("I", e.ids).tobytes()
+        return out
+
+    def _known(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces, each behind a space; pieces in use move to the young generation."""
+        if len(self.young) > GENERATION:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        missing = set(pieces).difference(young.keys())
+        again = missing & old.keys()
+        young.update((x, old[x]) for x in again)
+        new = list(missing - again)
+        if new:
+            young.update(zip(new, self._encoded(new), strict=True))
+        out = list(map(young.__getitem__, pieces))
+        for x in new:
+            if len(x) > CACHE_CHARS:
+                del young[x]
+        return out
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, and the bounds of each text's ids; a null text has none."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        if not len(texts):
+            return np.array([], "<u4"), np.zeros(1, np.int64)
+        heads: list[bytes] = []
+        if self.joins_space:
+            # What comes first has no space before it; a text with white space beside a space stays whole.
+            odd = pc.match_substring_regex(texts, _BESIDE_SPACE).to_numpy(zero_copy_only=False)
+            whole = texts.to_pylist() if odd.any() else None
+            texts = pc.if_else(pa.array(odd), "", texts) if odd.any() else texts
+        else:
+            # No token holds white space, or both a letter and a mark. A-Z alone are lowered here.
+            texts = pc.replace_substring(pc.ascii_lower(texts), "\n", " ")
+            texts = pc.replace_substring_regex(texts, _MARK_BEHIND_WORD, r"\1 \2")
+        cut = pc.split_pattern(texts, " ")
+        bounds = cut.offsets.to_numpy().astype(np.int64) - cut.offsets[0].as_py()
+        pieces = cut.flatten().dictionary_encode()
+        codes = pieces.indices.to_numpy().astype(np.int64)
+        table = self._known(pieces.dictionary.to_pylist()) if len(codes) else []
+        if self.joins_space:
+            first = cut.flatten().take(pa.array(bounds[:-1])).to_pylist()
+            found = self.tokenizer.encode_batch_fast([whole[i] if odd[i] else x for i, x in enumerate(first)], add_special_tokens=False)
+            heads = [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+            codes[bounds[:-1]] = len(table) + np.arange(len(heads))
+        table = table + heads
+        sizes = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        flat = np.frombuffer(b"".join(table), "<u4")
+        starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+        lengths = sizes[codes]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        at = np.repeat(starts[codes] - ends[:-1], lengths) + np.arange(ends[-1])
+        return flat[at], ends[bounds]
+
+    def encode_with_end(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same with an end id behind each text."""
+        ids, bounds = self.encode(texts)
+        return np.insert(ids, bounds[1:], end_id).astype("<u4"), bounds + np.arange(len(bounds))
 
 
 def slices(texts: list[str | None], chars: int = 2_000_000) -> Iterable[tuple[int, int]]:
-    """Ranges of rows whose texts have about so many characters: bounds what is encoded at once."""
+    """Ranges of rows whose texts have about so many characters: bounds what is worked on at once."""
     start = total = 0
     for i, text in enumerate(texts):
         total += len(text or "")
@@ -78,3 +150,14 @@ def slices(texts: list[str | None], chars: int = 2_000_000) -> Iterable[tuple[in
             start, total = i + 1, 0
     if start < len(texts):
         yield start, len(texts)
+
+
+def portions(batch: pa.RecordBatch, text: int, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """A batch in portions whose texts, in column ``text``, have about so many bytes."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+    start, total = 0, np.cumsum(sizes, dtype=np.int64)
+    while start < batch.num_rows:
+        before = total[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(total, before + size, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
