@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, packing, secrets, sharding, token_files, toxicity
+from . import decontam, jaccard, licenses, packing, secrets, sharding, token_files, toxicity
 from .shared import new_path
 
 
@@ -113,3 +113,28 @@ named AS (
 SELECT d.doc_id, d.digest, k.license, coalesce(n.notices, '') AS notices
 FROM (SELECT doc_id, sha256({_canonical_sql("text")}) AS digest FROM documents) AS d LEFT JOIN known AS k USING (digest) LEFT JOIN named AS n USING (doc_id)
 """
+
+
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.cluster(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op6_ngram_jaccard"] = op6_ngram_jaccard
+ORACLE_SQL["op6_ngram_jaccard"] = rf"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{decontam.UPPER}', '{decontam.LOWER}'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+),
+member AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + 3), ' ') AS s
+  FROM doc, LATERAL (SELECT unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i) WHERE len(ws) > 0
+),
+size AS (SELECT doc_id, count(*) AS n FROM member GROUP BY doc_id),
+link AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM member AS a JOIN member AS b ON a.s = b.s AND a.doc_id <> b.doc_id
+  JOIN size AS p ON p.doc_id = a.doc_id JOIN size AS q ON q.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, p.n, q.n HAVING 100 * count(*) >= 85 * (p.n + q.n - count(*))
+),
+reached AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT r.doc_id, y FROM reached AS r JOIN link ON link.x = r.c)
+SELECT d.doc_id, coalesce(size.n, 0) AS n_shingles, r.component_id
+FROM doc AS d LEFT JOIN size USING (doc_id) JOIN (SELECT doc_id, min(c) AS component_id FROM reached GROUP BY doc_id) AS r USING (doc_id)
+"""
