@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, licenses, packing, secrets, sharding, token_files, toxicity
+from . import decontam, html, jaccard, licenses, neardup, packing, secrets, sharding, token_files, toxicity
 from .shared import new_path
 
 
@@ -138,3 +138,23 @@ reached AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT r.doc_id, y F
 SELECT d.doc_id, coalesce(size.n, 0) AS n_shingles, r.component_id
 FROM doc AS d LEFT JOIN size USING (doc_id) JOIN (SELECT doc_id, min(c) AS component_id FROM reached GROUP BY doc_id) AS r USING (doc_id)
 """
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
+def op7_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES |= {"op5_html_extraction": op5_html_extraction, "op7_embedding_near_dup": op7_embedding_near_dup}
+ORACLE_SQL["op7_embedding_near_dup"] = """
+WITH RECURSIVE vec AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+link AS (SELECT a.vec_id AS x, b.vec_id AS y FROM vec AS a JOIN vec AS b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.95),
+reached AS (SELECT vec_id, vec_id AS c FROM embeddings UNION SELECT r.vec_id, y FROM reached AS r JOIN link ON link.x = r.c)
+SELECT vec_id, (SELECT count(*) FROM link WHERE x = vec_id) AS n_links, min(c) AS component_id, vec_id = min(c) AS kept FROM reached GROUP BY vec_id
+"""
