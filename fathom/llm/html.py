@@ -255,12 +255,12 @@ def extract(
     copies of one page, in any number, keep their text. Null and empty pages have no text; pages whose URL is
     null have no host and no template; repeated rows stay. All pages are aligned, counted and extracted whole.
 
-    One reference page a host is chosen by hash. The references go to the workers together while they are
+    One reference page a host is chosen by hash, a page of some length if there is one. The references go to the workers together while they are
     small (measured), else with the pages of their host; templates likewise.
     """
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), F.xxhash64(html_col).alias("h"), F.col(html_col).alias("html"))
-    references = written(rows.where("host <> '' and html is not null").groupBy("host").agg(F.min_by("html", F.struct("h", "html")).alias("reference")), "references")
+    references = written(rows.where("host <> '' and html is not null").groupBy("host").agg(F.min_by("html", F.struct(F.length("html") < 200, "h", "html")).alias("reference")), "references")
     size = references.agg(F.sum(F.octet_length("reference"))).first()[0] or 0
     if size <= max_reference_bytes:
         sent = pages.sparkSession.sparkContext.broadcast({r["host"]: r["reference"] for r in references.toLocalIterator()})
