@@ -51,7 +51,7 @@ def shingles(text: str | None, words: int = 4) -> np.ndarray:
     if not split:
         return np.array([], np.uint64)
     known = _HASHES
-    if len(known) > 500_000:
+    if len(known) > 250_000:
         known.clear()
     hashes = []
     for w in split:
@@ -84,6 +84,12 @@ def parities(sorted_set: np.ndarray) -> bytes:
     return np.packbits((np.bincount(cells, minlength=1 << bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
+def sketch(sorted_set: np.ndarray) -> list[int]:
+    """Parities over 512 cells as eight 64-bit integers, for comparing without leaving the JVM."""
+    cells = (sorted_set & np.uint64(511)).astype(np.int64)
+    return np.packbits((np.bincount(cells, minlength=512) & 1).astype(np.uint8), bitorder="little").view(np.int64).tolist()
+
+
 def _folded(bits: np.ndarray, size: int) -> np.ndarray:
     return np.bitwise_xor.reduce(bits.reshape(-1, size), axis=0)
 
@@ -112,7 +118,7 @@ def _frequent(docs: DataFrame, s: Settings) -> tuple[np.ndarray, np.ndarray]:
                 for text in rows.column(0).to_pylist():
                     held.append(shingles(text, s.words))
                     size += len(held[-1])
-                    if size > 6_000_000:
+                    if size > 3_000_000:
                         yield counted(held)
                         held, size = [], 0
         if held:
@@ -128,14 +134,14 @@ def _frequent(docs: DataFrame, s: Settings) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sets(docs: DataFrame, s: Settings, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """id, n, digest, prefix (in order, longer by one for subsets) and parities of each document's set."""
+    """id, n, digest, prefix (in order, longer by one for subsets), parities and sketch of each document's set."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, counts = sent.value
         for batch in batches:
             for rows in portions(batch, 1):
-                out: list[list] = [[], [], [], []]
+                out: list[list] = [[], [], [], [], []]
                 for text in rows.column(1).to_pylist():
                     found = shingles(text, s.words)
                     take = prefix_size(len(found), s.percent) + 1
@@ -149,10 +155,11 @@ def _sets(docs: DataFrame, s: Settings, frequent: tuple[np.ndarray, np.ndarray])
                     out[1].append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
                     out[2].append(prefix.view(np.int64))
                     out[3].append(parities(found))
-                kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary())
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), *[pa.array(x, k) for x, k in zip(out, kinds)]], ["id", "text_hash", "n", "digest", "prefix", "parities"])
+                    out[4].append(sketch(found))
+                kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), *[pa.array(x, k) for x, k in zip(out, kinds)]], ["id", "text_hash", "n", "digest", "prefix", "parities", "sketch"])
 
-    return docs.select("id", "text", "text_hash").mapInArrow(run, "id long, text_hash long, n long, digest binary, prefix array<long>, parities binary")
+    return docs.select("id", "text", "text_hash").mapInArrow(run, "id long, text_hash long, n long, digest binary, prefix array<long>, parities binary, sketch array<long>")
 
 
 def _boundary(sets: DataFrame, s: Settings) -> int:
@@ -199,6 +206,14 @@ def _near(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     return both.select("a", "b", "reach", "na", "pa", "nb", "pb").mapInArrow(run, "a long, b long, reach double")
 
 
+def _within(p: Column, q: Column, reach: Column) -> Column:
+    """Whether sizes and sketches of two sets (n, sketch) leave room for a distance up to reach. With x shingles
+    in one set alone the distance is 2 x / (n + m + x)."""
+    apart = F.aggregate(F.zip_with(p["sketch"], q["sketch"], lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda acc, x: acc + x)
+    sized = F.least(p["n"], q["n"]) >= (1 - reach) * F.greatest(p["n"], q["n"]) - 1e-6
+    return sized & ((2 - reach) * apart <= reach * (p["n"] + q["n"]) + 1e-6)
+
+
 def _measured(pairs: DataFrame, sets: DataFrame, docs: DataFrame, s: Settings, name: str) -> DataFrame:
     """Exact intersection and union of pairs a, b (with reach): the sets are made again from the whole texts of
     the documents concerned alone."""
@@ -270,17 +285,17 @@ def cluster(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc
     joined = written(components(linked.select("a", "b")), "joined").select(F.col("node").alias("cid"), "component")
     placed = lists.select("key", "cid", "n", "pos").join(behind, "cid", "left").join(joined, "cid", "left")
     placed = placed.select("key", "cid", "n", "pos", F.coalesce("leader", "cid").alias("leader"), F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("component", "cid").alias("component"))
-    own = sets.select(F.col("cid").alias("leader"), F.col("n").alias("leader_n"))
+    own = sets.select(F.col("cid").alias("leader"), F.col("n").alias("leader_n"), "sketch")
     heads = placed.groupBy("key", "leader", "component").agg(F.max("d").alias("radius"), F.min("pos").alias("pos"), F.count("*").alias("members"))
     apart = heads.groupBy("key").agg(F.count("*").alias("heads"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key", "heads")
     blocks = heads.join(apart, "key").join(own, "leader").withColumn("block", F.pmod(F.xxhash64("leader"), F.ceil(F.col("heads") / s.list_block)))
-    one = F.struct("leader", "component", "radius", F.col("leader_n").alias("n"), F.when((F.col("members") == 1) & (F.col("radius") == 0), F.col("pos")).otherwise(-1).alias("pos"))
+    one = F.struct("leader", "component", "radius", F.col("leader_n").alias("n"), F.when((F.col("members") == 1) & (F.col("radius") == 0), F.col("pos")).otherwise(-1).alias("pos"), "sketch")
     blocks = written(blocks.groupBy("key", "block").agg(F.sort_array(F.collect_list(one)).alias("heads")), "heads")
     x, y = blocks.select("key", F.col("block").alias("i"), F.col("heads").alias("xs")), blocks.select("key", F.col("block").alias("j"), F.col("heads").alias("ys"))
     far = lambda p, q: F.lit(reach) + p["radius"] + q["radius"]
     # Shingles before the first shared place are in one set alone; pos is known for sets that stand for themselves.
     early = lambda p, q: (p["pos"] < 0) | (q["pos"] < 0) | ((2 - reach) * (p["pos"] + q["pos"]) <= reach * (p["n"] + q["n"]) * 1.0000001)
-    close = lambda p, q: (p["component"] != q["component"]) & (F.least(p["n"], q["n"]) >= (1 - far(p, q)) * F.greatest(p["n"], q["n"]) - 1e-6)
+    close = lambda p, q: (p["component"] != q["component"]) & early(p, q) & _within(p, q, far(p, q))
     made = lambda p: F.transform(
         F.filter("ys", lambda q: ((F.col("i") < F.col("j")) | (p["leader"] < q["leader"])) & close(p, q)),
         lambda q: F.struct(F.least(p["leader"], q["leader"]).alias("a"), F.greatest(p["leader"], q["leader"]).alias("b"), far(p, q).alias("reach")),
@@ -290,14 +305,24 @@ def cluster(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc
     second = _measured(pairs, sets, docs, s, "pivots")
     between = second.where(_links(second, s)).select("a", "b")
     # Pivots too far apart to link, but not for those behind them: compare these, where they share a list.
-    wide = second.where(~_links(second, s) & (1 - F.col("shared") / F.col("joined") <= F.col("reach") + 1e-9) & (F.col("reach") > reach + 1e-9)).select("a", "b")
+    between_d = (1 - F.col("shared") / F.col("joined")).alias("between")
+    wide = second.where(~_links(second, s) & (1 - F.col("shared") / F.col("joined") <= F.col("reach") + 1e-9) & (F.col("reach") > reach + 1e-9)).select("a", "b", between_d)
+    edges = linked.select("a", "b").unionByName(between)
+    found = components(edges)
     if not wide.isEmpty():
-        left = placed.select("key", F.col("leader").alias("a"), F.col("cid").alias("x"), F.col("component").alias("cx"))
-        right = placed.select("key", F.col("leader").alias("b"), F.col("cid").alias("y"), F.col("component").alias("cy"))
-        crossed = wide.join(left, "a").join(right, ["key", "b"]).where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(reach).alias("reach")).distinct()
+        # By the same inequality, those behind must lie towards each other; those joined by now are left out.
+        joined = written(found, "joined-again").select(F.col("node").alias("cid"), F.col("component").alias("now"))
+        each = placed.join(joined, "cid", "left").join(sets.select("cid", F.struct("n", "sketch").alias("set")), "cid")
+        each = each.select("key", "leader", "cid", "d", F.coalesce("now", "cid").alias("now"), "set")
+        left = each.select("key", F.col("leader").alias("a"), F.col("cid").alias("x"), F.col("d").alias("dx"), F.col("now").alias("cx"), F.col("set").alias("sx"))
+        right = each.select("key", F.col("leader").alias("b"), F.col("cid").alias("y"), F.col("d").alias("dy"), F.col("now").alias("cy"), F.col("set").alias("sy"))
+        pairs = wide.join(left, "a")
+        toward = (pairs["between"] - pairs["dx"] - right["dy"] <= reach + 1e-9) & (pairs["cx"] != right["cy"]) & _within(pairs["sx"], right["sy"], F.lit(reach))
+        crossed = pairs.join(right, (pairs["key"] == right["key"]) & (pairs["b"] == right["b"]) & toward)
+        crossed = crossed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(reach).alias("reach")).distinct()
         third = _measured(crossed, sets, docs, s, "behind-pivots")
-        between = between.unionByName(third.where(_links(third, s)).select("a", "b"))
-    found = components(linked.select("a", "b").unionByName(between)).select(F.col("node").alias("cid"), "component")
+        found = components(edges.unionByName(third.where(_links(third, s)).select("a", "b")))
+    found = found.select(F.col("node").alias("cid"), "component")
     # Names: the smallest id of a set's documents, then of a component's sets.
     named = every.where("digest is not null").groupBy("digest").agg(F.min("id").alias("least"))
     classes = named.join(sets.select("digest", "cid"), "digest", "left").join(found, "cid", "left")
