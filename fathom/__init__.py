@@ -1,0 +1 @@
+"""Evidence retrieval and corpus analytics as composable DataFrame operators."""
