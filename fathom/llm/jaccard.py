@@ -310,16 +310,21 @@ def cluster(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc
     edges = linked.select("a", "b").unionByName(between)
     found = components(edges)
     if not wide.isEmpty():
-        # By the same inequality, those behind must lie towards each other; those joined by now are left out.
-        joined = written(found, "joined-again").select(F.col("node").alias("cid"), F.col("component").alias("now"))
-        each = placed.join(joined, "cid", "left").join(sets.select("cid", F.struct("n", "sketch").alias("set")), "cid")
-        each = each.select("key", "leader", "cid", "d", F.coalesce("now", "cid").alias("now"), "set")
-        left = each.select("key", F.col("leader").alias("a"), F.col("cid").alias("x"), F.col("d").alias("dx"), F.col("now").alias("cx"), F.col("set").alias("sx"))
-        right = each.select("key", F.col("leader").alias("b"), F.col("cid").alias("y"), F.col("d").alias("dy"), F.col("now").alias("cy"), F.col("set").alias("sy"))
-        pairs = wide.join(left, "a")
-        toward = (pairs["between"] - pairs["dx"] - right["dy"] <= reach + 1e-9) & (pairs["cx"] != right["cy"]) & _within(pairs["sx"], right["sy"], F.lit(reach))
-        crossed = pairs.join(right, (pairs["key"] == right["key"]) & (pairs["b"] == right["b"]) & toward)
-        crossed = crossed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(reach).alias("reach")).distinct()
+        # Those behind a pivot are joined with it, so pivots joined by now leave nothing to find. For the others,
+        # a set behind one must lie towards the other pivot and all behind it, then towards the single set.
+        now = written(found, "joined-again")
+        of = lambda c: now.select(F.col("node").alias(c), F.col("component").alias(f"now_{c}"))
+        parted = wide.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("now_a", "a") != F.coalesce("now_b", "b"))
+        stand = sets.select("cid", F.struct("n", "sketch").alias("set")).join(behind, "cid", "left")
+        stand = written(stand.select("cid", F.coalesce("leader", "cid").alias("leader"), F.coalesce("d", F.lit(0.0)).alias("d"), "set"), "stand")
+        heads = stand.groupBy("leader").agg(F.max("d").alias("rb"), F.max_by("set", F.col("leader") == F.col("cid")).alias("sb")).withColumnRenamed("leader", "b")
+        pairs = written(parted.select("a", "b", "between").join(heads, "b"), "parted")
+        left = stand.select(F.col("leader").alias("a"), F.col("cid").alias("x"), F.col("d").alias("dx"), F.col("set").alias("sx"))
+        right = stand.select(F.col("leader").alias("b"), F.col("cid").alias("y"), F.col("d").alias("dy"), F.col("set").alias("sy"))
+        some = (pairs["a"] == left["a"]) & (pairs["between"] - left["dx"] - pairs["rb"] <= reach + 1e-9) & _within(left["sx"], pairs["sb"], F.lit(reach) + pairs["rb"])
+        half = pairs.join(left, some).select("b", "between", "x", "dx", "sx")
+        toward = (half["b"] == right["b"]) & (half["between"] - half["dx"] - right["dy"] <= reach + 1e-9) & _within(half["sx"], right["sy"], F.lit(reach))
+        crossed = half.join(right, toward).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(reach).alias("reach")).distinct()
         third = _measured(crossed, sets, docs, s, "behind-pivots")
         found = components(edges.unionByName(third.where(_links(third, s)).select("a", "b")))
     found = found.select(F.col("node").alias("cid"), "component")
