@@ -67,20 +67,18 @@ def query_tokens(c: Column, extra: tuple[str, ...] = ()) -> Column:
     return F.array_distinct(found)
 
 
-def _grams(count: Column, n: int, gram) -> Column:
-    """gram(start, width) for every start; fewer than n items give one gram, none give none."""
-    width = F.least(count, F.lit(n))
-    every = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), count - width + 1)), lambda i: gram(i, width))
-    return F.when(count > 0, every).otherwise(F.array().cast("array<string>"))
-
-
 def shingle_rows(c: Column) -> Column:
-    """Character trigrams of letters and digits (c:) and word pairs (w:) of the case-folded text, as they come."""
+    """Character trigrams of letters and digits (c:) and word pairs (w:) of the case-folded text, as they come; what is
+    shorter is one shingle. Each array is made in one pass over the text."""
     folded = F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
     letters = F.regexp_replace(folded, r"[^a-z0-9\x{4e00}-\x{9fff}]", "")
     words = F.regexp_extract_all(folded, F.lit(rf"[a-z0-9]+|{CJK}"), F.lit(0))
-    by_char = _grams(F.length(letters), 3, lambda i, w: F.concat(F.lit("c:"), F.substring(letters, i, w)))
-    return F.concat(by_char, _grams(F.size(words), 2, lambda i, w: F.concat(F.lit("w:"), F.array_join(F.slice(words, i, w), " "))))
+    none, rest = F.array().cast("array<string>"), F.size(words) - 1
+    threes = F.transform(F.regexp_extract_all(letters, F.lit("(?=(...))"), F.lit(1)), lambda x: F.concat(F.lit("c:"), x))
+    by_char = F.when(F.length(letters) >= 3, threes).when(F.length(letters) > 0, F.array(F.concat(F.lit("c:"), letters))).otherwise(none)
+    pairs = F.zip_with(F.slice(words, F.lit(1), rest), F.slice(words, F.lit(2), rest), lambda x, y: F.concat(F.lit("w:"), x, F.lit(" "), y))
+    by_word = F.when(rest > 0, pairs).when(rest == 0, F.transform(words, lambda x: F.concat(F.lit("w:"), x))).otherwise(none)
+    return F.concat(by_char, by_word)
 
 
 def shingles(c: Column) -> Column:

@@ -49,13 +49,13 @@ def packed(unit_array: Column, size: int = 600, overlap: int = 100) -> Column:
 
 def paragraphs(text: Column) -> Column:
     """Lines of four characters or more."""
-    return F.filter(F.transform(F.split(text, r"\n+"), F.trim), lambda x: F.length(x) >= 4)
+    return F.filter(F.transform(F.split(text, r"\n+"), lambda x: F.trim(x)), lambda x: F.length(x) >= 4)
 
 
 def sentences(text: Column, end: str = ".!?") -> Column:
     """Pieces of three characters or more, cut behind each run's last terminator; newlines go first."""
     pieces = F.regexp_extract_all(F.replace(text, F.lit("\n"), F.lit("")), F.lit(f"[^{end}]*[{end}]|[^{end}]+"), F.lit(0))
-    return F.filter(F.transform(pieces, F.trim), lambda x: F.length(x) >= 3)
+    return F.filter(F.transform(pieces, lambda x: F.trim(x)), lambda x: F.length(x) >= 3)
 
 
 def identified(chunks: DataFrame, document: str, content: str, order: list[str], granularity: str | None = None) -> DataFrame:

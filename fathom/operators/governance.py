@@ -82,3 +82,16 @@ def reuse_join(wanted: DataFrame, sources: list[DataFrame], keys: list[str], val
         out = out.join(s, match, "left").drop(*[f"_{k}" for k in keys])
     found = [f"_v{i}" for i in range(len(sources))]
     return out.withColumn(value, F.coalesce(*found)).drop(*found)
+
+
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Old rows and new by key; of rows with one key the last by ``order``. One shuffle, no anti join."""
+    every = old.unionByName(new)
+    rest = [c for c in every.columns if c not in keys]
+    return every.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*keys, "_r.*")
+
+
+def register_unlisted(files: DataFrame, versions: DataFrame) -> DataFrame:
+    """Files without any version, as public first versions, each with a warning of high severity."""
+    unlisted = files.join(versions.select("document_id"), "document_id", "left_anti")
+    return unlisted.select("document_id", F.lit(1).cast("long").alias("version"), F.lit("public").alias("visibility"), F.lit("high").alias("severity"))

@@ -73,7 +73,7 @@ def graph_vector_topk(spark, sf_dir):
 
 
 @query("""
-SELECT doc_id, round(s, 6) AS score FROM (
+SELECT doc_id, round(s, 6)::DOUBLE AS score FROM (
   SELECT d.doc_id, 0.45 + 0.2 * (e.label = 3)::INT + least(0.3, 0.08 * (contains(text, 'the')::INT + contains(text, 'license')::INT + contains(text, 'eau')::INT)) + 0.05 * (source IN ('src0', 'src3'))::INT AS s
   FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id) ORDER BY s DESC, doc_id LIMIT 50""")
 def keyword_category_score(spark, sf_dir):
