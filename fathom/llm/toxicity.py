@@ -104,7 +104,8 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), i
     cut = F.lit(0)
     for y, p in share.items():
         cut = F.when(F.col("_y") == y, F.lit(round(p * (1 << 30)))).otherwise(cut)
-    sample = marked.withColumn("_order", order).where(F.col("_order") < cut)
+    # The order of learning has a hash of its own: by the first one the rarer class, of which more is taken, would come last.
+    sample = marked.where(order < cut).withColumn("_order", F.xxhash64("_id", F.lit(12)))
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     rows = texts.join(F.broadcast(sample), "_id").groupBy("_id").agg(F.max("_y").alias("_y"), F.max("_order").alias("_order"), F.min("_text").alias("_text"))
 

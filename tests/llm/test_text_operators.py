@@ -187,6 +187,16 @@ def test_toxicity_learns_and_scores(spark):
     assert {r["toxicity"] for r in toxicity.score(docs, empty).collect()} == {0.5}
 
 
+def test_toxicity_of_a_rare_class_taken_whole(spark):
+    """The common class is sampled, the rare one is not: clean documents still score low."""
+    texts = [(i, f"you are a vile fool {i % 7}" if i % 20 == 0 else f"the river runs past mill {i % 7} and field {i % 11}", int(i % 20 == 0)) for i in range(2000)]
+    rows = spark.createDataFrame(texts, "doc_id long, text string, toxic int")
+    model = toxicity.train(rows.drop("toxic"), rows.select("doc_id", "toxic"), toxicity.Settings(max_rows=400))
+    got = toxicity.score(rows, model, out="p").groupBy("toxic").agg({"p": "min", "*": "count"}).collect()
+    high = toxicity.score(rows, model, out="p").where("toxic = 0").agg({"p": "max"}).first()[0]
+    assert len(got) == 2 and high < 0.3 < min(r["min(p)"] for r in got if r["toxic"] == 1)
+
+
 def test_licenses(spark):
     mit = licenses.KNOWN["MIT"]
     texts = ["Copyright (c) 2020 Someone\n" + mit.upper().replace(" ", "  "), mit + " more", None, "", "first\nReleased under the MIT Licence\nlast", mit.replace("NONINFRINGEMENT", "non-infringement")]
