@@ -1,11 +1,15 @@
 """License scans by canonical digest: a text is a known licence if its canonical form has a known digest.
 
 The canonical form has lower case, no copyright lines, no punctuation, one spelling of words that differ and
-single spaces, so layout, holders and years don't matter.
+single spaces, so layout, holders and years don't matter. A text may also be known by its bare form, which goes
+without notices of holders and marks of lists only, so that a wrapped line may begin with "copyright"; there the
+full licences are listed with their usual titles.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,14 +41,65 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
 COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright|\(c\)|©)[^\n]*$|^[ \t]*all rights reserved\.?[ \t]*$"
 SEPARATORS = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 
+#: Notices: "copyright" with a sign, a year or a field to fill in, or at the head of a paragraph with a name.
+NOTICE_LINE = (
+    r"(?m)^[ \t]*(?:copyright[ \t:,]*(?:\(c\)|©|[12][0-9]{3}|[\[<{](?:yyyy|year))|\(c\)[ \t]*(?:copyright|[12][0-9]{3}|[\[<{])|©)[^\n]*$"
+    r"|(?<=\A|\n[ \t\r]{0,8}\n)[ \t]*copyright[ \t]+(?!notice|holder|owner|law|licen|and |or )[^\n]*$"
+    r"|^[ \t]*all rights reserved\.?[ \t\r]*$"
+)
+LIST_MARK = r"(?m)^[ \t]*(?:\(?[0-9a-z]\)|[0-9]{1,2}\.|[*•-])[ \t]+"
+HOLDER_NAME = r" neither the names? of .{1,200}? nor the names of (?:its|their|any) contributors may "
+
+# Full licences whose texts are in KNOWN or, by identifier, in the folder of texts; and their usual titles.
+TEXTS = Path(__file__).with_name("license_texts")
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "MIT License (MIT)", "The MIT License (MIT)", "The MIT License MIT License", "License: MIT"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)", "ISC License (ISCL)"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License", "BSD Zero Clause License (0BSD)", "Zero-Clause BSD (0BSD)", "0BSD License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "BSD 2-Clause \"Simplified\" License", "Simplified BSD License", "FreeBSD License", "BSD License", "The BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "BSD 3-Clause \"New\" or \"Revised\" License", "New BSD License", "Modified BSD License", "Revised BSD License", "BSD License", "The BSD License"],
+    "BSL-1.0": [],
+    "Unlicense": ["The Unlicense", "Unlicense"],
+    "Zlib": ["zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License"],
+    "Apache-2.0": [], "GPL-2.0": [], "GPL-3.0": [], "LGPL-2.1": [], "LGPL-3.0": [], "MPL-2.0": [], "CC0-1.0": [],
+}
+#: Licences often come without what follows these lines (how to apply them), and without their own title.
+APPENDIX = ("END OF TERMS AND CONDITIONS",)
+
 
 def canonical(text: Column) -> Column:
     """Canonical form of a whole text; null for null."""
-    out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " ")
-    out = F.concat(F.lit(" "), F.trim(F.regexp_replace(out, SEPARATORS, " ")), F.lit(" "))
+    return F.trim(_spelled(F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " ")))
+
+
+def _spelled(lowered: Column) -> Column:
+    out = F.concat(F.lit(" "), F.trim(F.regexp_replace(lowered, SEPARATORS, " ")), F.lit(" "))
     for old, new in SPELLINGS.items():
         out = F.replace(out, F.lit(f" {old} "), F.lit(f" {new} "))
-    return F.trim(out)
+    return out
+
+
+def bare(text: Column) -> Column:
+    """Form of a whole text without notices, marks of lists and layout; null for null."""
+    out = F.regexp_replace(F.regexp_replace(F.lower(text), NOTICE_LINE, " "), LIST_MARK, " ")
+    return F.trim(F.regexp_replace(_spelled(out), HOLDER_NAME, " neither the name of the copyright owner nor the names of its contributors may "))
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """Identifier and text of each full licence, as it is, under each of its titles, and without its appendix."""
+    out = []
+    for name, titles in TITLES.items():
+        files = [p.read_text("utf-8") for p in sorted(TEXTS.glob(f"{name}.txt")) + sorted(TEXTS.glob(f"{name}_*.txt"))]
+        for body in [KNOWN[name]] if name in KNOWN else files:
+            bodies = [body, *(body[: body.index(x) + n] for x in APPENDIX if x in body for n in (0, len(x)))]
+            out += [(name, f"{title}\n\n{b}") for b in bodies for title in ("", f"SPDX-License-Identifier: {name}", *titles)]
+    return out
+
+
+def bare_digests(spark: SparkSession) -> DataFrame:
+    """digest, license of each full licence in its usual layouts; a list kept by hand, too."""
+    rows = spark.createDataFrame(full_texts(), "license string, body string")
+    return rows.groupBy(F.sha2(bare(F.col("body")), 256).alias("digest")).agg(F.min("license").alias("license"))
 
 
 def known_digests(spark: SparkSession, known: dict[str, str] = KNOWN) -> DataFrame:
@@ -57,15 +112,22 @@ def scan(docs: DataFrame, known: DataFrame | None = None, text_col: str = "text"
     """id, digest, license (null: unknown), notices (sorted identifiers of lines that are a known text whole).
 
     Whole texts are matched by digest, and so is each line that speaks of a license; a text, or line, that
-    says more than the known one isn't it. Null and empty texts have no license; repeated rows stay; other
+    says more than the known one isn't it. Unless a table of known digests is given, a whole text can also be a
+    full licence by its bare form, which ``digest`` doesn't show. Null and empty texts have no license; repeated rows stay; other
     columns aren't read. The table of known digests is a list kept by hand and is broadcast; documents aren't
     moved except the few lines that match.
     """
+    full = bare_digests(docs.sparkSession).collect() if known is None else []  # the hand-kept list
     known = known if known is not None else known_digests(docs.sparkSession)
     listed = [F.lit(x) for r in known.collect() for x in (r["digest"], r["license"])]  # the hand-kept list
     by_digest = F.create_map(*listed) if listed else F.create_map().cast("map<string,string>")
     lines = F.filter(F.split(F.col(text_col), "\n"), lambda x: F.lower(x).rlike("licen[cs]e"))
     named = F.transform(lines, lambda x: F.try_element_at(by_digest, F.sha2(canonical(x), 256)))
     notices = F.array_sort(F.array_distinct(F.filter(F.coalesce(named, F.array().cast("array<string>")), lambda x: x.isNotNull())))
-    rows = docs.select(F.col(id_col), F.sha2(canonical(F.col(text_col)), 256).alias("digest"), notices.alias("notices"))
-    return rows.join(F.broadcast(known), "digest", "left").select(id_col, "digest", "license", "notices")
+    laid = F.lit(None).cast("string")
+    if full:
+        by_bare = F.create_map(*[F.lit(x) for r in full for x in (r["digest"], r["license"])])
+        # Every full licence has one of these words; other texts needn't be put in the form.
+        laid = F.when(F.lower(text_col).rlike("licen[cs]e|copyright|permission|redistribution|warrant"), F.try_element_at(by_bare, F.sha2(bare(F.col(text_col)), 256)))
+    rows = docs.select(F.col(id_col), F.sha2(canonical(F.col(text_col)), 256).alias("digest"), notices.alias("notices"), laid.alias("_laid"))
+    return rows.join(F.broadcast(known), "digest", "left").select(id_col, "digest", F.coalesce("license", "_laid").alias("license"), "notices")

@@ -207,6 +207,34 @@ def test_licenses(spark):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+def test_licenses_in_their_usual_layouts(spark):
+    """Wrapped at any width, titled, with a notice; a text that says more or has a wrong title is none of them."""
+    import textwrap
+
+    bsd = (licenses.TEXTS / "BSD-3-Clause.txt").read_text()
+    isc, mit = licenses.KNOWN["ISC"], licenses.KNOWN["MIT"]
+    wrapped = lambda t, w: "\n\n".join(textwrap.fill(p, w) for p in t.split("\n\n"))
+    texts = [(f"ISC License\n\nCopyright (c) 2021, Someone\n\n{wrapped(isc, w)}\n", "ISC") for w in range(60, 84)]
+    assert any("\ncopyright notice and" in t for t, _ in texts)
+    texts += [(f"MIT License\r\n\r\nCopyright (c) 2020 A B\r\n\r\n{wrapped(mit, w)}".replace("\n", "\r\n"), "MIT") for w in (50, 66, 78)]
+    texts += [(wrapped(mit, w), "MIT") for w in range(40, 80)]
+    assert any("\nCOPYRIGHT HOLDERS" in t for t, _ in texts)
+    texts += [
+        (f"The MIT License (MIT)\nCopyright © Acme\n\n{mit}", "MIT"),
+        (f"Copyright Acme and others\n\n{wrapped(isc, 70)}", "ISC"),
+        (f"# BSD 3-Clause License\n\nCopyright (c) 2019, A\nAll rights reserved.\n\n{wrapped(bsd.replace('the copyright holder nor', 'Acme, Inc. nor').replace('2. R', '* R'), 72)}", "BSD-3-Clause"),
+        ((licenses.TEXTS / "Apache-2.0.txt").read_text(), "Apache-2.0"),
+        ((licenses.TEXTS / "GPL-3.0.txt").read_text().replace("\n  ", "\n"), "GPL-3.0"),
+        (f"ISC License\n\n{mit}", None),
+        (f"MIT License\n\n{mit} Not for evil.", None),
+        ("MIT License", None),
+        ("Copyright (c) 2020 A", None),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(docs).collect()}
+    assert [(i, got[i]) for i in range(len(texts))] == [(i, want) for i, (_, want) in enumerate(texts)]
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
