@@ -256,6 +256,23 @@ def _links(measured: DataFrame, s: Settings) -> Column:
     return F.col("shared") * 100 >= F.col("joined") * s.percent
 
 
+def _crossed(parted: DataFrame, stand: DataFrame, sets: DataFrame, reach: float) -> DataFrame:
+    """Candidates among the sets behind two pivots (a, b, between: how far apart the pivots are): all pairs of
+    sets, one behind each, that can be within reach.
+
+    A pivot can itself stand behind another one; what is compared is always the pivot's own set, as the radius
+    is about it and the set needn't be among those behind."""
+    own = sets.select(F.col("cid").alias("leader"), F.struct("n", "sketch").alias("sb"))
+    heads = stand.groupBy("leader").agg(F.max("d").alias("rb")).join(own, "leader").withColumnRenamed("leader", "b")
+    pairs = written(parted.select("a", "b", "between").join(heads, "b"), "parted")
+    left = stand.select(F.col("leader").alias("a"), F.col("cid").alias("x"), F.col("d").alias("dx"), F.col("set").alias("sx"))
+    right = stand.select(F.col("leader").alias("b"), F.col("cid").alias("y"), F.col("d").alias("dy"), F.col("set").alias("sy"))
+    some = (pairs["a"] == left["a"]) & (pairs["between"] - left["dx"] - pairs["rb"] <= reach + 1e-9) & _within(left["sx"], pairs["sb"], F.lit(reach) + pairs["rb"])
+    half = pairs.join(left, some).select("b", "between", "x", "dx", "sx")
+    toward = (half["b"] == right["b"]) & (half["between"] - half["dx"] - right["dy"] <= reach + 1e-9) & _within(half["sx"], right["sy"], F.lit(reach))
+    return half.join(right, toward).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(reach).alias("reach")).distinct()
+
+
 def cluster(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id, n_shingles, component_id (smallest id reachable by links, itself included).
 
@@ -317,14 +334,7 @@ def cluster(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc
         parted = wide.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("now_a", "a") != F.coalesce("now_b", "b"))
         stand = sets.select("cid", F.struct("n", "sketch").alias("set")).join(behind, "cid", "left")
         stand = written(stand.select("cid", F.coalesce("leader", "cid").alias("leader"), F.coalesce("d", F.lit(0.0)).alias("d"), "set"), "stand")
-        heads = stand.groupBy("leader").agg(F.max("d").alias("rb"), F.max_by("set", F.col("leader") == F.col("cid")).alias("sb")).withColumnRenamed("leader", "b")
-        pairs = written(parted.select("a", "b", "between").join(heads, "b"), "parted")
-        left = stand.select(F.col("leader").alias("a"), F.col("cid").alias("x"), F.col("d").alias("dx"), F.col("set").alias("sx"))
-        right = stand.select(F.col("leader").alias("b"), F.col("cid").alias("y"), F.col("d").alias("dy"), F.col("set").alias("sy"))
-        some = (pairs["a"] == left["a"]) & (pairs["between"] - left["dx"] - pairs["rb"] <= reach + 1e-9) & _within(left["sx"], pairs["sb"], F.lit(reach) + pairs["rb"])
-        half = pairs.join(left, some).select("b", "between", "x", "dx", "sx")
-        toward = (half["b"] == right["b"]) & (half["between"] - half["dx"] - right["dy"] <= reach + 1e-9) & _within(half["sx"], right["sy"], F.lit(reach))
-        crossed = half.join(right, toward).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(reach).alias("reach")).distinct()
+        crossed = _crossed(parted, stand, sets, reach)
         third = _measured(crossed, sets, docs, s, "behind-pivots")
         found = components(edges.unionByName(third.where(_links(third, s)).select("a", "b")))
     found = found.select(F.col("node").alias("cid"), "component")

@@ -119,6 +119,22 @@ def test_jaccard_components_equal_brute_force(spark, k, percent, frequent):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want)) and kept.columns == docs.columns
 
 
+def test_jaccard_candidates_behind_chained_pivots(spark):
+    """Pivot 3 stands behind pivot 0, and a small and a large set behind it; 1 and 2 link with one of these each."""
+    rng = np.random.default_rng(2)
+    many = rng.integers(0, 1 << 63, 400).astype(np.uint64)
+    member = {0: np.concatenate([many[:90], many[300:310]]), 1: many[:156], 2: many[:64], 3: many[:100], 4: many[:80], 5: many[:125]}
+    distance = lambda a, b: 1 - len(np.intersect1d(member[a], member[b])) / len(np.union1d(member[a], member[b]))
+    leader, reach = {3: 0, 4: 3, 5: 3}, 0.2
+    assert all(distance(a, b) <= reach + 1e-9 for a, b in [*leader.items(), (1, 5), (2, 4)])
+    sets = spark.createDataFrame([(i, len(m), jaccard.sketch(np.sort(m))) for i, m in member.items()], "cid long, n long, sketch array<long>")
+    stand = [(i, leader.get(i, i), distance(i, leader[i]) if i in leader else 0.0) for i in member]
+    stand = spark.createDataFrame(stand, "cid long, leader long, d double").join(sets.selectExpr("cid", "struct(n, sketch) as set"), "cid")
+    parted = spark.createDataFrame([(a, 3, distance(a, 3)) for a in (1, 2)], "a long, b long, between double")
+    got = {(r["a"], r["b"]) for r in jaccard._crossed(parted, stand, sets, reach).collect()}
+    assert {(a, b) for a in (1, 2) for b in (4, 5) if distance(a, b) <= reach + 1e-9} == {(1, 5), (2, 4)} <= got
+
+
 def test_jaccard_parities_never_overstate():
     rng = np.random.default_rng(1)
     for _ in range(200):
