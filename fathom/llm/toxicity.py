@@ -70,17 +70,19 @@ def features(text: str | None, hash_bits: int = 20) -> np.ndarray:
     return np.unique((np.concatenate(found) >> np.uint64(64 - hash_bits)).astype(np.int64))
 
 
-def fit_rows(texts: list[str | None], labels: list[int], s: Settings) -> Model:
-    """FTRL-proximal over the rows in the order given, several times over."""
+def fit_rows(texts: list[str | None], labels: list[int], s: Settings, weight: dict[int, float] | None = None) -> Model:
+    """FTRL-proximal over the rows in the order given, several times over; gradients count by the weight of the label."""
     z, n = np.zeros(1 << s.hash_bits), np.zeros(1 << s.hash_bits)
     zb = nb = 0.0
     rows = [features(t, s.hash_bits) for t in texts]
+    weight = weight or {0: 1.0, 1: 1.0}
     for _ in range(s.epochs):
         for f, y in zip(rows, labels, strict=True):
             zf, nf = z[f], n[f]
             w = np.where(np.abs(zf) <= s.l1, 0.0, (np.sign(zf) * s.l1 - zf) / ((s.beta + np.sqrt(nf)) / s.alpha + s.l2))
             wb = -zb * s.alpha / (s.beta + nb**0.5)
             g = 1.0 / (1.0 + np.exp(-np.clip(w.sum() + wb, -30, 30))) - y
+            g *= weight[y]
             z[f] += g - (np.sqrt(nf + g * g) - np.sqrt(nf)) / s.alpha * w
             n[f] += g * g
             zb += g - ((nb + g * g) ** 0.5 - nb**0.5) / s.alpha * wb
@@ -92,6 +94,8 @@ def fit_rows(texts: list[str | None], labels: list[int], s: Settings) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Learn from labelled documents: a bounded sample by a hash of the id, each class up to half the bound.
+    Where that takes more of one class than of the other, rows count by 1 / share of their class (1 on average),
+    so scores stand for the classes of the whole table, whatever its size.
 
     Rows without id or label are left out; an id with several labels is toxic if any says so. The texts of the
     sample alone are moved, to one task that learns; the driver gets the weights that aren't zero.
@@ -111,7 +115,8 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), i
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_order", "_id"])
-        m = fit_rows(list(pdf["_text"]), list(pdf["_y"]), s)
+        each = pdf["_y"].map({y: 1 / p for y, p in share.items()})
+        m = fit_rows(list(pdf["_text"]), list(pdf["_y"]), s, {y: float(1 / p / each.mean()) for y, p in share.items()})
         top = np.sort(np.argsort(-np.abs(m.weights), kind="stable")[: s.max_weights])
         return pd.DataFrame({"i": np.append(m.indices[top], -1), "w": np.append(m.weights[top], m.bias)})
 

@@ -213,6 +213,14 @@ def test_toxicity_of_a_rare_class_taken_whole(spark):
     assert len(got) == 2 and high < 0.3 < min(r["min(p)"] for r in got if r["toxic"] == 1)
 
 
+def test_toxicity_scores_do_not_depend_on_the_sample(spark):
+    """One in ten is toxic, whatever the text says: the score says so if both classes are taken whole or not."""
+    rows = spark.range(3000).selectExpr("id as doc_id", "'the river runs' as text", "int(pmod(xxhash64(id, 5), 10) = 0) as toxic")
+    for most in (8_000, 600):
+        model = toxicity.train(rows.drop("toxic"), rows.select("doc_id", "toxic"), toxicity.Settings(max_rows=most))
+        assert 0.05 < toxicity.score(rows.limit(1), model, out="p").first()["p"] < 0.2
+
+
 def test_licenses(spark):
     mit = licenses.KNOWN["MIT"]
     texts = ["Copyright (c) 2020 Someone\n" + mit.upper().replace(" ", "  "), mit + " more", None, "", "first\nReleased under the MIT Licence\nlast", mit.replace("NONINFRINGEMENT", "non-infringement")]
