@@ -8,21 +8,23 @@ from pyspark.sql import functions as F
 from .shared import written
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b", salts: int = 16) -> DataFrame:
     """node, component (the smallest node reachable) of every node in a link.
 
     Each round hangs a node's larger neighbours, then the node and its smaller ones, under the smallest
-    neighbour (Kiveris et al., "Connected Components in MapReduce and Beyond"), and writes the links: no round
-    gathers a node's neighbours in one place, and the number of rounds follows the logarithm of the longest
-    path. Self links and repeated links do no harm; an empty table gives no rows.
+    neighbour (Kiveris et al., "Connected Components in MapReduce and Beyond"), and writes the links: the number
+    of rounds follows the logarithm of the longest path. A node's links meet its smallest neighbour in ``salts``
+    places, by their other ends, so a hub of a third of all links isn't one task's. Self links and repeated
+    links do no harm; an empty table gives no rows.
     """
+    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(salts)).cast("int").alias("s")
     edges = written(links.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).where("u <> v").distinct(), "links")
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # In a small star every neighbour is smaller than the node.
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"), F.explode(F.array(*[F.lit(i) for i in range(salts)])).alias("s"))
+        large = both.where("v > u").withColumn("s", salt("v")).join(least, ["u", "s"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # In a small star every neighbour is smaller than the node, of which there are few.
         floor = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(floor, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(floor.select("u", F.col("m").alias("v"))).distinct()
         edges = written(small, "links")

@@ -1,12 +1,19 @@
 """Near-duplicate vectors by a forest of random-projection trees with spill.
 
-A tree splits vectors at the median of a random projection, again and again; those close to a split go to
+A tree splits vectors near the middle of a random projection, again and again; those close to a split go to
 both sides, so that a close pair is seldom parted, and several trees make up for what one parts. Vectors are
-compared within leaves, the pairs that reach the threshold are verified in double precision and united.
+compared within leaves in double precision and united.
+
+Pairs aren't listed. A pair counts in the first tree in which it shares a leaf, which both vectors' leaves tell,
+so a leaf reports one row a vector: its number of links there and one vector that it is joined with. A dense
+group, most of whose pairs link, stays one leaf; those of its vectors within half of the limiting angle of its
+centre all link with each other (triangle inequality) and count so without being compared.
 """
 
 from __future__ import annotations
 
+import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,155 +23,272 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import written
+from .shared import with_classes, written
 
 
 @dataclass(frozen=True)
 class Settings:
-    """spill: half the width of the band around a split that goes to both sides, in standard deviations of
-    the projected difference of a pair at the threshold. sample_rows bounds the vectors that a round of
-    splits is fitted on; all vectors are routed."""
+    """spill: half the width of the band around a split that goes to both sides, in standard deviations of the
+    projected difference of a pair at the threshold; band: largest share of a node's rows in it.
+    sample_rows and sample_bytes bound the vectors that the splits of one leaf are fitted on; all are routed."""
 
     threshold: float = 0.95
     trees: int = 6
-    leaf: int = 256
-    spill: float = 0.6
-    sample_rows: int = 100_000
+    leaf: int = 512
+    spill: float = 0.5
+    band: float = 0.15
+    sample_rows: int = 20_000
+    sample_bytes: int = 32 << 20
     least_sample: int = 32
-    max_rounds: int = 12
     seed: int = 17
+    broadcast_bytes: int = 64 << 20
 
 
-def _unit(flat: np.ndarray, n: int) -> np.ndarray:
-    x = flat.astype(np.float64).reshape(n, -1)
+def _matrix(column: pa.Array) -> np.ndarray:
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return _unit(column.flatten().to_numpy(zero_copy_only=False), len(column))
-
-
-def fit(x: np.ndarray, share: float, s: Settings, rng: np.random.Generator) -> list:
-    """A tree over a sample as nested [direction, cut, left, right]; a leaf is its number. share: rows that a
-    row of the sample stands for."""
-    margin = s.spill * np.sqrt(2 - 2 * s.threshold) / np.sqrt(x.shape[1])
-    leaves = 0
-
-    def grow(rows: np.ndarray):
-        nonlocal leaves
-        if len(rows) * share > s.leaf and len(rows) >= s.least_sample:
-            direction = rng.standard_normal(x.shape[1])
-            direction /= np.sqrt((direction**2).sum())
-            at = x[rows] @ direction
-            cut = float(np.median(at))
-            low, high = rows[at <= cut + margin], rows[at > cut - margin]
-            if max(len(low), len(high)) <= 0.85 * len(rows):
-                return [direction, cut, grow(low), grow(high)]
-        leaves += 1
-        return leaves - 1
-
-    return [grow(np.arange(len(x))), leaves, margin]
-
-
-def route(x: np.ndarray, tree: list) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers and leaves: a row in the band around a split goes both ways."""
-    rows, leaves = [], []
-
-    def down(node, at: np.ndarray) -> None:
-        if not len(at):
-            return
-        if isinstance(node, int):
-            rows.append(at)
-            leaves.append(np.full(len(at), node))
-            return
-        direction, cut, low, high = node
-        p = x[at] @ direction
-        down(low, at[p <= cut + tree[2]])
-        down(high, at[p > cut - tree[2]])
-
-    down(tree[0], np.arange(len(x)))
-    return np.concatenate(rows), np.concatenate(leaves)
-
-
-def _split(placed: DataFrame, sizes: DataFrame, s: Settings, turn: int) -> DataFrame | None:
-    """One round: fit trees on a bounded sample of the leaves that are too large, and route their rows on."""
-    large = sizes.where(F.col("rows") > s.leaf)
-    total = large.agg(F.sum("rows")).first()[0] or 0
-    share = max(1.0, total / s.sample_rows)
-    # A leaf whose part of the sample would be too small isn't split in this round.
-    large = written(large.where(F.col("rows") >= share * s.least_sample).select("tree", "leaf", "rows"), "large")
-    chosen = placed.join(F.broadcast(large), ["tree", "leaf"]).where(F.pmod(F.xxhash64("cid", "tree", F.lit(turn)), F.lit(1 << 30)) < F.lit(int((1 << 30) / share)))
-    sample = chosen.select("tree", "leaf", "v").toArrow()
-    trees = {}
-    keys = list(zip(sample["tree"].to_pylist(), sample["leaf"].to_pylist()))
-    order: dict[tuple[int, str], list[int]] = {}
-    for i, key in enumerate(keys):
-        order.setdefault(key, []).append(i)
-    for key in sorted(order):
-        x = _matrix(sample["v"].combine_chunks().take(pa.array(order[key])))
-        tree = fit(x, share, s, np.random.default_rng([s.seed, turn, key[0], *key[1].encode()]))
-        if tree[1] > 1:
-            trees[key] = tree
-    if not trees:
-        return None
-    sent = placed.sparkSession.sparkContext.broadcast(trees)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            groups: dict[tuple[int, str], list[int]] = {}
-            for i, key in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                groups.setdefault(key, []).append(i)
-            for (number, leaf), at in groups.items():
-                rows = batch.take(pa.array(at))
-                tree = sent.value.get((number, leaf))
-                if tree:
-                    i, to = route(_matrix(rows.column(3)), tree)
-                    rows = rows.take(pa.array(i))
-                    rows = rows.set_column(2, "leaf", pa.array([f"{leaf}.{x}" for x in to], pa.string()))
-                yield rows
-
-    return placed.mapInArrow(run, "cid long, tree int, leaf string, v array<double>")
-
-
-def pairs(vectors: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """a, b, similarity of distinct vectors (cid, v: all of one dimension, valid) that reach the threshold.
-
-    A leaf that no split makes smaller is compared in blocks, each pair of blocks in a task of its own, so it
-    is whole however large. Each pair comes once."""
-    s = settings
-    placed = vectors.select("cid", F.explode(F.array(*[F.lit(t) for t in range(s.trees)])).alias("tree"), F.lit("").alias("leaf"), "v")
-    for turn in range(s.max_rounds):
-        placed = written(placed, f"round-{turn}")
-        sizes = written(placed.groupBy("tree", "leaf").agg(F.count("*").alias("rows")), f"sizes-{turn}")
-        following = _split(placed, sizes, s, turn)
-        if following is None:
+@dataclass
+class Tree:
+    """Nodes by number: children (-1: a leaf), cut and margin of the projection, level, and for leaves whether
+    they are done with and which centre (by number, -1: none) they have, being dense."""
+
+    directions: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    cut: np.ndarray
+    margin: np.ndarray
+    level: np.ndarray
+    done: np.ndarray
+    centre: np.ndarray
+    centres: np.ndarray
+
+
+def _dense(x: np.ndarray, threshold: float) -> bool:
+    """Whether most pairs of a few rows, taken evenly, link."""
+    some = x[np.linspace(0, len(x) - 1, min(len(x), 64)).astype(int)]
+    n = len(some)
+    return n > 1 and (some @ some.T >= threshold).sum() - n >= 0.5 * n * (n - 1)
+
+
+def _halves(p: np.ndarray, margin: float, band: float) -> tuple[float, float]:
+    """Cut between the 40th and 60th percentile with the fewest rows within the margin, and the margin,
+    narrowed where more than the share ``band`` of rows would be in it."""
+    order, n = np.sort(p), len(p)
+    at = np.unique(np.linspace(0.4 * n, 0.6 * n, 11).astype(int).clip(1, n - 1))
+    cuts = (order[at - 1] + order[at]) / 2
+    inside = np.searchsorted(order, cuts + margin, "right") - np.searchsorted(order, cuts - margin, "right")
+    best = np.lexsort((np.abs(at - n / 2), inside))[0]
+    cut, within = float(cuts[best]), int(band * n)
+    if inside[best] > within:
+        margin = float(np.partition(np.abs(order - cut), within)[within])
+    return cut, margin
+
+
+def fit(x: np.ndarray, share: float, s: Settings, spill: float, rng: np.random.Generator) -> Tree:
+    """A tree over a sample of a leaf. share: rows that a row of the sample stands for. All nodes of a level
+    use one direction. A node is done if few rows are left, if it is dense, or if no split makes it smaller;
+    one with too small a sample is fitted again in the next round."""
+    levels = 2 + math.ceil(math.log(max(2.0, len(x) * share / s.leaf)) / -math.log((1 + s.band) / 2 + 0.05))
+    directions = rng.standard_normal((levels, x.shape[1]))
+    directions /= np.sqrt((directions**2).sum(axis=1, keepdims=True))
+    at, wide = x @ directions.T, spill * math.sqrt(2 - 2 * s.threshold) / math.sqrt(x.shape[1])
+    low, high, cut, margin, level, done, centre, centres = [-1], [-1], [0.0], [0.0], [0], [True], [-1], []
+    todo = [(0, np.arange(len(x)))]
+    while todo:
+        node, rows = todo.pop()
+        if len(rows) * share <= s.leaf:
+            continue
+        if len(rows) < s.least_sample or level[node] == levels:
+            done[node] = False
+            continue
+        if _dense(x[rows], s.threshold):
+            mean = x[rows].mean(axis=0)
+            centre[node] = len(centres)
+            centres.append(mean / np.sqrt((mean * mean).sum()))
+            continue
+        p = at[rows, level[node]]
+        c, m = _halves(p, wide, s.band)
+        a, b = rows[p <= c + m], rows[p > c - m]
+        if len(a) + len(b) > 1.3 * len(rows) or not len(a) or not len(b):
+            continue
+        cut[node], margin[node], low[node], high[node] = c, m, len(low), len(low) + 1
+        for part in (a, b):
+            todo.append((len(low), part))
+            for column, value in ((low, -1), (high, -1), (cut, 0.0), (margin, 0.0), (level, level[node] + 1), (done, True), (centre, -1)):
+                column.append(value)
+    return Tree(directions, np.array(low), np.array(high), np.array(cut), np.array(margin), np.array(level), np.array(done), np.array(centre), np.array(centres))
+
+
+def route(x: np.ndarray, t: Tree) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and leaf nodes: a row in the band around a split goes both ways."""
+    at = x @ t.directions.T
+    rows, nodes, ended = np.arange(len(x)), np.zeros(len(x), np.int64), []
+    while len(rows):
+        leaf = t.low[nodes] < 0
+        ended.append((rows[leaf], nodes[leaf]))
+        rows, nodes = rows[~leaf], nodes[~leaf]
+        p = at[rows, t.level[nodes]]
+        down, up = p <= t.cut[nodes] + t.margin[nodes], p > t.cut[nodes] - t.margin[nodes]
+        rows, nodes = np.concatenate([rows[down], rows[up]]), np.concatenate([t.low[nodes[down]], t.high[nodes[up]]])
+    return np.concatenate([r for r, _ in ended]), np.concatenate([n for _, n in ended])
+
+
+def _leaf_ids(tree: int, leaf: int, nodes: np.ndarray) -> np.ndarray:
+    """Numbers of the leaves below one, apart from those of other leaves and trees."""
+    with np.errstate(over="ignore"):
+        h = (nodes.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) ^ (np.uint64(leaf % (1 << 64)) + np.uint64(tree + 2)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+    return (h ^ (h >> np.uint64(32))).view(np.int64)
+
+
+def _fitted(rows: DataFrame, trees: list[int], s: Settings, spill: float, turn: int) -> DataFrame:
+    """tree, leaf, fitted (a pickled Tree) of the leaves that rows are in: fitted in the executors, each leaf on
+    a bounded sample of its own."""
+    each = [min(s.sample_rows, max(1024, s.sample_bytes // (8 * n))) for (n,) in rows.select(F.size("v")).limit(1).collect()][0]
+    sizes = written(rows.groupBy("tree", "leaf").agg(F.count("*").alias("rows")), "sizes")
+    chosen = rows.join(sizes, ["tree", "leaf"]).where(F.pmod(F.xxhash64("cid", "leaf", F.lit(turn)), F.lit(1 << 30)) < (1 << 30) * F.least(F.lit(1.0), each / F.col("rows")))
+    if turn == 0:
+        chosen = chosen.withColumn("tree", F.explode(F.array(*[F.lit(t) for t in trees])))
+
+    def learn(group: pa.Table) -> pa.Table:
+        tree, leaf, x = group["tree"][0].as_py(), group["leaf"][0].as_py(), _matrix(group["v"].combine_chunks())
+        t = fit(x, group["rows"][0].as_py() / len(x), s, spill, np.random.default_rng([s.seed, tree + 1, leaf % (1 << 63), turn]))
+        return pa.table({"tree": pa.array([tree], pa.int32()), "leaf": pa.array([leaf], pa.int64()), "fitted": pa.array([pickle.dumps(t)], pa.binary())})
+
+    return written(chosen.select("tree", "leaf", "rows", "v").groupBy("tree", "leaf").applyInArrow(learn, "tree int, leaf long, fitted binary"), "trees")
+
+
+def placed(vectors: DataFrame, trees: list[int], s: Settings, spill: float) -> DataFrame:
+    """cid, tree, leaf, core of all vectors (cid, v: of one dimension, valid) in these trees.
+
+    core: whether the leaf is dense and the vector within half of the limiting angle of its centre. One round
+    fits trees on samples and routes every row; leaves whose samples became too small go through another, whose
+    trees are broadcast in portions of a set size. Rows of finished leaves are written once."""
+    kind, half = dict(vectors.dtypes)["v"], math.cos(math.acos(s.threshold) / 2) + 1e-12
+    rows, turn, out = vectors.select("cid", F.lit(0).alias("tree"), F.lit(0).cast("long").alias("leaf"), "v"), 0, []
+    while True:
+        known = _fitted(rows, trees, s, spill, turn)
+        portions = -(-(known.agg(F.sum(F.octet_length("fitted"))).first()[0] or 1) // s.broadcast_bytes)
+        for i in range(portions):
+            mine = F.pmod(F.xxhash64("leaf", F.lit(7)), F.lit(portions)) == i
+            sent = vectors.sparkSession.sparkContext.broadcast({(r["tree"], r["leaf"]): r["fitted"] for r in known.where(mine).toLocalIterator()})
+
+            def run(batches: Iterator[pa.RecordBatch], sent=sent, first=turn == 0) -> Iterator[pa.RecordBatch]:
+                opened: dict[tuple[int, int], Tree] = {}
+                for batch in batches:
+                    if not batch.num_rows:
+                        continue
+                    x, cid, v = _matrix(batch.column(3)), batch.column(0), batch.column(3)
+                    keys = np.stack([batch.column(1).to_numpy(), batch.column(2).to_numpy()])
+                    for tree, leaf in [(t, 0) for t in trees] if first else {*zip(*keys.tolist())}:
+                        at = np.arange(len(x)) if first else np.flatnonzero((keys[0] == tree) & (keys[1] == leaf))
+                        if (tree, leaf) not in opened:
+                            opened[tree, leaf] = pickle.loads(sent.value[tree, leaf])
+                        t = opened[tree, leaf]
+                        i, node = route(x[at], t)
+                        core = np.zeros(len(i), bool)
+                        dense = np.flatnonzero(t.centre[node] >= 0)
+                        if len(dense):
+                            core[dense] = (x[at[i[dense]]] * t.centres[t.centre[node[dense]]]).sum(axis=1) >= half
+                        take, done = pa.array(at[i]), t.done[node]
+                        kept = v.take(take) if not done.all() else pa.nulls(len(i), v.type)
+                        columns = [cid.take(take), pa.array(np.full(len(i), tree, np.int32)), pa.array(_leaf_ids(tree, leaf, node)), kept, pa.array(core), pa.array(done)]
+                        yield pa.RecordBatch.from_arrays(columns, ["cid", "tree", "leaf", "v", "core", "done"])
+
+            some = written(rows.where(mine).mapInArrow(run, f"cid long, tree int, leaf long, v {kind}, core boolean, done boolean"), f"round-{turn}")
+            out.append(some)
+        finished = [o.where("done").select("cid", "tree", "leaf", "core") for o in out]
+        rest = [o.where("not done").select("cid", "tree", "leaf", "v") for o in out[-portions:]]
+        rows, turn = rest[0], turn + 1
+        for r in rest[1:]:
+            rows = rows.unionByName(r)
+        if rows.isEmpty():
             break
-        placed = following
-    else:
-        placed = written(placed, "last-round")
-        sizes = placed.groupBy("tree", "leaf").agg(F.count("*").alias("rows"))
-    sizes = sizes.where("rows > 1").select("tree", "leaf", F.ceil(F.col("rows") / (2 * s.leaf)).alias("blocks"))
-    rows = placed.join(sizes, ["tree", "leaf"]).withColumn("block", F.pmod(F.xxhash64("cid"), "blocks"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("tree", "leaf", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "v")
+    result = finished[0]
+    for f in finished[1:]:
+        result = result.unionByName(f)
+    return result
+
+
+def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least row joined with each of n rows by the pairs a, b."""
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label[a], label[b])
+        before = label.copy()
+        np.minimum.at(label, a, least)
+        np.minimum.at(label, b, least)
+        label = label[label]
+        if (label == before).all():
+            return label
+
+
+def _apart(lists: pa.Array, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the lists of rows a and b, pair by pair, have nothing in common: each row's list as bits."""
+    if not len(a):
+        return np.zeros(0, bool)
+    used, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    lists = lists.take(pa.array(used))
+    row = np.repeat(np.arange(len(used)), np.diff(lists.offsets.to_numpy()))
+    values, bit = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+    has = np.zeros((len(used), max(1, len(values))), bool)
+    has[row, bit] = True
+    bits, (x, y) = np.packbits(has, axis=1), place.reshape(2, -1)
+    return np.concatenate([~(bits[x[i : i + 50_000]] & bits[y[i : i + 50_000]]).any(axis=1) for i in range(0, len(x), 50_000)])
+
+
+def linked(vectors: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """cid, others, joined: rows that say how many vectors link with one (cid, v, copies: of one dimension,
+    valid, all different), and a vector that it is joined with. Several rows of one cid add up.
+
+    A leaf of any size is whole: large ones are compared in blocks, each pair of blocks in a task of its own,
+    without those pairs of blocks in which all link with all."""
+    s = settings
+    vectors = written(vectors.select("cid", "v", "copies"), "different-vectors")
+    dense = placed(vectors, [-1], s, 0.0).where("core").groupBy("cid").agg(F.min("leaf").alias("clique"))
+    dense = written(dense, "dense")
+    small = dense.count() <= 500_000
+    rows = written(vectors.join(F.broadcast(dense) if small else dense, "cid", "left"), "with-cliques")
+    groups = rows.where("clique is not null").groupBy("clique").agg(F.sum("copies").alias("all"), F.min("cid").alias("joined"))
+    members = dense.join(vectors.select("cid", "copies"), "cid").join(F.broadcast(groups) if small else groups, "clique")
+    members = members.select("cid", (F.col("all") - F.col("copies")).alias("others"), "joined")
+
+    places = placed(vectors, list(range(s.trees)), s, s.spill).select("cid", F.struct("tree", "leaf").alias("at"))
+    places = written(places.groupBy("cid").agg(F.collect_list("at").alias("places")), "places")  # a few a tree
+    rows = rows.join(places, "cid").select("cid", "v", "copies", "clique", "places", F.explode("places").alias("at"))
+    rows = rows.select("cid", "v", "copies", "clique", "at.tree", "at.leaf", F.expr("transform(filter(places, p -> p.tree < at.tree or (p.tree = at.tree and p.leaf < at.leaf)), p -> p.leaf)").alias("before"))
+    free = F.col("clique").isNull()
+    sizes = rows.groupBy("leaf").agg(F.count_if(free).alias("free"), F.count_if(~free).alias("bound"), F.min("clique").alias("lo"), F.max("clique").alias("hi")).where(F.col("free") + F.col("bound") > 2 * s.leaf)
+    blocks = lambda n: F.ceil(F.col(n) / s.leaf).cast("int")
+    large = written(sizes.select("leaf", blocks("free").alias("frees"), blocks("bound").alias("bounds"), (F.col("lo") < F.col("hi")).alias("mixed")), "large-leaves")
+    rows = rows.join(F.broadcast(large) if large.count() <= 500_000 else large, "leaf", "left")
+    # Blocks of rows outside a clique come first; those of one clique needn't meet each other.
+    own = F.when(free, F.pmod(F.xxhash64("cid"), "frees")).otherwise(F.col("frees") + F.pmod(F.xxhash64("cid"), "bounds"))
+    last = F.when(free | F.coalesce("mixed", F.lit(True)), F.coalesce(F.col("frees") + F.col("bounds"), F.lit(1))).otherwise(F.col("frees")) - 1
+    rows = rows.withColumn("block", F.coalesce(own, F.lit(0)).cast("int")).withColumn("other", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))))
+    rows = rows.select("leaf", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "v", "copies", F.coalesce("clique", F.lit(0)).alias("clique"), "before")
 
     def compare(group: pa.Table) -> pa.Table:
-        cid, block = group["cid"].to_numpy(), group["block"].to_numpy()
-        x = _matrix(group["v"].combine_chunks())
-        i, j = group["i"][0].as_py(), group["j"][0].as_py()
+        cid, block, copies, clique = (group[c].to_numpy() for c in ("cid", "block", "copies", "clique"))
+        x, i, j = _matrix(group["v"].combine_chunks()), group["i"][0].as_py(), group["j"][0].as_py()
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         at, to = np.nonzero(x[left] @ x[right].T >= s.threshold - 1e-9)
         a, b = left[at], right[to]
-        once = cid[a] < cid[b] if i == j else np.ones(len(a), bool)
-        a, b = a[once], b[once]
-        exact = (x[a] * x[b]).sum(axis=1)
-        kept = exact >= s.threshold
-        a, b, exact = cid[a[kept]], cid[b[kept]], exact[kept]
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "similarity": exact})
+        wanted = ((i != j) | (a < b)) & ((clique[a] != clique[b]) | (clique[a] == 0))
+        a, b = a[wanted], b[wanted]
+        wanted = (x[a] * x[b]).sum(axis=1) >= s.threshold
+        a, b = a[wanted], b[wanted]
+        label = _labels(len(cid), a, b)
+        new = _apart(group["before"].combine_chunks(), a, b)
+        n = np.bincount(a[new], copies[b[new]], len(cid)) + np.bincount(b[new], copies[a[new]], len(cid))
+        some = np.flatnonzero((n > 0) | (label != np.arange(len(cid))))
+        return pa.table({"cid": cid[some], "others": n[some].astype(np.int64), "joined": cid[label[some]]})
 
-    found = rows.groupBy("tree", "leaf", "i", "j").applyInArrow(compare, "a long, b long, similarity double")
-    return found.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+    found = rows.groupBy("leaf", "i", "j").applyInArrow(compare, "cid long, others long, joined long")
+    return found.unionByName(members)
 
 
 def cluster(vectors: DataFrame, settings: Settings = Settings(), id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -173,28 +297,33 @@ def cluster(vectors: DataFrame, settings: Settings = Settings(), id_col: str = "
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of
     different dimension don't link. Equal vectors are one class that enters the forest once and count as links
     of each other, so any number of copies costs one row. Repeated ids are vectors of their own; null ids
-    stay, and name a component only where no other id does. Other columns aren't read.
+    stay, and name a component only where no other id does. An empty table gives no rows; other columns aren't
+    read. Links that the forest misses are missing from all columns alike.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    given = dict(vectors.dtypes)[vector_col]
+    own = F.col(vector_col) if given in ("array<float>", "array<double>") else F.col(vector_col).cast("array<double>")
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), own.alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    rows = rows.select("id", F.when(F.coalesce(finite, F.lit(False)), F.col("v")).alias("v"))
+    # 0.0 and -0.0 are one number but hash apart.
+    rows = rows.select("id", F.when(F.coalesce(finite, F.lit(False)), F.transform("v", lambda x: F.when(x == 0, F.lit(0).cast("float")).otherwise(x))).alias("v"))
     rows = written(rows.withColumns({"h": F.xxhash64("v"), "k": F.xxhash64(F.lit(1), "v")}), "vectors")
+    alone = lambda r: r.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     classes = rows.where("v is not null").groupBy("h", "k").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("v").alias("v"))
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     found = None
     for (size,) in classes.select(F.size("v")).distinct().collect():  # dimensions in use: one, as a rule
-        some = pairs(classes.where(F.size("v") == size).select("cid", "v"), settings)
+        some = linked(classes.where(F.size("v") == size), settings)
         found = some if found is None else found.unionByName(some)
     if found is None:
-        return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    found = written(found, "pairs")
-    copies = classes.select(F.col("cid").alias("b"), "copies")
-    both = found.select("a", "b").unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    links = both.join(copies, "b").groupBy("a").agg(F.sum("copies").alias("others")).withColumnRenamed("a", "cid")
-    joined = components(found).withColumnRenamed("node", "cid")
-    named = classes.select("h", "k", "cid", "least", "copies").join(links, "cid", "left").join(joined, "cid", "left")
+        return alone(rows)
+    found = written(found, "links")
+    links = found.groupBy("cid").agg(F.sum("others").alias("others"))
+    joined = components(found.select(F.col("cid").alias("a"), F.col("joined").alias("b"))).withColumnRenamed("node", "cid")
+    named = written(classes.select("h", "k", "cid", "least", "copies").join(links, "cid", "left").join(joined, "cid", "left"), "named")
     names = named.where("component is not null").groupBy("component").agg(F.min("least").alias("name"))
-    named = named.join(names, "component", "left").select("h", "k", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("name", "least").alias("name"))
-    out = rows.select("id", "h", "k", F.col("v").isNotNull().alias("valid")).join(named, ["h", "k"], "left")
-    component = F.when(F.col("valid"), F.coalesce("name", "id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.when(F.col("valid"), F.col("n")).otherwise(0).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    named = with_classes(named.where("component is not null"), names, "component").unionByName(named.where("component is null").withColumn("name", F.lit(None).cast("long")))
+    named = written(named.select("h", "k", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("name", "least").alias("name")), "names")
+    valid = with_classes(rows.where("v is not null").select("id", "h", "k"), named, "h", "k")
+    component = F.coalesce("name", "id")
+    out = valid.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return out.unionByName(alone(rows.where("v is null")))

@@ -47,3 +47,16 @@ def with_partition_offsets(df: DataFrame, part: str, amount: str, out: str) -> D
     before = F.sum("_total").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
     offsets = totals.select(part, F.coalesce(before, F.lit(0)).cast("long").alias(out))
     return df.join(F.broadcast(offsets), part)
+
+
+def with_classes(rows: DataFrame, classes: DataFrame, *keys: str, heavy: int = 200, most: int = 500_000) -> DataFrame:
+    """Join rows (keys not null) with the one row of their class. The classes of more than ``heavy`` rows, no more
+    than rows / heavy, are broadcast, so that none of them meets in one task; the limit rises until there are
+    at most ``most``. The rest goes by shuffle."""
+    large = written(rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > heavy), "large-classes")
+    while large.where(F.col("_n") > heavy).count() > most:
+        heavy *= 2
+    large = large.where(F.col("_n") > heavy).select(*keys)
+    some = written(classes.join(F.broadcast(large), list(keys), "left_semi"), "classes-of-many")
+    rest = rows.join(F.broadcast(large), list(keys), "left_anti").join(classes, list(keys))
+    return rest.unionByName(rows.join(F.broadcast(some), list(keys)))
