@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import unused, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -88,7 +88,7 @@ def report(
 
     parts = []
     for block in range(blocks):
-        own = windows.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block) if blocks > 1 else windows
+        own = windows.where(F.pmod(F.xxhash64("span"), F.lit(blocks)) == block) if blocks > 1 else windows
         spans = own.groupBy("span").agg(F.collect_set("item").alias("items"))
         each = own.select("length", F.split("span", " ").alias("ws")).distinct().withColumn("hs", F.transform("ws", lambda x: F.xxhash64(x)))
         full = each.where(F.col("length") == window).withColumn("grams", _grams(k, window)).select("length", F.explode(_least(w)).alias("f"))
@@ -128,7 +128,10 @@ def report(
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents that share no window with the benchmark, all their columns as they were.
 
-    The ids of the others are written first, so their measured size decides between broadcast and shuffle."""
+    Null and empty texts share nothing and stay, as do repeated rows and rows with a null id; an empty benchmark
+    leaves all. A caller's columns may have any names. The ids of the others are written first, so their
+    measured size decides between broadcast and shuffle."""
     found = report(docs, benchmark, id_col=id_col, text_col=text_col, **options).where("contaminated")
-    bad = written(found.select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "contaminated")
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_hash")), "left_anti")
+    key, digest = unused("id", docs), unused("hash", docs)
+    bad = written(found.select(F.col(id_col).alias(key), F.col("text_hash").alias(digest)).distinct(), "contaminated")
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col(key)) & (F.xxhash64(text_col) == F.col(digest)), "left_anti")

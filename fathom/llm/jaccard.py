@@ -22,8 +22,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components
-from .shared import written
+from .graph import components, extended
+from .shared import forget, only, unused, with_classes, written
 from .tokens import portions
 
 
@@ -112,13 +112,14 @@ def _frequent(docs: DataFrame, s: Settings) -> tuple[np.ndarray, np.ndarray]:
             twice = counts > 1
             return pa.RecordBatch.from_arrays([pa.array(values[twice].view(np.int64)), pa.array(counts[twice].astype(np.int64))], ["h", "n"])
 
+        only("shingles", _HASHES)
         held, size = [], 0
         for batch in batches:
             for rows in portions(batch, 0):
                 for text in rows.column(0).to_pylist():
                     held.append(shingles(text, s.words))
                     size += len(held[-1])
-                    if size > 3_000_000:
+                    if size > 2_000_000:
                         yield counted(held)
                         held, size = [], 0
         if held:
@@ -138,6 +139,7 @@ def _sets(docs: DataFrame, s: Settings, frequent: tuple[np.ndarray, np.ndarray])
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("shingles", _HASHES)
         common, counts = sent.value
         for batch in batches:
             for rows in portions(batch, 1):
@@ -217,7 +219,7 @@ def _within(p: Column, q: Column, reach: Column) -> Column:
 def _measured(pairs: DataFrame, sets: DataFrame, docs: DataFrame, s: Settings, name: str) -> DataFrame:
     """Exact intersection and union of pairs a, b (with reach): the sets are made again from the whole texts of
     the documents concerned alone."""
-    pairs = written(_near(pairs, sets, s), f"{name}-near")
+    pairs = near = written(_near(pairs, sets, s), f"{name}-near")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
     keys = written(sets.join(wanted, "cid", "left_semi").select("cid", "id", "text_hash"), f"{name}-wanted")
     small = keys.count() <= s.broadcast_rows
@@ -225,6 +227,7 @@ def _measured(pairs: DataFrame, sets: DataFrame, docs: DataFrame, s: Settings, n
     texts = texts.select("cid", "text")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("shingles", _HASHES)
         seen: set[int] = set()  # copies of a text have one set; what is left is dropped below
         for batch in batches:
             for rows in portions(batch, 1):
@@ -249,7 +252,9 @@ def _measured(pairs: DataFrame, sets: DataFrame, docs: DataFrame, s: Settings, n
                 union.append(len(x) + len(y) - shared[-1])
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(shared, pa.int64()), pa.array(union, pa.int64())], ["a", "b", "reach", "shared", "joined"])
 
-    return written(both.select("a", "b", "reach", "x", "y").mapInArrow(run, "a long, b long, reach double, shared long, joined long"), name)
+    out = written(both.select("a", "b", "reach", "x", "y").mapInArrow(run, "a long, b long, reach double, shared long, joined long"), name)
+    forget(near, keys, members)
+    return out
 
 
 def _links(measured: DataFrame, s: Settings) -> Column:
@@ -273,15 +278,9 @@ def _crossed(parted: DataFrame, stand: DataFrame, sets: DataFrame, reach: float)
     return half.join(right, toward).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(reach).alias("reach")).distinct()
 
 
-def cluster(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: id, n_shingles, component_id (smallest id reachable by links, itself included).
-
-    Documents without words have no shingles and are in no component but their own; so are nulls. Equal sets,
-    repeated rows among them, link. Rows with a null id stay and take part, but name a component only where
-    no other id does. An empty table gives no rows; other columns aren't read. Links are exact: no cap on
-    lists, candidates or groups. Sets are told apart by 64-bit hashes of shingles and a 128-bit digest.
-    """
-    s = settings
+def _grouped(docs: DataFrame, s: Settings, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """id, text_hash, n, group, name of each document with words (group: the same for all that are reachable by
+    links; name: its smallest id), and id of each without."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     reach = 1 - s.percent / 100
     every = written(_sets(docs, s, _frequent(docs.select("text"), s)), "sets")
@@ -299,7 +298,8 @@ def cluster(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc
     linked = first.where(_links(first, s)).select("a", "b", (1 - F.col("shared") / F.col("joined")).alias("d"))
     # A set stands behind the first pivot that it links with; radius: how far off those behind a pivot are.
     behind = written(linked.groupBy("b").agg(F.min(F.struct("a", "d")).alias("m")).select(F.col("b").alias("cid"), F.col("m.a").alias("leader"), F.col("m.d").alias("d")), "behind")
-    joined = written(components(linked.select("a", "b")), "joined").select(F.col("node").alias("cid"), "component")
+    nodes = written(components(linked.select("a", "b")), "joined")
+    joined = nodes.select(F.col("node").alias("cid"), "component")
     placed = lists.select("key", "cid", "n", "pos").join(behind, "cid", "left").join(joined, "cid", "left")
     placed = placed.select("key", "cid", "n", "pos", F.coalesce("leader", "cid").alias("leader"), F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("component", "cid").alias("component"))
     own = sets.select(F.col("cid").alias("leader"), F.col("n").alias("leader_n"), "sketch")
@@ -307,8 +307,11 @@ def cluster(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc
     apart = heads.groupBy("key").agg(F.count("*").alias("heads"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key", "heads")
     blocks = heads.join(apart, "key").join(own, "leader").withColumn("block", F.pmod(F.xxhash64("leader"), F.ceil(F.col("heads") / s.list_block)))
     one = F.struct("leader", "component", "radius", F.col("leader_n").alias("n"), F.when((F.col("members") == 1) & (F.col("radius") == 0), F.col("pos")).otherwise(-1).alias("pos"), "sketch")
-    blocks = written(blocks.groupBy("key", "block").agg(F.sort_array(F.collect_list(one)).alias("heads")), "heads")
-    x, y = blocks.select("key", F.col("block").alias("i"), F.col("heads").alias("xs")), blocks.select("key", F.col("block").alias("j"), F.col("heads").alias("ys"))
+    last = F.ceil(F.first("heads") / s.list_block).cast("long") - 1
+    blocks = written(blocks.groupBy("key", "block").agg(last.alias("last"), F.sort_array(F.collect_list(one)).alias("heads")), "heads")
+    # Each pair of blocks of a list is a key of its own, so a long list isn't one task's.
+    x = blocks.select("key", F.col("block").alias("i"), F.explode(F.sequence("block", "last")).alias("j"), F.col("heads").alias("xs"))
+    y = blocks.select("key", F.explode(F.sequence(F.lit(0).cast("long"), "block")).alias("i"), F.col("block").alias("j"), F.col("heads").alias("ys"))
     far = lambda p, q: F.lit(reach) + p["radius"] + q["radius"]
     # Shingles before the first shared place are in one set alone; pos is known for sets that stand for themselves.
     early = lambda p, q: (p["pos"] < 0) | (q["pos"] < 0) | ((2 - reach) * (p["pos"] + q["pos"]) <= reach * (p["n"] + q["n"]) * 1.0000001)
@@ -317,40 +320,68 @@ def cluster(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc
         F.filter("ys", lambda q: ((F.col("i") < F.col("j")) | (p["leader"] < q["leader"])) & close(p, q)),
         lambda q: F.struct(F.least(p["leader"], q["leader"]).alias("a"), F.greatest(p["leader"], q["leader"]).alias("b"), far(p, q).alias("reach")),
     )
-    pairs = x.join(y, "key").where("i <= j").select(F.explode(F.flatten(F.transform("xs", made))).alias("p")).select("p.*")
+    pairs = x.join(y, ["key", "i", "j"]).select(F.explode(F.flatten(F.transform("xs", made))).alias("p")).select("p.*")
     pairs = pairs.groupBy("a", "b").agg(F.max("reach").alias("reach"))
     second = _measured(pairs, sets, docs, s, "pivots")
     between = second.where(_links(second, s)).select("a", "b")
     # Pivots too far apart to link, but not for those behind them: compare these, where they share a list.
     between_d = (1 - F.col("shared") / F.col("joined")).alias("between")
     wide = second.where(~_links(second, s) & (1 - F.col("shared") / F.col("joined") <= F.col("reach") + 1e-9) & (F.col("reach") > reach + 1e-9)).select("a", "b", between_d)
-    edges = linked.select("a", "b").unionByName(between)
-    found = components(edges)
+    found = extended(nodes, between)
     if not wide.isEmpty():
         # Those behind a pivot are joined with it, so pivots joined by now leave nothing to find. For the others,
         # a set behind one must lie towards the other pivot and all behind it, then towards the single set.
-        now = written(found, "joined-again")
-        of = lambda c: now.select(F.col("node").alias(c), F.col("component").alias(f"now_{c}"))
+        of = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"now_{c}"))
         parted = wide.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("now_a", "a") != F.coalesce("now_b", "b"))
         stand = sets.select("cid", F.struct("n", "sketch").alias("set")).join(behind, "cid", "left")
         stand = written(stand.select("cid", F.coalesce("leader", "cid").alias("leader"), F.coalesce("d", F.lit(0.0)).alias("d"), "set"), "stand")
         crossed = _crossed(parted, stand, sets, reach)
         third = _measured(crossed, sets, docs, s, "behind-pivots")
-        found = components(edges.unionByName(third.where(_links(third, s)).select("a", "b")))
+        found = extended(found, third.where(_links(third, s)))
     found = found.select(F.col("node").alias("cid"), "component")
     # Names: the smallest id of a set's documents, then of a component's sets.
     named = every.where("digest is not null").groupBy("digest").agg(F.min("id").alias("least"))
-    classes = named.join(sets.select("digest", "cid"), "digest", "left").join(found, "cid", "left")
+    classes = written(named.join(sets.select("digest", "cid"), "digest", "left").join(found, "cid", "left"), "classes")
     least = classes.where("component is not null").groupBy("component").agg(F.min("least").alias("of_component"))
-    named = classes.join(least, "component", "left").select("digest", F.coalesce("of_component", "least").alias("name"))
-    out = every.select("id", "n", "digest").join(named, "digest", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("name", "id").alias("component_id"))
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One document of each component, the one with the smallest id, with its columns as they were; documents
-    without words stay. Of rows that repeat an id one stays."""
-    kept = cluster(docs, id_col=id_col, text_col=text_col, **options).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col).distinct()
-    kept = written(kept, "kept")
-    rows = docs.join(kept.withColumnRenamed(id_col, "_id"), F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
-    return rows.dropDuplicates([id_col])
+    grouped = with_classes(classes.where("component is not null"), least, "component").unionByName(classes.where("component is null").withColumn("of_component", F.lit(None).cast("long")))
+    group = F.coalesce(F.coalesce("component", "cid").cast("string"), F.hex("digest"))
+    named = written(grouped.select("digest", group.alias("group"), F.coalesce("of_component", "least").alias("name")), "names")
+    with_words = with_classes(every.where("digest is not null").select("id", "text_hash", "n", "digest"), named, "digest")
+    return with_words.select("id", "text_hash", "n", "group", F.coalesce("name", "id").alias("name")), every.where("digest is null").select("id")
+
+
+def cluster(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a document: id, n_shingles, component_id (smallest id reachable by links, itself included).
+
+    Documents without words have no shingles and are in no component but their own; so are nulls. Equal sets,
+    repeated rows among them, link. Rows with a null id stay and take part, but name a component only where
+    no other id does. An empty table gives no rows; other columns aren't read. Links are exact: no cap on
+    lists, candidates or groups. Sets are told apart by 64-bit hashes of shingles and a 128-bit digest.
+    """
+    linked, alone = _grouped(docs, settings, id_col, text_col)
+    out = linked.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("name").alias("component_id"))
+    return out.unionByName(alone.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_shingles"), F.col("id").alias("component_id")))
+
+
+def keep_one(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component, with its columns as they were: the one with the smallest id (a null id
+    only where no other is), of those the one with the smallest hash of the text, of equal rows any one.
+
+    Null and empty texts and those without words belong to no component and stay, row by row. Rows with a null
+    or repeated id are judged by their own texts. A caller's columns may have any names; an empty table gives no
+    rows. Texts move only where the kept keys are too many to broadcast, and for keys that repeat."""
+    linked, _ = _grouped(docs, settings, id_col, text_col)
+    best = linked.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "text_hash")).alias("m"))
+    key, digest = unused("id", docs), unused("hash", docs)
+    kept = best.select(F.col("m.id").alias("id"), F.col("m.text_hash").alias("text_hash")).distinct()
+    times = linked.groupBy("id", "text_hash").agg((F.count("*") > 1).alias("again"))
+    same = kept["id"].eqNullSafe(times["id"]) & (kept["text_hash"] == times["text_hash"])
+    kept = written(kept.join(times, same).select(kept["id"].alias(key), kept["text_hash"].alias(digest), "again"), "kept")
+    has_words = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    of = lambda k: F.col(id_col).cast("long").eqNullSafe(k[key]) & (F.xxhash64(text_col) == k[digest])
+    once, again = kept.where("not again"), kept.where("again")
+    out = docs.where(~has_words).unionByName(docs.where(has_words).join(once, of(once), "left_semi"))
+    if again.isEmpty():
+        return out
+    repeated = docs.where(has_words).join(again, of(again))
+    return out.unionByName(repeated.dropDuplicates([key, digest]).select(*[docs[f"`{c}`"] for c in docs.columns]))

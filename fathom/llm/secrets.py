@@ -7,15 +7,18 @@ lengths, UUIDs and identifiers of words.
 
 from __future__ import annotations
 
-import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .tokens import ranks_of, slices
+from .shared import only
+from .tokens import portions, ranks_of
 
 KINDS = ("assign", "access", "hex", "random")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -49,41 +52,47 @@ def looks_random(run: str) -> bool:
 _VOCABULARIES: dict = {}
 
 
+def _spans(text: str, vocabulary: str, max_ratio: float) -> list[tuple[str, int, int]]:
+    """All spans of a text, by start, then kind."""
+    found = base_spans(text)
+    taken = sorted((s, e) for _, s, e in found)
+    ends = list(accumulate((e for _, e in taken), max))
+    for m in _RUN.finditer(text):
+        run = m.group()
+        if looks_random(run):
+            # Of the base spans that begin before the run's end, does one end behind its start?
+            before = bisect_left(taken, (m.end(),))
+            if not (before and ends[before - 1] > m.start()) and len(run) <= max_ratio * len(_VOCABULARIES[vocabulary].encode_ordinary(run)):
+                found.append(("random", *m.span()))
+    return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
+
+
+def _ready(vocabulary: str) -> None:
+    only("vocabularies", _VOCABULARIES)
+    if vocabulary not in _VOCABULARIES:
+        _VOCABULARIES[vocabulary] = ranks_of(vocabulary)
+
+
 def scan(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", max_ratio: float = 2.0, text_col: str = "text", out: str = "secrets") -> DataFrame:
     """Add the spans found in each whole text, ordered by start and kind, as a column ``out``.
 
     kind random: a run of 20 or more key-like characters outside the base spans with at most ``max_ratio``
-    characters a token. A null or empty text has no spans. All rows and columns stay; a column named like
-    ``out`` is replaced. Rows are read once, without a shuffle.
+    characters a token. A null or empty text has no spans. All rows and columns stay, repeated rows too; a
+    column named like ``out`` is replaced. Rows are read once, without a shuffle; texts are worked on whole, in
+    portions of some MB.
     """
 
-    def spans(text: str) -> list[dict]:
-        found = base_spans(text)
-        for m in _RUN.finditer(text):
-            run = m.group()
-            if looks_random(run) and not any(s < m.end() and m.start() < e for _, s, e in found):
-                if len(run) <= max_ratio * len(_VOCABULARIES[vocabulary].encode_ordinary(run)):
-                    found.append(("random", *m.span()))
-        found.sort(key=lambda x: (x[1], KINDS.index(x[0])))
-        return [{"kind": k, "start": s, "end": e} for k, s, e in found]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if vocabulary not in _VOCABULARIES:
-            _VOCABULARIES[vocabulary] = ranks_of(vocabulary)
+        _ready(vocabulary)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
-            texts = batch.column(at).to_pylist()
-            for a, b in slices(texts):
-                part = batch.slice(a, b - a)
-                found = pa.array([spans(x or "") for x in texts[a:b]], kind)
-                yield pa.RecordBatch.from_arrays([*part.columns, found], [*batch.schema.names, out])
+            for part in portions(batch, at):
+                found = [[{"kind": k, "start": s, "end": e} for k, s, e in _spans(x or "", vocabulary, max_ratio)] for x in part.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, kind)], [*batch.schema.names, out])
 
     docs = docs.drop(out)
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*docs.schema.fields, T.StructField(out, T._parse_datatype_string(SPAN))])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T._parse_datatype_string(SPAN))]))
 
 
 def listed(spans, kinds: tuple[str, ...] = KINDS):
@@ -92,18 +101,28 @@ def listed(spans, kinds: tuple[str, ...] = KINDS):
     return F.array_join(F.transform(kept, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, mark: str = "[SECRET]", text_col: str = "text", **options) -> DataFrame:
-    """The same rows and columns with every span in the text replaced by ``mark``; overlapping spans get one."""
-    found = scan(docs, text_col=text_col, out="_spans", **options)
-    step = lambda acc, x: F.when(
-        x["start"] >= acc["at"],
-        F.struct(F.concat(acc["text"], F.substring(F.col(text_col), acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark)).alias("text"), x["end"].alias("at")),
-    ).otherwise(F.struct(acc["text"].alias("text"), F.greatest(acc["at"], x["end"]).alias("at")))
-    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
-    whole = lambda acc: F.concat(acc["text"], F.substring(F.col(text_col), acc["at"] + 1, F.length(text_col)))
-    text = F.when(F.size("_spans") > 0, F.aggregate("_spans", start, step, whole)).otherwise(F.col(text_col))
-    return found.withColumn(text_col, text).select(*docs.columns)
+def redacted(text: str, spans: list[tuple[str, int, int]], mark: str) -> str:
+    """A text with ``mark`` for each run of overlapping spans."""
+    out, at = [], 0
+    for _, start, end in spans:
+        if start >= at:
+            out += [text[at:start], mark]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
 
 
-def digest(spans: str) -> str:
-    return hashlib.sha256(spans.encode()).hexdigest()
+def redact(docs: DataFrame, mark: str = "[SECRET]", vocabulary: str = "byte_bpe_50k.tiktoken", max_ratio: float = 2.0, text_col: str = "text") -> DataFrame:
+    """The same rows and columns with every span in the text replaced by ``mark``; overlapping spans get one.
+
+    Null texts stay null, empty ones empty, repeated rows as often as they came; other columns aren't touched,
+    whatever their names. Rows are read once, without a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _ready(vocabulary)
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            for part in portions(batch, at):
+                texts = [x and redacted(x, _spans(x, vocabulary, max_ratio), mark) for x in part.column(at).to_pylist()]
+                yield part.set_column(at, batch.schema.field(at), pa.array(texts, pa.string()))
+
+    return docs.mapInArrow(run, docs.schema)

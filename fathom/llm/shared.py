@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 _LOCAL: dict[str, str] = {}
+#: Where written tables are, for those whose files may go early.
+_WRITTEN: WeakKeyDictionary = WeakKeyDictionary()
+#: A worker's caches, by the operator that fills them.
+_CACHES: dict[str, tuple] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -17,7 +22,7 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
@@ -35,7 +40,36 @@ def written(df: DataFrame, name: str) -> DataFrame:
     so a lost executor costs one stage. The files belong to the folder's owner, like checkpoints."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN[out] = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of written tables that no later job reads: what is made of them has been written, too."""
+    for df in tables:
+        path = _WRITTEN.pop(df, None)
+        if path:
+            at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
+            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def only(owner: str, *caches) -> None:
+    """At the start of a task: a worker keeps the caches of one operator from task to task, and those of all
+    others are emptied, so a worker that serves a pipeline's stages in turn holds one stage's alone."""
+    _CACHES[owner] = caches
+    for name, others in _CACHES.items():
+        if name != owner:
+            for cache in others:
+                cache.clear()
+
+
+def unused(name: str, *taken: DataFrame) -> str:
+    """A column name like ``name`` that none of these tables has, in any case."""
+    names = {c.lower() for df in taken for c in df.columns}
+    while name.lower() in names:
+        name += "_"
+    return name
 
 
 def with_partition_offsets(df: DataFrame, part: str, amount: str, out: str) -> DataFrame:

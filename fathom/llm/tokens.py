@@ -9,14 +9,17 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .shared import only
+
 #: Pieces in each of the two generations of a worker's cache, and the longest kept: at most some 200 MB.
 GENERATION, CACHE_CHARS = 500_000, 64
 
@@ -34,6 +37,7 @@ _ENCODERS: dict[str, "Encoder"] = {}
 
 def encoder(name: str) -> "Encoder":
     """The worker's own encoder of a tokenizer file, by its name in the public folder or by path."""
+    only("tokens", _ENCODERS)
     if name not in _ENCODERS:
         _ENCODERS[name] = Encoder(name)
     return _ENCODERS[name]
@@ -56,10 +60,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(name if "/" in name else public_tokenizers.path(name))
-        self.tokenizer.encode_special_tokens = True
         #: A byte-level vocabulary joins a space to the word after it; a lower-casing one drops spaces.
         self.joins_space = self.tokenizer.normalizer is None
         self.lead = BYTE_CHARS[32] if self.joins_space else ""
+        #: Text that spells a token added to the vocabulary gets that token's id, as the library does it.
+        tokens = self.tokenizer.get_added_tokens_decoder().values()
+        self.added, self.any_case = "|".join(re.escape(t.content) for t in tokens), any(t.normalized for t in tokens)
         self.marks = {"": []} | {x: self.tokenizer.encode(x, add_special_tokens=False).ids for x in ",."}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -106,12 +112,14 @@ class Encoder:
         if not len(texts):
             return np.array([], "<u4"), np.zeros(1, np.int64)
         heads: list[bytes] = []
-        if self.joins_space:
-            # What comes first has no space before it; a text with white space beside a space stays whole.
-            odd = pc.match_substring_regex(texts, _BESIDE_SPACE).to_numpy(zero_copy_only=False)
-            whole = texts.to_pylist() if odd.any() else None
-            texts = pc.if_else(pa.array(odd), "", texts) if odd.any() else texts
-        else:
+        # A text that spells an added token stays whole, and so does one with white space beside a space.
+        beside = _BESIDE_SPACE if self.joins_space else None
+        odd = np.zeros(len(texts), bool)
+        for pattern in filter(None, (beside, self.added)):
+            odd |= pc.match_substring_regex(texts, pattern, ignore_case=pattern is not beside and self.any_case).to_numpy(zero_copy_only=False)
+        whole = texts.filter(pa.array(odd)).to_pylist()
+        texts = pc.if_else(pa.array(odd), "", texts) if whole else texts
+        if not self.joins_space:
             # No token holds white space, or both a letter and a mark. A-Z alone are lowered here.
             texts = pc.replace_substring(pc.ascii_lower(texts), "\n", " ")
             texts = pc.replace_substring_regex(texts, _MARK_BEHIND_WORD, r"\1 \2")
@@ -120,11 +128,13 @@ class Encoder:
         pieces = cut.flatten().dictionary_encode()
         codes = pieces.indices.to_numpy().astype(np.int64)
         table = self._known(pieces.dictionary.to_pylist()) if len(codes) else []
-        if self.joins_space:
-            first = cut.flatten().take(pa.array(bounds[:-1])).to_pylist()
-            found = self.tokenizer.encode_batch_fast([whole[i] if odd[i] else x for i, x in enumerate(first)], add_special_tokens=False)
+        # What comes first has no space before it.
+        at = np.arange(len(texts)) if self.joins_space else np.flatnonzero(odd)
+        if len(at):
+            first, rest = cut.flatten().take(pa.array(bounds[at])).to_pylist(), iter(whole)
+            found = self.tokenizer.encode_batch_fast([next(rest) if odd[i] else x for i, x in zip(at, first)], add_special_tokens=False)
             heads = [np.array(e.ids, dtype="<u4").tobytes() for e in found]
-            codes[bounds[:-1]] = len(table) + np.arange(len(heads))
+            codes[bounds[at]] = len(table) + np.arange(len(heads))
         table = table + heads
         sizes = np.fromiter(map(len, table), np.int64, len(table)) // 4
         flat = np.frombuffer(b"".join(table), "<u4")
@@ -140,18 +150,6 @@ class Encoder:
         return np.insert(ids, bounds[1:], end_id).astype("<u4"), bounds + np.arange(len(bounds))
 
 
-def slices(texts: list[str | None], chars: int = 2_000_000) -> Iterable[tuple[int, int]]:
-    """Ranges of rows whose texts have about so many characters: bounds what is worked on at once."""
-    start = total = 0
-    for i, text in enumerate(texts):
-        total += len(text or "")
-        if total >= chars:
-            yield start, i + 1
-            start, total = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def portions(batch: pa.RecordBatch, text: int, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """A batch in portions whose texts, in column ``text``, have about so many bytes."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)

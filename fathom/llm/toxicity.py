@@ -17,7 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import slices
+from .shared import only, unused
+from .tokens import portions
 
 _WORD = re.compile(r"[^\W_]+")
 _WORDS: dict[str, int] = {}
@@ -48,9 +49,9 @@ class Model:
 
 
 def _word_ids(text: str) -> np.ndarray:
-    """64-bit hashes of the lower-case words; a worker keeps those of up to 400,000 short words."""
+    """64-bit hashes of the lower-case words; a worker keeps those of up to 200,000 short words."""
     known, out = _WORDS, []
-    if len(known) > 400_000:
+    if len(known) > 200_000:
         known.clear()
     for w in _WORD.findall(text.lower()):
         h = known.get(w)
@@ -138,14 +139,14 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "tox
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("words", _WORDS)
         m = sent.value
         dense = np.zeros(1 << m.hash_bits)
         dense[m.indices] = m.weights
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            for a, b in slices(texts):
-                part = batch.slice(a, b - a)
-                sums = np.array([dense[features(t, m.hash_bits)].sum() for t in texts[a:b]]) + m.bias
+            at = batch.schema.get_field_index(text_col)
+            for part in portions(batch, at):
+                sums = np.array([dense[features(t, m.hash_bits)].sum() for t in part.column(at).to_pylist()]) + m.bias
                 p = 1.0 / (1.0 + np.exp(-np.clip(sums, -500, 500)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p, pa.float64())], [*batch.schema.names, out])
 
