@@ -12,12 +12,13 @@ import re
 from collections.abc import Iterator
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import only, written
 from .tokens import portions
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
@@ -33,12 +34,16 @@ _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td"
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}}
 _DROP = frozenset("script style noscript template head nav aside footer form iframe button select textarea input svg canvas object embed video audio menu dialog noembed noframes title".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Words of class, id and role that say that an element isn't the article.
+#: Names of class, id and role that say that an element isn't the article: alone, or as the last word of a name.
 _NOISE = frozenset(
     "ad ads advert adverts advertisement advertising adsense adslot banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription "
     "sidebar rail menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar comment comments commentlist disqus reply replies respond share sharing social related recommended recommendations "
-    "teaser widget pagination pager toolbar login signup signin search contentinfo complementary banner".split()
+    "teaser widget pagination pager toolbar login signup signin search contentinfo complementary".split()
 )
+#: Of these the first word of a name says enough, such as comments-list.
+_FIRST = frozenset("ad ads advert adverts advertisement cookie cookies gdpr newsletter sidebar navbar breadcrumb breadcrumbs footer masthead comment comments commentlist disqus pagination".split())
+#: Words before or behind a name that say something about another element, or where one stands.
+_ABOUT, _STATE, _WHERE = frozenset("has have with without no not hide show is".split()), frozenset("open opened closed enabled disabled on off visible active allowed".split()), frozenset("left right top bottom box area section block container wrapper list inner outer".split())
 
 
 class Node:
@@ -47,18 +52,37 @@ class Node:
     def __init__(self, tag: str, says: frozenset = frozenset()):
         self.tag, self.says, self.kids, self.shape = tag, says, [], None
 
+    def elements(self) -> list["Node"]:
+        return [k for k in self.kids if isinstance(k, Node)]
+
+
+def _names_noise(name: str) -> bool:
+    """Whether a class or id names something beside the article, as a whole or by its deciding word."""
+    words = [w.lower() for w in _SAYS.findall(name) if not w.isdigit()]
+    if not words or words[0] in _ABOUT or words[-1] in _STATE:
+        return False
+    while len(words) > 1 and words[-1] in _WHERE:
+        words.pop()
+    return words[-1] in _NOISE or words[0] in _FIRST
+
 
 def _says(attributes: str) -> frozenset:
+    """Of an element's attributes: its names as they are, and whether they make it noise, header or hidden."""
     if "=" not in attributes and "hidden" not in attributes:
         return frozenset()
-    words: set[str] = set()
+    said: set[str] = set()
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id", "role", "itemprop"):
-            words.update(w.lower() for w in _SAYS.findall(value))
+            for one in value.split():
+                said.add(one.lower())
+                if _names_noise(one):
+                    said.add("\0noise")
+                elif name != "itemprop" and [w.lower() for w in _SAYS.findall(one)][-1:] == ["header"]:
+                    said.add("\0header")
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-            words.add("\0hidden")
-    return frozenset(words)
+            said.add("\0hidden")
+    return frozenset(said)
 
 
 def parse(html: str) -> Node:
@@ -102,85 +126,153 @@ def parse(html: str) -> Node:
     return root
 
 
-def _noise(node: Node, inside: bool) -> bool:
-    return node.tag in _DROP or "\0hidden" in node.says or bool(node.says & _NOISE) or (not inside and (node.tag == "header" or "header" in node.says))
+def _noise(node: Node, inside: bool, lenient: bool = False) -> bool:
+    """Whether an element isn't part of the article. Lenient: names and forms don't count, as the article is in one."""
+    if node.tag in ("html", "body"):
+        return False
+    if lenient and (node.tag == "form" or not node.says.isdisjoint(("\0noise", "\0header")) and "\0hidden" not in node.says):
+        return False
+    return node.tag in _DROP or "\0hidden" in node.says or "\0noise" in node.says or (not inside and (node.tag == "header" or "\0header" in node.says))
 
 
 def _length(node: Node) -> int:
-    return sum(len(k.strip()) if isinstance(k, str) else 0 if _noise(k, True) else _length(k) for k in node.kids)
-
-
-def content_root(root: Node) -> tuple[Node, bool]:
-    """The article: the element named so with the most text, else the main element, else the whole page."""
-    found: dict[str, list[Node]] = {"article": [], "main": []}
-
-    def visit(node: Node) -> None:
-        for k in node.kids:
-            if isinstance(k, Node) and not _noise(k, False):
-                if k.tag == "article" or {"article", "body"} <= k.says:
-                    found["article"].append(k)
-                elif k.tag == "main" or k.says == {"main"}:
-                    found["main"].append(k)
-                visit(k)
-
-    visit(root)
-    for some in (found["article"], found["main"]):
-        if some and (best := max(some, key=_length)) and _length(best):
-            return best, True
-    return root, False
+    n, todo = 0, [node]
+    while todo:
+        for k in todo.pop().kids:
+            if isinstance(k, str):
+                n += len(k.strip())
+            elif not _noise(k, True):
+                todo.append(k)
+    return n
+
+
+def content_root(root: Node) -> tuple[list[Node], bool]:
+    """The article: of the elements named so the one with the most text, and its brothers that are articles too;
+    else the main element, else the whole page. Where all articles are in noise, as in a page that is one
+    form, that noise is looked through."""
+    for lenient in (False, True):
+        articles: list[tuple[Node, Node]] = []
+        mains: list[tuple[Node, Node]] = []
+        todo = [root]
+        while todo:
+            node = todo.pop()
+            inner = []
+            for k in node.elements():
+                if not _noise(k, False, lenient):
+                    if k.tag == "article" or "articlebody" in k.says:
+                        articles.append((k, node))
+                    else:
+                        if k.tag == "main" or "main" in k.says:
+                            mains.append((k, node))
+                        inner.append(k)
+            todo += reversed(inner)
+        for some in (articles, mains):
+            if some:
+                best, above = max(some, key=lambda x: _length(x[0]))
+                if _length(best):
+                    return [k for k, n in some if n is above and (k is best or k.tag == "article")], True
+    return [root], False
 
 
 # Simple tree matching: two nodes match if their tags do; the children are matched in order so that most nodes
-# are. What has been matched once is looked up by shape, as pages of a host repeat shapes.
+# are. What has been matched once is looked up by shape, as pages of a host repeat shapes. No walk recurses into
+# the tree, so nesting may be of any depth.
 _SHAPES: dict[tuple, int] = {}
 _MATCHED: dict[tuple[int, int], tuple[int, tuple]] = {}
+#: Cells of a table of children that are kept whole; larger ones are halved, which gives the same score.
+_CELLS = 1_000_000
+
+
+def ordered(root: Node) -> list[Node]:
+    """All elements in page order."""
+    out, todo = [], [root]
+    while todo:
+        out.append(todo.pop())
+        todo += reversed(out[-1].elements())
+    return out
 
 
 def _shape(node: Node) -> int:
     if node.shape is None:
-        key = (node.tag, *[_shape(k) for k in node.kids if isinstance(k, Node)])
-        node.shape = _SHAPES.setdefault(key, len(_SHAPES))
+        for n in reversed(ordered(node)):
+            if n.shape is None:
+                n.shape = _SHAPES.setdefault((n.tag, *[k.shape for k in n.elements()]), len(_SHAPES))
     return node.shape
 
 
-def _match(a: Node, b: Node) -> tuple[int, tuple]:
-    """Number of matched nodes, and the matched pairs of element children by number."""
-    if a.tag != b.tag:
-        return 0, ()
-    key = (_shape(a), _shape(b))
-    if key not in _MATCHED:
-        x, y = [k for k in a.kids if isinstance(k, Node)], [k for k in b.kids if isinstance(k, Node)]
-        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-        for i, p in enumerate(x):
-            row, above = best[i + 1], best[i]
-            for j, q in enumerate(y):
-                w = above[j] + _match(p, q)[0]
-                row[j + 1] = max(w, above[j + 1], row[j])
-        pairs, i, j = [], len(x), len(y)
+def _rows(w: np.ndarray, xs: np.ndarray, ys: np.ndarray, keep: bool) -> np.ndarray:
+    """Best scores of all beginnings of xs (or of the whole alone) with all beginnings of ys."""
+    row = np.zeros(len(ys) + 1, np.int64)
+    table = [row]
+    for x in xs:
+        above, row = row, np.zeros(len(ys) + 1, np.int64)
+        row[1:] = np.maximum.accumulate(np.maximum(above[1:], above[:-1] + w[x][ys]))
+        if keep:
+            table.append(row)
+    return np.array(table) if keep else row
+
+
+def _aligned(w: np.ndarray, xs: np.ndarray, ys: np.ndarray, x0: int = 0, y0: int = 0) -> list[tuple[int, int]]:
+    """Pairs of places whose weights w[x, y] add up to the most, in order; linear in memory (Hirschberg)."""
+    if not len(xs) or not len(ys):
+        return []
+    if len(xs) == 1 or len(xs) * len(ys) <= _CELLS:
+        best, pairs, i, j = _rows(w, xs, ys, True), [], len(xs), len(ys)
         while i and j:
-            if best[i][j] == best[i - 1][j]:
+            if best[i, j] == best[i - 1, j]:
                 i -= 1
-            elif best[i][j] == best[i][j - 1]:
+            elif best[i, j] == best[i, j - 1]:
                 j -= 1
             else:
                 i, j = i - 1, j - 1
-                pairs.append((i, j))
-        _MATCHED[key] = (best[-1][-1] + 1, tuple(reversed(pairs)))
-    return _MATCHED[key]
+                pairs.append((x0 + i, y0 + j))
+        return pairs[::-1]
+    half = len(xs) // 2
+    cut = int(np.argmax(_rows(w, xs[:half], ys, False) + _rows(w, xs[half:][::-1], ys[::-1], False)[::-1]))
+    return _aligned(w, xs[:half], ys[:cut], x0, y0) + _aligned(w, xs[half:], ys[cut:], x0 + half, y0 + cut)
 
 
-def numbered(root: Node) -> dict[int, int]:
-    """Places of a reference page: its elements by number, in page order."""
-    out: dict[int, int] = {}
+def _match(a: Node, b: Node) -> tuple[int, tuple]:
+    """Number of matched nodes, and the matched pairs of element children by number."""
+    if a.tag != b.tag:
+        return 0, ()
+    _shape(a), _shape(b)
+    todo = [(a, b)]
+    while todo:
+        p, q = todo[-1]
+        if (p.shape, q.shape) in _MATCHED:
+            todo.pop()
+            continue
+        x, y = p.elements(), q.elements()
+        # Equal children at the head and the tail are matched with each other in some best matching.
+        head = 0
+        while head < min(len(x), len(y)) and x[head].shape == y[head].shape:
+            head += 1
+        tail = 0
+        while tail < min(len(x), len(y)) - head and x[-1 - tail].shape == y[-1 - tail].shape:
+            tail += 1
+        mx, my = x[head : len(x) - tail], y[head : len(y) - tail]
+        kinds, others = {k.shape: k for k in mx}, {k.shape: k for k in my}
+        equal = {k.shape: k for k in x[:head] + x[len(x) - tail :]}
+        needed = [(k, k) for k in equal.values()] + [(k, o) for k in kinds.values() for o in others.values() if k.tag == o.tag]
+        missing = [(k, o) for k, o in needed if (k.shape, o.shape) not in _MATCHED]
+        if missing:
+            todo += missing
+            continue
+        todo.pop()
+        pairs = [(i, i) for i in range(head)]
+        if mx and my:
+            w = np.array([[_MATCHED[k, o][0] if n.tag == m.tag else 0 for o, m in others.items()] for k, n in kinds.items()])
+            at, to = {k: i for i, k in enumerate(kinds)}, {k: i for i, k in enumerate(others)}
+            pairs += _aligned(w, np.array([at[k.shape] for k in mx]), np.array([to[k.shape] for k in my]), head, head)
+        pairs += [(len(x) - tail + i, len(y) - tail + i) for i in range(tail)]
+        _MATCHED[p.shape, q.shape] = (1 + sum(_MATCHED[x[i].shape, y[j].shape][0] for i, j in pairs), tuple(pairs))
+    return _MATCHED[a.shape, b.shape]
 
-    def visit(node: Node) -> None:
-        out[id(node)] = len(out)
-        for k in node.kids:
-            if isinstance(k, Node):
-                visit(k)
 
-    visit(root)
-    return out
+def numbered(root: Node) -> dict[int, int]:
+    """Places of a reference page: its elements by number, in page order."""
+    return {id(n): i for i, n in enumerate(ordered(root))}
 
 
 def places(page: Node, reference: Node, number: dict[int, int]) -> dict[int, int]:
@@ -190,49 +282,53 @@ def places(page: Node, reference: Node, number: dict[int, int]) -> dict[int, int
     while todo:
         a, b = todo.pop()
         out[id(a)] = number[id(b)]
-        x, y = [k for k in a.kids if isinstance(k, Node)], [k for k in b.kids if isinstance(k, Node)]
+        x, y = a.elements(), b.elements()
         todo += [(x[i], y[j]) for i, j in _match(a, b)[1]]
     return out
 
 
 def blocks(root: Node, place: dict[int, int]) -> list[tuple[int, str]]:
-    """The place (-1: none) and text of each block of the article, in page order."""
-    top, inside = content_root(root)
-    out: list[tuple[int, str, bool]] = []
+    """The place (-1: none) and text of each block of the article, in page order. Outside an article, items of
+    lists and tables that are links for the most part are menus."""
+    tops, inside = content_root(root)
+    out: list[tuple[int, str]] = []
     held: list[str] = []
-    linked = [0]
+    linked = 0
 
-    def flush(at: int) -> None:
+    def flush(node: Node) -> None:
+        nonlocal linked
         text = " ".join(unescape("".join(held)).split())
-        if text:
-            out.append((at, text, not inside and linked[0] >= 0.8 * len(text)))
+        if text and not (not inside and node.tag in ("li", "dt", "dd", "td", "th") and linked >= 0.8 * len(text)):
+            out.append((place.get(id(node), -1), text))
         held.clear()
-        linked[0] = 0
-
-    def visit(node: Node, at: int, headings: bool) -> None:
-        for k in node.kids:
-            if isinstance(k, str):
+        linked = 0
+
+    for top in tops:
+        # A frame: children left, element, the block that its text belongs to, headings only, text held before.
+        frames = [(iter(top.kids), top, top, False, 0)]
+        while frames:
+            kids, node, block, headings, before = frames[-1]
+            k = next(kids, None)
+            if k is None:
+                frames.pop()
+                if node.tag in _BLOCK or not frames:
+                    flush(node)
+                elif node.tag == "a":
+                    linked += sum(map(len, held)) - before
+            elif isinstance(k, str):
                 if not headings:
                     held.append(k)
             elif k.tag in ("br", "hr"):
                 held.append(" ")
-            elif not _noise(k, inside):
+            elif _noise(k, inside):
+                if k.tag in _BLOCK:
+                    flush(block)
+            else:
                 only = (headings or k.tag == "header") and k.tag not in _HEADINGS
                 if k.tag in _BLOCK:
-                    flush(at)
-                    visit(k, place.get(id(k), -1), only)
-                    flush(place.get(id(k), -1))
-                else:
-                    before = sum(map(len, held)) if k.tag == "a" else 0
-                    visit(k, at, only)
-                    if k.tag == "a":
-                        linked[0] += sum(map(len, held)) - before
-            elif k.tag in _BLOCK:
-                flush(at)
-
-    visit(top, place.get(id(top), -1), False)
-    flush(place.get(id(top), -1))
-    return [(at, text) for at, text, menu in out if not menu]
+                    flush(block)
+                frames.append((iter(k.kids), k, k if k.tag in _BLOCK else block, only, sum(map(len, held)) if k.tag == "a" else 0))
+    return out
 
 
 _BLOCKS = "array<struct<place:int,hash:long,text:string>>"
@@ -270,6 +366,7 @@ def extract(
         rows = rows.join(references, "host", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("shapes", _SHAPES, _MATCHED)
         trees: dict[str, tuple[Node, dict[int, int]]] = {}
         kind = pa.list_(pa.struct([("place", pa.int32()), ("hash", pa.int64()), ("text", pa.string())]))
         for batch in batches:

@@ -80,3 +80,76 @@ def test_template_goes_and_copies_stay(spark):
         assert texts[104] == "One\n\nsame long text of an article that is mirrored"
         assert (texts[200], texts[201], texts[202]) == ("x", "", "") and all(r["n_chars"] == len(r["text"]) for r in got)
     assert html.extract(table.limit(0)).count() == 0
+
+
+def extracted(page, reference=None):
+    tree, place = html.parse(page), {}
+    if reference is not None:
+        other = html.parse(reference)
+        place = html.places(tree, other, html.numbered(other))
+    return [text for _, text in html.blocks(tree, place)]
+
+
+def test_nesting_and_rows_of_any_number():
+    deep = lambda n, tag: "<body>" + f"<{tag}>" * n + "deep" + f"</{tag}>" * n + "</body>"
+    for tag in ("div", "b"):
+        assert extracted(deep(10_000, tag), deep(9_000, tag)) == ["deep"]
+    rows = lambda k: "<article><table>" + "".join("<tr>" + f"<td>{i}</td>" * (1 + i * k % 3) + "</tr>" for i in range(10_000)) + "</table></article>"
+    assert len(extracted(rows(1), rows(2))) == sum(1 + i % 3 for i in range(10_000))
+
+
+def test_tree_matching_equals_plain_recursion():
+    import random
+
+    rng = random.Random(3)
+
+    def tree(depth):
+        tag = rng.choice(["p", "b", "i"])
+        return f"<{tag}>" + "".join(tree(depth - 1) for _ in range(rng.randrange(4) if depth else 0)) + f"</{tag}>"
+
+    def plain(a, b):
+        if a.tag != b.tag:
+            return 0
+        x, y = a.elements(), b.elements()
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, p in enumerate(x):
+            for j, q in enumerate(y):
+                best[i + 1][j + 1] = max(best[i][j] + plain(p, q), best[i][j + 1], best[i + 1][j])
+        return best[-1][-1] + 1
+
+    for cells in (1_000_000, 4):
+        html._CELLS = cells
+        html._MATCHED.clear()
+        for _ in range(60):
+            a, b = html.parse("<div>" + tree(4) + tree(3) + "</div>"), html.parse("<div>" + tree(4) + tree(3) + "</div>")
+            assert html._match(a, b)[0] == plain(a, b) == len(html.places(a, b, html.numbered(b)))
+    html._CELLS = 1_000_000
+
+
+def test_names_are_judged_whole():
+    assert extracted("<body class='has-sidebar'><div class='content no-comments'><p>one</p></div></body>") == ["one"]
+    assert extracted("<article class='post comments-open'><p>one</p><div class='related-work'>two</div><div class='comments-list'>no</div></article>") == ["one", "two"]
+    assert extracted("<form><article><p>one</p></article></form>") == ["one"]
+    assert extracted("<div class='sidebar'>no</div><p><a href=x>all link</a></p><ul><li><a>menu</a></li></ul>") == ["all link"]
+    assert extracted("<article><p>a</p></article><article>b</article><div class='site-footer'>no</div>") == ["a", "b"]
+    assert extracted("<div class='cookie-notice-wrapper'>no</div><div class=ad>no</div><p>yes</p>") == ["yes"]
+
+
+def test_common_direction_and_dense_groups_keep_their_links(spark):
+    rng = np.random.default_rng(4)
+    common = rng.standard_normal(24)
+    x = rng.standard_normal((900, 24)) * 0.8 + 1.2 * common / np.linalg.norm(common) * 5
+    x[:250] = x[0] + rng.standard_normal((250, 24)) * 0.15
+    x[300:500] = x[500:700] + rng.standard_normal((200, 24)) * 0.2
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(9000, x[0].tolist()), (9001, None), (9002, [0.0] * 24)], "vec_id long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = int(((u @ u.T >= 0.95).sum() - len(u)) / 2)
+    for settings in (neardup.Settings(leaf=128), neardup.Settings(leaf=64, sample_rows=200, broadcast_bytes=50_000)):
+        got = {r["vec_id"]: r for r in neardup.cluster(table, settings).collect()}
+        assert len(got) == 903 and got[9001]["n_links"] == got[9002]["n_links"] == 0
+        degree = (u @ u.T >= 0.95).sum(axis=1) - 1
+        copies = (u @ u[0] >= 0.95).astype(int)
+        assert all(got[i]["n_links"] <= degree[i] + copies[i] for i in range(900))
+        found = (sum(got[i]["n_links"] for i in range(900)) - copies.sum()) / 2
+        assert found >= 0.9 * want
+    assert neardup.cluster(table.limit(0)).count() == 0
