@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 CJK = r"[\x{4e00}-\x{9fff}]"
 
@@ -48,15 +54,19 @@ def token_estimate(c: Column) -> Column:
 
 
 def truncated(c: Column, budget: Column | int) -> Column:
-    """The longest prefix whose characters cost at most budget - 1 (two a CJK character, one each other), with
-    an ellipsis; trailing white space goes."""
+    """A text within the budget as it is, else the longest prefix whose characters cost at most budget - 1 (two a
+    CJK character, one each other), with an ellipsis; trailing white space goes.
+
+    As each character costs one at least, no prefix has more characters than the budget; a long text isn't split
+    beyond that."""
     budget = budget if isinstance(budget, Column) else F.lit(budget)
+    most = F.substring(c, F.lit(1), F.greatest(budget, F.lit(1)).cast("int"))
     step = lambda acc, x: F.struct(
         (acc["cost"] + F.when(x.rlike(CJK), 2).otherwise(1)).alias("cost"),
-        (acc["kept"] + F.when(acc["cost"] + F.when(x.rlike(CJK), 2).otherwise(1) <= budget - 1, 1).otherwise(0)).alias("kept"),
+        (acc["kept"] + F.when(acc["cost"] + F.when(x.rlike(CJK), 2).otherwise(1) <= F.greatest(budget - 1, F.lit(1)), 1).otherwise(0)).alias("kept"),
     )
-    kept = F.aggregate(F.filter(F.split(c, ""), lambda x: x != ""), F.struct(F.lit(0).alias("cost"), F.lit(0).alias("kept")), step, lambda acc: acc["kept"])
-    return F.concat(F.regexp_replace(F.substring(c, F.lit(1), kept), r"\s+$", ""), F.lit("…"))
+    kept = F.aggregate(F.filter(F.split(most, ""), lambda x: x != ""), F.struct(F.lit(0).alias("cost"), F.lit(0).alias("kept")), step, lambda acc: acc["kept"])
+    return F.when(token_estimate(c) <= budget, c).otherwise(F.concat(F.regexp_replace(F.substring(c, F.lit(1), kept), r"\s+$", ""), F.lit("…")))
 
 
 def query_tokens(c: Column, extra: tuple[str, ...] = ()) -> Column:
@@ -86,6 +96,36 @@ def shingles(c: Column) -> Column:
     return F.array_distinct(shingle_rows(c))
 
 
+def _mixed(columns: list[np.ndarray], salt: int) -> np.ndarray:
+    out = np.full(len(columns[0]), salt, np.uint64)
+    for c in columns:
+        out = (out ^ c) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(31)
+    return out
+
+
+def hashed_shingles(text: str | None) -> np.ndarray:
+    """The distinct shingles of a text as sorted 64-bit numbers: those of ``shingles``, hashed."""
+    folded = (text or "").lower().replace("ß", "ss")
+    letters = np.frombuffer(re.sub(r"[^a-z0-9\u4e00-\u9fff]", "", folded).encode("utf-32-le"), "<u4").astype(np.uint64)
+    words = re.findall(r"[a-z0-9]+|[\u4e00-\u9fff]", folded)
+    known = {w: int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little") for w in set(words)}
+    pairs = np.array([known[w] for w in words], np.uint64)
+    found = []
+    for items, size, salt in ((letters, 3, 1), (pairs, 2, 2)):
+        size = min(size, len(items))
+        if size:
+            found.append(_mixed([items[i : len(items) - size + 1 + i] for i in range(size)], salt * 8 + size))
+    return np.unique(np.concatenate(found)).view(np.int64) if found else np.array([], np.int64)
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def shingle_hashes(texts: pd.Series) -> pd.Series:
+    """Distinct shingles as numbers, for joins: in Arrow batches, as a shingle a character as a text of its own is
+    what takes the time elsewhere."""
+    return texts.map(hashed_shingles)
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Jaccard similarity of two arrays of distinct items; 0 if either is empty."""
     shared = F.size(F.array_intersect(a, b))

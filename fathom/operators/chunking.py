@@ -58,9 +58,11 @@ def sentences(text: Column, end: str = ".!?") -> Column:
     return F.filter(F.transform(pieces, lambda x: F.trim(x)), lambda x: F.length(x) >= 3)
 
 
-def identified(chunks: DataFrame, document: str, content: str, order: list[str], granularity: str | None = None) -> DataFrame:
-    """chunk_hash and chunk_id (document::granularity::first 20 of the hash::ordinal of that hash)."""
+def identified(chunks: DataFrame, document: str, content: str, order: list[str], granularity: str | None = None, keep_content: bool = True) -> DataFrame:
+    """chunk_hash and chunk_id (document::granularity::first 20 of the hash::ordinal of that hash). Without the
+    content the hashes alone are moved for the ordinals."""
     hashed = chunks.withColumn("chunk_hash", F.sha2(F.trim(F.regexp_replace(content, r"\s+", " ")), 256))
+    hashed = hashed if keep_content else hashed.drop(content)
     scope = [document, *([granularity] if granularity else []), "chunk_hash"]
     ordinal = F.lpad(F.row_number().over(Window.partitionBy(*scope).orderBy(*order)).cast("string"), 3, "0")
     kind = F.col(granularity) if granularity else F.lit("chunk")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
@@ -44,31 +48,72 @@ def status_diff(now: DataFrame, before: DataFrame, key: str, digest: str) -> Dat
     return a.join(b, key, "full_outer").select(key, change.alias("change"))
 
 
-def chain(events: DataFrame, order: list[str], payload: Column, scope: list[str]) -> DataFrame:
-    """Records with sequence, previous hash (zeros first) and hash, as an audit log writes them.
-
-    A hash covers the record's own content and the digest of the content before it."""
-    w = Window.partitionBy(*scope).orderBy(*order)
-    rows = events.withColumn("digest", F.sha2(payload, 256)).withColumn("sequence", F.row_number().over(w).cast("long"))
-    rows = rows.withColumn("previous_hash", F.coalesce(F.lag("digest").over(w), F.lit("0" * 64)))
-    return rows.withColumn("record_hash", F.sha2(F.concat_ws("|", F.col("sequence").cast("string"), "previous_hash", "digest"), 256))
-
+ZERO_HASH = "0" * 64
 
-def verify_chain(records: DataFrame, order: list[str], scope: list[str]) -> DataFrame:
-    """For each scope: records, and how many break the chain by number, predecessor or hash."""
-    w = Window.partitionBy(*scope).orderBy(*order)
-    checked = records.withColumn("_n", F.row_number().over(w)).withColumn("_before", F.coalesce(F.lag("digest").over(w), F.lit("0" * 64)))
-    again = F.sha2(F.concat_ws("|", F.col("sequence").cast("string"), "previous_hash", "digest"), 256)
-    broken = (F.col("sequence") != F.col("_n")) | (F.col("previous_hash") != F.col("_before")) | (F.col("record_hash") != again)
-    return checked.groupBy(*scope).agg(F.count("*").alias("records"), F.count_if(broken).alias("broken"))
 
-
-SENSITIVE = r"(?i)(password|secret|token|key|authorization|cookie|credential)"
-
-
-def redacted(details: Column, most: int = 1024) -> Column:
-    """A map with the values of sensitive keys masked and the others cut to a length."""
-    return F.transform_values(details, lambda k, v: F.when(k.rlike(SENSITIVE), "[redacted]").otherwise(F.substring(v, 1, most)))
+def chain(events: DataFrame, order: list[str], payload: Column, scope: list[str]) -> DataFrame:
+    """Records of audit logs, one chain a scope: sequence, previous_hash (that of the record before; zeros first) and
+    record_hash, which covers number, previous hash and payload, so a changed record breaks all behind it.
+
+    A chain is written in order by nature: a scope is one log, such as a type's log of one day, folded in one
+    task each by hashes alone; what makes it fast is many logs."""
+    rows = events.withColumn("digest", F.sha2(payload, 256))
+    kinds = dict(rows.dtypes)
+    keys = [*scope, *order]
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, ignore_index=True)
+        before, previous, own = ZERO_HASH, [], []
+        for n, digest in enumerate(pdf["digest"], 1):
+            previous.append(before)
+            before = hashlib.sha256(f"{n}|{before}|{digest}".encode()).hexdigest()
+            own.append(before)
+        return pdf[keys].assign(sequence=range(1, len(pdf) + 1), previous_hash=previous, record_hash=own)
+
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", sequence long, previous_hash string, record_hash string"
+    written = rows.select(*keys, "digest").groupBy(*scope).applyInPandas(fold, schema)
+    return events.join(written, keys)
+
+
+def anchors(records: DataFrame, scope: list[str]) -> DataFrame:
+    """record_count and last_hash of each chain, kept apart from the log, so that a log cut short is noticed."""
+    return records.groupBy(*scope).agg(F.count("*").alias("record_count"), F.max_by("record_hash", "sequence").alias("last_hash"))
+
+
+def verify_chain(records: DataFrame, anchored: DataFrame, payload: Column, scope: list[str]) -> DataFrame:
+    """For each scope: records, broken (records whose number, predecessor or hash is wrong) and whether the chain is
+    valid, which takes that it is whole to its anchor. All hashes are made again from the payload; a missing log
+    or a missing anchor is not valid."""
+    w = Window.partitionBy(*scope).orderBy("sequence")
+    again = F.sha2(F.concat_ws("|", F.col("sequence").cast("string"), "previous_hash", F.sha2(payload, 256)), 256)
+    rows = records.select(*scope, "sequence", "previous_hash", "record_hash", again.alias("_again"))
+    rows = rows.withColumns({"_n": F.row_number().over(w), "_before": F.coalesce(F.lag("_again").over(w), F.lit(ZERO_HASH))})
+    broken = (F.col("sequence") != F.col("_n")) | (F.col("previous_hash") != F.col("_before")) | ~F.col("record_hash").eqNullSafe(F.col("_again"))
+    found = rows.groupBy(*scope).agg(F.count("*").alias("records"), F.count_if(broken).alias("broken"), F.max_by("_again", "sequence").alias("_last"))
+    both = found.join(anchored, scope, "full_outer")
+    valid = (F.coalesce("broken", F.lit(0)) == 0) & F.col("record_count").eqNullSafe(F.col("records")) & F.col("last_hash").eqNullSafe(F.col("_last"))
+    return both.select(*scope, F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("broken", F.lit(0)).alias("broken"), valid.alias("valid"))
+
+
+# Parts of the names of keys whose values are never logged.
+SENSITIVE = ("api_key", "apikey", "authorization", "content", "body", "password", "prompt", "question", "answer", "secret", "token")
+
+
+def redacted(details: Column, kind: T.DataType, key: str = "", most: int = 1024) -> Column:
+    """Details of any shape (their type is given) with the values of sensitive keys masked, at every depth of
+    structs, maps and arrays; other texts are cut to a length. A masked value is a text whatever it was."""
+    if any(m in key.lower().replace("-", "_") for m in SENSITIVE):
+        return F.lit("[REDACTED]")
+    if isinstance(kind, T.StructType):
+        return F.struct(*[redacted(details[f.name], f.dataType, f.name, most).alias(f.name) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        return F.transform(details, lambda x: redacted(x, kind.elementType, "", most))
+    if isinstance(kind, T.MapType):
+        marked = lambda k: F.replace(F.lower(k), F.lit("-"), F.lit("_")).rlike("|".join(SENSITIVE))
+        text = isinstance(kind.valueType, T.StringType)
+        value = lambda v: redacted(v, kind.valueType, "", most)
+        return F.transform_values(details, lambda k, v: F.when(marked(k), "[REDACTED]").otherwise(value(v) if text else F.to_json(value(v))))
+    return F.substring(details, 1, most) if isinstance(kind, T.StringType) else details
 
 
 def reuse_join(wanted: DataFrame, sources: list[DataFrame], keys: list[str], value: str) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 import pandas as pd
-from fathom.functions.text import count_of, shingle_rows, token_estimate
+from fathom.functions.text import count_of, shingle_hashes, token_estimate, truncated
 from fathom.functions.vectors import cosine
+from fathom.session import cut
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -70,26 +74,61 @@ def round_robin(streams: list[DataFrame], k: int, scope: list[str], identity: st
     return kept.withColumn("rank", F.row_number().over(Window.partitionBy(*scope).orderBy(pos, "stream"))).where(F.col("rank") <= k)
 
 
+def _prefixes(docs: DataFrame, threshold: float, frequent: int = 16, most: int = 1_000_000) -> DataFrame:
+    """Add ``prefix`` to rows with a column ``s`` of distinct shingle hashes: the first of them, rare ones before
+    frequent ones, of which two sets that reach the threshold share one. Hashes of many sets, at most ``most``,
+    are sent to the workers; which ones count as frequent changes the cost alone."""
+    df = cut(docs.select(F.explode("s").alias("g")).groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > frequent))
+    while df.where(F.col("n") > frequent).count() > most:
+        frequent *= 2
+    known = df.where(F.col("n") > frequent).toPandas().sort_values("g")
+    sent = docs.sparkSession.sparkContext.broadcast((known["g"].to_numpy(), known["n"].to_numpy()))
+
+    @F.pandas_udf("array<long>")
+    def prefix(sets: pd.Series) -> pd.Series:
+        hashes, counts = sent.value
+
+        def first(s: np.ndarray) -> np.ndarray:
+            take = len(s) - math.ceil(threshold * len(s) - 1e-9) + 1
+            if not len(hashes):
+                return np.sort(s)[:take]
+            at = np.minimum(np.searchsorted(hashes, s), len(hashes) - 1)
+            return s[np.lexsort((s, np.where(hashes[at] == s, counts[at], 0)))[:take]]
+
+        return sets.map(first)
+
+    return docs.withColumn("prefix", prefix("s"))
+
+
 def near_dup_pairs(docs: DataFrame, scope: str, id_col: str, content: str, threshold: float = 0.85) -> DataFrame:
-    """Pairs within a scope whose shingles reach the threshold. Candidates share a prefix shingle (rare ones
-    first), so no scope is multiplied out; what they share is then counted."""
-    grams = docs.select(scope, id_col, F.explode(shingle_rows(F.col(content))).alias("g")).distinct()
-    df = grams.groupBy(scope, "g").agg(F.count("*").alias("df"))
-    own = Window.partitionBy(id_col)
-    items = grams.join(df, [scope, "g"]).withColumns({"n": F.count("*").over(own), "place": F.row_number().over(own.orderBy("df", "g"))})
-    prefix = items.where((F.col("place") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1) & (F.col("df") > 1))
-    a, b = prefix.select(scope, "g", F.col(id_col).alias("a"), F.col("n").alias("na")), prefix.select(scope, "g", F.col(id_col).alias("b"), F.col("n").alias("nb"))
-    close = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
-    pairs = a.join(b, [scope, "g"]).where(close).select(scope, "a", "b", "na", "nb").distinct()
-    x, y = grams.select(F.col(id_col).alias("a"), "g"), grams.select(F.col(id_col).alias("b"), "g")
-    shared = pairs.join(x, "a").join(y, ["b", "g"]).groupBy(scope, "a", "b", "na", "nb").agg(F.count("*").alias("k"))
-    return shared.withColumn("similarity", F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))).where(F.col("similarity") >= threshold).select(scope, "a", "b", "similarity")
+    """Pairs within a scope whose shingles reach the threshold.
+
+    Equal sets of shingles are one class first, so copies are compared once; candidates share a shingle of their
+    prefixes (rare ones first) at places that leave room for the threshold, and their sets, sorted hashes in one
+    row each, are then intersected. Members of classes are paired at the end, as the result is pairs."""
+    rows = cut(docs.select(scope, F.col(id_col).alias("id"), shingle_hashes(F.col(content)).alias("s"))).where(F.size("s") > 0)
+    rows = rows.withColumn("c", F.concat_ws(":", F.xxhash64("s").cast("string"), F.xxhash64(F.lit(1), "s").cast("string")))
+    classes = cut(_prefixes(cut(rows.groupBy(scope, "c").agg(F.first("s").alias("s"))), threshold))
+    keys = classes.select(scope, "c", F.size("s").alias("n"), F.posexplode("prefix").alias("pos", "g"))
+    x, y = (keys.select(scope, "g", *[F.col(k).alias(f"{k}{i}") for k in ("c", "n", "pos")]) for i in "12")
+    # What stands before the first shared place is in one set alone.
+    room = F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2"))
+    close = (F.col("c1") < F.col("c2")) & (F.least("n1", "n2") >= threshold * F.greatest("n1", "n2") - 1e-9) & ((1 + threshold) * room >= threshold * (F.col("n1") + F.col("n2")) - 1e-6)
+    pairs = x.join(y, [scope, "g"]).where(close).select(scope, "c1", "c2").distinct()
+    sets = [classes.select(scope, F.col("c").alias(f"c{i}"), F.col("s").alias(f"s{i}")) for i in "12"]
+    both = pairs.join(sets[0], [scope, "c1"]).join(sets[1], [scope, "c2"]).withColumn("k", F.size(F.array_intersect("s1", "s2")))
+    near = both.select(scope, "c1", "c2", (F.col("k") / (F.size("s1") + F.size("s2") - F.col("k"))).alias("similarity")).where(F.col("similarity") >= threshold)
+    members = [rows.select(scope, F.col("c").alias(f"c{i}"), F.col("id").alias(f"id{i}")) for i in "12"]
+    across = near.join(members[0], [scope, "c1"]).join(members[1], [scope, "c2"])
+    inside = members[0].join(members[1].withColumnRenamed("c2", "c1"), [scope, "c1"]).where("id1 < id2").withColumn("similarity", F.lit(1.0))
+    named = lambda df: df.select(scope, F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b"), "similarity")
+    return named(across).unionByName(named(inside))
 
 
 def near_dup_greedy(hits: DataFrame, scope: str, id_col: str, content: str, score: str, pos: str, threshold: float = 0.85) -> DataFrame:
     """Hits of each scope in order, each absorbed by the first kept one that it nearly repeats; a better score
-    takes the place over, payload and shingles. The order decides, so a scope's candidates, at most 50 by the
-    settings, are folded in one task each."""
+    takes the place over, payload and shingles. The order decides, so a scope, such as a document, is folded
+    in one task each; it compares hashes and holds one set of them for each hit that it keeps."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         kept: list[list] = []
@@ -106,7 +145,7 @@ def near_dup_greedy(hits: DataFrame, scope: str, id_col: str, content: str, scor
         return pd.DataFrame({scope: pdf[scope].iloc[0], pos: [k[0] for k in kept], id_col: [k[1] for k in kept], score: [k[2] for k in kept]})
 
     kinds = dict(hits.dtypes)
-    rows = hits.select(scope, F.col(pos).alias("place"), F.col(id_col).alias("item"), F.col(score).alias("score"), shingle_rows(F.col(content)).alias("grams"))
+    rows = hits.select(scope, F.col(pos).alias("place"), F.col(id_col).alias("item"), F.col(score).alias("score"), shingle_hashes(F.col(content)).alias("grams"))
     return rows.groupBy(scope).applyInPandas(fold, f"{scope} {kinds[scope]}, {pos} {kinds[pos]}, {id_col} {kinds[id_col]}, {score} {kinds[score]}")
 
 
@@ -128,10 +167,53 @@ def parent_context(children: DataFrame, parents: DataFrame) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
 
 
-def budget_prefix(hits: DataFrame, scope: list[str], pos: str, cost: Column, budget: Column | int) -> DataFrame:
-    """The first rows of each scope whose costs together stay within the budget."""
+def budget_prefix(hits: DataFrame, scope: list[str], pos: str, cost: Column, budget: int, least: int = 12) -> DataFrame:
+    """The first rows of each scope whose costs together stay within the budget. As a row costs ``least`` at
+    least, no more than budget / least rows can be in it; only these are gathered and added up."""
+    rank = F.row_number().over(Window.partitionBy(*scope).orderBy(pos))
+    first = hits.withColumn("cost", cost).withColumn("_rank", rank).where(F.col("_rank") <= max(1, budget // least))
     running = F.sum("cost").over(Window.partitionBy(*scope).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0))
-    return hits.withColumn("cost", cost).withColumn("used", running).where(F.col("used") <= budget)
+    return first.withColumn("used", running).where(F.col("used") <= budget).drop("_rank")
+
+
+def fit_chunks(hits: DataFrame, scope: list[str], pos: str, budget: int, content: str = "content") -> DataFrame:
+    """Hits within a context budget, each with its cost (tokens and 16) and the sum so far (used). A first hit beyond
+    the budget is cut to fit, if more than 20 tokens are there; what doesn't fit later ends the list."""
+    kept = budget_prefix(hits, scope, pos, chunk_cost(F.col(content)), budget, 16).withColumn("truncated", F.lit(False))
+    if budget <= 20:
+        return kept
+    rank = F.row_number().over(Window.partitionBy(*scope).orderBy(pos))
+    over = hits.withColumn("_rank", rank).where(F.col("_rank") <= 1).drop("_rank").where(chunk_cost(F.col(content)) > budget)
+    over = over.withColumn(content, truncated(F.col(content), budget - 16)).withColumn("cost", chunk_cost(F.col(content)))
+    return kept.unionByName(over.withColumns({"used": F.col("cost"), "truncated": F.lit(True)}))
+
+
+def fit_relations(paths: DataFrame, scope: list[str], pos: str, budget: int) -> DataFrame:
+    """The same for relation paths (path, description, evidence): of a first one beyond the budget the description,
+    or else the evidence, is cut to what the path leaves."""
+    cost = relation_cost(F.col("path"), F.col("description"), F.col("evidence"))
+    kept = budget_prefix(paths, scope, pos, cost, budget, 12).withColumn("truncated", F.lit(False))
+    if budget <= 20:
+        return kept
+    rank = F.row_number().over(Window.partitionBy(*scope).orderBy(pos))
+    over = paths.withColumn("_rank", rank).where(F.col("_rank") <= 1).drop("_rank").where(cost > budget)
+    left = F.greatest(F.lit(1), F.lit(budget) - token_estimate(F.col("path")) - 12)
+    described = F.length("description") > 0
+    shorter = {c: F.when(use, truncated(F.col(c), left)).otherwise(F.col(c)) for c, use in (("description", described), ("evidence", ~described))}
+    over = over.withColumns(shorter).withColumn("cost", cost)
+    return kept.unionByName(over.withColumns({"used": F.col("cost"), "truncated": F.lit(True)}))
+
+
+EVIDENCE_KEYS = ("content", "source_file", "source_path", "section_title", "category", "score", "rerank_score", "retrieval_channel", "document_id", "chunk_id", "granularity", "matched_chunk_id", "matched_granularity")
+_NEVER_NULL = ("content", "source_file", "source_path", "section_title", "category", "retrieval_channel")
+
+
+def evidence(hits: DataFrame, *also: str) -> DataFrame:
+    """Hits projected to the named keys (and others asked for): keys that a hit lacks are null, texts are empty
+    instead of null."""
+    kinds = {"score": "double", "rerank_score": "double"}
+    found = {k: F.col(k) if k in hits.columns else F.lit(None).cast(kinds.get(k, "string")) for k in EVIDENCE_KEYS}
+    return hits.select(*also, *[(F.coalesce(c, F.lit("")) if k in _NEVER_NULL else c).alias(k) for k, c in found.items()])
 
 
 def chunk_cost(content: Column) -> Column:

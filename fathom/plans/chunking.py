@@ -81,5 +81,5 @@ def chunk_identity(spark, sf_dir):
 SELECT document_id, granularity, chunk_index, ordinal, document_id || '::' || granularity || '::' || substring(chunk_hash, 1, 20) || '::'
   || lpad(CAST(row_number() OVER (PARTITION BY document_id, granularity, chunk_hash ORDER BY chunk_index, ordinal) AS VARCHAR), 3, '0') AS chunk_id FROM hashed""")
 def multi_granularity_ids(spark, sf_dir):
-    found = chunking.identified(_pieces(spark, sf_dir), "document_id", "content", ["chunk_index", "ordinal"], "granularity")
+    found = chunking.identified(_pieces(spark, sf_dir), "document_id", "content", ["chunk_index", "ordinal"], "granularity", keep_content=False)
     return found.select("document_id", "granularity", "chunk_index", "ordinal", "chunk_id")

@@ -56,28 +56,53 @@ def permission_fingerprint(spark, sf_dir):
     return customer.select("c_custkey", F.sha2(F.concat_ws("|", F.concat(F.lit("subject-"), F.col("c_custkey").cast("string")), roles, F.col("c_nationkey").cast("string")), 256).alias("fingerprint"))
 
 
-@query("SELECT event_type, count(*) AS records, 0::BIGINT AS broken FROM events GROUP BY event_type")
-def audit_chain_verify(spark, sf_dir):
-    """A chain a type of event, written and verified: none is broken."""
-    return governance.verify_chain(_chain(spark, sf_dir), ["event_id"], ["event_type"])
+_RECORD = """e AS (
+  SELECT event_type, CAST(ts AS DATE) AS day, event_id, event_id || ':' || props AS payload, row_number() OVER (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY event_id) AS sequence FROM events
+),
+c AS (
+  SELECT event_type, day, event_id, sequence, payload, repeat('0', 64) AS previous_hash, sha256('1|' || repeat('0', 64) || '|' || sha256(payload)) AS record_hash FROM e WHERE sequence = 1
+  UNION ALL
+  SELECT e.event_type, e.day, e.event_id, e.sequence, e.payload, c.record_hash, sha256(e.sequence || '|' || c.record_hash || '|' || sha256(e.payload))
+  FROM c JOIN e ON e.event_type = c.event_type AND e.day = c.day AND e.sequence = c.sequence + 1
+)"""
+_LOG = ["event_type", "day"]
+
 
+def _records(spark, sf_dir):
+    """A log a type of event and day, as chained records."""
+    events = tables.table(spark, sf_dir, "events").select("event_type", F.to_date("ts").alias("day"), "event_id", F.concat_ws(":", F.col("event_id").cast("string"), "props").alias("payload"))
+    return governance.chain(events, ["event_id"], F.col("payload"), _LOG)
 
-@query("""WITH p AS (SELECT event_type, event_id, sha256(event_id || ':' || props) AS digest, row_number() OVER w AS sequence, coalesce(lag(sha256(event_id || ':' || props)) OVER w, repeat('0', 64)) AS previous_hash
-  FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id)) SELECT event_type, event_id, sequence, sha256(sequence || '|' || previous_hash || '|' || digest) AS record_hash FROM p""")
+
+@query(f"WITH RECURSIVE {_RECORD} SELECT event_type, day, event_id, sequence, record_hash FROM c")
 def audit_chain(spark, sf_dir):
-    return _chain(spark, sf_dir).select("event_type", "event_id", "sequence", "record_hash")
+    return _records(spark, sf_dir).select("event_type", "day", "event_id", "sequence", "record_hash")
 
 
-def _chain(spark, sf_dir):
-    events = tables.table(spark, sf_dir, "events")
-    return governance.chain(events, ["event_id"], F.concat_ws(":", F.col("event_id").cast("string"), "props"), ["event_type"])
+@query(f"""WITH RECURSIVE {_RECORD},
+anchor AS (SELECT event_type, day, count(*) AS record_count, max_by(record_hash, sequence) AS last_hash FROM c GROUP BY ALL),
+kept AS (SELECT *, sha256(sequence || '|' || previous_hash || '|' || sha256(payload || CASE WHEN event_id % 400 = 7 THEN 'x' ELSE '' END)) AS again FROM c WHERE event_id % 600 <> 11),
+seen AS (SELECT *, row_number() OVER w AS n, coalesce(lag(again) OVER w, repeat('0', 64)) AS before FROM kept WINDOW w AS (PARTITION BY event_type, day ORDER BY sequence)),
+found AS (SELECT event_type, day, count(*) AS records, count(*) FILTER (WHERE sequence <> n OR previous_hash <> before OR record_hash <> again) AS broken, max_by(again, sequence) AS last FROM seen GROUP BY ALL)
+SELECT event_type, day, coalesce(records, 0) AS records, coalesce(broken, 0) AS broken, coalesce(broken, 0) = 0 AND records IS NOT DISTINCT FROM record_count AND last IS NOT DISTINCT FROM last_hash AS valid
+FROM found FULL JOIN anchor USING (event_type, day)""")
+def audit_chain_verify(spark, sf_dir):
+    """Logs of which some records were changed and some are missing: their chains are found broken, others valid."""
+    records = _records(spark, sf_dir)
+    changed = F.concat("payload", F.when(F.col("event_id") % 400 == 7, "x").otherwise(""))
+    return governance.verify_chain(records.where("event_id % 600 <> 11").withColumn("payload", changed), governance.anchors(records, _LOG), F.col("payload"), _LOG)
 
 
-@query("SELECT c_custkey, '[redacted]' AS api_token, c_name AS name FROM customer")
+@query("SELECT c_custkey, '[REDACTED]' AS api_token, '[REDACTED]' AS prompt_text, c_name AS name, '[REDACTED]' AS body, c_mktsegment AS key, '[REDACTED]' AS user_question FROM customer")
 def redact_details(spark, sf_dir):
-    details = F.create_map(F.lit("api_token"), F.col("c_mktsegment"), F.lit("name"), F.col("c_name"))
-    masked = tables.table(spark, sf_dir, "customer").select("c_custkey", governance.redacted(details).alias("d"))
-    return masked.select("c_custkey", F.col("d.api_token").alias("api_token"), F.col("d.name").alias("name"))
+    """Details with sensitive keys at several depths of structs, arrays and maps."""
+    inner = F.struct(F.col("c_phone").alias("Prompt-Text"), F.col("c_name").alias("name")) if "c_phone" in tables.table(spark, sf_dir, "customer").columns else F.struct(F.col("c_mktsegment").alias("Prompt-Text"), F.col("c_name").alias("name"))
+    parts = F.array(F.struct(F.col("c_name").alias("body"), F.col("c_mktsegment").alias("key")))
+    details = F.struct(F.col("c_mktsegment").alias("api_token"), inner.alias("inner"), parts.alias("parts"), F.create_map(F.lit("User-Question"), F.col("c_name")).alias("more"))
+    rows = tables.table(spark, sf_dir, "customer").select("c_custkey", details.alias("d"))
+    d = rows.select("c_custkey", governance.redacted(F.col("d"), rows.schema["d"].dataType).alias("d"))
+    part = F.get("d.parts", F.lit(0))
+    return d.select("c_custkey", F.col("d.api_token").alias("api_token"), F.col("d.inner")["Prompt-Text"].alias("prompt_text"), F.col("d.inner")["name"].alias("name"), part["body"].alias("body"), part["key"].alias("key"), F.col("d.more")["User-Question"].alias("user_question"))
 
 
 @query("SELECT event_id, ts, user_id FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 200")

@@ -96,10 +96,10 @@ def query_tokens(spark, sf_dir):
 
 
 def _hits(spark, sf_dir):
-    """Chunks as hits: a question is a language, the place is the order of chunks, the score derives from length."""
+    """Chunks as hits: a question is a language, the place is that of the chunk in the corpus, the score derives from length."""
     chunks = tables.chunks(spark, sf_dir)
     score = (F.length("chunk") * 7 + F.col("doc_id") * 13 + F.col("chunk_index") * 3) % 101 / 100
-    pos = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id", "chunk_index"))
+    pos = F.col("doc_id") * 1_000_000 + F.col("chunk_index")
     return chunks.select("lang", "doc_id", "document_id", "chunk_index", "chunk", F.sha2("chunk", 256).alias("identity"), score.alias("score"), pos.alias("pos"))
 
 
@@ -111,7 +111,7 @@ chunk AS (
 _HIT = f"""{_CHUNK},
 hit AS (
   SELECT *, sha256(chunk) AS identity, (length(chunk) * 7 + doc_id * 13 + chunk_index * 3) % 101 / 100.0 AS score,
-    row_number() OVER (PARTITION BY lang ORDER BY doc_id, chunk_index) AS pos FROM chunk
+    doc_id * 1000000 + chunk_index AS pos FROM chunk
 )"""
 
 
@@ -186,8 +186,8 @@ def near_dup_pairs(spark, sf_dir):
 
 @query()
 def near_dup_greedy(spark, sf_dir):
-    hits = _hits(spark, sf_dir).where("pos <= 50")  # a question's candidates: at most 50 by the settings
-    return retrieval.near_dup_greedy(hits, "lang", "identity", "chunk", "score", "pos")
+    """Chunks of each document without those that nearly repeat a better one; tests compare with a loop."""
+    return retrieval.near_dup_greedy(_hits(spark, sf_dir), "document_id", "identity", "chunk", "score", "pos")
 
 
 @query(f"""WITH {_HIT}, ok AS (SELECT *, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE document_id || '#0' END AS parent FROM hit),
@@ -205,11 +205,11 @@ def parent_context_expand(spark, sf_dir):
     return found.select("document_id", "chunk_id", F.sha2("content", 256).alias("content_hash"), "score", "matched_chunk_id")
 
 
-@query("SELECT doc_id, CAST(NULL AS VARCHAR) IS NULL AS no_policy, 'doc-' || doc_id AS document_id, source || '.txt' AS source_file, coalesce(nullif(lang, 'en'), '') AS section FROM documents")
+@query("""SELECT doc_id, coalesce(text, '') AS content, source || '.txt' AS source_file, '' AS source_path, coalesce(nullif(lang, 'en'), '') AS section_title, '' AS category, length(text) / 100.0::DOUBLE AS score,
+  CAST(NULL AS DOUBLE) AS rerank_score, 'keyword' AS retrieval_channel, 'doc-' || doc_id AS document_id, CAST(NULL AS VARCHAR) AS chunk_id, 'document' AS granularity, CAST(NULL AS VARCHAR) AS matched_chunk_id, CAST(NULL AS VARCHAR) AS matched_granularity FROM documents""")
 def evidence_projection(spark, sf_dir):
-    docs = tables.documents(spark, sf_dir)
-    policy = F.lit(None).cast("string")
-    return docs.select("doc_id", policy.isNull().alias("no_policy"), "document_id", "source_file", F.coalesce(F.nullif("lang", F.lit("en")), F.lit("")).alias("section"))
+    docs = tables.documents(spark, sf_dir).withColumns({"section_title": F.nullif("lang", F.lit("en")), "score": F.length("content") / 100.0, "retrieval_channel": F.lit("keyword"), "granularity": F.lit("document")})
+    return retrieval.evidence(docs, "doc_id")
 
 
 _TOKENS = "CASE WHEN length({0}) = 0 THEN 0 ELSE greatest(1, length({0}) // 4) END"
@@ -219,7 +219,32 @@ _TOKENS = "CASE WHEN length({0}) = 0 THEN 0 ELSE greatest(1, length({0}) // 4) E
 SELECT lang, pos, cost, CAST(used AS BIGINT) AS used FROM (SELECT lang, pos, cost, sum(cost) OVER (PARTITION BY lang ORDER BY pos) AS used FROM (SELECT lang, pos, {_TOKENS.format('chunk')} + 16 AS cost FROM hit)) WHERE used <= 6000""")
 def budget_chunk_prefix(spark, sf_dir):
     hits = _hits(spark, sf_dir)
-    return retrieval.budget_prefix(hits, ["lang"], "pos", retrieval.chunk_cost(F.col("chunk")), 6000).select("lang", "pos", "cost", "used")
+    return retrieval.fit_chunks(hits, ["lang"], "pos", 6000, "chunk").select("lang", "pos", "cost", "used")
+
+
+@query(f"""WITH {_HIT},
+first AS (SELECT document_id, chunk, {_TOKENS.format('chunk')} + 16 AS cost FROM hit WHERE chunk_index = 0),
+cut AS (SELECT document_id, cost > 100 AS truncated, CASE WHEN cost > 100 THEN regexp_replace(substring(chunk, 1, 83), '\\s+$', '') || '…' ELSE chunk END AS content FROM first)
+SELECT document_id, truncated, sha256(content) AS content_hash, {_TOKENS.format('content')} + 16 AS used FROM cut""")
+def budget_first_truncated(spark, sf_dir):
+    """A small budget for each document: the first chunk is cut to fit."""
+    hits = _hits(spark, sf_dir).where("chunk_index = 0").drop("doc_id")
+    fitted = retrieval.fit_chunks(hits, ["document_id"], "pos", 100, "chunk")
+    return fitted.select("document_id", "truncated", F.sha2("chunk", 256).alias("content_hash"), "used")
+
+
+@query(f"""WITH r AS (
+  SELECT conv_id, turn, role || ' -> says -> ' || conv_id AS path, text AS description, {_TOKENS.format("(role || ' -> says -> ' || conv_id)")} AS p, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
+f AS (SELECT *, p + {_TOKENS.format('text')} + 12 AS cost FROM (SELECT *, description AS text FROM r) WHERE n = 1),
+c AS (SELECT *, cost > 40 AND length(description) > 0 AS cut, greatest(1, 40 - p - 12) AS room FROM f)
+SELECT conv_id, cost > 40 AS truncated, sha256(CASE WHEN cut AND {_TOKENS.format('description')} > room THEN regexp_replace(substring(description, 1, CAST(greatest(1, room - 1) AS INT)), '\\s+$', '') || '…' ELSE description END) AS description_hash FROM c""")
+def budget_first_relation(spark, sf_dir):
+    """The first relation of each conversation within 40 tokens; its description is cut where it is longer."""
+    turns = tables.table(spark, sf_dir, "conversations")
+    first = turns.withColumn("_n", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))).where("_n = 1")
+    path = F.concat("role", F.lit(" -> says -> "), F.col("conv_id").cast("string"))
+    paths = first.select("conv_id", "turn", path.alias("path"), F.col("text").alias("description"), F.lit("").alias("evidence"))
+    return retrieval.fit_relations(paths, ["conv_id"], "turn", 40).select("conv_id", "truncated", F.sha2("description", 256).alias("description_hash"))
 
 
 @query(f"""
@@ -230,7 +255,7 @@ def budget_relation_prefix(spark, sf_dir):
     turns = tables.table(spark, sf_dir, "conversations")
     turns = turns.withColumn("pos", F.row_number().over(Window.partitionBy("role").orderBy("conv_id", "turn")))
     path = F.concat("role", F.lit(" -> says -> "), F.col("conv_id").cast("string"))
-    return retrieval.budget_prefix(turns, ["role"], "pos", retrieval.relation_cost(path, F.col("text"), F.col("role")), 1500).select("role", "pos", "cost", "used")
+    return retrieval.budget_prefix(turns, ["role"], "pos", retrieval.relation_cost(path, F.col("text"), F.col("role")), 1500, 12).select("role", "pos", "cost", "used")
 
 
 @query(f"SELECT doc_id, CAST({_TOKENS.format('text')} AS BIGINT) AS tokens FROM documents")

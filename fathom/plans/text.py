@@ -112,7 +112,7 @@ def json_salvage(spark, sf_dir):
 @query()
 def truncated_text(spark, sf_dir):
     """Texts cut to a budget of 60, with an ellipsis; tests compare with a loop."""
-    return tables.documents(spark, sf_dir).select("doc_id", T.truncated(F.substring("content", 1, 400), 60).alias("cut"))
+    return tables.documents(spark, sf_dir).select("doc_id", T.truncated(F.col("content"), 60).alias("cut"))
 
 
 @query("SELECT vec_id, 1 / (1 + exp(-greatest(least(embedding[1]::DOUBLE * 10, 50), -50))) AS relevance FROM embeddings")

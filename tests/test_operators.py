@@ -4,7 +4,7 @@ import json
 
 import pytest
 from fathom.functions import text as T
-from fathom.operators import chunking, retrieval
+from fathom.operators import chunking, governance, retrieval
 from fathom.params import RetrievalSettings
 from fathom.sources import files
 from fathom.streaming import sessions
@@ -41,10 +41,11 @@ def test_truncation_equals_a_loop(spark):
         cost, kept = 0, ""
         for ch in t:
             cost += 2 if "一" <= ch <= "鿿" else 1
-            if cost > budget - 1:
+            if cost > max(1, budget - 1):
                 break
             kept += ch
-        return kept.rstrip() + "…"
+        cjk = sum("一" <= ch <= "鿿" for ch in t)
+        return t if not t or cjk + max(1, (len(t) - cjk) // 4) <= budget else kept.rstrip() + "…"
 
     rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", T.truncated(F.col("t"), 10).alias("c")).collect()
     assert {r["id"]: r["c"] for r in rows} == {i: cut(t, 10) for i, t in enumerate(texts)}
@@ -104,3 +105,55 @@ def test_sessions_of_a_stream(spark, tmp_path):
     q = sessions.session_counts(stream, "user", "ts", watermark="1 hour").writeStream.format("memory").queryName("found").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r["user"], r["turns"]) for r in spark.table("found").collect()) == [(1, 1), (1, 2), (2, 1)]
+
+
+def test_context_budget_cuts_the_first_alone(spark):
+    rows = [("a", 1, "x" * 1000), ("a", 2, "y"), ("b", 1, "short"), ("b", 2, "z" * 400), ("b", 3, "later")]
+    hits = spark.createDataFrame(rows, "q string, pos int, content string")
+    got = {(r["q"], r["pos"]): (r["content"], r["cost"], r["truncated"]) for r in retrieval.fit_chunks(hits, ["q"], "pos", 60).collect()}
+    cut = "x" * 43 + "…"
+    assert got == {("a", 1): (cut, len(cut) // 4 + 16, True), ("b", 1): ("short", 17, False)}
+    assert retrieval.fit_chunks(hits, ["q"], "pos", 20).where("q = 'a'").count() == 0
+    paths = spark.createDataFrame([(1, "a -> b", "d" * 500, "e"), (2, "a -> c", "", "")], "pos int, path string, description string, evidence string")
+    (only,) = retrieval.fit_relations(paths.withColumn("q", F.lit(1)), ["q"], "pos", 40).collect()
+    assert only["truncated"] and only["description"] == "d" * 26 + "…"
+
+
+def test_broken_chains_are_found(spark):
+    import hashlib
+
+    events = spark.createDataFrame([(log, i, f"{log}{i}") for log in "abcde" for i in range(6)], "log string, n int, payload string")
+    records = governance.chain(events, ["n"], F.col("payload"), ["log"])
+    before = governance.ZERO_HASH
+    for r in sorted(records.where("log = 'a'").collect(), key=lambda r: r["sequence"]):
+        assert r["previous_hash"] == before
+        before = hashlib.sha256(f"{r['sequence']}|{before}|{hashlib.sha256(r['payload'].encode()).hexdigest()}".encode()).hexdigest()
+        assert r["record_hash"] == before
+    anchored = governance.anchors(records, ["log"])
+    log, n = F.col("log"), F.col("n")
+    changed = records.withColumn("payload", F.when((log == "b") & (n == 2), "other").otherwise(F.col("payload")))
+    changed = changed.where(~((log == "c") & (n == 3)) & ~((log == "d") & (n == 5)) & (log != "e"))
+    found = {r["log"]: (r["records"], r["broken"], r["valid"]) for r in governance.verify_chain(changed, anchored, F.col("payload"), ["log"]).collect()}
+    assert found["a"] == (6, 0, True) and not found["b"][2] and found["b"][1] >= 1 and not found["c"][2] and found["c"][1] >= 1
+    assert found["d"] == (5, 0, False) and found["e"] == (0, 0, False)  # cut short, and gone
+
+
+def test_evidence_has_its_keys(spark):
+    (r,) = retrieval.evidence(spark.createDataFrame([("t", 0.5)], "content string, score double")).collect()
+    assert tuple(r.asDict()) == retrieval.EVIDENCE_KEYS and r["source_file"] == "" and r["chunk_id"] is None and r["score"] == 0.5
+
+
+def test_hashed_shingles_are_the_shingles(spark):
+    texts = ["ab", "abcd e", "", "Straße und Straßen", None, "Aa aA aa. AA", "日本語 text 日本", "x", "İstanbul K"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", F.size(T.shingles(F.col("t"))).alias("n"), F.size(T.shingle_hashes(F.col("t"))).alias("m")).collect()
+    assert all(max(r["n"], 0) == r["m"] for r in rows)
+
+
+def test_approximate_count_is_near(spark):
+    from fathom.plans import library
+    from fathom.sources import tables
+
+    got = library.QUERIES["approx_distinct_users"](spark, "/root/testdata/sf0.001").collect()
+    want = {tuple(r)[:-1]: r["n"] for r in tables.table(spark, "/root/testdata/sf0.001", "events").groupBy("event_type").agg(F.countDistinct("user_id").alias("n")).collect()}
+    assert {r["event_type"] for r in got} == {k[0] for k in want}
+    assert all(abs(r["users"] - want[(r["event_type"],)]) <= 3 * 0.02 * want[(r["event_type"],)] + 1 for r in got)
