@@ -157,3 +157,47 @@ def test_approximate_count_is_near(spark):
     want = {tuple(r)[:-1]: r["n"] for r in tables.table(spark, "/root/testdata/sf0.001", "events").groupBy("event_type").agg(F.countDistinct("user_id").alias("n")).collect()}
     assert {r["event_type"] for r in got} == {k[0] for k in want}
     assert all(abs(r["users"] - want[(r["event_type"],)]) <= 3 * 0.02 * want[(r["event_type"],)] + 1 for r in got)
+
+
+def _profile(**given):
+    row = {"profile": "a", "acl_leakage_rate": 0.0, "invalid_content_leakage_rate": 0.0, "recall_at_5": 0.5, "mrr_at_10": 0.5, "citation_precision": 0.5, "citation_coverage": 0.5, "no_evidence_answer_rate": 0.1, "p95_latency_ms": 100}
+    return row | given
+
+
+def test_release_gate(spark):
+    from fathom.operators import evaluation
+
+    def verdicts(*rows, **options):
+        found = evaluation.gate(spark.createDataFrame([tuple(r.values()) for r in rows], list(rows[0])), "profile", **options).collect()
+        return {r["profile"]: (r["passed"], list(r["reasons"])) for r in found}
+
+    # Better recall alone isn't an improvement while citations could be better; at their ceiling it is.
+    assert verdicts(_profile(), _profile(profile="b", recall_at_5=0.9)) == {"a": (None, ["baseline_reference"]), "b": (False, ["primary_quality_improved"])}
+    full = {"citation_precision": 1.0, "citation_coverage": 1.0, "no_evidence_answer_rate": 0.0}
+    assert verdicts(_profile(**full), _profile(profile="b", recall_at_5=0.9, **full))["b"] == (True, [])
+    better = {"profile": "b", "citation_precision": 0.6}
+    assert verdicts(_profile(), _profile(**better, recall_at_5=0.48, p95_latency_ms=120))["b"] == (True, [])
+    assert verdicts(_profile(), _profile(**better, recall_at_5=0.47, p95_latency_ms=121))["b"][1] == ["recall_regression_within_limit", "p95_latency_within_limit"]
+    assert verdicts(_profile(), _profile(**better, acl_leakage_rate=0.01))["b"][1] == ["acl_leakage_zero"]
+    assert verdicts(_profile(), _profile(**better), eligible=False)["b"] == (False, ["fixed_dataset_required"])
+
+
+def test_cases_are_judged_by_what_they_expect(spark):
+    from fathom.operators import evaluation
+
+    none = "CAST(array() AS array<string>)"
+    told = (
+        f"SELECT 1 AS case_id, array('c1', 'c9') AS expected_chunks, array('d7') AS expected_documents, array('Handbook') AS expected_sources, {none} AS expected_modes, array('d2') AS forbidden_documents, array('d1') AS allowed_documents, true AS expect_references,"
+        " true AS expect_paths, 'x' AS expected_intent, 'y' AS intent, 'vector' AS retrieval_mode, 0 AS relation_paths, 'fine' AS answer, CAST(NULL AS STRING) AS error, 5 AS latency_ms, 2 AS model_calls,"
+        " array(named_struct('node', 'context_rewrite', 'enabled', true, 'fallback', false)) AS trace"
+        f" UNION ALL SELECT 2, {none}, {none}, {none}, {none}, {none}, NULL, false, NULL, NULL, NULL, NULL, NULL, 'nothing here', NULL, NULL, NULL, NULL"
+        " UNION ALL SELECT 3, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'said without evidence', '', NULL, NULL, NULL"
+    )
+    refs = [(1, 0, "c5", None, "d1", "other.txt", 0.5, None, None, None, None), (1, 1, "c6", "c1", "d2", "Handbook.pdf", None, None, None, None, "RETIRED"), (1, 2, "c7", None, None, "", 0.1, None, True, False, None)]
+    kinds = "case_id int, rank int, chunk_id string, matched_chunk_id string, document_id string, source_file string, score double, relevant boolean, acl_allowed boolean, is_active boolean, status string"
+    rows = {r["case_id"]: r for r in evaluation.score_cases(spark.sql(told), spark.createDataFrame(refs, kinds), ["case_id"], ["nothing here"]).collect()}
+    one, two, three = rows[1], rows[2], rows[3]
+    assert one["success"] and one["recall"] == 0.5 and one["reciprocal_rank"] == 0.5 and one["relevant_count"] == 1 and one["source_hit"] and one["source_count"] == 2
+    assert one["acl_leaks"] == 1 and one["invalid_leaks"] == 2 and not one["intent_match"] and not one["graph_path_hit"] and one["context_rewrite_triggered"] and one["avg_reference_score"] == 0.2
+    assert two["success"] and two["fallback_correct"] and two["recall"] is None and not two["expects"]
+    assert not three["success"] and three["fallback"] and three["unfounded"] and three["graph_path_hit"] and three["intent_match"]
