@@ -1,4 +1,4 @@
 """All queries of the library, by name."""
 
-from . import chunking, corpus, evaluation, governance, retrieval, text  # noqa: F401
+from . import chunking, corpus, evaluation, evidence, governance, retrieval, text  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
