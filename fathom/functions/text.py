@@ -187,3 +187,36 @@ def duration_label(seconds: Column) -> Column:
 def json_object(c: Column, schema: str) -> Column:
     """The object between the first and last brace of a text, parsed; null if there is none."""
     return F.from_json(F.regexp_extract(c, r"(?s)(\{.*\})", 1), schema)
+
+
+def path_document_id(path: Column) -> Column:
+    """doc- and 16 digits of the hash of a path in lower case, with slashes."""
+    return F.concat(F.lit("doc-"), F.substring(F.sha1(F.lower(F.replace(path, F.lit("\\"), F.lit("/")))), 1, 16))
+
+
+def automatic_document_id(base: Column, path: Column) -> Column:
+    """doc- and 20 digits of the hash of a knowledge base and a path relative to it."""
+    return F.concat(F.lit("doc-"), F.substring(F.sha2(F.concat(base, F.lit(":"), F.lower(path)), 256), 1, 20))
+
+
+def source_topics(stem: Column, text: Column, head: int = 1200) -> Column:
+    """What a file speaks of, once each: terms quoted in its name, then at the head of its text, then its cleaned
+    title if that has 2 to 24 characters and no quotes."""
+    title = title_topic(stem)
+    fits = F.length(title).between(2, 24) & ~title.rlike("[“”]")
+    return F.array_distinct(F.concat(quoted_terms(stem), quoted_terms(F.substring(text, 1, head)), F.array_compact(F.array(F.when(fits, title)))))
+
+
+def header_list(c: Column) -> Column:
+    """The names in a comma-separated header: trimmed, distinct, sorted."""
+    return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")))
+
+
+def ideographic_name(c: Column) -> Column:
+    """The Chinese characters of a text, 16 at most; empty if there are less than four."""
+    kept = F.regexp_replace(c, r"[^\u4e00-\u9fff]", "")
+    return F.when(F.length(kept) < 4, "").otherwise(F.substring(kept, 1, 16))
+
+
+def subset_of(a: Column, b: Column) -> Column:
+    return F.size(F.array_except(a, b)) == 0

@@ -140,3 +140,45 @@ def register_unlisted(files: DataFrame, versions: DataFrame) -> DataFrame:
     """Files without any version, as public first versions, each with a warning of high severity."""
     unlisted = files.join(versions.select("document_id"), "document_id", "left_anti")
     return unlisted.select("document_id", F.lit(1).cast("long").alias("version"), F.lit("public").alias("visibility"), F.lit("high").alias("severity"))
+
+
+def visible(rows: DataFrame, allowed_ids: DataFrame, document: str = "document_id", other: str | None = None) -> DataFrame:
+    """References, paths or edges of documents that a reader may see (``allowed_ids``: document_id); rows that name
+    none are left out. ``other``: a column that names the document where the first doesn't."""
+    name = F.coalesce(F.nullif(document, F.lit("")), F.col(other)) if other else F.col(document)
+    return rows.withColumn("_document", name).join(allowed_ids.select(F.col("document_id").alias("_document")), "_document", "left_semi").drop("_document")
+
+
+def reusable(status: Column, same: list[tuple[Column, Column]], chunk_ids: Column) -> Column:
+    """Whether a snapshot can be used again: it was finished, everything that made it is the same, and it has chunks."""
+    ok = (status == "completed") & (F.size(chunk_ids) > 0)
+    for a, b in same:
+        ok = ok & a.eqNullSafe(b) & a.isNotNull()
+    return F.coalesce(ok, F.lit(False))
+
+
+def next_state(now: DataFrame, before: DataFrame, key: str, digest: str, at: Column, keep_after: Column) -> DataFrame:
+    """One step of change capture: key, digest, change, deleted_at after what is there now met the state before.
+
+    What isn't there any more leaves a tombstone with its time; one from before stays until it is older than
+    ``keep_after``; what comes back is added again. Both sides are shuffled by key once."""
+    a = now.select(key, F.col(digest).alias("_now"))
+    b = before.select(key, F.col(digest).alias("_before"), F.col("deleted_at").alias("_gone"))
+    here, alive = F.col("_now").isNotNull(), F.col("_before").isNotNull() & F.col("_gone").isNull()
+    change = F.when(here & ~alive, "added").when(here & (F.col("_now") == F.col("_before")), "unchanged").when(here, "changed").when(alive, "removed").otherwise("tombstone")
+    rows = a.join(b, key, "full_outer").select(key, F.coalesce("_now", "_before").alias(digest), change.alias("change"), F.when(~here, F.coalesce(F.col("_gone"), at)).alias("deleted_at"))
+    return rows.where(F.col("deleted_at").isNull() | (F.col("deleted_at") >= keep_after))
+
+
+def record_reuse(records: DataFrame, stored: DataFrame, key: str, fields: list[str], fingerprint: str) -> DataFrame:
+    """Records with their hash and the vector of a stored one that has the same hash under the same fingerprint
+    (null: to be made)."""
+    hashed = records.withColumn("record_hash", F.sha2(F.to_json(F.struct(*sorted(fields)), {"ignoreNullFields": "false"}), 256))
+    known = stored.where(F.col("fingerprint") == fingerprint).groupBy("record_hash").agg(F.min_by("vector", key).alias("vector"))
+    return hashed.join(known, "record_hash", "left")
+
+
+def missing_registered(registered: DataFrame, found: DataFrame, cutoff: Column) -> DataFrame:
+    """Documents that were registered by themselves before a cutoff and whose file is gone, each with a warning."""
+    old = registered.where(F.col("automatic") & (F.col("registered_at") <= cutoff))
+    return old.join(found.select("document_id"), "document_id", "left_anti").select("document_id", F.lit("missing_source").alias("warning"))
