@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 CJK = r"[\x{4e00}-\x{9fff}]"
+#: White space of every script.
+BLANK = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 def strip(c: Column) -> Column:
@@ -20,11 +22,11 @@ def strip(c: Column) -> Column:
 
 
 def clean(c: Column) -> Column:
-    """No byte order mark, zero-width space or control character; lines end in LF, their blanks are single and
-    trimmed; empty lines go."""
+    """No byte order mark, zero-width space or control character; lines end in LF, spaces and tabs in them are single,
+    white space of any script goes at their ends and stays inside; empty lines go."""
     c = F.regexp_replace(c, r"[\x{feff}\x{200b}]", "")
     c = F.regexp_replace(F.regexp_replace(c, r"\r\n?", "\n"), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
-    lines = F.transform(F.split(c, "\n"), lambda x: F.trim(F.regexp_replace(x, r"[ \t\x{3000}]+", " ")))
+    lines = F.transform(F.split(c, "\n"), lambda x: F.regexp_replace(F.regexp_replace(x, r"[ \t]+", " "), f"^{BLANK}+|{BLANK}+$", ""))
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
@@ -145,9 +147,10 @@ def title_topic(stem: Column) -> Column:
 
 
 def file_category(name: Column) -> Column:
-    """A category from a file name: no suffix, generic words, digits and separators; 16 characters at most."""
+    """A category from a file name: no suffix, no generic words, no digits and separators at its ends; 16 characters
+    at most."""
     c = F.regexp_replace(F.regexp_replace(name, r"\.[A-Za-z0-9]+$", ""), r"(?i)(?:document|file|guide|manual)", "")
-    return F.coalesce(F.nullif(F.substring(F.regexp_replace(c, r"[ _\-0-9]+", ""), 1, 16), F.lit("")), F.lit("other"))
+    return F.coalesce(F.nullif(F.substring(F.regexp_replace(c, r"^[ _\-0-9]+|[ _\-0-9]+$", ""), 1, 16), F.lit("")), F.lit("other"))
 
 
 def matched_terms(c: Column, terms) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import hashlib
+import json
+from dataclasses import asdict, dataclass, field, replace
 
 
 @dataclass(frozen=True)
@@ -14,6 +16,13 @@ class RetrievalSettings:
     candidate_k: int = 8
     max_context_tokens: int = 6000
     dedup_threshold: float = 0.85
+    query_expansion_enabled: bool = False
+    rerank_enabled: bool = False
+    context_rewrite_enabled: bool = False
+    dynamic_top_k_enabled: bool = False
+    parent_context_enabled: bool = False
+    dedup_enabled: bool = False
+    multi_vector_enabled: bool = False
 
     def __post_init__(self):
         ranges = {"chunk_size": (200, 1200), "chunk_overlap": (0, 300), "top_k": (1, 10), "min_score": (0, 1), "candidate_k": (2, 50), "max_context_tokens": (100, 50000)}
@@ -23,12 +32,43 @@ class RetrievalSettings:
         if self.chunk_overlap >= self.chunk_size:
             raise ValueError("chunk_overlap must be less than chunk_size")
 
+    @property
+    def fingerprint(self) -> str:
+        """Hash of all settings, whatever the order in which they were given."""
+        said = json.dumps(asdict(self), ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+        return hashlib.sha256(said.encode()).hexdigest()
+
+    def with_switches(self, *on: str) -> RetrievalSettings:
+        """These settings with the named switches on and all others off."""
+        return replace(self, **{s: s in on for s in SWITCHES})
+
+    def approved(self, approvals: set[str]) -> RetrievalSettings:
+        """These settings if their fingerprint was approved or no switch is on; else with all switches off."""
+        plain = not any(getattr(self, s) for s in SWITCHES)
+        return self if plain or self.fingerprint in approvals else self.with_switches()
+
     @property
     def candidates(self) -> int:
         """Candidates fetched before rescoring."""
         return max(4 * self.top_k, self.candidate_k)
 
 
+# The switches, and the profiles that turn on several of them.
+SWITCHES = ("query_expansion_enabled", "rerank_enabled", "context_rewrite_enabled", "dynamic_top_k_enabled", "parent_context_enabled", "dedup_enabled", "multi_vector_enabled")
+COMBINATIONS = {
+    "query_expansion_rerank": ("query_expansion_enabled", "rerank_enabled"),
+    "context_rewrite_rerank": ("context_rewrite_enabled", "rerank_enabled"),
+    "multi_vector_rerank": ("multi_vector_enabled", "rerank_enabled"),
+    "all_enhancements": SWITCHES,
+}
+
+
+def evaluation_profiles(settings: RetrievalSettings) -> dict[str, RetrievalSettings]:
+    """Profiles to compare, the baseline first: no switch, each alone, and the combinations."""
+    named = {"baseline_new_retrieval": ()} | {s: (s,) for s in SWITCHES} | COMBINATIONS
+    return {name: settings.with_switches(*on) for name, on in named.items()}
+
+
 @dataclass(frozen=True)
 class RulePack:
     """Rules that depend on the language of a corpus: ordered categories with keywords, terms and hints."""

@@ -18,7 +18,7 @@ def _sum(text: str, words) -> str:
     return " + ".join(f"contains({text}, '{w}')::INT" for w in words) or "0"
 
 
-_FILE_CATEGORY = r"coalesce(nullif(substring(regexp_replace(regexp_replace(regexp_replace(source || '.txt', '\.[A-Za-z0-9]+$', ''), '(?i)(?:document|file|guide|manual)', '', 'g'), '[ _\-0-9]+', '', 'g'), 1, 16), ''), 'other')"
+_FILE_CATEGORY = r"coalesce(nullif(substring(regexp_replace(regexp_replace(regexp_replace(source || '.txt', '\.[A-Za-z0-9]+$', ''), '(?i)(?:document|file|guide|manual)', '', 'g'), '^[ _\-0-9]+|[ _\-0-9]+$', '', 'g'), 1, 16), ''), 'other')"
 _N = {name: f"({_sum('seen', words)})" for name, words in LATIN.categories.items()}
 _BEST = f"greatest({', '.join(_N.values())})"
 _LADDER = f"CASE WHEN {_BEST} = 0 THEN {_FILE_CATEGORY} " + " ".join(f"WHEN {n} = {_BEST} THEN '{name}'" for name, n in _N.items()) + " END"

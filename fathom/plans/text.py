@@ -23,7 +23,7 @@ def _literal(spark, rows: list[str]):
 
 @query(r"""
 SELECT doc_id, sha256(c) AS content_hash, length(c) AS n_chars FROM (
-  SELECT doc_id, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '[ \t\x{3000}]+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS c
+  SELECT doc_id, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(regexp_replace(x, '[ \t]+', ' ', 'g'), '^[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+|[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+$', '', 'g')), lambda x: x <> ''), chr(10)) AS c
   FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '[\x{feff}\x{200b}]', '', 'g'), '\r\n?', chr(10), 'g'), '[\x01-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g') AS t FROM documents))""")
 def clean_text(spark, sf_dir):
     cleaned = tables.documents(spark, sf_dir).select("doc_id", T.clean(F.col("content")).alias("c"))
@@ -68,7 +68,7 @@ def quoted_terms(spark, sf_dir):
     return _literal(spark, QUOTES).select("id", F.array_join(T.quoted_terms(F.col("text")), "|").alias("terms"))
 
 
-@query(r"SELECT doc_id, coalesce(nullif(substring(regexp_replace(regexp_replace(regexp_replace(source || '.txt', '\.[A-Za-z0-9]+$', ''), '(?i)(?:document|file|guide|manual)', '', 'g'), '[ _\-0-9]+', '', 'g'), 1, 16), ''), 'other') AS category FROM documents")
+@query(r"SELECT doc_id, coalesce(nullif(substring(regexp_replace(regexp_replace(regexp_replace(source || '.txt', '\.[A-Za-z0-9]+$', ''), '(?i)(?:document|file|guide|manual)', '', 'g'), '^[ _\-0-9]+|[ _\-0-9]+$', '', 'g'), 1, 16), ''), 'other') AS category FROM documents")
 def file_category(spark, sf_dir):
     return tables.documents(spark, sf_dir).select("doc_id", T.file_category(F.col("source_file")).alias("category"))
 

@@ -201,3 +201,19 @@ def test_cases_are_judged_by_what_they_expect(spark):
     assert one["acl_leaks"] == 1 and one["invalid_leaks"] == 2 and not one["intent_match"] and not one["graph_path_hit"] and one["context_rewrite_triggered"] and one["avg_reference_score"] == 0.2
     assert two["success"] and two["fallback_correct"] and two["recall"] is None and not two["expects"]
     assert not three["success"] and three["fallback"] and three["unfounded"] and three["graph_path_hit"] and three["intent_match"]
+
+
+def test_cleaning_keeps_wide_spaces_inside(spark):
+    texts = ["\u3000\u00a0a \t b\u3000c\u2003", "x\r\n\u3000\ry\u200b\ufeff\x07 z "]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", T.clean(F.col("t")).alias("c"), T.file_category(F.lit("01_guide 2 of 3-plan_09.txt")).alias("k")).collect()
+    assert {r["id"]: r["c"] for r in rows} == {0: "a b\u3000c", 1: "x\ny z"} and rows[0]["k"] == "2 of 3-plan"[2:]
+
+
+def test_profiles_and_approvals():
+    from fathom.params import SWITCHES, evaluation_profiles
+
+    profiles = evaluation_profiles(RetrievalSettings(dedup_enabled=True))
+    assert len(profiles) == 12 and next(iter(profiles)) == "baseline_new_retrieval" and len({p.fingerprint for p in profiles.values()}) == 12
+    assert all(getattr(profiles["all_enhancements"], s) for s in SWITCHES) and not profiles["baseline_new_retrieval"].dedup_enabled
+    one = profiles["rerank_enabled"]
+    assert one.approved({one.fingerprint}) is one and not one.approved(set()).rerank_enabled
