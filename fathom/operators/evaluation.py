@@ -9,7 +9,8 @@ acl_allowed, is_active (null: not said) and status. Both have the columns that n
 
 from __future__ import annotations
 
-from fathom.operators.corpus import keyword_count
+from fathom.operators.corpus import entity_matches, keyword_count
+from fathom.params import Routing
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -283,6 +284,34 @@ def ladder(text: Column, rules: list[tuple[tuple[str, ...], str]], default: str)
     return out.otherwise(default)
 
 
+def _closest(intent: str, categories: list[str]) -> str:
+    """The intent if it is a category; else the first that contains it or is contained in it; else the first."""
+    if intent in categories:
+        return intent
+    near = [c for c in categories if intent in c or c in intent]
+    return (near or categories or [""])[0]
+
+
+def classify(question: Column, previous: Column, routing: Routing, categories: list[str], entities: dict[str, tuple[str, ...]]) -> Column:
+    """intent, kind, mode and entities of a question by the first rule that holds. A question that refers to what was
+    said is read together with the turn before (null: there is none)."""
+    refers = (keyword_count(question, routing.follow_up) > 0) & previous.isNotNull()
+    read = F.when(refers, F.concat_ws(" ", previous, question)).otherwise(question)
+    named = entity_matches(read, entities)
+    made = lambda intent, kind, mode, more: F.struct(F.lit(intent).alias("intent"), F.lit(kind).alias("kind"), F.lit(mode).alias("mode"), F.concat(named, F.array(*map(F.lit, more)).cast("array<string>")).alias("entities"))
+    out = F
+    for intent, kind, mode, words, more in routing.rules:
+        out = out.when(keyword_count(read, words) > 0, made(_closest(intent, categories), kind, mode, more))
+    default = routing.default_intent if routing.default_intent in categories else (categories or [""])[0]
+    return out.otherwise(made(default, routing.default_kind, "vector", ()))
+
+
+def choose_tool(question: Column, intent: Column, kind: Column, routing: Routing) -> Column:
+    """vector for simple kinds outside the core, hybrid where a word asks for relations and text, else by kind."""
+    simple = kind.isin(*routing.simple_kinds)
+    return F.when(~intent.isin(*routing.core_intents) & simple, "vector").when(keyword_count(question, routing.hybrid_words) > 0, "hybrid").when(simple, "vector").otherwise("graph")
+
+
 def scope_score(text: Column, keywords: tuple[str, ...], categories: tuple[str, ...], entities: tuple[str, ...], files: tuple[str, ...], terms: tuple[str, ...]) -> Column:
     """0.12 a keyword up to 0.55, 0.12 a category up to 0.25, 0.2 a file and 0.15 a term up to 0.35, 0.1 an
     entity up to 0.25."""

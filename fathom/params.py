@@ -89,3 +89,53 @@ LATIN = RulePack(
     clause_signals=(" and ", ", ", "; "),
     requirement_signals=("must", "should", "compare", "explain", "list"),
 )
+
+
+@dataclass(frozen=True)
+class Routing:
+    """Rules that route a question: each an intent, a kind of question, a mode, words of which one is enough, and
+    entities that it brings along; the first that holds counts."""
+
+    rules: tuple[tuple[str, str, str, tuple[str, ...], tuple[str, ...]], ...]
+    follow_up: tuple[str, ...]
+    default_intent: str
+    default_kind: str
+    core_intents: tuple[str, ...]
+    simple_kinds: tuple[str, ...]
+    hybrid_words: tuple[str, ...]
+
+
+# The rules for questions in Chinese.
+CHINESE_ROUTING = Routing(
+    rules=(
+        ("业务变更", "关联推理", "hybrid", ("地址迁移", "带宽变更", "移机", "变更"), ("合规审核",)),
+        ("退订销户", "关联推理", "hybrid", ("欠费", "销户", "退订", "合同终止"), ("合规审核",)),
+        ("故障报修", "关联推理", "hybrid", ("故障", "中断", "报修", "修复"), ()),
+        ("资费咨询", "资费标准", "vector", ("资费", "套餐", "月费", "多少钱", "价格"), ()),
+        ("办理流程", "流程步骤", "vector", ("流程", "步骤", "申请", "开通", "受理"), ()),
+        ("合规审核", "单一规则", "vector", ("一票否决", "合规", "审核", "红线"), ()),
+        ("公司法律法规", "单一规则", "vector", ("公司法", "股东", "董事", "法定代表人"), ()),
+        ("投诉处理", "流程步骤", "vector", ("投诉", "申诉", "争议", "处理时限"), ()),
+        ("客户准入", "单一规则", "vector", ("客户", "材料", "资质", "营业执照", "授权"), ()),
+    ),
+    follow_up=("这个", "那这种情况", "如果是这样", "如果是"),
+    default_intent="客户准入",
+    default_kind="单一规则",
+    core_intents=("业务变更", "合规审核", "故障报修", "退订销户"),
+    simple_kinds=("单一规则", "流程步骤", "资费标准", "标准查询"),
+    hybrid_words=("地址迁移", "带宽变更", "欠费", "合同", "设备回收", "故障等级", "时限"),
+)
+
+LATIN_ROUTING = Routing(
+    rules=(
+        ("change", "reasoning", "hybrid", ("compare", "versus", "than "), ("audit",)),
+        ("price", "tariff", "vector", ("price", "cost", "que"), ()),
+        ("person", "single rule", "vector", ("who", "whom", "eau"), ()),
+    ),
+    follow_up=("that", "this"),
+    default_intent="lookup",
+    default_kind="single rule",
+    core_intents=("change", "person"),
+    simple_kinds=("single rule", "tariff"),
+    hybrid_words=("than ", "ung"),
+)

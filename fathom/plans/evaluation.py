@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 
 from fathom.operators import corpus, evaluation, governance
+from fathom.params import LATIN, LATIN_ROUTING
 from fathom.sources import tables
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .registry import query
 
@@ -235,6 +237,34 @@ def tool_ladder(spark, sf_dir):
     return tables.table(spark, sf_dir, "conversations").select("conv_id", "turn", evaluation.ladder(F.col("text"), TOOLS, "vector").alias("tool"))
 
 
+_ANY = lambda c, words: "(" + " OR ".join(f"contains({c}, '{w}')" for w in words) + ")"
+_ROUTE = LATIN_ROUTING
+_CATEGORIES = ["lookup", "price list", "person", "change"]
+_READ = f"""turns AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations),
+read AS (SELECT *, CASE WHEN before IS NOT NULL AND {_ANY('text', _ROUTE.follow_up)} THEN before || ' ' || text ELSE text END AS seen FROM turns),
+rule AS (SELECT *, CASE {' '.join(f"WHEN {_ANY('seen', words)} THEN {i}" for i, (_, _, _, words, _) in enumerate(_ROUTE.rules))} ELSE 3 END AS r FROM read),
+routed AS (SELECT *, ['change', 'price list', 'person', 'lookup'][r + 1] AS intent, ['reasoning', 'tariff', 'single rule', 'single rule'][r + 1] AS kind, CASE WHEN r = 0 THEN 'hybrid' ELSE 'vector' END AS mode, CASE WHEN r = 0 THEN 'audit' ELSE '' END AS more FROM rule)"""
+
+
+@query(f"WITH {_READ} SELECT conv_id, turn, intent, kind, mode, array_to_string(list_filter([{', '.join('CASE WHEN ' + _ANY('lower(seen)', terms) + f' THEN ' + repr(name) + ' END' for name, terms in LATIN.entities.items())}, nullif(more, '')], lambda x: x IS NOT NULL), ',') AS entities FROM routed")
+def question_classes(spark, sf_dir):
+    """Turns by the first rule that holds, read with the turn before where they refer to it."""
+    found = _routed(spark, sf_dir)
+    return found.select("conv_id", "turn", "c.intent", "c.kind", "c.mode", F.array_join("c.entities", ",").alias("entities"))
+
+
+def _routed(spark, sf_dir):
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    turns = tables.table(spark, sf_dir, "conversations").withColumn("before", before)
+    return turns.withColumn("c", evaluation.classify(F.col("text"), F.col("before"), _ROUTE, _CATEGORIES, LATIN.entities))
+
+
+@query(f"WITH {_READ} SELECT conv_id, turn, CASE WHEN intent NOT IN ('change', 'person') AND kind IN ('single rule', 'tariff') THEN 'vector' WHEN {_ANY('text', _ROUTE.hybrid_words)} THEN 'hybrid' WHEN kind IN ('single rule', 'tariff') THEN 'vector' ELSE 'graph' END AS tool FROM routed")
+def question_tools(spark, sf_dir):
+    c = _routed(spark, sf_dir)
+    return c.select("conv_id", "turn", evaluation.choose_tool(F.col("text"), F.col("c.intent"), F.col("c.kind"), _ROUTE).alias("tool"))
+
+
 _W = {"keywords": ("the", "and", "que", "eau", "ung"), "categories": ("license", "plain"), "entities": ("token", "mit"), "files": ("src0", "src3"), "terms": ("es", "en")}
 _K = {k: "(" + " + ".join(f"contains(text, '{w}')::INT" for w in words) + ")" for k, words in _W.items()}
 

@@ -217,3 +217,16 @@ def test_profiles_and_approvals():
     assert all(getattr(profiles["all_enhancements"], s) for s in SWITCHES) and not profiles["baseline_new_retrieval"].dedup_enabled
     one = profiles["rerank_enabled"]
     assert one.approved({one.fingerprint}) is one and not one.approved(set()).rerank_enabled
+
+
+def test_routing_by_the_first_rule(spark):
+    from fathom.operators import evaluation
+    from fathom.params import CHINESE_ROUTING
+
+    rows = [(0, "欠费后如何变更套餐", None), (1, "这个多少钱", "宽带中断了"), (2, "这个多少钱", None), (3, "你好", "欠费"), (4, "办理合规审核的时限", None)]
+    categories = ["资费", "业务变更", "合规审核", "故障报修"]
+    asked = spark.createDataFrame(rows, "id int, q string, before string")
+    c = evaluation.classify(F.col("q"), F.col("before"), CHINESE_ROUTING, categories, {"宽带": ("宽带",)})
+    found = asked.withColumn("c", c).withColumn("tool", evaluation.choose_tool(F.col("q"), F.col("c.intent"), F.col("c.kind"), CHINESE_ROUTING))
+    got = {r["id"]: (r["c"]["intent"], r["c"]["mode"], r["c"]["entities"], r["tool"]) for r in found.collect()}
+    assert got == {0: ("业务变更", "hybrid", ["合规审核"], "hybrid"), 1: ("故障报修", "hybrid", ["宽带"], "graph"), 2: ("资费", "vector", [], "vector"), 3: ("资费", "vector", [], "vector"), 4: ("合规审核", "vector", [], "hybrid")}
