@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html, jaccard, licenses, neardup, packing, secrets, sharding, token_files, toxicity
+from . import codes, decontam, html, jaccard, language, licenses, neardup, packing, search, secrets, sharding, token_files, toxicity
 from .shared import new_path
 
 
@@ -158,3 +158,72 @@ link AS (SELECT a.vec_id AS x, b.vec_id AS y FROM vec AS a JOIN vec AS b ON a.ve
 reached AS (SELECT vec_id, vec_id AS c FROM embeddings UNION SELECT r.vec_id, y FROM reached AS r JOIN link ON link.x = r.c)
 SELECT vec_id, (SELECT count(*) FROM link WHERE x = vec_id) AS n_links, min(c) AS component_id, vec_id = min(c) AS kept FROM reached GROUP BY vec_id
 """
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(_table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def _codes_sql(s: codes.Settings) -> str:
+    """Every round is an assignment of all parts and a new codebook, one common table each."""
+    floor = "(s - ((s % n) + n) % n) // n"
+    sql = f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({s.scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+part AS MATERIALIZED (SELECT vec_id, p, list_slice(v, p * len(v) // {s.parts} + 1, (p + 1) * len(v) // {s.parts}) AS x FROM kept, (SELECT unnest(range({s.parts})) AS p)),
+first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept QUALIFY e < {s.entries}),
+book0 AS MATERIALIZED (SELECT p, e, x AS c FROM part JOIN first USING (vec_id)),"""
+    for r in range(s.rounds + 1):
+        sql += f"""
+apart{r} AS (SELECT vec_id, p, e, CAST(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM part JOIN book{r} USING (p)),
+near{r} AS MATERIALIZED (SELECT vec_id, p, min({{'d': d, 'e': e}}) AS m FROM apart{r} GROUP BY vec_id, p),"""
+        if r < s.rounds:
+            sql += f"""
+cell{r} AS (SELECT p, m.e AS e, unnest(x) AS y, unnest(range(len(x))) AS i FROM part JOIN near{r} USING (vec_id, p)),
+mean{r} AS (SELECT p, e, i, CAST({floor} AS BIGINT) AS y FROM (SELECT p, e, i, sum(y) AS s, count(*) AS n FROM cell{r} GROUP BY p, e, i)),
+moved{r} AS (SELECT p, e, list(y ORDER BY i) AS c FROM mean{r} GROUP BY p, e),
+book{r + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM book{r} AS b LEFT JOIN moved{r} AS m ON m.p = b.p AND m.e = b.e),"""
+    return f"""{sql}
+coded AS (
+  SELECT vec_id, string_agg(printf('%02x', m.e), '' ORDER BY p) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM near{s.rounds} GROUP BY vec_id
+),
+named AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{s.rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded JOIN kept USING (vec_id), named
+"""
+
+
+QUERIES["op13_vector_codes"] = op13_vector_codes
+ORACLE_SQL["op13_vector_codes"] = _codes_sql(codes.Settings())
+
+
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES["op11_ranked_search"] = op11_ranked_search
+ORACLE_SQL["op11_ranked_search"] = f"""
+WITH word AS (SELECT doc_id, row_number() OVER () AS d, {_WORDS} AS ws FROM documents),
+size AS (SELECT d, doc_id, CAST(len(ws) AS BIGINT) AS n FROM word WHERE len(ws) > 0),
+whole AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS length FROM size),
+tf AS (SELECT d, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT d, unnest(ws) AS term FROM word) GROUP BY d, term),
+weight AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM tf, whole GROUP BY term, docs),
+asked AS (SELECT item_id, unnest({_WORDS}) AS term FROM benchmark),
+scored AS (
+  SELECT item_id, d, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // length)))) AS BIGINT) AS score
+  FROM asked JOIN tf USING (term) JOIN weight USING (term) JOIN size USING (d), whole GROUP BY item_id, d
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scored JOIN size USING (d) WHERE score > 0 QUALIFY rank <= 10
+"""
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
+    found = language.identify(docs.select("doc_id", "text"), language.learn(docs.where(~held)))
+    return found.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES["op12_language_id"] = op12_language_id
