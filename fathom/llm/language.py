@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import forget, only, unused, written
+from .shared import forget, only, written
 from .tokens import portions
 
 #: Mixes code points into one hash, and that into the filter's places: odd numbers of 64 bits.
@@ -182,9 +182,8 @@ def identify(docs: DataFrame, filters: Filters, text_col: str = "text", out: str
     out once to each worker.
     """
     docs = docs.drop(out, score)
-    batch_col = unused("text", docs)
-    rows = docs.withColumn(batch_col, F.col(f"`{text_col}`").cast("string"))
-    sent = docs.sparkSession.sparkContext.broadcast(filters)
+    rows = docs.select("*", F.col(f"`{text_col}`").cast("string")).toDF(*[f"c{i}" for i in range(len(docs.columns) + 1)])  # names with dots, too
+    sent, docs_names = docs.sparkSession.sparkContext.broadcast(filters), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("language", _LETTERS)
@@ -196,6 +195,6 @@ def identify(docs: DataFrame, filters: Filters, text_col: str = "text", out: str
                 held, has = shares(texts, f) if f.languages else (np.zeros((len(texts), 1)), np.zeros(len(texts), bool))
                 best = np.where(held.max(axis=1) > 0, held.argmax(axis=1), f.usual)
                 best, points = np.where(has, best, len(f.languages)), np.where(has, held[np.arange(len(texts)), best], 0.0)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(names[best], pa.string()), pa.array(points, pa.float64())], [*batch.schema.names[:-1], out, score])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(names[best], pa.string()), pa.array(points, pa.float64())], [*docs_names, out, score])
 
     return rows.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.StringType()), T.StructField(score, T.DoubleType())]))
