@@ -20,6 +20,8 @@ def infer_category(file: Column, text: Column, categories: dict[str, tuple[str,
     by rule order; without any, a category from the name."""
     seen = F.concat(file, F.lit("\n"), F.substring(text, 1, head))
     counts = {name: keyword_count(seen, words) for name, words in categories.items()}
+    if not counts:
+        return file_category(file)
     best = F.greatest(*counts.values()) if len(counts) > 1 else next(iter(counts.values()))
     ladder = F.when(best == 0, file_category(file))
     for name, n in counts.items():

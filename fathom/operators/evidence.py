@@ -2,8 +2,8 @@
 
 Hits have: pos (from 1), chunk_id, document_id, parent_chunk_id, granularity, source_file, content, score. Edges have:
 source, label, target, description, evidence, source_file, document_id, confidence (null: 0.8); nodes have id and text.
-A tool's hits and a question's paths are as few as its settings say, so one task ranks them; chunks, nodes and edges,
-of which there may be any number, are filtered and joined before that and never ranked whole."""
+A tool's hits are as few as its settings say, so one task ranks them. Chunks, nodes, edges and paths may be any number:
+they are filtered, joined and, where all have a place, numbered part by part."""
 
 from __future__ import annotations
 
@@ -12,7 +12,8 @@ from functools import reduce
 
 from fathom.functions.text import quoted_terms
 from fathom.operators import corpus, retrieval
-from fathom.session import cut
+from fathom.operators.terms import contains_any, term_hits
+from fathom.session import cut, numbered
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,10 +22,6 @@ CHILDREN = ("paragraph", "sentence")
 HIT = ("chunk_id", "document_id", "parent_chunk_id", "granularity", "source_file", "content", "score")
 
 
-#: A question's paths: the best of each stream that are looked at. A node may have any number of edges.
-MOST_PATHS = 1000
-
-
 @dataclass(frozen=True)
 class Found:
     """Hits and relation paths of a question, both with pos, and where the paths come from."""
@@ -77,23 +74,27 @@ def global_paths(hits: DataFrame, edges: DataFrame) -> DataFrame:
     return as_paths(both.select(*keys, *own, "score"), "relationship_vector")
 
 
-def _best_paths(paths: DataFrame, most: int) -> DataFrame:
-    """The best rows of a stream, a path once with its best score, in their places."""
+def _once(paths: DataFrame) -> DataFrame:
+    """A path once with its best score, in their places: by score, then path."""
     rest = [c for c in paths.columns if c != "path"]
     once = paths.groupBy("path").agg(F.max_by(F.struct(*rest), F.struct("score", "source_file", "document_id")).alias("p")).select("path", "p.*")
-    return placed(once.orderBy(F.desc("score"), "path").limit(most), F.desc("score"), "path")
+    return numbered(once, F.desc("score"), "path")
 
 
-def mixed_paths(entity_hits: DataFrame, relation_hits: DataFrame, edges: DataFrame, most: int = MOST_PATHS) -> DataFrame:
-    """Paths from entity hits and from relationship hits, each by score, taken in turn; a path once."""
-    streams = [_best_paths(rows, most) for rows in (local_paths(entity_hits, edges), global_paths(relation_hits, edges))]
-    return retrieval.round_robin(streams, 2 * most, [], "path").drop("pos", "stream").withColumnRenamed("rank", "pos")
+def mixed_paths(entity_hits: DataFrame, relation_hits: DataFrame, edges: DataFrame) -> DataFrame:
+    """All paths from entity hits and from relationship hits, each by score, taken in turn; a path once, where it
+    comes first. A node may have any number of edges, so places are given in two steps, by range."""
+    streams = [_once(rows).withColumn("_stream", F.lit(i)) for i, rows in enumerate((local_paths(entity_hits, edges), global_paths(relation_hits, edges)))]
+    every = reduce(DataFrame.unionByName, streams)
+    rest = [c for c in every.columns if c != "path"]
+    first = every.groupBy("path").agg(F.min_by(F.struct(*rest), F.struct("pos", "_stream")).alias("p")).select("path", "p.*")
+    return numbered(first.withColumnRenamed("pos", "_place"), "_place", "_stream").drop("_place", "_stream")
 
 
-def literal_paths(nodes: DataFrame, edges: DataFrame, question: str, intent: str, terms: list[str], most: int = MOST_PATHS) -> DataFrame:
-    """The best edges by words: an end that is a node which the question, the intent or a term names, or a term
+def literal_paths(nodes: DataFrame, edges: DataFrame, question: str, intent: str, terms: list[str]) -> DataFrame:
+    """Edges by words: an end that is a node which the question, the intent or a term names, or a term
     in the edge's own text. The nodes may be many, so they are joined, not listed."""
-    said = reduce(lambda a, b: a | b, [F.contains("text", F.lit(t)) for t in terms if t], F.lit(False))
+    said = contains_any(F.col("text"), terms)
     named = nodes.where((F.col("id") != "") & (F.contains(F.lit(question), F.col("id")) | (F.col("id") == intent) | said)).select("id").distinct()
     rows = edges
     for end in ("source", "target"):
@@ -102,7 +103,7 @@ def literal_paths(nodes: DataFrame, edges: DataFrame, question: str, intent: str
     ends = F.coalesce("_source", F.lit(0)) + F.coalesce("_target", F.lit(0))
     found = corpus.keyword_count(text, tuple(t for t in terms if t))
     score = F.least(F.lit(1.0), 0.5 * _confidence() + 0.12 * ends + F.least(F.lit(0.32), 0.08 * found))
-    return _best_paths(as_paths(rows.where(ends + found > 0).withColumn("score", score), "dynamic_literal"), most)
+    return _once(as_paths(rows.where(ends + found > 0).withColumn("score", score), "dynamic_literal"))
 
 
 def query_keywords(question: str, intent: str, nodes: DataFrame, edges: DataFrame, hints: list[str], aliases: dict[str, tuple[str, ...]]) -> DataFrame:
@@ -129,15 +130,12 @@ def query_keywords(question: str, intent: str, nodes: DataFrame, edges: DataFram
 
 def path_chunks(chunks: DataFrame, paths: DataFrame, category: str, terms: list[str], k: int) -> DataFrame:
     """The k best chunks for paths: a pool by keywords, with 0.65 more for a file of the paths and 0.25 more for a
-    text that has a path's evidence or one of its parts, 1 at most.
-
-    Paths are at most twice ``MOST_PATHS``, so the pool is bounded, too, and is sent to the paths."""
+    text that has a path's evidence or one of its parts, 1 at most. The pool grows with the paths; parts are looked
+    for in it all at once."""
     pool = cut(retrieval.keyword_category_search(chunks, category, terms, [], max(4 * k, k + paths.count()), "chunk_id"))
-    files = paths.where("source_file <> ''").select("source_file").distinct()
-    filed = F.broadcast(pool.select("source_file").distinct()).join(files, "source_file").select("source_file", F.lit(0.65).alias("_file"))
+    filed = paths.where("source_file <> ''").select("source_file", F.lit(0.65).alias("_file")).distinct()
     parts = F.filter(F.array_append(F.transform(F.split("path", "->"), lambda x: F.trim(x)), F.col("evidence")), lambda x: x != "")
-    said = paths.select(F.explode(parts).alias("_part")).distinct()
-    told = said.join(F.broadcast(pool.select("chunk_id", "content")), F.contains(F.col("content"), F.col("_part"))).select("chunk_id", F.lit(0.25).alias("_said")).distinct()
+    told = term_hits(pool, ["chunk_id"], "content", paths.select(F.explode(parts))).select("chunk_id", F.lit(0.25).alias("_said")).distinct()
     more = F.coalesce("_file", F.lit(0.0)) + F.coalesce("_said", F.lit(0.0))
     scored = pool.join(filed, "source_file", "left").join(told, "chunk_id", "left").withColumn("score", F.round(F.least(F.lit(1.0), F.col("score") + more), 4))
     return placed(scored.drop("_file", "_said").orderBy(F.desc("score"), "chunk_id").limit(k), F.desc("score"), "chunk_id")
@@ -155,8 +153,10 @@ def graph_search(chunks: DataFrame, nodes: DataFrame, edges: DataFrame, entity_h
         by_words = placed(retrieval.keyword_category_search(chunks, intent, terms, [], k, "chunk_id"), F.desc("score"), "chunk_id")
         if governed or static is None:
             return Found(by_words, paths, "governed_text")
-        near = corpus.one_hop(static, terms).select("path").unionByName(corpus.two_hop(static, terms).select("path")).distinct()
-        return Found(by_words, placed(near.orderBy("path").limit(k), "path"), "static_graph")
+        near = corpus.one_hop(static, terms).select("path", "source_file").unionByName(corpus.two_hop(static, terms).withColumn("source_file", F.lit("")))
+        once = near.groupBy("path").agg(F.max("source_file").alias("source_file")).orderBy("path").limit(k)
+        blank = {c: F.lit("") for c in ("description", "document_id", "evidence")}
+        return Found(by_words, placed(once.withColumns(blank | {"score": F.lit(0.0), "match_source": F.lit("static_graph")}), "path"), "static_graph")
     return Found(path_chunks(chunks, paths, intent, terms, k), paths.where(F.col("pos") <= k), source)
 
 

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
+from fathom.session import cut, free
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,28 +54,73 @@ def status_diff(now: DataFrame, before: DataFrame, key: str, digest: str) -> Dat
 ZERO_HASH = "0" * 64
 
 
-def chain(events: DataFrame, order: list[str], payload: Column, scope: list[str]) -> DataFrame:
-    """Records of audit logs, one chain a scope: sequence, previous_hash (that of the record before; zeros first) and
-    record_hash, which covers number, previous hash and payload, so a changed record breaks all behind it.
+class StaleAnchor(ValueError):
+    """Records can't be appended: the log isn't where the anchor says."""
 
-    A chain is written in order by nature: a scope is one log, such as a type's log of one day, folded in one
-    task each by hashes alone; what makes it fast is many logs."""
-    rows = events.withColumn("digest", F.sha2(payload, 256))
-    kinds = dict(rows.dtypes)
-    keys = [*scope, *order]
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, ignore_index=True)
-        before, previous, own = ZERO_HASH, [], []
-        for n, digest in enumerate(pdf["digest"], 1):
-            previous.append(before)
-            before = hashlib.sha256(f"{n}|{before}|{digest}".encode()).hexdigest()
-            own.append(before)
-        return pdf[keys].assign(sequence=range(1, len(pdf) + 1), previous_hash=previous, record_hash=own)
+def chain(events: DataFrame, order: list[str], payload: Column, scope: list[str], anchored: DataFrame | None = None) -> DataFrame:
+    """Records of audit logs, one chain a scope: sequence, previous_hash (that of the record before; zeros first) and
+    record_hash, which covers number, previous hash and payload, so a changed record breaks all behind it.
 
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", sequence long, previous_hash string, record_hash string"
-    written = rows.select(*keys, "digest").groupBy(*scope).applyInPandas(fold, schema)
-    return events.join(written, keys)
+    ``anchored`` (scope, record_count, last_hash): the logs that these records go on; a scope without anchor begins.
+    Every row is a record once, with a null scope, a null order (first) or an order that others have, too (by the
+    payload's hash then). A null payload is hashed as an empty text.
+
+    A chain is written in order by nature: a scope is one log, such as a type's log of one day. Rows are dealt by
+    scope and sorted, and one task walks a log row by row, holding the hash before and nothing else; what makes it
+    fast is many logs, and short appends to long ones. Payloads are hashed before, in all tasks."""
+    digest, n, last = free("_digest", events), free("_count", events), free("_last", events)
+    rows = events.withColumn(digest, F.sha2(F.coalesce(payload.cast("binary"), F.lit(b"")), 256))
+    if anchored is None:
+        rows = rows.withColumns({n: F.lit(0).cast("long"), last: F.lit(ZERO_HASH)})
+    else:
+        heads = anchored.select(*[F.col(c).alias(f"{c}_head") for c in scope], F.col("record_count").cast("long").alias(n), F.col("last_hash").alias(last))
+        same = F.lit(True)
+        for c in scope:
+            same = same & rows[c].eqNullSafe(heads[f"{c}_head"])
+        rows = rows.join(heads, same, "left").drop(*[f"{c}_head" for c in scope]).withColumns({n: F.coalesce(n, F.lit(0).cast("long")), last: F.coalesce(last, F.lit(ZERO_HASH))})
+    ordered = rows.repartition(*scope).sortWithinPartitions(*scope, *order, digest)
+    plain = ordered.toDF(*[f"c{i}" for i in range(len(ordered.columns))])  # names with dots, too
+    at = [ordered.columns.index(c) for c in (*scope, digest, n, last)]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        log, number, before = None, 0, ZERO_HASH
+        for batch in batches:
+            numbers, previous, own = [], [], []
+            for *key, hashed, count, head in zip(*[batch.column(i).to_pylist() for i in at], strict=True):
+                if key != log:
+                    log, number, before = key, count, head
+                number += 1
+                numbers.append(number)
+                previous.append(before)
+                before = hashlib.sha256(f"{number}|{before}|{hashed}".encode()).hexdigest()
+                own.append(before)
+            made = [pa.array(numbers, pa.int64()), pa.array(previous, pa.string()), pa.array(own, pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *made], [*kept, "sequence", "previous_hash", "record_hash"])
+
+    kept = events.columns
+    more = [T.StructField("sequence", T.LongType()), T.StructField("previous_hash", T.StringType()), T.StructField("record_hash", T.StringType())]
+    return plain.mapInArrow(fold, T.StructType([*events.schema.fields, *more]))
+
+
+def append(log: DataFrame, anchored: DataFrame, events: DataFrame, order: list[str], payload: Column, scope: list[str]) -> tuple[DataFrame, DataFrame]:
+    """New records behind those of a log, and the anchors after them; the log itself is left as it is.
+
+    ``anchored`` is what the writer believes to be the logs' ends. For the scopes of ``events`` it must be what the
+    log says, or nothing is appended: a log that was cut, or to which another writer has added, raises
+    ``StaleAnchor``. Only the ends of these scopes are read."""
+    touched = events.select(*scope).distinct()
+    keys = [touched[c].eqNullSafe for c in scope]
+    of = lambda rows: reduce(lambda a, b: a & b, [k(rows[c]) for k, c in zip(keys, scope, strict=True)])
+    ends = lambda rows: rows.join(touched, of(rows), "left_semi").select(*scope, F.col("record_count").cast("long").alias("record_count"), "last_hash")
+    believed, there = ends(anchored), ends(anchors(log, scope))
+    if not believed.exceptAll(there).unionByName(there.exceptAll(believed)).isEmpty():
+        raise StaleAnchor("the log has moved since this anchor was taken")
+    new = cut(chain(events, order, payload, scope, believed))
+    now = anchors(new, scope).select(*scope, "last_hash", F.lit(1).alias("_new"), "record_count")
+    every = anchored.select(*scope, "last_hash", F.lit(0).alias("_new"), "record_count").unionByName(now)
+    after = every.groupBy(*scope).agg(F.sum("record_count").cast("long").alias("record_count"), F.max_by("last_hash", "_new").alias("last_hash"))
+    return new, after
 
 
 def anchors(records: DataFrame, scope: list[str]) -> DataFrame:
@@ -85,12 +133,15 @@ def verify_chain(records: DataFrame, anchored: DataFrame, payload: Column, scope
     valid, which takes that it is whole to its anchor. All hashes are made again from the payload; a missing log
     or a missing anchor is not valid."""
     w = Window.partitionBy(*scope).orderBy("sequence")
-    again = F.sha2(F.concat_ws("|", F.col("sequence").cast("string"), "previous_hash", F.sha2(payload, 256)), 256)
+    again = F.sha2(F.concat_ws("|", F.col("sequence").cast("string"), "previous_hash", F.sha2(F.coalesce(payload.cast("binary"), F.lit(b"")), 256)), 256)
     rows = records.select(*scope, "sequence", "previous_hash", "record_hash", again.alias("_again"))
     rows = rows.withColumns({"_n": F.row_number().over(w), "_before": F.coalesce(F.lag("_again").over(w), F.lit(ZERO_HASH))})
     broken = (F.col("sequence") != F.col("_n")) | (F.col("previous_hash") != F.col("_before")) | ~F.col("record_hash").eqNullSafe(F.col("_again"))
     found = rows.groupBy(*scope).agg(F.count("*").alias("records"), F.count_if(broken).alias("broken"), F.max_by("_again", "sequence").alias("_last"))
-    both = found.join(anchored, scope, "full_outer")
+    ends = anchored.select(*[F.col(c).alias(f"{c}_head") for c in scope], "record_count", "last_hash")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{c}_head")) for c in scope])
+    both = found.join(ends, same, "full_outer")
+    both = both.select(*[F.coalesce(c, f"{c}_head").alias(c) for c in scope], "records", "broken", "_last", "record_count", "last_hash")
     valid = (F.coalesce("broken", F.lit(0)) == 0) & F.col("record_count").eqNullSafe(F.col("records")) & F.col("last_hash").eqNullSafe(F.col("_last"))
     return both.select(*scope, F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("broken", F.lit(0)).alias("broken"), valid.alias("valid"))
 
@@ -146,7 +197,8 @@ def visible(rows: DataFrame, allowed_ids: DataFrame, document: str = "document_i
     """References, paths or edges of documents that a reader may see (``allowed_ids``: document_id); rows that name
     none are left out. ``other``: a column that names the document where the first doesn't."""
     name = F.coalesce(F.nullif(document, F.lit("")), F.col(other)) if other else F.col(document)
-    return rows.withColumn("_document", name).join(allowed_ids.select(F.col("document_id").alias("_document")), "_document", "left_semi").drop("_document")
+    key = free("_document", rows)
+    return rows.withColumn(key, name).join(allowed_ids.select(F.col("document_id").alias(key)), key, "left_semi").drop(key)
 
 
 def reusable(status: Column, same: list[tuple[Column, Column]], chunk_ids: Column) -> Column:

@@ -8,11 +8,14 @@ import numpy as np
 import pandas as pd
 from fathom.functions.text import count_of, shingle_hashes, token_estimate, truncated
 from fathom.functions.vectors import cosine
-from fathom.session import cut
+from fathom.session import cut, free, numbered
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Up to so many rows a top-k is one limit, whose rows one task holds; more are numbered part by part.
+MOST_LIMIT = 10_000
+
 
 def entity_score(text: Column, entities: list[str]) -> Column:
     """Share of the entities that a text contains."""
@@ -36,14 +39,18 @@ def vector_search(
 
 def keyword_category_search(rows: DataFrame, category: str, terms: list[str], files: list[str], k: int, id_col: str) -> DataFrame:
     """0.45, plus 0.2 for the category, 0.08 a term up to 0.3, and 0.05 for the file; the best k."""
-    found = sum(F.contains(F.col("content"), F.lit(t)).cast("int") for t in terms)
+    found = sum((F.contains(F.col("content"), F.lit(t)).cast("int") for t in terms), F.lit(0))
     score = 0.45 + 0.2 * (F.col("category") == category).cast("double") + F.least(F.lit(0.3), 0.08 * found) + 0.05 * F.col("source_file").isin(files).cast("double")
-    return rows.withColumn("score", score).orderBy(F.desc("score"), id_col).limit(k)
+    scored = rows.withColumn("score", score)
+    if k <= MOST_LIMIT:
+        return scored.orderBy(F.desc("score"), id_col).limit(k)
+    place = free("_place", scored)
+    return numbered(scored, F.desc("score"), id_col, out=place).where(F.col(place) <= k).drop(place)
 
 
 def term_frequency_search(rows: DataFrame, terms: list[str], k: int, id_col: str, content: str = "content") -> DataFrame:
     """Rows that contain a term, by min(1, 0.35 + 0.08 for each occurrence); the best k."""
-    hits = sum(count_of(F.col(content), F.lit(t)) for t in terms)
+    hits = sum((count_of(F.col(content), F.lit(t)) for t in terms), F.lit(0).cast("long"))
     scored = rows.withColumn("hits", hits).where("hits > 0").withColumn("score", F.least(F.lit(1.0), 0.35 + 0.08 * F.col("hits")))
     return scored.orderBy(F.desc("score"), id_col).limit(k)
 
@@ -56,9 +63,9 @@ def stable_identity(chunk_id: Column, document: Column, granularity: Column, chu
 def exact_dedup(hits: DataFrame, scope: list[str], identity: str, score: str, pos: str) -> DataFrame:
     """One row an identity: at the place where it came first, with the payload of its best score (the earliest
     of equals)."""
-    same = Window.partitionBy(*scope, identity)
-    ranked = hits.withColumn("first_pos", F.min(pos).over(same)).withColumn("_n", F.row_number().over(same.orderBy(F.desc(score), pos)))
-    return ranked.where("_n = 1").drop("_n")
+    same, n = Window.partitionBy(*scope, identity), free("_n", hits)
+    ranked = hits.withColumn("first_pos", F.min(pos).over(same)).withColumn(n, F.row_number().over(same.orderBy(F.desc(score), pos)))
+    return ranked.where(F.col(n) == 1).drop(n)
 
 
 def round_robin(streams: list[DataFrame], k: int, scope: list[str], identity: str, pos: str = "pos") -> DataFrame:

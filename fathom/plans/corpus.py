@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fathom.operators import corpus, governance
+from fathom.operators import corpus, governance, terms
 from fathom.params import LATIN
 from fathom.sources import tables
 from pyspark.sql import functions as F
@@ -222,3 +222,41 @@ def relation_boost(spark, sf_dir):
 @query(f"SELECT doc_id, array_to_string(list_filter([{_TOPICS}], lambda x: x IS NOT NULL), ',') AS entities FROM documents")
 def entity_alias_match(spark, sf_dir):
     return tables.documents(spark, sf_dir).select("doc_id", F.array_join(corpus.entity_matches(F.col("content"), LATIN.entities), ",").alias("entities"))
+
+
+_NOTE = """note AS (SELECT l_orderkey, string_agg(said, ', ' ORDER BY l_linenumber, said) AS body FROM (
+  SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN p_name || ' by ' || p_brand ELSE p_name END AS said FROM lineitem JOIN part ON p_partkey = l_partkey) GROUP BY l_orderkey),
+base AS (SELECT DISTINCT p_brand AS topic, p_name AS keyword FROM part),
+found AS (SELECT l_orderkey, t FROM note, (SELECT keyword AS t FROM base UNION SELECT topic FROM base) WHERE contains(body, t))"""
+
+
+def _notes(spark, sf_dir):
+    """Orders as notes that name their parts, and the brand of the first."""
+    lines = tables.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("p_partkey"))
+    parts = tables.table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
+    said = F.when(F.col("l_linenumber") == 1, F.concat_ws(" by ", "p_name", "p_brand")).otherwise(F.col("p_name"))
+    each = lines.join(parts, "p_partkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", said.alias("said")))).alias("s"))
+    return each.select("l_orderkey", F.array_join(F.col("s.said"), ", ").alias("body"))
+
+
+def _parts(spark, sf_dir):
+    """A file a brand, with the names of its parts as keywords."""
+    part = tables.table(spark, sf_dir, "part")
+    return part.groupBy(F.concat("p_brand", F.lit(".txt")).alias("source_file")).agg(F.collect_set("p_name").alias("keywords"))
+
+
+@query(f"""WITH {_NOTE}
+SELECT l_orderkey, coalesce((SELECT string_agg(t || '.txt', ',' ORDER BY t || '.txt') FROM found AS f WHERE f.l_orderkey = note.l_orderkey AND t LIKE 'Brand%'), '') AS files,
+  coalesce((SELECT string_agg(t, ',' ORDER BY t) FROM found AS f WHERE f.l_orderkey = note.l_orderkey), '') AS terms FROM note""")
+def knowledge_base_terms(spark, sf_dir):
+    """What of the knowledge base each note names: every name of a part is a term, and every brand a file."""
+    found = terms.knowledge_terms(_notes(spark, sf_dir), ["l_orderkey"], "body", _parts(spark, sf_dir))
+    return found.select("l_orderkey", F.array_join("files", ",").alias("files"), F.array_join("terms", ",").alias("terms"))
+
+
+@query(f"WITH {_NOTE} SELECT l_orderkey, t AS term, CAST((length(body) - length(replace(body, t, ''))) // length(t) AS BIGINT) AS n FROM found JOIN note USING (l_orderkey)")
+def term_hits(spark, sf_dir):
+    """Every name of a part and of a brand in every note, with its occurrences."""
+    part = tables.table(spark, sf_dir, "part")
+    said = part.select(F.col("p_name").alias("term")).unionByName(part.select(F.col("p_brand").alias("term")))
+    return terms.term_hits(_notes(spark, sf_dir), ["l_orderkey"], "body", said)

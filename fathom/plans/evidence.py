@@ -103,7 +103,7 @@ def graph_global_paths(spark, sf_dir):
 
 
 @query(f"""WITH {_EDGES}, {_LOCAL},
-ranked AS (SELECT path, score, match_source, 0 AS stream, row_number() OVER (ORDER BY score DESC, path) AS pos FROM local QUALIFY pos <= 1000 UNION ALL SELECT path, score, match_source, 1, row_number() OVER (ORDER BY score DESC, path) FROM global),
+ranked AS (SELECT path, score, match_source, 0 AS stream, row_number() OVER (ORDER BY score DESC, path) AS pos FROM local UNION ALL SELECT path, score, match_source, 1, row_number() OVER (ORDER BY score DESC, path) FROM global),
 one AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY pos, stream) AS n FROM ranked)
 SELECT path, score, match_source, row_number() OVER (ORDER BY pos, stream) AS pos FROM one WHERE n = 1""")
 def graph_mixed_paths(spark, sf_dir):
@@ -117,7 +117,7 @@ _TEXT = "concat_ws(' ', source, label, target, description, evidence, source_fil
 
 @query(f"""WITH {_EDGES}, node AS (SELECT source AS id FROM edge UNION SELECT target FROM edge), named AS (SELECT id FROM node WHERE {_NAMED}),
 s AS (SELECT {_PATH} AS path, confidence, (source IN (FROM named))::INT + (target IN (FROM named))::INT AS ends, contains({_TEXT}, 'supplier-1')::INT + contains({_TEXT}, 'near')::INT AS found FROM edge)
-SELECT path, round(least(1, 0.5 * coalesce(confidence, 0.8) + 0.12 * ends + least(0.32, 0.08 * found)), 4)::DOUBLE AS score FROM s WHERE ends + found > 0 ORDER BY score DESC, path LIMIT 1000""")
+SELECT path, round(least(1, 0.5 * coalesce(confidence, 0.8) + 0.12 * ends + least(0.32, 0.08 * found)), 4)::DOUBLE AS score FROM s WHERE ends + found > 0""")
 def graph_literal_paths(spark, sf_dir):
     """Edges by the words of the question, where no vector finds any."""
     return evidence.literal_paths(_nodes(spark, sf_dir), _edges(spark, sf_dir), QUESTION, "region-2", ["supplier-1", "near"]).select("path", "score")

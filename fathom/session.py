@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def session(app: str = "fathom", **conf: str) -> SparkSession:
@@ -30,3 +32,25 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="fathom-"))
     return df.checkpoint()
+
+
+def free(name: str, *taken: DataFrame) -> str:
+    """A column name like ``name`` that none of these tables has, in any case."""
+    names = {c.lower() for df in taken for c in df.columns}
+    while name.lower() in names:
+        name += "_"
+    return name
+
+
+def numbered(df: DataFrame, *order: Column | str, out: str = "pos") -> DataFrame:
+    """Rows with their place (from 1) in an order over the whole table, in two steps: rows are dealt by range of the
+    order, each part numbers its own, and the parts' sizes, one row a part, say where each begins. No task has
+    more than a part. Ties should be told apart by the order; a column named like ``out`` is replaced."""
+    df = df.drop(out)
+    part, before = free("_part", df), free("_before", df)
+    # What is dealt by a sample is written, so that both steps see one dealing.
+    dealt = cut(df.repartitionByRange(*[c if isinstance(c, Column) else F.col(c) for c in order]).withColumn(part, F.spark_partition_id()))
+    sizes = dealt.groupBy(part).agg(F.count("*").alias("_n"))
+    starts = sizes.select(part, F.coalesce(F.sum("_n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(before))
+    own = F.row_number().over(Window.partitionBy(part).orderBy(*order))
+    return dealt.withColumn(out, own).join(F.broadcast(starts), part).withColumn(out, F.col(before) + F.col(out)).drop(part, before)
