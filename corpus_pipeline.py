@@ -7,7 +7,7 @@ every stage but the last returns the columns of documents.
 from __future__ import annotations
 
 from fathom.llm import decontam, jaccard, packing, secrets, toxicity
-from fathom.llm.shared import forget, unused, written
+from fathom.llm.shared import forget, small_batches, unused, written
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +19,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: learn from the labelled documents among these, score all, keep those below the limit.
     Null and empty texts have the model's base rate; repeated rows have one score and go or stay together;
     without labels nothing is toxic."""
+    small_batches(spark)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     out = unused("toxicity", docs)
     return toxicity.score(docs, model, out=out).where(F.col(out) < TOXIC).select(*[F.col(f"`{c}`") for c in docs.columns])
@@ -27,18 +28,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: one document of each group of near copies stays (five-word shingles, similarity 0.8), of repeated
     rows one; null and empty texts are in no group and stay."""
+    small_batches(spark)
     return jaccard.keep_one(docs, settings=jaccard.Settings(words=5, percent=80))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: documents that hold a window of a benchmark item go. Null and empty texts, and all if the
     benchmark is empty, stay."""
+    small_batches(spark)
     return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: secrets are replaced in the text; all documents stay, null and empty texts as they are.
     n_chars, where there is one, is that of the new text (null for null)."""
+    small_batches(spark)
     found = secrets.redact(docs)
     return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else found
 
@@ -46,6 +50,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: pieces of documents, by sequence and offset; a null text is its end id alone, repeated rows
     are documents of their own, no documents give no pieces."""
+    small_batches(spark)
     return packing.pack(docs)
 
 

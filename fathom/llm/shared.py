@@ -31,6 +31,16 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> str:
+    """From now on Arrow batches have at most so many bytes, unless the session says less; what it said before. Spark's
+    own bound, 64 MB, is held several times by every task, in the JVM beside the heap and in the worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    if not before.rstrip("b").isdigit() or int(before.rstrip("b")) > most:
+        spark.conf.set(key, f"{most}b")
+    return before
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/fathom-{uuid.uuid4().hex}/{name}"
 
@@ -38,8 +48,11 @@ def new_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: later jobs start there, not at the sources,
     so a lost executor costs one stage. The files belong to the folder's owner, like checkpoints."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    path, before = new_path(df.sparkSession, name), small_batches(df.sparkSession)
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _WRITTEN[out] = path
     return out
