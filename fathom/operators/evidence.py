@@ -31,8 +31,8 @@ class Found:
     source: str
 
 
-def placed(rows: DataFrame, *order: Column | str) -> DataFrame:
-    return rows.withColumn("pos", F.row_number().over(Window.orderBy(*order)))
+def placed(rows: DataFrame, *order: Column | str, scope: tuple[str, ...] = ()) -> DataFrame:
+    return rows.withColumn("pos", F.row_number().over(Window.partitionBy(*scope).orderBy(*order)))
 
 
 # -- graph ------------------------------------------------------------------------------------------------------------
@@ -163,18 +163,20 @@ def graph_search(chunks: DataFrame, nodes: DataFrame, edges: DataFrame, entity_h
 # -- tools ------------------------------------------------------------------------------------------------------------
 
 
-def with_parents(hits: DataFrame, parents: DataFrame) -> DataFrame:
+def with_parents(hits: DataFrame, parents: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     """Hits of child granularity replaced by their parent, which keeps the child's score and names it; the rest as
     they are. A chunk that comes again stands where it came first, with its best score (the earliest of equals).
 
-    Parents that the reader may not see must not be among ``parents``. Hits are few: they are sent to the parents."""
+    Parents that the reader may not see must not be among ``parents``. The hits of one question are few and are sent to
+    the parents; those of a table of questions (``scope``: what names one) are joined by their measured size."""
     child = F.col("granularity").isin(*CHILDREN) & F.col("parent_chunk_id").isNotNull()
     wanted = hits.where(child).select("document_id", F.col("parent_chunk_id").alias("chunk_id")).distinct()
-    known = parents.join(F.broadcast(wanted), ["document_id", "chunk_id"], "left_semi")
+    known = parents.join(wanted if scope else F.broadcast(wanted), ["document_id", "chunk_id"], "left_semi")
     known = known.select("document_id", F.col("chunk_id").alias("parent_chunk_id"), F.struct("granularity", "source_file", "content").alias("_p")).dropDuplicates(["document_id", "parent_chunk_id"])
     both = hits.join(known, ["document_id", "parent_chunk_id"], "left").withColumn("_up", child & F.col("_p").isNotNull())
     own = lambda c: F.when(F.col("_up"), F.col(f"_p.{c}")).otherwise(F.col(c)).alias(c)
     rows = both.select(
+        *scope,
         "pos",
         F.when(F.col("_up"), F.col("parent_chunk_id")).otherwise(F.col("chunk_id")).alias("chunk_id"),
         "document_id",
@@ -186,17 +188,19 @@ def with_parents(hits: DataFrame, parents: DataFrame) -> DataFrame:
         F.when(F.col("_up"), F.col("chunk_id")).alias("matched_chunk_id"),
         F.when(F.col("_up"), F.col("granularity")).alias("matched_granularity"),
     )
-    once = retrieval.exact_dedup(rows, [], "chunk_id", "score", "pos")
-    return placed(once.drop("pos"), "first_pos").drop("first_pos")
+    once = retrieval.exact_dedup(rows, list(scope), "chunk_id", "score", "pos")
+    return placed(once.drop("pos"), "first_pos", scope=scope).drop("first_pos")
 
 
-def without_near_copies(hits: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """Hits of which none nearly repeats an earlier one of its document (or file, or itself, where it has none)."""
-    scope = F.coalesce(F.nullif("document_id", F.lit("")), F.nullif("source_file", F.lit("")), F.concat(F.lit("row:"), F.col("pos").cast("string")))
-    rows = hits.withColumn("_scope", scope)
+def without_near_copies(hits: DataFrame, threshold: float = 0.85, scope: tuple[str, ...] = ()) -> DataFrame:
+    """Hits of which none nearly repeats an earlier one of its document (or file, or itself, where it has none), for
+    each question (``scope``)."""
+    where = F.coalesce(F.nullif("document_id", F.lit("")), F.nullif("source_file", F.lit("")), F.concat(F.lit("row:"), F.col("pos").cast("string")))
+    rows = hits.withColumn("_scope", F.to_json(F.struct(*scope, where.alias("_where"))))
     kept = retrieval.near_dup_greedy(rows, "_scope", "chunk_id", "content", "score", "pos", threshold)
-    payload = hits.drop("pos", "score")
-    return placed(kept.select("chunk_id", "score", F.col("pos").alias("_pos")).join(payload, "chunk_id"), "_pos").drop("_pos")
+    payload = rows.drop("pos", "score")
+    once = kept.select("_scope", "chunk_id", "score", F.col("pos").alias("_pos")).join(payload, ["_scope", "chunk_id"])
+    return placed(once, "_pos", scope=scope).drop("_pos", "_scope")
 
 
 def _finished(hits: DataFrame, parents: DataFrame, k: int, threshold: float) -> DataFrame:

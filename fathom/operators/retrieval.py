@@ -21,7 +21,7 @@ def entity_score(text: Column, entities: list[str]) -> Column:
     """Share of the entities that a text contains."""
     if not entities:
         return F.lit(0.0)
-    return F.least(F.lit(1.0), sum(F.contains(text, F.lit(e)).cast("double") for e in entities) / len(entities))
+    return F.least(F.lit(1.0), sum(F.coalesce(F.contains(text, F.lit(e)), F.lit(False)).cast("double") for e in entities) / len(entities))
 
 
 def vector_search(

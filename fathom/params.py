@@ -64,9 +64,11 @@ COMBINATIONS = {
 
 
 def evaluation_profiles(settings: RetrievalSettings) -> dict[str, RetrievalSettings]:
-    """Profiles to compare, the baseline first: no switch, each alone, and the combinations."""
+    """Profiles to compare, the baseline first: no switch, each alone, and the combinations. Parent context takes
+    parts of documents, so it brings them along."""
     named = {"baseline_new_retrieval": ()} | {s: (s,) for s in SWITCHES} | COMBINATIONS
-    return {name: settings.with_switches(*on) for name, on in named.items()}
+    more = lambda on: ("multi_vector_enabled",) if "parent_context_enabled" in on else ()
+    return {name: settings.with_switches(*on, *more(on)) for name, on in named.items()}
 
 
 @dataclass(frozen=True)

@@ -34,7 +34,7 @@ def _units(spark, sf_dir):
 
 
 def _parents(units):
-    return units.where("doc_id < 60").select(F.concat(F.lit("up"), F.col("doc_id").cast("string")).alias("chunk_id"), "document_id", F.lit("document").alias("granularity"), "source_file", "content")
+    return units.select(F.concat(F.lit("up"), F.col("doc_id").cast("string")).alias("chunk_id"), "document_id", F.lit("document").alias("granularity"), "source_file", "content")
 
 
 def _allowed(spark, sf_dir, units):
