@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from fathom.operators import batch, evaluation
+from fathom.operators import batch, evaluation, governance, index
 from fathom.params import LATIN, RetrievalSettings, evaluation_profiles
-from fathom.session import cut
+from fathom.session import cut, shared_path
 from fathom.sources import tables
 from pyspark.sql import functions as F
 
 from . import evidence
-from .registry import query
+from .registry import SQL, query
 
 SETTINGS = RetrievalSettings(top_k=3, min_score=0.3, candidate_k=20)
 #: The profiles whose rules SQL can express; the fold of near copies isn't one.
@@ -153,3 +153,37 @@ def evaluation_sweep(spark, sf_dir):
     )
     scored = batch.sweep(hits, cases, settings, ["nothing found"])
     return evaluation.profile_summary(scored, ["profile"]).select("profile", "question_count", "success_rate", "source_hit_rate", "avg_reference_count", "avg_reference_score", "recall_at_5", "mrr_at_10", "citation_precision")
+
+
+@query(f"""SELECT q.vec_id AS question_id, e.vec_id AS chunk_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS vector_score,
+  row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id) AS pos
+FROM embeddings AS q, embeddings AS e WHERE q.vec_id % 50 = 0 AND (e.vec_id % 3 <> 0 OR e.vec_id % 5 IN (1, 2)) QUALIFY pos <= 10""")
+def vector_index_search(spark, sf_dir):
+    """The ten nearest of every fiftieth vector among those that a reader may see, from an inverted file, exactly."""
+    rows, path = tables.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"), shared_path(spark, "vectors")
+    index.build_vectors(rows, path)
+    questions = rows.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("question_id"), F.col("embedding").alias("query"))
+    rules = tables.access(rows.select(F.col("chunk_id").alias("doc_id")))
+    allowed = governance.allowed(rules, "someone", ["r1", "r2"], []).select(F.col("doc_id").alias("chunk_id"))
+    found = index.search_vectors(spark, path, questions, 10, probes=4, exact=True, allowed=allowed)
+    return found.withColumn("vector_score", F.round("vector_score", 6))
+
+
+def _postings(spark, sf_dir):
+    units, path = evidence._units(spark, sf_dir), shared_path(spark, "postings")
+    index.build_postings(units, path)
+    return path, units, _questions(spark, sf_dir)
+
+
+@query(SQL["keyword_batch"])
+def keyword_index_search(spark, sf_dir):
+    """``keyword_batch`` from postings."""
+    found = index.keyword_index_search(spark, *_postings(spark, sf_dir), 20)
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query(SQL["term_batch"])
+def term_index_search(spark, sf_dir):
+    """``term_batch`` from postings."""
+    found = index.term_index_search(spark, *_postings(spark, sf_dir), 20)
+    return found.withColumn("score", F.round("score", 6))

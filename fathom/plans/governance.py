@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from fathom.operators import governance
-from fathom.session import cut
+from fathom.session import cut, shared_path
 from fathom.sources import tables
+from fathom.sources.store import Store
 from fathom.streaming import sessions
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -219,3 +220,20 @@ def approx_distinct_users(spark, sf_dir):
 def window_moving_sum(spark, sf_dir):
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(-2, 0)
     return tables.table(spark, sf_dir, "orders").select("o_orderkey", F.round(F.sum("o_totalprice").over(w), 2).alias("moving"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'F' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderstatus = 'P' THEN round(o_totalprice * 2, 2) ELSE o_totalprice END AS o_totalprice, CASE o_orderstatus WHEN 'P' THEN 2 WHEN 'O' THEN 3 ELSE 1 END AS batch
+FROM orders WHERE NOT (o_orderstatus = 'F' AND o_orderpriority = '5-LOW')
+UNION ALL SELECT -1 - c_custkey, 'N', c_acctbal, 3 FROM customer""")
+def store_upsert(spark, sf_dir):
+    """Orders in a keyed store: all of them, then those of one status anew, then those of another, customers, and deletes."""
+    store = Store(spark, shared_path(spark, "store"), ("o_orderkey",), 16)
+    orders = tables.table(spark, sf_dir, "orders")
+    status = F.col("o_orderstatus")
+    rows = orders.select("o_orderkey", "o_orderstatus", "o_totalprice", F.lit(1).alias("batch"))
+    store.replace(rows)
+    store.upsert(rows.where(status == "P").select("o_orderkey", F.lit("F").alias("o_orderstatus"), F.round(F.col("o_totalprice") * 2, 2).alias("o_totalprice"), F.lit(2).alias("batch")))
+    customers = tables.table(spark, sf_dir, "customer").select((-1 - F.col("c_custkey")).alias("o_orderkey"), F.lit("N").alias("o_orderstatus"), F.col("c_acctbal").alias("o_totalprice"), F.lit(3).alias("batch"))
+    late = rows.where(status == "O").withColumn("batch", F.lit(3)).unionByName(customers)
+    store.upsert(late, orders.where((status == "F") & (F.col("o_orderpriority") == "5-LOW")).select("o_orderkey"))
+    return store.read()

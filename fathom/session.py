@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,17 +24,27 @@ def session(app: str = "fathom", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A table computed once for several uses, in the folder that the cluster names for checkpoints (in local
-    tests without one, a temporary folder), so a lost executor doesn't lose it."""
-    context = df.sparkSession.sparkContext
+def _checkpoint_folder(spark: SparkSession) -> str:
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="fathom-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A table computed once for several uses, in the folder that the cluster names for checkpoints (in local
+    tests without one, a temporary folder), so a lost executor doesn't lose it."""
+    _checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder where the cluster keeps checkpoints, which driver and executors share."""
+    return f"{_checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def free(name: str, *taken: DataFrame) -> str:
     """A column name like ``name`` that none of these tables has, in any case."""
     names = {c.lower() for df in taken for c in df.columns}
