@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import only, written
+from .shared import only, task, written
 from .tokens import portions
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
@@ -365,6 +365,7 @@ def extract(
         sent = None
         rows = rows.join(references, "host", "left")
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("shapes", _SHAPES, _MATCHED)
         trees: dict[str, tuple[Node, dict[int, int]]] = {}

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components, extended
-from .shared import forget, only, unused, with_classes, written
+from .shared import forget, only, task, unused, with_classes, written
 from .tokens import portions
 
 
@@ -51,7 +51,7 @@ def shingles(text: str | None, words: int = 4) -> np.ndarray:
     if not split:
         return np.array([], np.uint64)
     known = _HASHES
-    if len(known) > 250_000:
+    if len(known) > 100_000:
         known.clear()
     hashes = []
     for w in split:
@@ -106,6 +106,7 @@ def _frequent(docs: DataFrame, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     saw twice; the sums above the limit count as frequent. Any choice of them gives the same links; a good one
     keeps lists short. The list is bounded by max_frequent."""
 
+    @task
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def counted(held: list[np.ndarray]) -> pa.RecordBatch:
             values, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -138,6 +139,7 @@ def _sets(docs: DataFrame, s: Settings, frequent: tuple[np.ndarray, np.ndarray])
     """id, n, digest, prefix (in order, longer by one for subsets), parities and sketch of each document's set."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("shingles", _HASHES)
         common, counts = sent.value
@@ -196,6 +198,7 @@ def _near(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     both = pairs.join(own.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("parities").alias("pa")), "a")
     both = both.join(own.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("parities").alias("pb")), "b")
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, reach, na, x, nb, y = (batch.column(i) for i in range(7))
@@ -226,6 +229,7 @@ def _measured(pairs: DataFrame, sets: DataFrame, docs: DataFrame, s: Settings, n
     texts = docs.join(F.broadcast(keys) if small else keys, docs["id"].eqNullSafe(keys["id"]) & (docs["text_hash"] == keys["text_hash"]))
     texts = texts.select("cid", "text")
 
+    @task
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("shingles", _HASHES)
         seen: set[int] = set()  # copies of a text have one set; what is left is dropped below
@@ -243,6 +247,7 @@ def _measured(pairs: DataFrame, sets: DataFrame, docs: DataFrame, s: Settings, n
     members = written(texts.mapInArrow(make, "cid long, members binary").dropDuplicates(["cid"]), f"{name}-members")
     both = pairs.join(members.select(F.col("cid").alias("a"), F.col("members").alias("x")), "a").join(members.select(F.col("cid").alias("b"), F.col("members").alias("y")), "b")
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shared, union = [], []

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import forget, only, written
+from .shared import forget, only, task, written
 from .tokens import portions
 
 #: Mixes code points into one hash, and that into the filter's places: odd numbers of 64 bits.
@@ -121,6 +121,7 @@ def learn(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_i
     chosen = marked.join(cuts, "lang").where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30)) < F.col("cut"))
     sample = chosen.groupBy("id", "number").agg(F.min("text").alias("text")).select("number", "text")
 
+    @task
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("language", _LETTERS)
         for batch in batches:
@@ -139,6 +140,7 @@ def learn(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_i
     bits = max(s.slice_bits, math.ceil(math.log2(s.hashes * most / -math.log1p(-s.fill))))
     places, width, low = 1 << bits, -(-len(languages) // 8), (1 << s.slice_bits) - 1
 
+    @task
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             number = batch.column(1)
@@ -185,6 +187,7 @@ def identify(docs: DataFrame, filters: Filters, text_col: str = "text", out: str
     rows = docs.select("*", F.col(f"`{text_col}`").cast("string")).toDF(*[f"c{i}" for i in range(len(docs.columns) + 1)])  # names with dots, too
     sent, docs_names = docs.sparkSession.sparkContext.broadcast(filters), docs.columns
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("language", _LETTERS)
         f = sent.value

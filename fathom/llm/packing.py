@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import with_partition_offsets, written
+from .shared import task, with_partition_offsets, written
 from .tokens import encoder, portions
 
 DIMENSIONS, BITS, HASHED = 3, 10, 4096
@@ -83,6 +83,7 @@ def pack(
     """
     signs = projection()
 
+    @task
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = encoder(tokenizer)
         for batch in batches:
@@ -92,6 +93,7 @@ def pack(
                 columns = [rows.column(0), rows.column(1), pa.array(curve_keys(ids, bounds, signs)), pa.array(np.diff(bounds)), binary]
                 yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "curve", "doc_tokens", "ids"])
 
+    @task
     def running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, total = TaskContext.get().partitionId(), 0
         for batch in batches:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .decontam import words
-from .shared import forget, only, written
+from .shared import forget, only, task, written
 from .tokens import portions
 
 #: Bytes of a term: digits, letters in lower case, and all of non-ASCII characters; others end it.
@@ -127,6 +127,7 @@ def _counts(docs: DataFrame, terms: list[str]) -> DataFrame:
     """id, n (its terms), terms, counts of each document; the sorted terms asked for go out once to each worker."""
     sent = docs.sparkSession.sparkContext.broadcast(terms)
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("search")
         vocabulary = pa.array(sent.value, pa.large_string())
@@ -143,6 +144,7 @@ def _counts(docs: DataFrame, terms: list[str]) -> DataFrame:
 def _frequencies(counts: DataFrame, size: int) -> DataFrame:
     """term, df: one row a term and task before the shuffle."""
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
@@ -157,6 +159,7 @@ def _candidates(counts: DataFrame, block: _Block, s: Settings) -> DataFrame:
     """item (in the block), id, score: at most the k best of each item from every task."""
     sent = counts.sparkSession.sparkContext.broadcast(block)
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("search")
         k: _Block = sent.value
@@ -187,6 +190,7 @@ def _leading(rows: DataFrame, k: int) -> DataFrame:
     spread over parts, however many tasks gave some."""
     order = [F.col("row"), F.desc("score"), F.asc_nulls_last("id")]
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, seen = None, 0
         for batch in batches:

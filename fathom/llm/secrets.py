@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import only
+from .shared import only, task
 from .tokens import portions, ranks_of
 
 KINDS = ("assign", "access", "hex", "random")
@@ -82,6 +82,7 @@ def scan(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", max_ratio:
     portions of some MB.
     """
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _ready(vocabulary)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -117,6 +118,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", vocabulary: str = "byte_bpe_
     Null texts stay null, empty ones empty, repeated rows as often as they came; other columns aren't touched,
     whatever their names. Rows are read once, without a shuffle."""
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _ready(vocabulary)
         for batch in batches:

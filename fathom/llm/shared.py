@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
+from functools import wraps
 from weakref import WeakKeyDictionary
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -77,6 +81,26 @@ def only(owner: str, *caches) -> None:
                 cache.clear()
 
 
+def released() -> None:
+    """Give back the freed memory that this process's allocators hold."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def task(run):
+    """A function over the batches of a task, behind which the worker, which stays for others, is as small as can be."""
+
+    @wraps(run)
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            released()
+
+    return whole
+
+
 def unused(name: str, *taken: DataFrame) -> str:
     """A column name like ``name`` that none of these tables has, in any case."""
     names = {c.lower() for df in taken for c in df.columns}

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import with_partition_offsets
+from .shared import task, with_partition_offsets
 from .tokens import encoder, portions
 
 _FILE = "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>"
@@ -39,6 +39,7 @@ def write_token_files(
     gives no rows. Other columns aren't read. The texts cross one shuffle and are encoded after it.
     """
 
+    @task
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, part, total = encoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
@@ -74,6 +75,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 def token_digests(rows: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and the crc32 of the ids as little-endian unsigned 32-bit integers."""
 
+    @task
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(3)
