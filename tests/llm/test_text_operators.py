@@ -1,5 +1,6 @@
 """Decontamination, near copies, secrets, toxicity, licenses and the pipeline against plain versions."""
 
+import math
 import random
 import re
 from collections import defaultdict
@@ -282,3 +283,69 @@ def test_pipeline(spark, tmp_path):
     for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
         pieces[r["doc_id"]] += r["length"]
     assert set(pieces) == set(texts)
+
+
+def plain_ftrl(rows, s, weight):
+    """Per-coordinate FTRL-proximal with dictionaries, one feature after the other."""
+    z, n, zb, nb = {}, {}, 0.0, 0.0
+
+    def w(i):
+        zi = z.get(i, 0.0)
+        return 0.0 if abs(zi) <= s.l1 else (math.copysign(s.l1, zi) - zi) / ((s.beta + math.sqrt(n.get(i, 0.0))) / s.alpha + s.l2)
+
+    for _ in range(s.epochs):
+        for features, y in rows:
+            wb = -zb * s.alpha / (s.beta + math.sqrt(nb))
+            now = {i: w(i) for i in features}
+            g = (1 / (1 + math.exp(-(sum(now.values()) + wb))) - y) * weight[y]
+            for i in features:
+                before = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(before + g * g) - math.sqrt(before)) / s.alpha * now[i]
+                n[i] = before + g * g
+            zb += g - (math.sqrt(nb + g * g) - math.sqrt(nb)) / s.alpha * wb
+            nb += g * g
+    return {i: w(i) for i in z if w(i)}, -zb * s.alpha / (s.beta + math.sqrt(nb))
+
+
+def toxic_rows(n, seed=3):
+    rng = random.Random(seed)
+    bad, good = ["vile", "rotten", "scum"], ["tea", "garden", "river", "stone", "of", "the"]
+    rows = []
+    for i in range(n):
+        y = int(rng.random() < 0.3)
+        rows.append((i, " ".join(rng.choices(good, k=rng.randint(3, 20)) + (rng.choices(bad, k=2) if y else [])), y))
+    return rows
+
+
+def test_toxicity_learns_as_plain_ftrl_does(spark):
+    rows = toxic_rows(150)
+    for s in (toxicity.Settings(), toxicity.Settings(alpha=0.3, l1=0.5, l2=0.1, epochs=2)):
+        m = toxicity.fit_rows([t for _, t, _ in rows], [y for *_, y in rows], s, {0: 0.8, 1: 1.7})
+        weights, bias = plain_ftrl([(toxicity.features(t).tolist(), y) for _, t, y in rows], s, {0: 0.8, 1: 1.7})
+        assert dict(zip(m.indices.tolist(), m.weights.tolist())).keys() == weights.keys() and m.bias == pytest.approx(bias)
+        assert all(w == pytest.approx(weights[i]) for i, w in zip(m.indices.tolist(), m.weights.tolist()))
+    # The features are words, pairs, and pairs with one word between, each by one hash.
+    assert len(toxicity.features("a b c a b")) == 3 + 3 + 3 and len(toxicity.features("one")) == 1
+
+
+def test_toxicity_in_spark_is_that_of_its_sample(spark):
+    rows = toxic_rows(80) + [(900, None, 1), (901, "", 0), (902, "tea " * 40_000, 0), (902, "tea " * 40_000, 0), (None, "vile", 1), (903, "vile", None)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t, _ in rows], "doc_id long, text string, _y string").repartition(3)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(5, 1 - rows[5][2])], "doc_id long, toxic int")
+    s = toxicity.Settings(l1=0.5)
+    m = toxicity.train(docs, labels, s)
+    known = {i: (t, y) for i, t, y in rows if i is not None and y is not None} | {5: (rows[5][1], 1)}
+    order = {r["i"]: r["o"] for r in spark.createDataFrame([(i,) for i in known], "i long").selectExpr("i", "xxhash64(i, 12) as o").collect()}
+    texts = [known[i] for i in sorted(known, key=lambda i: order[i])]
+    plain = toxicity.fit_rows([t for t, _ in texts], [y for _, y in texts], s)
+    assert m.indices.tolist() == plain.indices.tolist() and m.weights == pytest.approx(plain.weights) and m.bias == pytest.approx(plain.bias)
+    few = toxicity.train(docs, labels, toxicity.Settings(max_features=600, l1=0.0))
+    assert 0 < len(few.indices) < len(toxicity.train(docs, labels, toxicity.Settings(l1=0.0)).indices)  # the bound is on features, too
+    assert toxicity.train(docs.limit(0), labels).bias == 0.0
+
+
+def test_cross_validation_prefers_what_predicts(spark):
+    rows = toxic_rows(300)
+    docs, labels = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    got = {r["setting"]: r for r in toxicity.cross_validate(docs, labels, [toxicity.Settings(), toxicity.Settings(l1=1e6)], folds=3).collect()}
+    assert got[0]["recall"] > 0.95 and got[0]["false_alarms"] < 0.05 and got[0]["weights"] > 0 and got[1]["weights"] == 0
