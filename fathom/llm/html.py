@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import only, task, written
+from .shared import only, task, with_classes, written
 from .tokens import portions
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
@@ -40,8 +40,11 @@ _NOISE = frozenset(
     "sidebar rail menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar comment comments commentlist disqus reply replies respond share sharing social related recommended recommendations "
     "teaser widget pagination pager toolbar login signup signin search contentinfo complementary".split()
 )
-#: Of these the first word of a name says enough, such as comments-list.
+#: Of these a name of several words, with one of them last, can be a part of the article: what it holds decides.
+_WEAK = frozenset("search widget comment related recommended recommendations teaser rail alert login signup signin promo promotion toolbar reply respond sponsor sponsored".split())
+#: Of these the first word of a name says enough where only words for parts and places follow, as in comments-list.
 _FIRST = frozenset("ad ads advert adverts advertisement cookie cookies gdpr newsletter sidebar navbar breadcrumb breadcrumbs footer masthead comment comments commentlist disqus pagination".split())
+_PARTS = frozenset("list item items form thread header title count counter body text content author meta slot unit bar link links group row rows column col cell card panel zone space placeholder frame label button toggle new all more".split())
 #: Words before or behind a name that say something about another element, or where one stands.
 _ABOUT, _STATE, _WHERE = frozenset("has have with without no not hide show is".split()), frozenset("open opened closed enabled disabled on off visible active allowed".split()), frozenset("left right top bottom box area section block container wrapper list inner outer".split())
 
@@ -56,14 +59,18 @@ class Node:
         return [k for k in self.kids if isinstance(k, Node)]
 
 
-def _names_noise(name: str) -> bool:
-    """Whether a class or id names something beside the article, as a whole or by its deciding word."""
+def _names_noise(name: str) -> str:
+    """Whether a class or id names something beside the article, as a whole or by its deciding word: noise, maybe
+    (what it holds decides) or nothing."""
     words = [w.lower() for w in _SAYS.findall(name) if not w.isdigit()]
     if not words or words[0] in _ABOUT or words[-1] in _STATE:
-        return False
+        return ""
+    first = words[0] in _FIRST and all(w in _PARTS or w in _WHERE or w in _NOISE for w in words[1:])
     while len(words) > 1 and words[-1] in _WHERE:
         words.pop()
-    return words[-1] in _NOISE or words[0] in _FIRST
+    if first or words[-1] in _NOISE and (len(words) == 1 or words[-1] not in _WEAK):
+        return "noise"
+    return "maybe" if words[-1] in _NOISE else ""
 
 
 def _says(attributes: str) -> frozenset:
@@ -76,11 +83,11 @@ def _says(attributes: str) -> frozenset:
         if name in ("class", "id", "role", "itemprop"):
             for one in value.split():
                 said.add(one.lower())
-                if _names_noise(one):
-                    said.add("\0noise")
+                if found := _names_noise(one):
+                    said.add(f"\0{found}")
                 elif name != "itemprop" and [w.lower() for w in _SAYS.findall(one)][-1:] == ["header"]:
                     said.add("\0header")
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
+        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
             said.add("\0hidden")
     return frozenset(said)
 
@@ -130,11 +137,26 @@ def _noise(node: Node, inside: bool, lenient: bool = False) -> bool:
     """Whether an element isn't part of the article. Lenient: names and forms don't count, as the article is in one."""
     if node.tag in ("html", "body"):
         return False
-    if lenient and (node.tag == "form" or not node.says.isdisjoint(("\0noise", "\0header")) and "\0hidden" not in node.says):
+    if lenient and (node.tag == "form" or not node.says.isdisjoint(("\0noise", "\0maybe", "\0header")) and "\0hidden" not in node.says):
         return False
+    if "\0maybe" in node.says and not (inside and _prose(node)):
+        return True
     return node.tag in _DROP or "\0hidden" in node.says or "\0noise" in node.says or (not inside and (node.tag == "header" or "\0header" in node.says))
 
 
+def _prose(node: Node, least: int = 20) -> bool:
+    """Whether an element has paragraphs of so many words beside links."""
+    n, todo = 0, [(node, False)]
+    while todo and n < least:
+        top, paragraph = todo.pop()
+        for k in top.kids:
+            if isinstance(k, str):
+                n += len(k.split()) if paragraph else 0
+            elif k.tag != "a" and k.tag not in _DROP and k.says.isdisjoint(("\0noise", "\0hidden")):
+                todo.append((k, paragraph or k.tag in ("p", "blockquote")))
+    return n >= least
+
+
 def _length(node: Node) -> int:
     n, todo = 0, [node]
     while todo:
@@ -147,30 +169,28 @@ def _length(node: Node) -> int:
 
 
 def content_root(root: Node) -> tuple[list[Node], bool]:
-    """The article: of the elements named so the one with the most text, and its brothers that are articles too;
-    else the main element, else the whole page. Where all articles are in noise, as in a page that is one
+    """The article: all elements named so, wherever they stand, if any has text; else the main element with the most
+    text, else the whole page. Where all articles are in noise, as in a page that is one
     form, that noise is looked through."""
     for lenient in (False, True):
-        articles: list[tuple[Node, Node]] = []
-        mains: list[tuple[Node, Node]] = []
+        articles: list[Node] = []
+        mains: list[Node] = []
         todo = [root]
         while todo:
-            node = todo.pop()
-            inner = []
-            for k in node.elements():
-                if not _noise(k, False, lenient):
-                    if k.tag == "article" or "articlebody" in k.says:
-                        articles.append((k, node))
-                    else:
-                        if k.tag == "main" or "main" in k.says:
-                            mains.append((k, node))
-                        inner.append(k)
-            todo += reversed(inner)
-        for some in (articles, mains):
-            if some:
-                best, above = max(some, key=lambda x: _length(x[0]))
-                if _length(best):
-                    return [k for k, n in some if n is above and (k is best or k.tag == "article")], True
+            k = todo.pop()
+            if k is not root:
+                if _noise(k, False, lenient):
+                    continue
+                if k.tag == "article" or "articlebody" in k.says:
+                    articles.append(k)
+                    continue
+                if k.tag == "main" or "main" in k.says:
+                    mains.append(k)
+            todo += reversed(k.elements())
+        if any(_length(k) for k in articles):
+            return articles, True
+        if mains and _length(best := max(mains, key=_length)):
+            return [best], True
     return [root], False
 
 
@@ -347,12 +367,12 @@ def extract(
     """id, url, text, n_chars of each page's main text: blocks in page order, joined by an empty line.
 
     A text is template if at least ``share`` of a host's different pages, ``least_pages`` of them or more,
-    have it in the same place; it goes from a page only while more of the article than that is left, so that
-    copies of one page, in any number, keep their text. Null and empty pages have no text; pages whose URL is
+    have it in the same place. It goes from all pages of which anything varies, however short that is; a page
+    that is template throughout keeps its text. Copies of one page, in any number, count as one page. Null and empty pages have no text; pages whose URL is
     null have no host and no template; repeated rows stay. All pages are aligned, counted and extracted whole.
 
     One reference page a host is chosen by hash, a page of some length if there is one. The references go to the workers together while they are
-    small (measured), else with the pages of their host; templates likewise.
+    small (measured), else by a join that keeps hosts of many pages out of the shuffle; templates likewise.
     """
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), F.xxhash64(html_col).alias("h"), F.col(html_col).alias("html"))
@@ -362,8 +382,9 @@ def extract(
         sent = pages.sparkSession.sparkContext.broadcast({r["host"]: r["reference"] for r in references.toLocalIterator()})
         rows = rows.withColumn("reference", F.lit(None).cast("string"))
     else:
-        sent = None
-        rows = rows.join(references, "host", "left")
+        sent, known = None, F.col("host") != ""
+        known = known & F.col("html").isNotNull()
+        rows = with_classes(rows.where(known), references, "host").unionByName(rows.where(~known).withColumn("reference", F.lit(None).cast("string")))
 
     @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -396,11 +417,12 @@ def extract(
     seen = different.select("host", F.explode(F.array_distinct("at")).alias("at")).groupBy("host", "at").agg(F.count("*").alias("n"))
     fixed = seen.join(counts, "host").where((F.col("pages") >= least_pages) & (F.col("n") >= F.col("pages") * share))
     template = written(fixed.groupBy("host").agg(F.collect_list("at").alias("template")), "templates")  # at most the places of one page, by 1 / share
-    small = template.count() <= broadcast_rows
-    out = cut.join(F.broadcast(template) if small else template, "host", "left")
+    if template.count() <= broadcast_rows:
+        out = cut.join(F.broadcast(template), "host", "left")
+    else:  # every host as a class, those of many pages apart from the rest
+        out = with_classes(cut, cut.select("host").distinct().join(template, "host", "left"), "host")
     varying = F.expr("filter(blocks, b -> not coalesce(array_contains(template, struct(b.place as place, b.hash as hash)), false))")
-    chars = lambda c: F.aggregate(c, F.lit(0), lambda acc, b: acc + F.length(b["text"]))
-    kept = F.when(2 * chars(F.col("varying")) > chars(F.col("blocks")), F.col("varying")).otherwise(F.col("blocks"))
+    kept = F.when(F.size("varying") > 0, F.col("varying")).otherwise(F.col("blocks"))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n\n")
     return out.withColumn("varying", varying).select(F.col("id").alias(id_col), F.col("url").alias(url_col), text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 

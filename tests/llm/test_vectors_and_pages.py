@@ -153,3 +153,81 @@ def test_common_direction_and_dense_groups_keep_their_links(spark):
         found = (sum(got[i]["n_links"] for i in range(900)) - copies.sum()) / 2
         assert found >= 0.9 * want
     assert neardup.cluster(table.limit(0)).count() == 0
+
+
+def test_parts_of_an_article_are_not_judged_by_one_word():
+    prose = "<p>" + "a long sentence that tells what the story is about " * 3 + "</p>"
+    for name in ("ad-hoc", "cookie-recipe", "section-comment", "post-search", "main-widget"):
+        assert len(extracted(f"<article><p>one</p><div class='{name}'>{prose}</div></article>")) == 2, name
+    for name in ("comments-list", "ad-slot", "cookie-notice", "newsletter-form", "share", "notice", "user-comments", "main-nav"):
+        assert extracted(f"<article><p>one</p><div class='{name}'>{prose}</div></article>") == ["one"], name
+    assert extracted("<article><p>one</p><div class='post-search'><p>find</p></div></article>") == ["one"]
+    assert extracted("<article><p style='DISPLAY: None'>no</p><p>one</p></article>") == ["one"]
+    assert extracted("<div class=row><div><article>A</article></div><div><article>B</article></div></div>") == ["A", "B"]
+    assert extracted("<main><p>short</p></main><div><main><p>a longer one</p></main></div>") == ["a longer one"]
+
+
+def plain_extract(rows, references, share=0.6, least=4):
+    """Template by counting, page by page: (id, text) of rows (id, host, html) with a reference page a host."""
+    seen, counts = {}, {}
+    for _, host, page in rows:
+        if host and page is not None and page not in seen.setdefault(host, {}):
+            found = cut(page, references[host])
+            seen[host][page] = found
+            for at in set(found):
+                if at[0] >= 0:
+                    counts[host, at] = counts.get((host, at), 0) + 1
+    out = []
+    for i, host, page in rows:
+        found = cut(page, references.get(host)) if page is not None else []
+        pages = len(seen.get(host, ()))
+        varying = [b for b in found if not (pages >= least and counts.get((host, b), 0) >= share * pages)]
+        out.append((i, "\n\n".join(t for _, t in varying or found)))
+    return out
+
+
+def cut(page, reference):
+    tree, place = html.parse(page), {}
+    if reference is not None:
+        other = html.parse(reference)
+        place = html.places(tree, other, html.numbered(other))
+    return html.blocks(tree, place)
+
+
+def with_references(spark, rows):
+    """The reference page of each host: of those of some length the one with the least hash."""
+    table = spark.createDataFrame([(h, p) for _, h, p in rows if h and p is not None], "host string, html string")
+    return {r["host"]: r["m"][2] for r in table.groupBy("host").agg({"html": "count"}).select("host").join(table.selectExpr("host", "struct(length(html) < 200, xxhash64(html), html) as s").groupBy("host").agg({"s": "min"}).withColumnRenamed("min(s)", "m"), "host").collect()}
+
+
+def test_pages_equal_plain_counting(spark):
+    import random
+
+    rng, rows = random.Random(9), []
+    words = lambda n: " ".join(rng.choice(["sea", "hill", "road", "lamp", "tree"]) + str(rng.randrange(90)) for _ in range(n))
+    for host, n in (("a.org", 12), ("b.org", 3), ("c.org", 9)):
+        above, below = words(30), words(40)
+        for i in range(n):
+            story = "".join(f"<p>{words(rng.randrange(3, 9))}</p>" for _ in range(rng.randrange(1, 4)))
+            rows.append((len(rows), host, f"<body><div>{above}</div><div class=x>{story}</div><div>{below}</div></body>"))
+    rows += [(len(rows) + j, "a.org", rows[0][2]) for j in range(20)]  # copies of one page count once
+    rows += [(100, "a.org", None), (101, "a.org", ""), (102, None, "<p>alone</p>"), (103, "d.org", "<p>one</p>")]
+    table = spark.createDataFrame([(i, h and f"https://{h}/p{i}", p, "x") for i, h, p in rows], "page_id long, url string, html string, host string")
+    got = sorted((r["page_id"], r["text"]) for r in html.extract(table).collect())
+    assert got == sorted(plain_extract(rows, with_references(spark, rows)))
+    joined = html.extract(table, max_reference_bytes=0, broadcast_rows=0)
+    assert got == sorted((r["page_id"], r["text"]) for r in joined.collect())
+    short = [t for i, t in got if rows[i][1] == "a.org"] if len(got) > 50 else [t for _, t in got[:12]]
+    assert all(len(t) < 200 for t in short[:12])  # the story alone, though most of the page is template
+
+
+def test_pages_query_equals_plain_counting(spark):
+    import re
+
+    import pyarrow.parquet as pq
+    from fathom.llm.queries import QUERIES
+
+    pages = pq.read_table("/root/testdata/sf0.001/pages.parquet").to_pylist()
+    rows = [(r["page_id"], re.match(r"[a-z]+://([^/:?#]*)", r["url"] or "")[1].lower(), r["html"]) for r in pages]
+    got = {r["page_id"]: r["text"] for r in QUERIES["op5_html_extraction"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == dict(plain_extract(rows, with_references(spark, rows)))
