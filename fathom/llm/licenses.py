@@ -13,6 +13,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import written
+
 # Equivalent spellings, as licence matching guidelines list them.
 SPELLINGS = {
     "licence": "license", "licenced": "licensed", "sub license": "sublicense", "noninfringement": "non infringement", "merchantibility": "merchantability",
@@ -73,10 +75,12 @@ def canonical(text: Column) -> Column:
 
 
 def _spelled(lowered: Column) -> Column:
-    out = F.concat(F.lit(" "), F.trim(F.regexp_replace(lowered, SEPARATORS, " ")), F.lit(" "))
+    # Two spaces between words: each has its own on either side, so a word that repeats is found every time.
+    wide = lambda words: f" {words.replace(' ', '  ')} "
+    out = F.concat(F.lit(" "), F.trim(F.regexp_replace(lowered, SEPARATORS, "  ")), F.lit(" "))
     for old, new in SPELLINGS.items():
-        out = F.replace(out, F.lit(f" {old} "), F.lit(f" {new} "))
-    return out
+        out = F.replace(out, F.lit(wide(old)), F.lit(wide(new)))
+    return F.replace(out, F.lit("  "), F.lit(" "))
 
 
 def bare(text: Column) -> Column:
@@ -112,22 +116,29 @@ def scan(docs: DataFrame, known: DataFrame | None = None, text_col: str = "text"
     """id, digest, license (null: unknown), notices (sorted identifiers of lines that are a known text whole).
 
     Whole texts are matched by digest, and so is each line that speaks of a license; a text, or line, that
-    says more than the known one isn't it. Unless a table of known digests is given, a whole text can also be a
-    full licence by its bare form, which ``digest`` doesn't show. Null and empty texts have no license; repeated rows stay; other
-    columns aren't read. The table of known digests is a list kept by hand and is broadcast; documents aren't
-    moved except the few lines that match.
-    """
-    full = bare_digests(docs.sparkSession).collect() if known is None else []  # the hand-kept list
-    known = known if known is not None else known_digests(docs.sparkSession)
-    listed = [F.lit(x) for r in known.collect() for x in (r["digest"], r["license"])]  # the hand-kept list
-    by_digest = F.create_map(*listed) if listed else F.create_map().cast("map<string,string>")
+    says more than the known one isn't it. Unless a table of known digests (digest, license) is given, a whole text can
+    also be a full licence by its bare form, which ``digest`` doesn't show. Null and empty texts have no license;
+    repeated rows stay; other columns aren't read. The list kept by hand goes to the tasks as literals, and documents
+    aren't moved; a given table, of any size, is joined, and the lines' digests move."""
     lines = F.filter(F.split(F.col(text_col), "\n"), lambda x: F.lower(x).rlike("licen[cs]e"))
-    named = F.transform(lines, lambda x: F.try_element_at(by_digest, F.sha2(canonical(x), 256)))
-    notices = F.array_sort(F.array_distinct(F.filter(F.coalesce(named, F.array().cast("array<string>")), lambda x: x.isNotNull())))
-    laid = F.lit(None).cast("string")
-    if full:
-        by_bare = F.create_map(*[F.lit(x) for r in full for x in (r["digest"], r["license"])])
-        # Every full licence has one of these words; other texts needn't be put in the form.
-        laid = F.when(F.lower(text_col).rlike("licen[cs]e|copyright|permission|redistribution|warrant"), F.try_element_at(by_bare, F.sha2(bare(F.col(text_col)), 256)))
-    rows = docs.select(F.col(id_col), F.sha2(canonical(F.col(text_col)), 256).alias("digest"), notices.alias("notices"), laid.alias("_laid"))
-    return rows.join(F.broadcast(known), "digest", "left").select(id_col, "digest", F.coalesce("license", "_laid").alias("license"), "notices")
+    digests = F.transform(F.coalesce(lines, F.array().cast("array<string>")), lambda x: F.sha2(canonical(x), 256))
+    rows = docs.select(F.col(id_col).alias("id"), F.sha2(canonical(F.col(text_col)), 256).alias("digest"), digests.alias("lines"), F.col(text_col).alias("text"))
+    if known is not None:
+        return _joined(rows.drop("text"), known, id_col)
+    spark = docs.sparkSession
+    listed = lambda found: F.create_map(*[F.lit(x) for r in found.collect() for x in (r["digest"], r["license"])])
+    by_digest, by_bare = listed(known_digests(spark)), listed(bare_digests(spark))
+    named = F.transform("lines", lambda x: F.try_element_at(by_digest, x))
+    notices = F.array_sort(F.array_distinct(F.filter(named, lambda x: x.isNotNull())))
+    # Every full licence has one of these words; other texts needn't be put in the form.
+    laid = F.when(F.lower("text").rlike("licen[cs]e|copyright|permission|redistribution|warrant"), F.try_element_at(by_bare, F.sha2(bare(F.col("text")), 256)))
+    return rows.select(F.col("id").alias(id_col), "digest", F.coalesce(F.try_element_at(by_digest, "digest"), laid).alias("license"), notices.alias("notices"))
+
+
+def _joined(rows: DataFrame, known: DataFrame, id_col: str) -> DataFrame:
+    """The same with a table of known digests: one join for whole texts, one for the lines that speak of a license."""
+    known = known.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("license").alias("license"))
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "license-digests")
+    said = rows.select("row", F.explode(F.array_distinct("lines")).alias("digest")).join(known, "digest").groupBy("row").agg(F.array_sort(F.collect_set("license")).alias("notices"))
+    out = rows.drop("lines").join(known, "digest", "left").join(said, "row", "left")
+    return out.select(F.col("id").alias(id_col), "digest", "license", F.coalesce("notices", F.array().cast("array<string>")).alias("notices"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -94,27 +96,85 @@ FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 
+def _wide(words: str) -> str:
+    return f" {words.replace(' ', '  ')} "
+
+
+def _spelled_sql(lowered: str) -> str:
+    out = f"' ' || trim(regexp_replace({lowered}, '{licenses.SEPARATORS}', '  ', 'g')) || ' '"
+    for old, new in licenses.SPELLINGS.items():
+        out = f"replace({out}, '{_wide(old)}', '{_wide(new)}')"
+    return f"replace({out}, '  ', ' ')"
+
+
 def _canonical_sql(text: str) -> str:
     out = f"regexp_replace(lower({text}), '{licenses.COPYRIGHT_LINE}', ' ', 'g')"
-    out = f"' ' || trim(regexp_replace({out}, '{licenses.SEPARATORS}', ' ', 'g')) || ' '"
+    return f"trim({_spelled_sql(out)})"
+
+
+# The notices of the bare form, line by line, as the patterns of SQL look neither ahead nor behind.
+_SIGNED = r"^[ \t]*(copyright[ \t:,]*(\(c\)|©|[12][0-9]{3}|[\[<{](yyyy|year))|\(c\)[ \t]*(copyright|[12][0-9]{3}|[\[<{])|©)"
+_RESERVED = r"^[ \t]*all rights reserved\.?[ \t\r]*$"
+_HEADED, _OTHERWISE = r"^[ \t]*copyright[ \t]+", r"^[ \t]*copyright[ \t]+(notice|holder|owner|law|licen|and |or )"
+_BLANK = r"^[ \t\r]{0,8}$"
+
+
+def _bare(text: str) -> str:
+    """The bare form in plain Python, for the digests of the licences known."""
+    lines = text.lower().split("\n")
+    kept = []
+    for i, x in enumerate(lines):
+        head = i == 0 or (i > 1 and re.search(_BLANK, lines[i - 1]))
+        if not (re.search(_SIGNED, x) or re.search(_RESERVED, x) or (head and re.search(_HEADED, x) and not re.search(_OTHERWISE, x))):
+            kept.append(x)
+    words = re.sub(licenses.LIST_MARK, " ", "\n".join(kept))
+    out = f" {re.sub('[^a-z0-9\x80-\U0010ffff]+', '  ', words).strip(' ')} "
     for old, new in licenses.SPELLINGS.items():
-        out = f"replace({out}, ' {old} ', ' {new} ')"
-    return f"trim({out})"
+        out = out.replace(_wide(old), _wide(new))
+    return re.sub(licenses.HOLDER_NAME, _ANY_HOLDER, out.replace("  ", " ")).strip(" ")
+
+
+_ANY_HOLDER = " neither the name of the copyright owner nor the names of its contributors may "
+
 
+def _bare_sql(text: str) -> str:
+    """The same for a column."""
+    lines = f"string_split(lower({text}), chr(10))"
+    head = f"x[2] = 1 OR (x[2] > 2 AND regexp_matches(x[3], '{_BLANK}'))"
+    notice = f"regexp_matches(x[1], '{_SIGNED}') OR regexp_matches(x[1], '{_RESERVED}') OR (({head}) AND regexp_matches(x[1], '{_HEADED}') AND NOT regexp_matches(x[1], '{_OTHERWISE}'))"
+    kept = f"array_to_string(list_transform(list_filter(list_zip({lines}, range(1, len({lines}) + 1), list_concat([''], {lines})[:-2]), lambda x: NOT ({notice})), lambda x: x[1]), chr(10))"
+    marked = f"regexp_replace({kept}, '{licenses.LIST_MARK}', ' ', 'g')"
+    return f"trim(regexp_replace({_spelled_sql(marked)}, '{licenses.HOLDER_NAME}', '{_ANY_HOLDER}', 'g'))"
 
-_KNOWN = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in licenses.KNOWN.items())
-ORACLE_SQL["op2_license_scan"] = f"""
-WITH known AS (SELECT sha256({_canonical_sql("body")}) AS digest, min(license) AS license FROM (VALUES {_KNOWN}) AS k(license, body) GROUP BY 1),
-lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _license_sql() -> str:
+    known = ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in licenses.KNOWN.items())
+    laid = {}
+    for name, body in licenses.full_texts():
+        digest = hashlib.sha256(_bare(body).encode()).hexdigest()
+        laid[digest] = min(name, laid.get(digest, name))
+    bare = ", ".join(f"('{d}', {_quoted(n)})" for d, n in sorted(laid.items()))
+    return f"""
+WITH known AS (SELECT sha256({_canonical_sql("body")}) AS digest, min(license) AS license FROM (VALUES {known}) AS k(license, body) GROUP BY 1),
+laid(bare, full_license) AS (VALUES {bare}),
+lines AS (SELECT row, unnest(string_split(text, chr(10))) AS line FROM (SELECT row_number() OVER () AS row, text FROM documents)),
 named AS (
-  SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS notices
-  FROM (SELECT doc_id, sha256({_canonical_sql("line")}) AS digest FROM lines WHERE regexp_matches(lower(line), 'licen[cs]e')) JOIN known USING (digest) GROUP BY doc_id
-)
-SELECT d.doc_id, d.digest, k.license, coalesce(n.notices, '') AS notices
-FROM (SELECT doc_id, sha256({_canonical_sql("text")}) AS digest FROM documents) AS d LEFT JOIN known AS k USING (digest) LEFT JOIN named AS n USING (doc_id)
+  SELECT row, string_agg(DISTINCT license, ',' ORDER BY license) AS notices
+  FROM (SELECT row, sha256({_canonical_sql("line")}) AS digest FROM lines WHERE regexp_matches(lower(line), 'licen[cs]e')) JOIN known USING (digest) GROUP BY row
+),
+doc AS (SELECT row_number() OVER () AS row, doc_id, sha256({_canonical_sql("text")}) AS digest, CASE WHEN regexp_matches(lower(text), 'licen[cs]e|copyright|permission|redistribution|warrant') THEN sha256({_bare_sql("text")}) END AS bare FROM documents)
+SELECT d.doc_id, d.digest, coalesce(k.license, l.full_license) AS license, coalesce(n.notices, '') AS notices
+FROM doc AS d LEFT JOIN known AS k USING (digest) LEFT JOIN laid AS l USING (bare) LEFT JOIN named AS n USING (row)
 """
 
 
+ORACLE_SQL["op2_license_scan"] = _license_sql()
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.cluster(_table(spark, sf_dir, "documents"))
 

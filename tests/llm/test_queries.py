@@ -135,3 +135,32 @@ def test_secret_scan_digests(spark, docs):
         r = got[k]
         assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(x[3] == kind for x in spans) for kind in ("assign", "access", "hex"))
         assert r["base_sha256"] == sha(",".join(base)) and set(base) <= set(r["spans"].split(",")) | {""}
+
+
+def test_license_query_equals_its_sql_on_licences(spark, tmp_path):
+    """On a table whose documents are licences in many layouts, and almost licences."""
+    import duckdb
+    from fathom.llm import licenses
+    from fathom.llm.queries import ORACLE_SQL
+
+    mit, isc, texts = licenses.KNOWN["MIT"], licenses.KNOWN["ISC"], []
+    full = dict(licenses.full_texts())
+    wrap = lambda t, n: "\n".join(" ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    texts += [mit, f"MIT License\n\nCopyright (c) 2020 Some Body\n\n{mit}", f"The MIT License (MIT)\n\nCopyright Some Body\n\n{wrap(mit, 9)}", wrap(isc, 5), mit + " And more.", "licence licence licence", "license license license"]
+    texts += [f"{name} notes\n\n{body}" for name, body in full.items()] + list(full.values()) + [wrap(b, 11) for b in full.values()]
+    texts += ["Released under the MIT Licence.\nother", "a\nLicensed under CC BY-NC 4.0.\nReleased under the MIT License.", None, "", "copyright notice and this permission", "x " * 50_000 + "license"]
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)] + [(0, mit, "en", "s"), (None, mit, "en", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, license string, digest string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(map(str, (tuple(r) for r in QUERIES["op2_license_scan"](spark, str(tmp_path)).select("doc_id", "digest", "license", "notices").collect())))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    con.execute(f"CREATE VIEW theirs AS {ORACLE_SQL['op2_license_scan']}")
+    assert got == sorted(map(str, con.execute("SELECT doc_id, digest, license, notices FROM theirs").fetchall()))
+    by_id = {r["doc_id"]: r for r in QUERIES["op2_license_scan"](spark, str(tmp_path)).collect()}
+    assert [by_id[i]["license"] for i in range(7)] == ["MIT", "MIT", "MIT", "ISC", None, None, None] and by_id[5]["digest"] == by_id[6]["digest"]
+    assert {by_id[i]["license"] for i in range(7 + len(full), 7 + 2 * len(full))} >= set(full) - {None}
+    given = licenses.known_digests(spark).unionByName(licenses.known_digests(spark))
+    joined = licenses.scan(spark.read.parquet(str(tmp_path / "documents.parquet")), known=given)
+    listed = {r["digest"] for r in given.collect()}
+    plain = {i: r["license"] if r["digest"] in listed else None for i, r in by_id.items()}
+    assert {r["doc_id"]: (r["license"], ",".join(r["notices"])) for r in joined.collect()} == {i: (plain[i], by_id[i]["notices"]) for i in by_id} and joined.count() == len(rows)
