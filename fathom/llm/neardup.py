@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .graph import components
 from .shared import with_classes, written
@@ -30,7 +31,7 @@ from .shared import with_classes, written
 class Settings:
     """spill: half the width of the band around a split that goes to both sides, in standard deviations of the
     projected difference of a pair at the threshold; band: largest share of a node's rows in it.
-    sample_rows and sample_bytes bound the vectors that the splits of one leaf are fitted on; all are routed."""
+    block: vectors of a large leaf that meet others at once; sample_rows and sample_bytes bound the vectors that the splits of one leaf are fitted on; all are routed."""
 
     threshold: float = 0.95
     trees: int = 6
@@ -42,6 +43,7 @@ class Settings:
     least_sample: int = 32
     seed: int = 17
     broadcast_bytes: int = 64 << 20
+    block: int = 2048
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -213,9 +215,8 @@ def placed(vectors: DataFrame, trees: list[int], s: Settings, spill: float) -> D
     return result
 
 
-def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least row joined with each of n rows by the pairs a, b."""
-    label = np.arange(n)
+def _labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least row joined with each row by the pairs a, b and what the labels say so far."""
     while True:
         least = np.minimum(label[a], label[b])
         before = label.copy()
@@ -240,12 +241,46 @@ def _apart(lists: pa.Array, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.concatenate([~(bits[x[i : i + 50_000]] & bits[y[i : i + 50_000]]).any(axis=1) for i in range(0, len(x), 50_000)])
 
 
+def _dealt(rows: DataFrame, large: DataFrame, places: DataFrame, s: Settings) -> DataFrame:
+    """Rows (with tree, leaf, before) in the pairs of blocks (i, j) in which their leaf is compared, and their own block.
+
+    A leaf that is too large for one task is cut into blocks, and each pair of blocks is a task of its own. Two rows that
+    were together in a large leaf of a tree before have been compared there, and two of one clique needn't be: rows go to
+    blocks by the first large leaf that they were in (their owner) and by whether they are in a clique, and pairs of blocks
+    with one owner, or within one clique, are left out. So a dense group that no tree splits is compared once."""
+    most = 500_000
+    few = lambda df: F.broadcast(df) if df.count() <= most else df
+    own = places.select("cid", F.explode("places").alias("at")).select("cid", "at.tree", "at.leaf").join(few(large), "leaf")
+    bigs = own.groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("tree", "leaf"))).alias("bigs"))
+    marked = rows.join(few(large).withColumn("is_large", F.lit(True)), "leaf", "left")
+    small = marked.where("is_large is null").withColumns({"i": F.lit(0), "j": F.lit(0), "block": F.lit(0)})
+    owner = F.expr("get(filter(bigs, p -> p.tree < tree or (p.tree = tree and p.leaf < leaf)), 0).leaf")
+    inside = written(marked.where("is_large").join(bigs, "cid").withColumn("owner", owner).drop("bigs", "is_large"), "in-large-leaves")
+    kind = ["leaf", "owner", "bound"]
+    inside = inside.withColumn("bound", F.col("clique").isNotNull())
+    groups = inside.groupBy(*kind).agg(F.ceil(F.count("*") / s.block).cast("int").alias("blocks"), F.min("clique").alias("lo"), F.max("clique").alias("hi"))
+    first = F.sum("blocks").over(Window.partitionBy("leaf").orderBy("owner", "bound").rowsBetween(Window.unboundedPreceding, -1))
+    groups = written(groups.withColumn("first", F.coalesce(first, F.lit(0)).cast("int")), "block-groups")
+    # Of a group within one clique, which one it is; none for others.
+    each = groups.select("leaf", "owner", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("clique"), F.explode(F.expr("sequence(first, first + blocks - 1)")).alias("block"))
+    x, y = (each.select("leaf", *[F.col(c).alias(f"{c}{n}") for c in ("owner", "clique", "block")]) for n in "12")
+    again = F.coalesce(F.col("owner1") == F.col("owner2"), F.lit(False)) | F.coalesce(F.col("clique1") == F.col("clique2"), F.lit(False))
+    pairs = x.join(y, "leaf").where((F.col("block1") <= F.col("block2")) & ~again).select("leaf", F.col("block1").alias("i"), F.col("block2").alias("j"))
+    met = pairs.select("leaf", F.col("i").alias("block"), "i", "j").unionByName(pairs.where("i < j").select("leaf", F.col("j").alias("block"), "i", "j"))
+    met = written(met.groupBy("leaf", "block").agg(F.collect_list(F.struct("i", "j")).alias("met")), "block-pairs")
+    sizes = groups.select("leaf", F.col("owner").alias("of"), F.col("bound").alias("kind"), "blocks", "first")
+    placed_in = inside.join(few(sizes), "leaf").where(F.col("owner").eqNullSafe(F.col("of")) & (F.col("bound") == F.col("kind")))
+    placed_in = placed_in.withColumn("block", (F.col("first") + F.pmod(F.xxhash64("cid"), F.col("blocks"))).cast("int"))
+    out = placed_in.join(few(met), ["leaf", "block"]).withColumn("p", F.explode("met")).select("leaf", "block", "cid", "v", "copies", "clique", "before", "p.i", "p.j")
+    return out.unionByName(small.select(*out.columns))
+
+
 def linked(vectors: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """cid, others, joined: rows that say how many vectors link with one (cid, v, copies: of one dimension,
     valid, all different), and a vector that it is joined with. Several rows of one cid add up.
 
-    A leaf of any size is whole: large ones are compared in blocks, each pair of blocks in a task of its own,
-    without those pairs of blocks in which all link with all."""
+    A leaf of any size is whole: large ones are compared in blocks, each pair of blocks in a task of its own, and what
+    has been compared in a large leaf of an earlier tree, or links as a clique, isn't compared again."""
     s = settings
     vectors = written(vectors.select("cid", "v", "copies"), "different-vectors")
     dense = placed(vectors, [-1], s, 0.0).where("core").groupBy("cid").agg(F.min("leaf").alias("clique"))
@@ -258,32 +293,34 @@ def linked(vectors: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     places = placed(vectors, list(range(s.trees)), s, s.spill).select("cid", F.struct("tree", "leaf").alias("at"))
     places = written(places.groupBy("cid").agg(F.collect_list("at").alias("places")), "places")  # a few a tree
-    rows = rows.join(places, "cid").select("cid", "v", "copies", "clique", "places", F.explode("places").alias("at"))
-    rows = rows.select("cid", "v", "copies", "clique", "at.tree", "at.leaf", F.expr("transform(filter(places, p -> p.tree < at.tree or (p.tree = at.tree and p.leaf < at.leaf)), p -> p.leaf)").alias("before"))
-    free = F.col("clique").isNull()
-    sizes = rows.groupBy("leaf").agg(F.count_if(free).alias("free"), F.count_if(~free).alias("bound"), F.min("clique").alias("lo"), F.max("clique").alias("hi")).where(F.col("free") + F.col("bound") > 2 * s.leaf)
-    blocks = lambda n: F.ceil(F.col(n) / s.leaf).cast("int")
-    large = written(sizes.select("leaf", blocks("free").alias("frees"), blocks("bound").alias("bounds"), (F.col("lo") < F.col("hi")).alias("mixed")), "large-leaves")
-    rows = rows.join(F.broadcast(large) if large.count() <= 500_000 else large, "leaf", "left")
-    # Blocks of rows outside a clique come first; those of one clique needn't meet each other.
-    own = F.when(free, F.pmod(F.xxhash64("cid"), "frees")).otherwise(F.col("frees") + F.pmod(F.xxhash64("cid"), "bounds"))
-    last = F.when(free | F.coalesce("mixed", F.lit(True)), F.coalesce(F.col("frees") + F.col("bounds"), F.lit(1))).otherwise(F.col("frees")) - 1
-    rows = rows.withColumn("block", F.coalesce(own, F.lit(0)).cast("int")).withColumn("other", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))))
-    rows = rows.select("leaf", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "v", "copies", F.coalesce("clique", F.lit(0)).alias("clique"), "before")
+    at = rows.join(places, "cid").select("cid", "v", "copies", "clique", "places", F.explode("places").alias("at"))
+    rows = at.select("cid", "v", "copies", "clique", "at.tree", "at.leaf", F.expr("transform(filter(places, p -> p.tree < at.tree or (p.tree = at.tree and p.leaf < at.leaf)), p -> p.leaf)").alias("before"))
+    counts = places.select(F.explode("places").alias("at")).select("at.leaf").groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > 2 * s.leaf)
+    large = written(counts.select("leaf"), "large-leaves")
+    if large.isEmpty():
+        rows = rows.withColumns({"i": F.lit(0), "j": F.lit(0), "block": F.lit(0)})
+    else:
+        rows = _dealt(rows, large, places, s)
+    rows = rows.select("leaf", "i", "j", "block", "cid", "v", "copies", F.coalesce("clique", F.lit(0)).alias("clique"), "before")
 
     def compare(group: pa.Table) -> pa.Table:
         cid, block, copies, clique = (group[c].to_numpy() for c in ("cid", "block", "copies", "clique"))
         x, i, j = _matrix(group["v"].combine_chunks()), group["i"][0].as_py(), group["j"][0].as_py()
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        at, to = np.nonzero(x[left] @ x[right].T >= s.threshold - 1e-9)
-        a, b = left[at], right[to]
-        wanted = ((i != j) | (a < b)) & ((clique[a] != clique[b]) | (clique[a] == 0))
-        a, b = a[wanted], b[wanted]
-        wanted = (x[a] * x[b]).sum(axis=1) >= s.threshold
-        a, b = a[wanted], b[wanted]
-        label = _labels(len(cid), a, b)
-        new = _apart(group["before"].combine_chunks(), a, b)
-        n = np.bincount(a[new], copies[b[new]], len(cid)) + np.bincount(b[new], copies[a[new]], len(cid))
+        before, n, label = group["before"].combine_chunks(), np.zeros(len(cid)), np.arange(len(cid))
+        for some in np.array_split(left, max(1, -(-len(left) // 256))):
+            product = x[some] @ x[right].T
+            at, to = np.nonzero(product >= s.threshold - 1e-9)
+            a, b, exact = some[at], right[to], product[at, to]
+            wanted = ((i != j) | (a < b)) & ((clique[a] != clique[b]) | (clique[a] == 0))
+            a, b, exact = a[wanted], b[wanted], exact[wanted]
+            # At the threshold what counts is the sum in one order, whatever the product's.
+            edge = np.abs(exact - s.threshold) <= 1e-9
+            exact[edge] = (x[a[edge]] * x[b[edge]]).sum(axis=1)
+            a, b = a[exact >= s.threshold], b[exact >= s.threshold]
+            label = _labels(label, a, b)
+            new = _apart(before, a, b)
+            n += np.bincount(a[new], copies[b[new]], len(cid)) + np.bincount(b[new], copies[a[new]], len(cid))
         some = np.flatnonzero((n > 0) | (label != np.arange(len(cid))))
         return pa.table({"cid": cid[some], "others": n[some].astype(np.int64), "joined": cid[label[some]]})
 

@@ -231,3 +231,25 @@ def test_pages_query_equals_plain_counting(spark):
     rows = [(r["page_id"], re.match(r"[a-z]+://([^/:?#]*)", r["url"] or "")[1].lower(), r["html"]) for r in pages]
     got = {r["page_id"]: r["text"] for r in QUERIES["op5_html_extraction"](spark, "/root/testdata/sf0.001").collect()}
     assert got == dict(plain_extract(rows, with_references(spark, rows)))
+
+
+def test_wide_dense_groups_move_in_proportion(spark, monkeypatch):
+    """Groups most of whose pairs link, though few vectors are near the centre: what is dealt for comparison grows with
+    the vectors, not with their square, and all links are counted."""
+    moved, dealt = [], neardup._dealt
+
+    def counted(*some):
+        out = dealt(*some)
+        moved.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "_dealt", counted)
+    rng = np.random.default_rng(6)
+    for n in (1000, 2000, 4000):
+        x = rng.standard_normal(64) + rng.standard_normal((n, 64)) * 0.17
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        got = {r["vec_id"]: r["n_links"] for r in neardup.cluster(table, neardup.Settings(leaf=64)).collect()}
+        degree = (u @ u.T >= 0.95).sum(axis=1) - 1
+        assert degree.mean() > 0.9 * n and sum(got.values()) >= 0.99 * degree.sum() and all(got[i] <= degree[i] for i in range(n))
+    assert moved[2] <= 4.5 * moved[0] and moved[2] <= 3 * 4000
