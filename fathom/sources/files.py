@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import unicodedata
+from collections.abc import Iterator
+
 import pandas as pd
-from fathom.functions.text import clean
+import pyarrow as pa
+from fathom.functions.text import clean, strip
+from fathom.session import cut
+from fathom.sources import office
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.types import StringType
 
-#: Suffixes that can be read here; others need a reader of their own, given to ``load``.
+#: Suffixes of plain files; those of office files are ``office.READERS``.
 TEXT = ("txt", "csv")
 
 
@@ -16,53 +25,147 @@ def suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
 
 
-def scan(spark: SparkSession, roots: list[str], suffixes: tuple[str, ...] = TEXT) -> DataFrame:
+def scan(spark: SparkSession, roots: list[str], suffixes: tuple[str, ...] = (*TEXT, *office.READERS)) -> DataFrame:
     """path, suffix, length, modified_at, file_hash, content (binary) of the files below the roots, each root once.
 
-    Spark lists and reads the files, so any store will do; the order of rows isn't kept."""
+    Spark lists and reads the files, so any store will do; the order of rows isn't kept, and files of no bytes aren't listed."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(dict.fromkeys(roots)))
     found = files.select("path", suffix(F.col("path")).alias("suffix"), "length", F.col("modificationTime").alias("modified_at"), F.sha2("content", 256).alias("file_hash"), "content")
     return found.where(F.col("suffix").isin(*suffixes))
 
 
-def _as_gb(content: bytes | None) -> str | None:
+# Encodings that a file is tried in where neither UTF-8 nor GB18030 fits, in this order.
+OTHERS = ("utf-16-le", "utf-16-be", "big5", "euc_jp", "shift_jis", "euc_kr", "cp1252", "cp1251")
+_BOMS = ((b"\xff\xfe\x00\x00", "utf-32"), (b"\x00\x00\xfe\xff", "utf-32"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16"))
+
+
+def _odd(text: str) -> float:
+    """Share of characters that texts seldom have: controls, those without a meaning, and symbols between letters."""
+    kinds = [unicodedata.category(c) for c in text if c not in "\t\r\n "]
+    return sum(1.0 if k in ("Cc", "Cn", "Co", "Cs") else 0.3 if k[0] in "SM" else 0.0 for k in kinds) / max(1, len(kinds))
+
+
+def _foreign(text: str, name: str) -> float:
+    """Of two alphabets that use the same bytes: Latin with accents seldom has mostly other letters, Cyrillic has."""
+    letters = [c for c in text if c.isalpha()]
+    other = sum(not c.isascii() for c in letters) >= 0.5 * len(letters)
+    return 0.1 * (other if name == "cp1252" else not other if name == "cp1251" else 0)
+
+
+def detected(content: bytes, most: float = 0.2) -> str | None:
+    """A text in GB18030 or in another of some encodings: one that its mark names, else the one whose pairs of bytes are
+    all valid and make the fewest odd characters; none if all do."""
+    for mark, name in _BOMS:
+        if content.startswith(mark):
+            try:
+                return content.decode(name)
+            except UnicodeDecodeError:
+                return None
     try:
-        return None if content is None else content.decode("gb18030")
+        return content.decode("gb18030")
     except UnicodeDecodeError:
-        return None
+        best = []
+        for i, name in enumerate(OTHERS):
+            # Texts of two bytes a character without a mark have zeros in one of both places, and others have none.
+            zeros = (content[1::2].count(0), content[::2].count(0))
+            wide = {"utf-16-le": zeros[0] > zeros[1], "utf-16-be": zeros[1] > zeros[0]}.get(name, not any(zeros))
+            try:
+                text = content.decode(name) if wide else ""
+            except UnicodeDecodeError:
+                continue
+            if text:
+                best.append((_odd(text[:100_000]) + _foreign(text[:100_000], name), i, text))
+        return min(best)[2] if best and min(best)[0] <= most else None
 
 
 @F.pandas_udf(StringType())
-def _gb18030(content: pd.Series) -> pd.Series:
-    return content.map(_as_gb).astype(object)
+def _detected(content: pd.Series) -> pd.Series:
+    return content.map(lambda x: None if x is None else detected(bytes(x))).astype(object)
 
 
 def decoded(content: Column) -> Column:
-    """UTF-8; else GB18030 (a superset of GBK), which takes Python and sees only such files; null where neither fits."""
+    """UTF-8; else GB18030 (a superset of GBK) or what a detector finds, which takes Python and sees only such files; null
+    where nothing fits."""
     text = F.try_validate_utf8(content.cast("string"))
-    return F.coalesce(text, _gb18030(F.when(text.isNull(), content)))
+    return F.coalesce(text, _detected(F.when(text.isNull(), content)))
+
+
+def rows_of(text: str) -> str:
+    """A table's rows as lines: cells trimmed, without blank ones, joined by `` | ``. A quoted cell may hold anything."""
+    csv.field_size_limit(1 << 30)
+    found = (" | ".join(c for c in map(str.strip, row) if c) for row in csv.reader(io.StringIO(text, newline=None)))
+    return "\n".join(filter(None, found))
+
+
+@F.pandas_udf(StringType())
+def csv_records(text: pd.Series) -> pd.Series:
+    """``rows_of`` whole files, quoted line ends among them."""
+    return text.map(lambda x: None if x is None else rows_of(x)).astype(object)
 
 
 def csv_text(text: Column) -> Column:
-    """Cells of each row, trimmed and joined by `` | ``, without blank cells and rows. Quoted cells may hold commas
-    and doubled quotes, not line ends."""
-    cell = r',(?:"((?:[^"]|"")*)"|([^,]*))'
+    """Cells of each row, trimmed and joined by `` | ``, without blank cells and rows. What has no quotes is split in the
+    JVM; only files with quoted cells, whose line ends may be in a cell, take Python."""
+    plain = lambda line: F.array_join(F.filter(F.transform(F.split(line, ","), lambda c: strip(c)), lambda x: x != ""), " | ")
+    simple = F.array_join(F.filter(F.transform(F.split(text, r"\r\n?|\n"), plain), lambda x: x != ""), "\n")
+    quoted = F.contains(text, F.lit('"'))
+    return F.when(quoted, csv_records(F.when(quoted, text))).otherwise(simple)
 
-    def row(line: Column) -> Column:
-        line = F.concat(F.lit(","), line)
-        plain = F.regexp_extract_all(line, F.lit(cell), F.lit(2))
-        quoted = F.transform(F.regexp_extract_all(line, F.lit(cell), F.lit(1)), lambda x: F.replace(x, F.lit('""'), F.lit('"')))
-        cells = F.zip_with(quoted, plain, lambda a, b: F.trim(F.when(a != "", a).otherwise(b)))
-        return F.array_join(F.filter(cells, lambda x: x != ""), " | ")
 
-    return F.array_join(F.filter(F.transform(F.split(text, r"\r\n?|\n"), row), lambda x: x != ""), "\n")
+_OFFICE = T.StructType([T.StructField("path", T.StringType()), T.StructField("file_hash", T.StringType()), T.StructField("content", T.StringType()), T.StructField("error", T.StringType())])
 
 
-def load(files: DataFrame) -> DataFrame:
-    """path, file_hash, content (cleaned text) of scanned files; those without text go."""
+def _office(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):  # a file at a time: it may be large
+            path, suffix_, digest, content = (batch.column(c)[i].as_py() for c in range(4))
+            text = error = None
+            try:
+                text = office.text_of(content, suffix_)
+            except office.LoadError as e:
+                error = str(e)
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.string()) for x in (path, digest, text, error)], _OFFICE.names)
+
+
+def read(files: DataFrame) -> DataFrame:
+    """path, file_hash, content, error of all scanned files, one row each: the cleaned text, or what is wrong. A file that
+    can't be read, whose suffix has no reader or that is blank where its kind mustn't be is an error, not a gap."""
+    known = F.col("suffix").isin(*TEXT, *office.READERS)
     text = F.regexp_replace(decoded(F.col("content")), r"^\x{feff}", "")
     text = F.when(F.col("suffix") == "csv", csv_text(text)).otherwise(text)
-    return files.select("path", "file_hash", clean(text).alias("content")).where("content <> ''")
+    plain = files.where(F.col("suffix").isin(*TEXT)).select("path", "file_hash", text.alias("content"))
+    plain = plain.withColumn("error", F.when(F.col("content").isNull(), "no encoding fits"))
+    packed = files.where(F.col("suffix").isin(*office.READERS)).select("path", "suffix", "file_hash", "content").mapInArrow(_office, _OFFICE)
+    others = files.where(~F.coalesce(known, F.lit(False))).select("path", "file_hash", F.lit(None).cast("string").alias("content"), F.lit("no reader for this kind").alias("error"))
+    every = plain.unionByName(packed).unionByName(others)
+    return every.withColumn("content", F.when(F.col("error").isNull(), clean(F.col("content"))))
+
+
+def load(files: DataFrame) -> DataFrame:
+    """path, file_hash, content (cleaned text) of scanned files; those without text go, and those that can't be read:
+    ``read`` says which."""
+    return read(files).where("error is null and content <> ''").select("path", "file_hash", "content")
+
+
+def load_all(files: DataFrame) -> DataFrame:
+    """The same, or an error: where a file can't be read, or where nothing has any text."""
+    found = cut(read(files))
+    wrong = found.where("error is not null").orderBy("path").select("path", "error").limit(5).collect()
+    if wrong:
+        raise office.LoadError("; ".join(f"{r['path']}: {r['error']}" for r in wrong))
+    kept = found.where("content <> ''").select("path", "file_hash", "content")
+    if kept.isEmpty():
+        raise office.LoadError("no file has any text")
+    return kept
+
+
+def exists(spark: SparkSession, paths: list[str]) -> dict[str, bool]:
+    """Whether each path is there, in any store that Spark reads."""
+    out = {}
+    for p in dict.fromkeys(paths):
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        out[p] = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    return out
 
 
 def read_log(spark: SparkSession, path: str, schema: str, equal: dict | None = None, newest_by: str = "at", n: int = 200) -> DataFrame:
