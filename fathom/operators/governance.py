@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
+from fathom.functions import canonical
 from fathom.session import cut, free
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,9 +22,21 @@ def allowed(rules: DataFrame, subject: str | None, roles: list[str], groups: lis
     return rules.where((F.col("visibility") == "public") | F.coalesce(named, F.lit(False)) | overlap("roles", roles) | overlap("groups", groups))
 
 
-def active_versions(versions: DataFrame, cutoff: Column, tie: str) -> DataFrame:
+class VersionConflict(ValueError):
+    """Versions of one document take effect at one time."""
+
+
+def active_versions(versions: DataFrame, cutoff: Column, tie: str | None = None) -> DataFrame:
     """The version in force of each document: the latest of those published or retired by the cutoff; where it
-    is retired the document has none."""
+    is retired the document has none. ``tie``: what decides between versions of one time; without it, two versions of the
+    latest time are an error, which is found before anything is returned."""
+    if tie is None:
+        found = versions.where(F.col("status").isin("published", "retired") & (F.col("effective_at") <= cutoff))
+        last = found.groupBy("document_id").agg(F.max("effective_at").alias("effective_at"))
+        twice = found.join(last, ["document_id", "effective_at"]).groupBy("document_id").count().where("count > 1").orderBy("document_id").limit(5).collect()
+        if twice:
+            raise VersionConflict("several versions take effect at one time: " + ", ".join(r["document_id"] for r in twice))
+        tie = "version"
     past = versions.where(F.col("status").isin("published", "retired") & (F.col("effective_at") <= cutoff))
     last = past.groupBy("document_id").agg(F.max_by(F.struct("version", "status", "effective_at"), F.struct("effective_at", tie)).alias("v"))
     return last.where("v.status = 'published'").select("document_id", "v.version", "v.effective_at")
@@ -167,6 +180,11 @@ def redacted(details: Column, kind: T.DataType, key: str = "", most: int = 1024)
     return F.substring(details, 1, most) if isinstance(kind, T.StringType) else details
 
 
+def reuse_key(chunk_hash: Column, granularity: Column, fingerprint: Column) -> Column:
+    """Under what an embedding can be used again: the chunk's hash, its granularity and what embedded it (null: nothing)."""
+    return F.struct(chunk_hash.alias("chunk_hash"), F.coalesce(granularity, F.lit("")).alias("granularity"), F.coalesce(fingerprint, F.lit("")).alias("fingerprint"))
+
+
 def reuse_join(wanted: DataFrame, sources: list[DataFrame], keys: list[str], value: str) -> DataFrame:
     """Each distinct key once, with the value of the first source that has it (null: to be made)."""
     out = wanted.select(*keys).distinct()
@@ -234,3 +252,48 @@ def missing_registered(registered: DataFrame, found: DataFrame, cutoff: Column)
     """Documents that were registered by themselves before a cutoff and whose file is gone, each with a warning."""
     old = registered.where(F.col("automatic") & (F.col("registered_at") <= cutoff))
     return old.join(found.select("document_id"), "document_id", "left_anti").select("document_id", F.lit("missing_source").alias("warning"))
+
+
+# -- fingerprints -----------------------------------------------------------------------------------------------------
+
+
+def permission_fingerprint(rows: DataFrame, subject: Column, roles: Column, groups: Column, revision: Column, generation: Column) -> Column:
+    """Hash of who asks, with roles and groups in order, the revision of the rights and the index generation."""
+    told = {"generation_id": generation, "subject": subject, "roles": F.array_sort(roles), "groups": F.array_sort(groups), "permission_revision": revision}
+    return canonical.fingerprint(rows, *[c.alias(name) for name, c in told.items()], compact=False)
+
+
+def manifest_revision(rows: DataFrame) -> Column:
+    """Hash of a document's entry: document_id, version, status, effective_at, updated_at, path, knowledge_base_id (null
+    paths and bases are empty) and acl, with all that these hold."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    return canonical.fingerprint(rows, "document_id", "version", "status", "effective_at", "updated_at", text("path"), text("knowledge_base_id"), "acl", compact=False)
+
+
+def record_hash(rows: DataFrame, document: str, metadata: str) -> Column:
+    """Hash of a record's text and metadata (a struct) but for its own hash and the generation."""
+    fields = [f.name for f in rows.schema[metadata].dataType.fields if f.name not in ("record_hash", "generation_id")]
+    kept = F.struct(*[F.col(metadata).getField(f).alias(f) for f in fields])
+    return canonical.fingerprint(rows, F.coalesce(document, F.lit("")).alias("document"), kept.alias("metadata"), compact=False)
+
+
+# -- rights from elsewhere --------------------------------------------------------------------------------------------
+
+
+class Refused(PermissionError):
+    """An access service's reply can't be trusted, so nothing is allowed."""
+
+
+def permitted(reply: DataFrame, revision: str | None, wanted_revision: str, documents: DataFrame | None = None) -> DataFrame:
+    """document_id, once each, that an access service allows (``reply``: document_id).
+
+    The reply must be of the revision that was asked for, without blank ids, and of documents that the index has
+    (``documents``: document_id; none: not known). Anything else is refused as a whole, before anything is read with it."""
+    if (revision or "") != wanted_revision:
+        raise Refused("the rights are of another revision")
+    ids = reply.select("document_id")
+    if not ids.where(F.col("document_id").isNull() | (F.col("document_id") == "")).isEmpty():
+        raise Refused("the reply has blank documents")
+    if documents is not None and not ids.join(documents.select("document_id"), "document_id", "left_anti").isEmpty():
+        raise Refused("the reply has documents that the index doesn't have")
+    return ids.distinct()

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import hashlib
-import json
 from dataclasses import asdict, dataclass, field, replace
 
+from fathom.functions.canonical import fingerprint_of
+
 
 @dataclass(frozen=True)
 class RetrievalSettings:
@@ -35,8 +35,7 @@ class RetrievalSettings:
     @property
     def fingerprint(self) -> str:
         """Hash of all settings, whatever the order in which they were given."""
-        said = json.dumps(asdict(self), ensure_ascii=False, sort_keys=True, separators=(",", ":"))
-        return hashlib.sha256(said.encode()).hexdigest()
+        return fingerprint_of(asdict(self))
 
     def with_switches(self, *on: str) -> RetrievalSettings:
         """These settings with the named switches on and all others off."""
@@ -141,3 +140,33 @@ LATIN_ROUTING = Routing(
     simple_kinds=("single rule", "tariff"),
     hybrid_words=("than ", "ung"),
 )
+
+
+def embedding_fingerprint(provider: str, model: str, model_file: str, base_url: str = "", compatible: bool = False, artifacts: dict[str, str] | None = None) -> str:
+    """What embeds: provider, model and file, with the hashes of a local model's files or the address of a remote one."""
+    local = provider == "local_onnx"
+    where = {"local_artifacts": artifacts or {}} if local else {"embedding_base_url": base_url.rstrip("/"), "embedding_openai_compatible": compatible}
+    return fingerprint_of({"embedding_provider": provider, "embedding_model": model, "embedding_onnx_model_file": model_file} | where, compact=False)
+
+
+def pipeline_fingerprint(settings: RetrievalSettings, embedding: str, collection: str, identity_version: int) -> str:
+    """What makes chunks: how ids are given, the sizes, several granularities or not, what embeds, and the collection."""
+    told = {
+        "chunk_identity_schema_version": identity_version,
+        "chunk_size": settings.chunk_size,
+        "chunk_overlap": settings.chunk_overlap,
+        "multi_vector_enabled": settings.multi_vector_enabled,
+        "embedding_fingerprint": embedding,
+        "collection_name": collection,
+    }
+    return fingerprint_of(told, compact=False)
+
+
+# What of a set of questions belongs to a configuration.
+DATASET_KEYS = ("mode", "fixed", "gate_eligible", "schema_version", "dataset_id", "dataset_version", "dataset_fingerprint")
+
+
+def evaluation_fingerprint(generation: str, permission: str, dataset: dict, profiles: dict[str, RetrievalSettings]) -> str:
+    """What an evaluation ran with: generation, rights, the set of questions, and every profile with its settings."""
+    configs = [{"id": name, "enabled_switches": [x for x in SWITCHES if getattr(s, x)], "collection_name": None, "settings": asdict(s)} for name, s in profiles.items()]
+    return fingerprint_of({"generation_id": generation, "permission_fingerprint": permission, "dataset": {k: dataset[k] for k in DATASET_KEYS if k in dataset}, "profiles": configs})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from fathom.functions import canonical
 from fathom.operators import governance
 from fathom.session import cut, shared_path
 from fathom.sources import tables
@@ -51,11 +52,15 @@ def longest_root(spark, sf_dir):
     return governance.longest_root(files, spark.createDataFrame([(r,) for r in ROOTS], "root string"))
 
 
-@query("SELECT c_custkey, sha256('subject-' || c_custkey || '|' || CASE WHEN c_mktsegment < 'r' THEN c_mktsegment || ',r' ELSE 'r,' || c_mktsegment END || '|' || c_nationkey) AS fingerprint FROM customer")
+@query("""SELECT c_custkey, sha256('{"generation_id": "gen-' || c_nationkey % 3 || '", "groups": ["g' || c_nationkey || '"], "permission_revision": "' || c_custkey % 4 || '", "roles": [' ||
+  CASE WHEN c_mktsegment < 'r' THEN '"' || c_mktsegment || '", "r"' ELSE '"r", "' || c_mktsegment || '"' END || '], "subject": "subject-' || c_custkey || '"}') AS fingerprint FROM customer""")
 def permission_fingerprint(spark, sf_dir):
-    roles = F.array_join(F.array_sort(F.array("c_mktsegment", F.lit("r"))), ",")
+    """Customers as principals, with roles in any order, a revision and a generation."""
     customer = tables.table(spark, sf_dir, "customer")
-    return customer.select("c_custkey", F.sha2(F.concat_ws("|", F.concat(F.lit("subject-"), F.col("c_custkey").cast("string")), roles, F.col("c_nationkey").cast("string")), 256).alias("fingerprint"))
+    said = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
+    nation, key = F.col("c_nationkey"), F.col("c_custkey")
+    hashed = governance.permission_fingerprint(customer, said("subject-", key), F.array(F.lit("r"), "c_mktsegment"), F.array(said("g", nation)), (key % 4).cast("string"), said("gen-", nation % 3))
+    return customer.select("c_custkey", hashed.alias("fingerprint"))
 
 
 _RECORD = """e AS (
@@ -138,9 +143,24 @@ def category_acl_filter(spark, sf_dir):
     return docs.groupBy(F.col("source_file").alias("category")).agg(F.count("*").alias("document_count"))
 
 
-@query(f"WITH {_VERSION} SELECT version, sha256(document_id || '|' || version || '|' || status) AS revision_hash FROM version")
+@query(f"""WITH {_VERSION} SELECT version, sha256('{{"acl": {{"groups": [], "policy_ref": "", "revision": "' || version % 3 || '", "roles": ["r' || version % 5 || '"], "users": [], "visibility": "restricted"}}, "document_id": "' || document_id || '", "effective_at": "' ||
+  strftime(effective_at, '%Y-%m-%d %H:%M:%S') || '", "knowledge_base_id": "", "path": "kb/' || document_id || '.txt", "status": "' || status || '", "updated_at": null, "version": "' || version || '"}}') AS revision_hash FROM version""")
 def manifest_revision_hash(spark, sf_dir):
-    return tables.versions(spark, sf_dir).select("version", F.sha2(F.concat_ws("|", "document_id", F.col("version").cast("string"), "status"), 256).alias("revision_hash"))
+    """Orders as entries of a manifest, with all eight fields and nested rules of access."""
+    none = F.array().cast("array<string>")
+    number = F.col("version")
+    acl = F.struct(F.lit("restricted").alias("visibility"), none.alias("users"), F.array(F.concat(F.lit("r"), (number % 5).cast("string"))).alias("roles"), none.alias("groups"), F.lit("").alias("policy_ref"), (number % 3).cast("string").alias("revision"))
+    rows = tables.versions(spark, sf_dir).select(
+        "document_id",
+        number.cast("string").alias("version"),
+        "status",
+        F.date_format("effective_at", "yyyy-MM-dd HH:mm:ss").alias("effective_at"),
+        F.lit(None).cast("string").alias("updated_at"),
+        F.concat(F.lit("kb/"), "document_id", F.lit(".txt")).alias("path"),
+        F.lit(None).cast("string").alias("knowledge_base_id"),
+        acl.alias("acl"),
+    )
+    return rows.select(number.cast("long").alias("version"), governance.manifest_revision(rows).alias("revision_hash"))
 
 
 @query("SELECT 'supplier-' || s_suppkey AS source, sha256('supplier-' || s_suppkey || '|located in|nation-' || s_nationkey) AS record_hash FROM supplier")
@@ -237,3 +257,14 @@ def store_upsert(spark, sf_dir):
     late = rows.where(status == "O").withColumn("batch", F.lit(3)).unionByName(customers)
     store.upsert(late, orders.where((status == "F") & (F.col("o_orderpriority") == "5-LOW")).select("o_orderkey"))
     return store.read()
+
+
+@query("""SELECT o_custkey, sha256('{"customer":{"id":' || o_custkey || ',"name":null},"orders":[' || string_agg('{"key":' || o_orderkey || ',"lines":{"' || o_orderstatus || '":[' || o_orderkey || ',null]},"status":"' || o_orderstatus || '"}', ',' ORDER BY o_orderkey) || ']}') AS fingerprint FROM orders GROUP BY o_custkey""")
+def canonical_fingerprint(spark, sf_dir):
+    """Customers with their orders as nested objects, whose keys come in any order."""
+    key, status = F.col("o_orderkey"), F.col("o_orderstatus")
+    orders = tables.table(spark, sf_dir, "orders").select("o_custkey", key.alias("key"), status.alias("status"))
+    listed = orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("key", "status"))).alias("orders"))
+    nested = F.transform("orders", lambda o: F.struct(o["status"].alias("status"), F.create_map(o["status"], F.array(o["key"], F.lit(None).cast("long"))).alias("lines"), o["key"].alias("key")))
+    rows = listed.select("o_custkey", nested.alias("orders"), F.struct(F.lit(None).cast("string").alias("name"), F.col("o_custkey").alias("id")).alias("customer"))
+    return rows.select("o_custkey", canonical.fingerprint(rows, "orders", "customer").alias("fingerprint"))
