@@ -174,43 +174,62 @@ def parent_context(children: DataFrame, parents: DataFrame) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
 
 
-def budget_prefix(hits: DataFrame, scope: list[str], pos: str, cost: Column, budget: int, least: int = 12) -> DataFrame:
-    """The first rows of each scope whose costs together stay within the budget. As a row costs ``least`` at
-    least, no more than budget / least rows can be in it; only these are gathered and added up."""
+def _amount(budget: int | Column) -> Column:
+    return budget if isinstance(budget, Column) else F.lit(budget)
+
+
+def budget_prefix(hits: DataFrame, scope: list[str], pos: str, cost: Column, budget: int | Column, least: int = 12) -> DataFrame:
+    """The first rows of each scope whose costs together stay within the budget (of the scope: a number, or a column that
+    is the same for all its rows). As a row costs ``least`` at least, no more than budget / least rows can be in it; only
+    these are gathered and added up."""
+    place = free("_rank", hits)
     rank = F.row_number().over(Window.partitionBy(*scope).orderBy(pos))
-    first = hits.withColumn("cost", cost).withColumn("_rank", rank).where(F.col("_rank") <= max(1, budget // least))
+    first = hits.withColumn("cost", cost).withColumn(place, rank).where(F.col(place) <= F.greatest(F.lit(1), F.floor(_amount(budget) / least)))
     running = F.sum("cost").over(Window.partitionBy(*scope).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0))
-    return first.withColumn("used", running).where(F.col("used") <= budget).drop("_rank")
+    return first.withColumn("used", running).where(F.col("used") <= _amount(budget)).drop(place)
+
 
+def _first(rows: DataFrame, scope: list[str], pos: str) -> DataFrame:
+    place = free("_rank", rows)
+    return rows.withColumn(place, F.row_number().over(Window.partitionBy(*scope).orderBy(pos))).where(F.col(place) <= 1).drop(place)
 
-def fit_chunks(hits: DataFrame, scope: list[str], pos: str, budget: int, content: str = "content") -> DataFrame:
+
+def fit_chunks(hits: DataFrame, scope: list[str], pos: str, budget: int | Column, content: str = "content") -> DataFrame:
     """Hits within a context budget, each with its cost (tokens and 16) and the sum so far (used). A first hit beyond
     the budget is cut to fit, if more than 20 tokens are there; what doesn't fit later ends the list."""
+    most = _amount(budget)
     kept = budget_prefix(hits, scope, pos, chunk_cost(F.col(content)), budget, 16).withColumn("truncated", F.lit(False))
-    if budget <= 20:
-        return kept
-    rank = F.row_number().over(Window.partitionBy(*scope).orderBy(pos))
-    over = hits.withColumn("_rank", rank).where(F.col("_rank") <= 1).drop("_rank").where(chunk_cost(F.col(content)) > budget)
-    over = over.withColumn(content, truncated(F.col(content), budget - 16)).withColumn("cost", chunk_cost(F.col(content)))
+    over = _first(hits, scope, pos).where((chunk_cost(F.col(content)) > most) & (most > 20))
+    over = over.withColumn(content, truncated(F.col(content), F.greatest(F.lit(1), most - 16))).withColumn("cost", chunk_cost(F.col(content)))
     return kept.unionByName(over.withColumns({"used": F.col("cost"), "truncated": F.lit(True)}))
 
 
-def fit_relations(paths: DataFrame, scope: list[str], pos: str, budget: int) -> DataFrame:
+def fit_relations(paths: DataFrame, scope: list[str], pos: str, budget: int | Column) -> DataFrame:
     """The same for relation paths (path, description, evidence): of a first one beyond the budget the description,
     or else the evidence, is cut to what the path leaves."""
-    cost = relation_cost(F.col("path"), F.col("description"), F.col("evidence"))
+    cost, most = relation_cost(F.col("path"), F.col("description"), F.col("evidence")), _amount(budget)
     kept = budget_prefix(paths, scope, pos, cost, budget, 12).withColumn("truncated", F.lit(False))
-    if budget <= 20:
-        return kept
-    rank = F.row_number().over(Window.partitionBy(*scope).orderBy(pos))
-    over = paths.withColumn("_rank", rank).where(F.col("_rank") <= 1).drop("_rank").where(cost > budget)
-    left = F.greatest(F.lit(1), F.lit(budget) - token_estimate(F.col("path")) - 12)
+    over = _first(paths, scope, pos).where((cost > most) & (most > 20))
+    left = F.greatest(F.lit(1), most - token_estimate(F.col("path")) - 12)
     described = F.length("description") > 0
     shorter = {c: F.when(use, truncated(F.col(c), left)).otherwise(F.col(c)) for c, use in (("description", described), ("evidence", ~described))}
     over = over.withColumns(shorter).withColumn("cost", cost)
     return kept.unionByName(over.withColumns({"used": F.col("cost"), "truncated": F.lit(True)}))
 
 
+def in_context(questions: DataFrame, chunks: DataFrame, paths: DataFrame, max_tokens: int, scope: list[str], pos: str = "pos") -> tuple[DataFrame, DataFrame]:
+    """Chunks and relation paths of each question (scope, question) that its context has room for. Relations may take a
+    quarter of the tokens, or what the question leaves; chunks have what both leave."""
+    most = max(100, max_tokens)
+    fixed = questions.select(*scope, (token_estimate(F.coalesce("question", F.lit(""))) + 100).alias("_fixed")).dropDuplicates(scope)
+    for_paths = F.greatest(F.lit(40), F.least(F.lit(int(most * 0.25)), F.lit(most) - F.col("_fixed")))
+    told = fit_relations(paths.join(fixed, scope), scope, pos, for_paths)
+    used = told.groupBy(*scope).agg(F.max("used").alias("_told"))
+    for_chunks = F.greatest(F.lit(60), F.lit(most) - F.col("_fixed") - F.coalesce("_told", F.lit(0)))
+    said = fit_chunks(chunks.join(fixed.join(used, scope, "left"), scope), scope, pos, for_chunks)
+    return said.drop("_fixed", "_told"), told.drop("_fixed")
+
+
 EVIDENCE_KEYS = ("content", "source_file", "source_path", "section_title", "category", "score", "rerank_score", "retrieval_channel", "document_id", "chunk_id", "granularity", "matched_chunk_id", "matched_granularity")
 _NEVER_NULL = ("content", "source_file", "source_path", "section_title", "category", "retrieval_channel")
 

@@ -1,4 +1,4 @@
 """All queries of the library, by name."""
 
-from . import batch, catalogue, chunking, corpus, evaluation, evidence, governance, retrieval, text  # noqa: F401
+from . import batch, catalogue, chunking, corpus, evaluation, evidence, governance, records, retrieval, text  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

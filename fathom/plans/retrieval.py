@@ -253,7 +253,8 @@ SELECT role, pos, cost, CAST(used AS BIGINT) AS used FROM (
     SELECT role, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) AS pos, {_TOKENS.format("(role || ' -> says -> ' || conv_id)")} + {_TOKENS.format('text')} + {_TOKENS.format('role')} + 12 AS cost FROM conversations)) WHERE used <= 1500""")
 def budget_relation_prefix(spark, sf_dir):
     turns = tables.table(spark, sf_dir, "conversations")
-    turns = turns.withColumn("pos", F.row_number().over(Window.partitionBy("role").orderBy("conv_id", "turn")))
+    # No more than 125 turns of a role can be within 1500 tokens, at 12 each or more.
+    turns = turns.withColumn("pos", F.row_number().over(Window.partitionBy("role").orderBy("conv_id", "turn"))).where("pos <= 125")
     path = F.concat("role", F.lit(" -> says -> "), F.col("conv_id").cast("string"))
     return retrieval.budget_prefix(turns, ["role"], "pos", retrieval.relation_cost(path, F.col("text"), F.col("role")), 1500, 12).select("role", "pos", "cost", "used")
 
@@ -277,10 +278,11 @@ v AS (SELECT doc_id, row_number() OVER (ORDER BY s DESC, v DESC, doc_id) AS pos,
 k AS (SELECT doc_id, row_number() OVER (ORDER BY least(1.0, 0.35 + 0.08 * hits) DESC, doc_id) AS pos, 1 AS stream FROM (SELECT doc_id, {_HITS} AS hits FROM documents) WHERE hits > 0 AND (doc_id % 3 <> 0 OR doc_id % 5 IN (1, 2)) QUALIFY pos <= 50),
 f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos, stream) AS n FROM (SELECT * FROM v UNION ALL SELECT * FROM k)),
 r AS (SELECT doc_id, stream, row_number() OVER (ORDER BY pos, stream) AS rank FROM f WHERE n = 1 QUALIFY rank <= 50),
-b AS (SELECT r.*, sum({_TOKENS.format('text')} + 16) OVER (ORDER BY rank) AS used FROM r JOIN documents USING (doc_id))
-SELECT doc_id, stream, rank, CAST(used AS BIGINT) AS used FROM b WHERE used <= 6000""")
+b AS (SELECT r.*, sum({_TOKENS.format('text')} + 16) OVER (ORDER BY rank) AS used, CASE WHEN rank = 1 THEN regexp_replace(substring(text, 1, 5983), '\\s+$', '') || '…' END AS cut FROM r JOIN documents USING (doc_id))
+SELECT doc_id, stream, rank, CAST(CASE WHEN used > 6000 THEN {_TOKENS.format('cut')} + 16 ELSE used END AS BIGINT) AS used FROM b WHERE used <= 6000 OR rank = 1""")
 def hybrid_evidence(spark, sf_dir):
-    """The flagship: access rules, vector and keyword streams, interleaving, context budget."""
+    """The flagship: access rules, vector and keyword streams, interleaving, context budget (a first hit that is too long
+    is cut)."""
     docs = tables.documents(spark, sf_dir)
     allowed = governance.allowed(tables.access(docs), "someone", ["r1", "r2"], []).select("doc_id")
     near = retrieval.vector_search(tables.vectors(spark, sf_dir).join(allowed, "doc_id", "left_semi"), _query_vector(spark, sf_dir), "c3", ENTITIES, FILES, candidate_k=50, min_score=0.0)
@@ -289,4 +291,4 @@ def hybrid_evidence(spark, sf_dir):
     words = retrieval.term_frequency_search(docs.join(allowed, "doc_id", "left_semi"), TERMS, 50, "doc_id")
     words = words.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")))
     ranked = retrieval.round_robin([near.select("doc_id", "content", "pos"), words.select("doc_id", "content", "pos")], 50, [], "doc_id")
-    return retrieval.budget_prefix(ranked, [], "rank", retrieval.chunk_cost(F.col("content")), 6000).select("doc_id", "stream", "rank", "used")
+    return retrieval.fit_chunks(ranked, [], "rank", 6000).select("doc_id", "stream", "rank", "used")

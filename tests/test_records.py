@@ -4,7 +4,7 @@ import json
 import random
 
 from fathom.functions import canonical
-from fathom.operators import governance, records
+from fathom.operators import governance, records, retrieval
 from fathom.params import RetrievalSettings, embedding_fingerprint, evaluation_fingerprint, evaluation_profiles, pipeline_fingerprint
 from pyspark.sql import functions as F
 import pytest
@@ -142,3 +142,65 @@ def test_chains_keep_every_record_and_refuse_stale_anchors(spark):
         governance.append(every, ends, events.where("n = 2"), ["n"], F.col("payload"), ["log", "day"])
     with pytest.raises(governance.StaleAnchor):
         governance.append(every.where("sequence < 3"), after, events.where("n = 2"), ["n"], F.col("payload"), ["log", "day"])
+
+
+def test_budgets_of_many_questions_equal_a_loop(spark):
+    rng = random.Random(4)
+    tokens = lambda t: 0 if not t else sum("一" <= c <= "鿿" for c in t) + max(1, sum(not "一" <= c <= "鿿" for c in t) // 4)
+
+    def cut(text, budget):
+        if tokens(text) <= budget:
+            return text
+        used, out = 0, ""
+        for c in text:
+            used += 2 if "一" <= c <= "鿿" else 1
+            if used > max(1, budget - 1):
+                break
+            out += c
+        return out.rstrip() + "…"
+
+    say = lambda n: "".join(rng.choice("ab 日本x ") for _ in range(n))
+    asked = {q: say(rng.choice([0, 10, 300, 900])) for q in range(12)}
+    chunks = {q: [say(rng.choice([5, 60, 400, 2000])) for _ in range(rng.randrange(5))] for q in asked}
+    paths = {q: [("a -> b" + say(5), say(rng.choice([0, 50, 900])), say(rng.choice([0, 30, 600]))) for _ in range(rng.randrange(4))] for q in asked}
+    got_c, got_p = retrieval.in_context(
+        spark.createDataFrame(list(asked.items()), "q int, question string"),
+        spark.createDataFrame([(q, i, t) for q, ts in chunks.items() for i, t in enumerate(ts)], "q int, pos int, content string"),
+        spark.createDataFrame([(q, i, *p) for q, ps in paths.items() for i, p in enumerate(ps)], "q int, pos int, path string, description string, evidence string"),
+        400,
+        ["q"],
+    )
+
+    def loop(q):
+        fixed = tokens(asked[q]) + 100
+        budget, used, told = max(40, min(100, 400 - fixed)), 0, []
+        for path, description, evidence in paths[q]:
+            cost = tokens(path) + tokens(description) + tokens(evidence) + 12
+            if cost <= budget - used:
+                told.append((path, description, evidence))
+                used += cost
+                continue
+            if not told and budget > 20:
+                left = max(1, budget - tokens(path) - 12)
+                p = (path, cut(description, left), evidence) if description else (path, description, cut(evidence, left))
+                told.append(p)
+                used += sum(map(tokens, p)) + 12
+            break
+        room, spent, said = max(60, 400 - fixed - used), 0, []
+        for text in chunks[q]:
+            cost = tokens(text) + 16
+            if cost <= room - spent:
+                said.append(text)
+                spent += cost
+                continue
+            if not said and room > 20:
+                said.append(cut(text, max(1, room - 16)))
+            break
+        return said, told
+
+    said, told = {q: [] for q in asked}, {q: [] for q in asked}
+    for r in got_c.orderBy("pos").collect():
+        said[r["q"]].append(r["content"])
+    for r in got_p.orderBy("pos").collect():
+        told[r["q"]].append((r["path"], r["description"], r["evidence"]))
+    assert {q: (said[q], told[q]) for q in asked} == {q: loop(q) for q in asked}
