@@ -87,7 +87,7 @@ def pack(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = encoder(tokenizer)
         for batch in batches:
-            for rows in portions(batch, 2):
+            for rows in portions(batch, 2, 8_000_000):
                 ids, bounds = tok.encode_with_end(rows.column(2), end_id)
                 binary = pa.Array.from_buffers(pa.binary(), rows.num_rows, [None, pa.py_buffer((bounds * 4).astype(np.int32)), pa.py_buffer(ids)])
                 columns = [rows.column(0), rows.column(1), pa.array(curve_keys(ids, bounds, signs)), pa.array(np.diff(bounds)), binary]

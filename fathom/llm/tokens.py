@@ -74,17 +74,20 @@ class Encoder:
         """Ids of pieces. A piece of letters that the normalizer leaves alone is one word of the vocabulary's
         model, which gets it directly; the rest take the tokenizer's whole way."""
         out: list[bytes] = [b""] * len(pieces)
-        rest, tokenize = [], self.tokenizer.model.tokenize
+        rest, tokenize, joins, lead, marks = [], self.tokenizer.model.tokenize, self.joins_space, self.lead, self.marks
         for i, x in enumerate(pieces):
-            word, mark = (x[:-1], x[-1]) if self.joins_space and x[-1:] in (",", ".") else (x, "")
-            if word.isalpha() and (self.joins_space or (word == word.lower() and is_normalized("NFC", word))):
-                found = tokenize(self.lead + word.encode().decode("latin-1").translate(BYTE_CHARS))
-                out[i] = array("I", [t.id for t in found] + self.marks[mark]).tobytes()
-            elif x or self.joins_space:
+            word, mark = (x[:-1], x[-1]) if joins and x[-1:] in (",", ".") else (x, "")
+            if word.isalpha() and (joins or (word.islower() if word.isascii() else word == word.lower() and is_normalized("NFC", word))):
+                shown = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_CHARS)
+                ids = [t.id for t in tokenize(lead + shown)]
+                if mark:
+                    ids += marks[mark]
+                out[i] = array("I", ids).tobytes()
+            elif x or joins:
                 rest.append(i)
         if rest:
-            lead = " " if self.joins_space else ""
-            found = self.tokenizer.encode_batch_fast([lead + pieces[i] for i in rest], add_special_tokens=False)
+            space = " " if joins else ""
+            found = self.tokenizer.encode_batch_fast([space + pieces[i] for i in rest], add_special_tokens=False)
             for i, e in zip(rest, found, strict=True):
                 out[i] = array("I", e.ids).tobytes()
         return out
@@ -94,16 +97,23 @@ class Encoder:
         if len(self.young) > GENERATION:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        missing = set(pieces).difference(young.keys())
-        again = missing & old.keys()
-        young.update((x, old[x]) for x in again)
-        new = list(missing - again)
+        out = list(map(young.get, pieces))
+        new = [i for i, x in enumerate(out) if x is None]
+        if old and new:
+            missed, new = new, []
+            for i in missed:
+                found = out[i] = old.get(pieces[i])
+                if found is None:
+                    new.append(i)
+                else:
+                    young[pieces[i]] = found
         if new:
-            young.update(zip(new, self._encoded(new), strict=True))
-        out = list(map(young.__getitem__, pieces))
-        for x in new:
-            if len(x) > CACHE_CHARS:
-                del young[x]
+            asked = [pieces[i] for i in new]
+            found = self._encoded(asked)
+            for i, x, ids in zip(new, asked, found):
+                out[i] = ids
+                if len(x) <= CACHE_CHARS:
+                    young[x] = ids
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -135,14 +145,11 @@ class Encoder:
             found = self.tokenizer.encode_batch_fast([next(rest) if odd[i] else x for i, x in zip(at, first)], add_special_tokens=False)
             heads = [np.array(e.ids, dtype="<u4").tobytes() for e in found]
             codes[bounds[at]] = len(table) + np.arange(len(heads))
-        table = table + heads
-        sizes = np.fromiter(map(len, table), np.int64, len(table)) // 4
-        flat = np.frombuffer(b"".join(table), "<u4")
-        starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-        lengths = sizes[codes]
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        at = np.repeat(starts[codes] - ends[:-1], lengths) + np.arange(ends[-1])
-        return flat[at], ends[bounds]
+        # The pieces' ids as binary values: taking them puts all ids end to end.
+        taken = pa.array(table + heads, pa.large_binary()).take(pa.array(codes))
+        ends = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset : taken.offset + len(taken) + 1]
+        flat = np.frombuffer(taken.buffers()[2] or b"", "<u4")[ends[0] // 4 : ends[-1] // 4] if len(taken) else np.zeros(0, "<u4")
+        return flat, (ends // 4 - ends[0] // 4)[bounds] if len(taken) else np.zeros(len(bounds), np.int64)
 
     def encode_with_end(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The same with an end id behind each text."""
