@@ -38,6 +38,17 @@ def rollup(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     return a.join(b, "category", "full_outer").select("category", zero("document_count"), zero("chunk_count"), "source_files")
 
 
+def rollup_by_document(docs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """category, document_id, source_file, chunk_count, keyword_hits of every document that a category's documents or chunks
+    name: what the roll-up says of each, one row a document instead of a map that grows with the corpus. docs: category,
+    document_id, source_file, keywords (array); chunks: category, document_id."""
+    keep = lambda rows: rows.where(F.coalesce("document_id", F.lit("")) != "")
+    a = keep(docs).groupBy("category", "document_id").agg(F.max("source_file").alias("source_file"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("keywords")))).alias("keyword_hits"))
+    b = keep(chunks).groupBy("category", "document_id").agg(F.count("*").alias("chunk_count"))
+    none = F.array().cast("array<string>")
+    return a.join(b, ["category", "document_id"], "full_outer").select("category", "document_id", F.coalesce("source_file", F.lit("")).alias("source_file"), F.coalesce("chunk_count", F.lit(0)).cast("long").alias("chunk_count"), F.coalesce("keyword_hits", none).alias("keyword_hits"))
+
+
 def memberships(docs: DataFrame, entities: dict[str, tuple[str, ...]]) -> DataFrame:
     """One row a document and node it speaks of: document_id, source_file, category, topic (null for none)."""
     topic = F.filter(F.array(*[F.when(F.size(matched_terms(F.lower("content"), terms)) > 0, F.lit(name)) for name, terms in entities.items()]), lambda x: x.isNotNull())
@@ -120,6 +131,18 @@ def entity_matches(text: Column, entities: dict[str, tuple[str, ...]]) -> Column
     return F.filter(F.array(*names), lambda x: x.isNotNull())
 
 
+def implied_entities(text: Column, found: Column, rules: list[tuple[tuple[tuple[str, ...], ...], str]]) -> Column:
+    """Entities with those that a text implies behind them, each once: a rule has groups of words, of each of which the text
+    must have one, and the name that it brings along."""
+    more = []
+    for groups, name in rules:
+        holds = F.lit(True)
+        for words in groups:
+            holds = holds & (keyword_count(text, words) > 0)
+        more.append(F.when(holds, F.lit(name)))
+    return F.array_distinct(F.concat(found, F.array_compact(F.array(*more)))) if more else found
+
+
 def first_of(rows: DataFrame, scope: list[str], order: list[str]) -> DataFrame:
     """The first row of each scope."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*scope).orderBy(*order))).where("_n = 1").drop("_n")

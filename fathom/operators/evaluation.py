@@ -9,6 +9,7 @@ acl_allowed, is_active (null: not said) and status. Both have the columns that n
 
 from __future__ import annotations
 
+from fathom.functions.text import matched_terms
 from fathom.operators.corpus import entity_matches, keyword_count
 from fathom.params import Routing
 from pyspark.sql import Column, DataFrame
@@ -267,13 +268,49 @@ def diagnostics(scored: DataFrame, best: DataFrame, profile: str) -> DataFrame:
     return scored.join(F.broadcast(best.select(profile)), profile, "left_semi").withColumn("failure", F.explode(failed))
 
 
-def dataset_problems(cases: DataFrame) -> DataFrame:
-    """case_id and problem of rows that no fixed set of questions may have: a blank id or question, an id again. An
-    empty result says that the set can be trusted, unless it has no cases at all."""
+def dataset_problems(cases: DataFrame, about: dict | None = None, schema_version: int = 1) -> DataFrame:
+    """case_id and problem of rows that no fixed set of questions may have: a blank id or question, an id again. With
+    ``about`` (schema_version, dataset_id, dataset_version) what is wrong with the set itself, too, under a null id: another
+    schema, no name or version, no cases at all. An empty result says that the set can be trusted."""
     blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
     rows = cases.groupBy(F.trim("case_id").alias("case_id")).agg(F.count("*").alias("n"), F.bool_or(blank(F.col("question"))).alias("mute"))
     said = F.array(F.when(blank(F.col("case_id")), "case without id"), F.when(F.col("mute"), "case without question"), F.when((F.col("n") > 1) & ~blank(F.col("case_id")), "duplicate case id"))
-    return rows.select("case_id", F.explode(F.array_compact(said)).alias("problem"))
+    found = rows.select("case_id", F.explode(F.array_compact(said)).alias("problem"))
+    if about is None:
+        return found
+    version, name = about.get("schema_version"), lambda key: isinstance(about.get(key), str) and about[key].strip()
+    wrong = [] if version == schema_version and not isinstance(version, bool) else [f"unsupported schema version: {version!r}"]
+    wrong += [f"no {key}" for key in ("dataset_id", "dataset_version") if not name(key)]
+    whole = F.array_compact(F.array(*[F.lit(x) for x in wrong], F.when(F.count("*") == 0, "no cases")))
+    return found.unionByName(cases.agg(whole.alias("w")).select(F.lit(None).cast("string").alias("case_id"), F.explode("w").alias("problem")))
+
+
+def model_calls(calls: DataFrame, scope: list[str]) -> DataFrame:
+    """Counters of calls (scope, kind: chat, embedding or rerank, inputs): of each kind its calls, of the last two their
+    inputs (none below 0), and all calls; kinds that aren't known count in nothing."""
+    of = lambda kind: F.col("kind") == kind
+    inputs = lambda kind: F.coalesce(F.sum(F.when(of(kind), F.greatest(F.lit(0), F.coalesce("inputs", F.lit(0))))), F.lit(0)).cast("long").alias(f"{kind}_inputs")
+    return calls.groupBy(*scope).agg(
+        F.count_if(F.col("kind").isin("chat", "embedding", "rerank")).alias("total_calls"),
+        F.count_if(of("chat")).alias("chat_calls"),
+        F.count_if(of("embedding")).alias("embedding_calls"),
+        inputs("embedding"),
+        F.count_if(of("rerank")).alias("rerank_calls"),
+        inputs("rerank"),
+    )
+
+
+def judged_references(references: DataFrame, documents: DataFrame, allowed: DataFrame | None) -> DataFrame:
+    """References with acl_allowed, is_active and status as the index has them (documents: document_id, status): allowed
+    where the reader's list (``allowed``: document_id) has the document, or where there is no list (null); active where the
+    index has it and it isn't out of force. Both are joined by document, each of which is one row."""
+    known = documents.groupBy("document_id").agg(F.max("status").alias("_status"), F.lit(True).alias("_known"))
+    rows = references.drop("acl_allowed", "is_active", "status").join(known, "document_id", "left")
+    if allowed is not None:
+        rows = rows.join(allowed.select("document_id").distinct().withColumn("_allowed", F.lit(True)), "document_id", "left")
+    listed = F.coalesce(F.col("_allowed"), F.lit(False)) if allowed is not None else F.lit(None).cast("boolean")
+    active = F.coalesce(F.col("_known"), F.lit(False)) & ~F.coalesce(F.lower("_status").isin(*INACTIVE), F.lit(False))
+    return rows.withColumns({"acl_allowed": listed, "is_active": active, "status": F.coalesce("_status", F.lit(""))}).drop("_status", "_known", "_allowed")
 
 
 def ladder(text: Column, rules: list[tuple[tuple[str, ...], str]], default: str) -> Column:
@@ -318,3 +355,15 @@ def scope_score(text: Column, keywords: tuple[str, ...], categories: tuple[str,
     n = lambda words: keyword_count(text, words)
     most = lambda limit, c: F.least(F.lit(limit), c)
     return most(0.55, 0.12 * n(keywords)) + most(0.25, 0.12 * n(categories)) + most(0.35, 0.2 * n(files) + 0.15 * n(terms)) + most(0.25, 0.1 * n(entities))
+
+
+def scope_verdict(text: Column, excluded: tuple[str, ...], keywords: tuple[str, ...], categories: tuple[str, ...], entities: Column, files: Column, terms: Column, least: float) -> Column:
+    """in_scope, score, excluded (what of these the text says): the score of ``scope_score`` with the files, terms and
+    entities found elsewhere (arrays), 1 at most, with four places; a text that says an excluded word is out of scope."""
+    most = lambda limit, c: F.least(F.lit(limit), c)
+    n = lambda words: keyword_count(text, tuple(dict.fromkeys(w.strip() for w in words if w.strip())))
+    size = lambda c: F.greatest(F.lit(0), F.size(c))
+    points = most(0.55, 0.12 * n(keywords)) + most(0.25, 0.12 * n(categories)) + most(0.35, 0.2 * size(files) + 0.15 * size(terms)) + most(0.25, 0.1 * size(entities))
+    score = F.bround(most(1.0, points), 4)
+    said = matched_terms(F.coalesce(text, F.lit("")), excluded)
+    return F.struct(((F.size(said) == 0) & (score >= least)).alias("in_scope"), score.alias("score"), said.alias("excluded"))

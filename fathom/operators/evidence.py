@@ -106,26 +106,60 @@ def literal_paths(nodes: DataFrame, edges: DataFrame, question: str, intent: str
     return _once(as_paths(rows.where(ends + found > 0).withColumn("score", score), "dynamic_literal"))
 
 
-def query_keywords(question: str, intent: str, nodes: DataFrame, edges: DataFrame, hints: list[str], aliases: dict[str, tuple[str, ...]]) -> DataFrame:
-    """kind (entity or relationship) and keyword, once each: names of the dictionary and of nodes that the question
-    says and its quoted terms; hints that it says, labels that it says or that hold such a hint, and its words of
-    Latin letters. A kind without any has the question itself."""
+def query_keywords(
+    question: str,
+    intent: str,
+    nodes: DataFrame,
+    edges: DataFrame,
+    hints: list[str],
+    aliases: dict[str, tuple[str, ...]],
+    places: tuple[tuple[str, ...], str] = ((), ""),
+    intents: tuple[str, ...] = (),
+    entities: tuple[str, ...] = (),
+) -> DataFrame:
+    """kind (entity or relationship), pos, keyword, fallback: what a question asks a graph for, each keyword once where it
+    comes first.
+
+    Entities: those given that it says, names of the dictionary, the intent if it is a node, nodes that it names by id or
+    label, its quoted terms. Relationships: hints that it says, what words for places stand for (``places``: the words, the
+    field), an intent that has one of the words ``intents``, labels that it says or that hold a keyword found so far, hints
+    that both it and an edge's description say, its words of Latin letters. Nodes go by id and edges by label. A kind without
+    any has the question itself, and ``fallback`` says of both that one had none."""
     spark = nodes.sparkSession
     said = [h for h in hints if h in question or h == intent]
-    plain = [("entity", name) for name, words in aliases.items() if name in question or any(w and w in question for w in words)] + [("relationship", h) for h in said]
-    own = spark.createDataFrame(plain, "kind string, keyword string")
+    relations = [*said, *([places[1]] if any(w in question for w in places[0]) else []), *([intent] if any(w in intent for w in intents) else [])]
+    named = [e for e in entities if e and (e in question or e == intent)]
+    named += [name for name, words in aliases.items() if name in question or any(w and w in question for w in words)]
+    plain = [("entity", 0, str(i).zfill(6), k) for i, k in enumerate(named)] + [("relationship", 0, str(i).zfill(6), k) for i, k in enumerate(relations)]
+    own = spark.createDataFrame(plain, "kind string, step int, at string, keyword string")
     asked = spark.range(1).select(F.lit(question).alias("q"))
-    quoted = asked.select(F.lit("entity").alias("kind"), F.explode(quoted_terms(F.col("q"))).alias("keyword"))
-    words = asked.select(F.lit("relationship").alias("kind"), F.explode(F.regexp_extract_all("q", F.lit("[A-Za-z0-9][A-Za-z0-9_-]+"), F.lit(0))).alias("keyword"))
+    listed = lambda kind, step, words: asked.select(F.posexplode(words).alias("n", "keyword")).select(F.lit(kind).alias("kind"), F.lit(step).alias("step"), F.lpad(F.col("n").cast("string"), 6, F.lit("0")).alias("at"), "keyword")
+    quoted = listed("entity", 3, quoted_terms(F.col("q")))
+    words = listed("relationship", 3, F.regexp_extract_all("q", F.lit("[A-Za-z0-9][A-Za-z0-9_-]+"), F.lit(0)))
     label = F.coalesce(F.nullif("label", F.lit("")), F.col("id")) if "label" in nodes.columns else F.col("id")
     names = nodes.select("id", label.alias("label")).where(F.col("id") != "")
     inside = lambda c: F.contains(F.lit(question), c)
-    entity = names.select(F.lit("entity").alias("kind"), F.when(inside(F.col("id")) | (F.col("id") == intent), F.col("id")).when(inside(F.col("label")), F.col("label")).alias("keyword"))
-    holds = reduce(lambda a, b: a | b, [F.contains("label", F.lit(h)) for h in said], F.lit(False))
-    labels = edges.select("label").distinct().where((F.col("label") != "") & (inside(F.col("label")) | holds)).select(F.lit("relationship").alias("kind"), F.col("label").alias("keyword"))
-    every = reduce(DataFrame.unionByName, [own, quoted, words, entity, labels]).where("trim(keyword) <> ''").select("kind", F.trim("keyword").alias("keyword")).distinct()
+    is_intent = names.where((F.col("id") == intent) & F.lit(intent != "")).select(F.lit("entity").alias("kind"), F.lit(1).alias("step"), F.col("id").alias("at"), F.col("id").alias("keyword"))
+    entity = names.select(F.lit("entity").alias("kind"), F.lit(2).alias("step"), F.col("id").alias("at"), F.when(inside(F.col("id")), F.col("id")).when(inside(F.col("label")), F.col("label")).alias("keyword"))
+    labels = edges.select("label").distinct().where((F.col("label") != "") & (inside(F.col("label")) | contains_any(F.col("label"), relations)))
+    labels = labels.select(F.lit("relationship").alias("kind"), F.lit(1).alias("step"), F.col("label").alias("at"), F.col("label").alias("keyword"))
+    both = [h for h in hints if h in question]
+    found = [own, quoted, words, is_intent, entity, labels]
+    if both and "description" in edges.columns:
+        told = F.coalesce(F.nullif("description", F.lit("")), F.col("evidence"), F.lit(""))
+        hit = edges.select(F.explode(F.array_compact(F.array(*[F.when(F.contains(told, F.lit(h)), F.lit(h)) for h in both]))).alias("keyword")).distinct()
+        found.append(hit.select(F.lit("relationship").alias("kind"), F.lit(2).alias("step"), F.col("keyword").alias("at"), "keyword"))
+    every = reduce(DataFrame.unionByName, found).where("trim(keyword) <> ''").withColumn("keyword", F.trim("keyword"))
+    once = every.groupBy("kind", "keyword").agg(F.min(F.struct("step", "at")).alias("first"))
     kinds = spark.createDataFrame([("entity",), ("relationship",)], "kind string")
-    return kinds.join(every, "kind", "left").select("kind", F.coalesce("keyword", F.lit(question)).alias("keyword"), F.col("keyword").isNull().alias("fallback"))
+    rows = kinds.join(once, "kind", "left").select("kind", F.coalesce("keyword", F.lit(question)).alias("keyword"), F.col("keyword").isNull().alias("none"), "first")
+    place = F.row_number().over(Window.partitionBy("kind").orderBy("first"))  # as many as a question names
+    return rows.select("kind", place.alias("pos"), "keyword", F.max("none").over(Window.partitionBy(F.lit(1))).alias("fallback")).where("keyword <> ''")
+
+
+def graph_candidates(k: int) -> int:
+    """Entity and relationship hits that a graph search asks for."""
+    return max(3 * k, 6)
 
 
 def path_chunks(chunks: DataFrame, paths: DataFrame, category: str, terms: list[str], k: int) -> DataFrame:

@@ -205,6 +205,17 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataF
     return every.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*keys, "_r.*")
 
 
+def record_approvals(approvals: DataFrame, profiles: DataFrame, generation: str, dataset_fingerprint: str, fixed: bool, at: Column) -> DataFrame:
+    """Approvals (generation, fingerprint, profile, dataset_fingerprint, approved_at) after a run: its profiles that passed
+    the gate (profile, fingerprint, passed) take the place of what was approved under the same generation and settings.
+    Runs on questions that aren't fixed, on no set, or on no generation approve nothing."""
+    if not fixed or not dataset_fingerprint or generation in ("", "legacy"):
+        return approvals
+    new = profiles.where(F.coalesce("passed", F.lit(False))).select(F.lit(generation).alias("generation"), "fingerprint", "profile", F.lit(dataset_fingerprint).alias("dataset_fingerprint"), at.alias("approved_at"))
+    last = new.groupBy("generation", "fingerprint").agg(F.max(F.struct("profile", "dataset_fingerprint", "approved_at")).alias("r")).select("generation", "fingerprint", "r.*")
+    return approvals.join(last, ["generation", "fingerprint"], "left_anti").select(*last.columns).unionByName(last)
+
+
 def register_unlisted(files: DataFrame, versions: DataFrame) -> DataFrame:
     """Files without any version, as public first versions, each with a warning of high severity."""
     unlisted = files.join(versions.select("document_id"), "document_id", "left_anti")

@@ -127,6 +127,29 @@ CHINESE_ROUTING = Routing(
     hybrid_words=("地址迁移", "带宽变更", "欠费", "合同", "设备回收", "故障等级", "时限"),
 )
 
+# Entities in Chinese with their other names, and what a question implies: groups of words, of each of which
+# one must be said, and the entity that comes along.
+CHINESE_ENTITIES = {
+    "政企专线": ("专线", "企业专线", "互联网专线", "云专网", "跨地域组网"),
+    "企业客户": ("集团客户", "政企客户", "单位客户", "公司客户"),
+    "个人客户": ("个人用户", "自然人客户"),
+    "业务受理": ("办理", "开通", "申请", "受理"),
+    "资费套餐": ("价格", "套餐", "月费", "带宽资费", "费用", "资费"),
+    "合规审核": ("审核", "一票否决", "合规", "红线"),
+    "业务变更": ("带宽变更", "地址迁移", "变更办理", "移机"),
+    "故障报修": ("故障", "报障", "维修", "修复时限", "中断", "报修"),
+    "退订销户": ("退订", "销户", "合同终止", "取消业务", "欠费"),
+}
+CHINESE_IMPLIED = [
+    ((("欠费",),), "退订销户"),
+    ((("材料", "资质"), ("企业客户", "集团客户")), "合规审核"),
+    ((("地址迁移", "带宽变更"),), "合规审核"),
+]
+# Words in Chinese that ask for relations, those that ask where something is said, what they stand for, and
+# words of an intent that is one itself.
+CHINESE_HINTS = ("关系", "关联", "影响", "约束", "流程", "先后", "需要", "是否", "审核", "合规", "报告", "在哪", "哪里", "来源", "来源文件", "文件", "材料", "包含", "提及")
+CHINESE_PLACES, CHINESE_PLACE_FIELD, CHINESE_INTENTS = ("在哪", "哪里"), "来源文件", ("审核", "流程", "规则", "关系", "分类")
+
 LATIN_ROUTING = Routing(
     rules=(
         ("change", "reasoning", "hybrid", ("compare", "versus", "than "), ("audit",)),

@@ -128,7 +128,8 @@ SELECT 'entity' AS kind, id AS keyword, FALSE AS fallback FROM node WHERE contai
 UNION SELECT 'relationship', label, FALSE FROM edge WHERE contains('{QUESTION}', label) OR contains(label, 'located') OR contains(label, 'near') UNION SELECT 'relationship', unnest(['located', 'near']), FALSE
 UNION SELECT 'relationship', unnest(regexp_extract_all('{QUESTION}', '[A-Za-z0-9][A-Za-z0-9_-]+')), FALSE""")
 def graph_query_keywords(spark, sf_dir):
-    return evidence.query_keywords(QUESTION, "region-2", _nodes(spark, sf_dir), _edges(spark, sf_dir), HINTS, LATIN.entities)
+    found = evidence.query_keywords(QUESTION, "region-2", _nodes(spark, sf_dir), _edges(spark, sf_dir), HINTS, LATIN.entities)
+    return found.select("kind", "keyword", "fallback")
 
 
 def _graph(spark, sf_dir, units):

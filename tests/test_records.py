@@ -204,3 +204,68 @@ def test_budgets_of_many_questions_equal_a_loop(spark):
     for r in got_p.orderBy("pos").collect():
         told[r["q"]].append((r["path"], r["description"], r["evidence"]))
     assert {q: (said[q], told[q]) for q in asked} == {q: loop(q) for q in asked}
+
+
+def test_keywords_of_a_question_equal_a_loop(spark):
+    from fathom.operators import evidence
+    from fathom.params import CHINESE_ENTITIES, CHINESE_HINTS, CHINESE_IMPLIED, CHINESE_INTENTS, CHINESE_PLACE_FIELD, CHINESE_PLACES
+    from fathom.operators.corpus import entity_matches, implied_entities
+
+    nodes = [("n2", "专线"), ("n1", ""), ("业务变更", "change"), ("n4", "材料")]
+    edges = [("needs", "需要 材料", "e"), ("审核 of", "", "关系"), ("plain", "x", "y"), ("", "流程", "")]
+    table = spark.createDataFrame(nodes, "id string, label string")
+    links = spark.createDataFrame([("a", label, "b", d, e) for label, d, e in edges], "source string, label string, target string, description string, evidence string")
+
+    def loop(question, intent, entities):
+        named = [e for e in entities if e in question or e == intent] + [n for n, words in CHINESE_ENTITIES.items() if n in question or any(w in question for w in words)]
+        named += [i for i, _ in sorted(nodes) if intent and i == intent]
+        for i, label in sorted(nodes):
+            named += [i] if i in question else [label or i] if (label or i) in question else []
+        import re
+
+        named += [t.strip() for t in re.findall(r"[\"“「『《]([^\"“”「」『』《》]{2,30})[\"”」』》]", question)]
+        asked = [h for h in CHINESE_HINTS if h in question or h == intent] + ([CHINESE_PLACE_FIELD] if any(p in question for p in CHINESE_PLACES) else []) + ([intent] if any(t in intent for t in CHINESE_INTENTS) else [])
+        labels = [x for x in sorted({e[0] for e in edges}) if x and (x in question or any(h in x for h in asked))]
+        told = sorted({h for _, d, e in edges for h in CHINESE_HINTS if h in question and h in (d or e)})
+        asked = asked + labels + told + re.findall("[A-Za-z0-9][A-Za-z0-9_-]+", question)
+        both = [list(dict.fromkeys(named)), list(dict.fromkeys(asked))]
+        return [x or ([question] if question else []) for x in both], not all(both)
+
+    for question, intent in (("专线 n1 的 材料 在哪 “quoted term” AB-1", "合规审核"), ("nothing", "业务变更"), ("何时", ""), ("地址迁移 需要 plain 关系", "关系")):
+        got = evidence.query_keywords(question, intent, table, links, list(CHINESE_HINTS), CHINESE_ENTITIES, (CHINESE_PLACES, CHINESE_PLACE_FIELD), CHINESE_INTENTS, ("given", "n1")).orderBy("kind", "pos").collect()
+        (named, asked), fallback = loop(question, intent, ("given", "n1"))
+        assert [r["keyword"] for r in got if r["kind"] == "entity"] == named and [r["keyword"] for r in got if r["kind"] == "relationship"] == asked, question
+        assert {r["fallback"] for r in got} == {fallback}
+    texts = ["欠费 了", "集团客户 的 资质", "材料", "地址迁移 与 销户"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = [r[0] for r in rows.select(implied_entities(F.col("t"), entity_matches(F.col("t"), CHINESE_ENTITIES), CHINESE_IMPLIED)).collect()]
+    assert found == [["退订销户"], ["企业客户", "合规审核"], [], ["业务变更", "退订销户", "合规审核"]]
+    assert (evidence.graph_candidates(1), evidence.graph_candidates(5)) == (6, 15)
+
+
+def test_scope_calls_references_and_approvals(spark):
+    from fathom.functions import vectors
+    from fathom.operators import corpus, evaluation
+
+    rows = spark.createDataFrame([("a b c d e f key", ["f"] * 3, ["t"], ["e"] * 4), ("key bad", [], [], []), ("key", None, None, None)], "t string, files array<string>, terms array<string>, es array<string>")
+    got = [r["v"] for r in rows.select(evaluation.scope_verdict(F.col("t"), ("bad",), ("key", "a", "b", "c", "d", "e ", "e"), ("f",), F.col("es"), F.col("files"), F.col("terms"), 0.12).alias("v")).collect()]
+    assert [(v["in_scope"], v["score"], v["excluded"]) for v in got] == [(True, 1.0, []), (False, 0.55, ["bad"]), (True, 0.24, [])]
+    calls = spark.createDataFrame([("c", "chat", None), ("c", "embedding", 3), ("c", "embedding", -2), ("c", "rerank", 5), ("c", "other", 9)], "case string, kind string, inputs int")
+    assert evaluation.model_calls(calls, ["case"]).first().asDict() == {"case": "c", "total_calls": 4, "chat_calls": 1, "embedding_calls": 2, "embedding_inputs": 3, "rerank_calls": 1, "rerank_inputs": 5}
+    refs, docs = spark.createDataFrame([("d1", 0), ("d2", 1), ("d3", 2)], "document_id string, rank int"), spark.createDataFrame([("d1", "published"), ("d2", "Retired")], "document_id string, status string")
+    judged = {r["document_id"]: (r["acl_allowed"], r["is_active"], r["status"]) for r in evaluation.judged_references(refs, docs, docs.limit(1)).collect()}
+    assert judged == {"d1": (True, True, "published"), "d2": (False, False, "Retired"), "d3": (False, False, "")}
+    assert {r["acl_allowed"] for r in evaluation.judged_references(refs, docs, None).collect()} == {None}
+    cases = spark.createDataFrame([("a", "q"), ("a", "q"), ("", "")], "case_id string, question string")
+    assert sorted(r["problem"] for r in evaluation.dataset_problems(cases, {"schema_version": 1, "dataset_id": "x", "dataset_version": "1"}).collect()) == ["case without id", "case without question", "duplicate case id"]
+    assert sorted(r["problem"] for r in evaluation.dataset_problems(cases.limit(0), {"schema_version": True, "dataset_id": " "}).collect()) == ["no cases", "no dataset_id", "no dataset_version", "unsupported schema version: True"]
+    old = spark.createDataFrame([("g", "s1", "p0", "f0", 1), ("h", "s1", "p0", "f0", 1)], "generation string, fingerprint string, profile string, dataset_fingerprint string, approved_at int")
+    profiles = spark.createDataFrame([("p1", "s1", True), ("p2", "s2", False), ("p3", "s3", None), ("p4", "s4", True)], "profile string, fingerprint string, passed boolean")
+    after = governance.record_approvals(old, profiles, "g", "f1", True, F.lit(2))
+    assert sorted(map(tuple, after.collect())) == [("g", "s1", "p1", "f1", 2), ("g", "s4", "p4", "f1", 2), ("h", "s1", "p0", "f0", 1)]
+    assert governance.record_approvals(old, profiles, "legacy", "f1", True, F.lit(2)).count() == governance.record_approvals(old, profiles, "g", "f1", False, F.lit(2)).count() == 2
+    by = corpus.rollup_by_document(spark.createDataFrame([("c", "d1", "f", ["k", "j"]), ("c", None, "f", ["k"])], "category string, document_id string, source_file string, keywords array<string>"), spark.createDataFrame([("c", "d1"), ("c", "d1"), ("x", "d2"), ("c", "")], "category string, document_id string"))
+    assert sorted(map(str, by.collect())) == sorted(map(str, spark.createDataFrame([("c", "d1", "f", 2, ["j", "k"]), ("x", "d2", "", 1, [])], "category string, document_id string, source_file string, chunk_count long, keyword_hits array<string>").collect()))
+    v = spark.createDataFrame([([[1.0, 2.0], [3.0, 4.0], [9.0, 9.0]], [1, 1, 0], [3.0, 4.0], [0.0, 0.0])], "s array<array<double>>, m array<int>, u array<double>, z array<double>")
+    r = v.select(vectors.pooled(F.col("s"), F.col("m")).alias("mean"), vectors.pooled(F.col("s"), F.col("m"), True).alias("last"), vectors.unit(F.col("u")).alias("unit"), vectors.unit(F.col("z")).alias("zero"), vectors.yes_share(F.lit(0.0), F.lit(0.0)).alias("half")).first()
+    assert (r["mean"], r["last"], r["unit"], r["zero"], r["half"]) == ([2.0, 3.0], [3.0, 4.0], [0.6, 0.8], [0.0, 0.0], 0.5)
