@@ -15,6 +15,11 @@ def windows(text: Column, size: int, overlap: int) -> Column:
     return F.transform(at, lambda s: F.substring(text, s + 1, F.lit(size)))
 
 
+def window_count(text: Column, size: int, overlap: int) -> Column:
+    """How many windows a text has."""
+    return F.when(F.length(text) > 0, F.floor((F.length(text) - 1) / (size - overlap)) + 1).otherwise(0)
+
+
 def fixed_windows(docs: DataFrame, text: str, size: int, overlap: int) -> DataFrame:
     """One row a window, as chunk_index (from 0) and chunk."""
     return docs.select(*docs.columns, F.posexplode(windows(F.col(text), size, overlap)).alias("chunk_index", "chunk")).drop(text)

@@ -38,6 +38,11 @@ def rollup(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     return a.join(b, "category", "full_outer").select("category", zero("document_count"), zero("chunk_count"), "source_files")
 
 
+def rollup_counted(docs: DataFrame, chunks: Column) -> DataFrame:
+    """The same where a document's number of chunks follows from the document: one pass, and no chunk is made to be counted."""
+    return docs.groupBy("category").agg(F.count("*").alias("document_count"), F.sum(chunks).cast("long").alias("chunk_count"), F.array_sort(F.collect_set("source_file")).alias("source_files"))
+
+
 def rollup_by_document(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     """category, document_id, source_file, chunk_count, keyword_hits of every document that a category's documents or chunks
     name: what the roll-up says of each, one row a document instead of a map that grows with the corpus. docs: category,

@@ -135,20 +135,33 @@ def near_dup_pairs(docs: DataFrame, scope: str, id_col: str, content: str, thres
 def near_dup_greedy(hits: DataFrame, scope: str, id_col: str, content: str, score: str, pos: str, threshold: float = 0.85) -> DataFrame:
     """Hits of each scope in order, each absorbed by the first kept one that it nearly repeats; a better score
     takes the place over, payload and shingles. The order decides, so a scope, such as a document, is folded
-    in one task each; it compares hashes and holds one set of them for each hit that it keeps."""
+    in one task each; it holds one set of hashes for each hit that it keeps, and compares a hit with those alone that share
+    one of their first hashes with it."""
+
+    def first(grams: np.ndarray) -> list[int]:
+        """The least hashes of a set, of which two sets that reach the threshold share one."""
+        return grams[: len(grams) - math.ceil(threshold * len(grams) - 1e-9) + 1].tolist()
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         kept: list[list] = []
+        index: dict[int, set[int]] = {}
         for row in pdf.sort_values(["place", "item"]).itertuples(index=False):
-            grams = set(row.grams)
-            for k in kept:
-                shared = len(grams & k[3])
-                if grams and k[3] and shared >= threshold * (len(grams) + len(k[3]) - shared):
-                    if row.score > k[2]:
-                        k[1:] = [row.item, row.score, grams]
+            own, grams = first(row.grams), set(row.grams.tolist())
+            for i in sorted({k for g in own for k in index.get(g, ())}):
+                other = kept[i][3]
+                shared = len(grams & other)
+                if shared >= threshold * (len(grams) + len(other) - shared):
+                    if row.score > kept[i][2]:
+                        for g in kept[i][4]:
+                            index[g].discard(i)
+                        kept[i][1:] = [row.item, row.score, grams, own]
+                        for g in own:
+                            index.setdefault(g, set()).add(i)
                     break
             else:
-                kept.append([row.place, row.item, row.score, grams])
+                for g in own:
+                    index.setdefault(g, set()).add(len(kept))
+                kept.append([row.place, row.item, row.score, grams, own])
         return pd.DataFrame({scope: pdf[scope].iloc[0], pos: [k[0] for k in kept], id_col: [k[1] for k in kept], score: [k[2] for k in kept]})
 
     kinds = dict(hits.dtypes)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fathom.operators import corpus, governance, terms
+from fathom.operators import chunking, corpus, governance, terms
 from fathom.params import LATIN
 from fathom.sources import tables
 from pyspark.sql import functions as F
@@ -45,6 +45,27 @@ def category_inference(spark, sf_dir):
 @query(f"""WITH {_DOC}
 SELECT category, count(*) AS document_count, CAST(sum(CASE WHEN length(text) = 0 THEN 0 ELSE (length(text) - 1) // 500 + 1 END) AS BIGINT) AS chunk_count, string_agg(DISTINCT source_file, ',' ORDER BY source_file) AS source_files FROM doc GROUP BY category""")
 def category_rollup(spark, sf_dir):
+    found = corpus.rollup_counted(_docs(spark, sf_dir), chunking.window_count(F.col("content"), 600, 100))
+    return found.withColumn("source_files", F.array_join("source_files", ","))
+
+
+@query(f"""WITH {_DOC}
+SELECT category, document_id, source_file, CAST(CASE WHEN length(text) = 0 THEN 0 ELSE (length(text) - 1) // 500 + 1 END AS BIGINT) AS chunk_count, array_to_string(list_sort(list_filter([{', '.join(repr(w) for words in LATIN.categories.values() for w in words)}], lambda w: contains(source_file || chr(10) || substring(text, 1, 1200), w))), ',') AS keyword_hits FROM doc""")
+def category_documents_rollup(spark, sf_dir):
+    """What the roll-up says of each document of a category: its chunks and the keywords that it has."""
+    docs = _docs(spark, sf_dir)
+    words = [w for words in LATIN.categories.values() for w in words]
+    seen = F.concat("source_file", F.lit("\n"), F.substring("content", 1, 1200))
+    named = docs.withColumn("keywords", F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(seen, w)))
+    chunks = tables.chunks(spark, sf_dir).select("doc_id").join(docs.select("doc_id", "document_id", "category"), "doc_id")
+    found = corpus.rollup_by_document(named, chunks)
+    return found.withColumn("keyword_hits", F.array_join("keyword_hits", ","))
+
+
+@query(f"""WITH {_DOC}, chunk AS (SELECT doc_id, unnest(range(CASE WHEN length(text) = 0 THEN 0 ELSE (length(text) - 1) // 500 + 1 END)) AS i FROM documents)
+SELECT category, count(DISTINCT doc_id) AS document_count, count(i) AS chunk_count, string_agg(DISTINCT source_file, ',' ORDER BY source_file) AS source_files FROM doc LEFT JOIN chunk USING (doc_id) GROUP BY category""")
+def category_rollup_of_chunks(spark, sf_dir):
+    """The roll-up of documents and of chunks that are there as rows."""
     docs = _docs(spark, sf_dir)
     chunks = tables.chunks(spark, sf_dir).select("doc_id").join(docs.select("doc_id", "category"), "doc_id")
     return corpus.rollup(docs, chunks).withColumn("source_files", F.array_join("source_files", ","))
