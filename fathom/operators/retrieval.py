@@ -107,12 +107,12 @@ def _prefixes(docs: DataFrame, threshold: float, frequent: int = 16, most: int =
     return docs.withColumn("prefix", prefix("s"))
 
 
-def near_dup_pairs(docs: DataFrame, scope: str, id_col: str, content: str, threshold: float = 0.85) -> DataFrame:
-    """Pairs within a scope whose shingles reach the threshold.
+def _near_classes(docs: DataFrame, scope: str, id_col: str, content: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """scope, id, c of rows with shingles (c: those with equal sets), and scope, c1, c2, similarity of classes that reach the
+    threshold, each pair once.
 
-    Equal sets of shingles are one class first, so copies are compared once; candidates share a shingle of their
-    prefixes (rare ones first) at places that leave room for the threshold, and their sets, sorted hashes in one
-    row each, are then intersected. Members of classes are paired at the end, as the result is pairs."""
+    Candidates share a shingle of their prefixes (rare ones first) at places that leave room for the threshold, and their
+    sets, sorted hashes in one row each, are then intersected; copies are compared once, as one class."""
     rows = cut(docs.select(scope, F.col(id_col).alias("id"), shingle_hashes(F.col(content)).alias("s"))).where(F.size("s") > 0)
     rows = rows.withColumn("c", F.concat_ws(":", F.xxhash64("s").cast("string"), F.xxhash64(F.lit(1), "s").cast("string")))
     classes = cut(_prefixes(cut(rows.groupBy(scope, "c").agg(F.first("s").alias("s"))), threshold))
@@ -125,6 +125,13 @@ def near_dup_pairs(docs: DataFrame, scope: str, id_col: str, content: str, thres
     sets = [classes.select(scope, F.col("c").alias(f"c{i}"), F.col("s").alias(f"s{i}")) for i in "12"]
     both = pairs.join(sets[0], [scope, "c1"]).join(sets[1], [scope, "c2"]).withColumn("k", F.size(F.array_intersect("s1", "s2")))
     near = both.select(scope, "c1", "c2", (F.col("k") / (F.size("s1") + F.size("s2") - F.col("k"))).alias("similarity")).where(F.col("similarity") >= threshold)
+    return rows.select(scope, "id", "c"), near
+
+
+def near_dup_pairs(docs: DataFrame, scope: str, id_col: str, content: str, threshold: float = 0.85) -> DataFrame:
+    """Pairs within a scope whose shingles reach the threshold. The result has a row for every pair of copies;
+    ``near_dup_classes`` says as much in a row a document."""
+    rows, near = _near_classes(docs, scope, id_col, content, threshold)
     members = [rows.select(scope, F.col("c").alias(f"c{i}"), F.col("id").alias(f"id{i}")) for i in "12"]
     across = near.join(members[0], [scope, "c1"]).join(members[1], [scope, "c2"])
     inside = members[0].join(members[1].withColumnRenamed("c2", "c1"), [scope, "c1"]).where("id1 < id2").withColumn("similarity", F.lit(1.0))
@@ -132,6 +139,20 @@ def near_dup_pairs(docs: DataFrame, scope: str, id_col: str, content: str, thres
     return named(across).unionByName(named(inside))
 
 
+def near_dup_classes(docs: DataFrame, scope: str, id_col: str, content: str, threshold: float = 0.85) -> tuple[DataFrame, DataFrame]:
+    """scope, id, class_id (the smallest id with an equal set of shingles; its own without shingles) and copies of every
+    document, and scope, a, b, similarity of classes that nearly repeat each other, by their class_id. Any number of copies is
+    one row a document, not a row a pair."""
+    rows, near = _near_classes(docs, scope, id_col, content, threshold)
+    named = cut(rows.groupBy(scope, "c").agg(F.min("id").alias("class_id"), F.count("*").alias("copies")))
+    members = rows.join(named, [scope, "c"]).select(scope, F.col("id").alias(id_col), "class_id", "copies")
+    without = docs.select(scope, F.col(id_col).alias("id"), shingle_hashes(F.col(content)).alias("s")).where(F.size("s") == 0)
+    members = members.unionByName(without.select(scope, F.col("id").alias(id_col), F.col("id").alias("class_id"), F.lit(1).cast("long").alias("copies")))
+    of = lambda i: named.select(scope, F.col("c").alias(f"c{i}"), F.col("class_id").alias(f"id{i}"))
+    links = near.join(of("1"), [scope, "c1"]).join(of("2"), [scope, "c2"])
+    return members, links.select(scope, F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b"), "similarity")
+
+
 def near_dup_greedy(hits: DataFrame, scope: str, id_col: str, content: str, score: str, pos: str, threshold: float = 0.85) -> DataFrame:
     """Hits of each scope in order, each absorbed by the first kept one that it nearly repeats; a better score
     takes the place over, payload and shingles. The order decides, so a scope, such as a document, is folded

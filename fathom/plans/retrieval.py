@@ -184,6 +184,18 @@ def near_dup_pairs(spark, sf_dir):
     return found.select("source_file", "a", "b", F.round("similarity", 6).alias("similarity"))
 
 
+@query(f"""WITH {_SHINGLES}, one AS (SELECT doc_id, any_value(source) AS source, count(*) AS n, sha256(string_agg(g, '|' ORDER BY g)) AS digest FROM s GROUP BY doc_id),
+class AS (SELECT source, digest, min(doc_id) AS class_id, count(*) AS copies, any_value(n) AS n FROM one GROUP BY source, digest),
+g AS (SELECT class.*, s.g FROM class JOIN s ON s.doc_id = class_id),
+link AS (SELECT p.class_id AS a, q.class_id AS b FROM g AS p JOIN g AS q ON p.source = q.source AND p.g = q.g AND p.class_id <> q.class_id GROUP BY p.class_id, q.class_id, p.n, q.n HAVING count(*) / (p.n + q.n - count(*)) >= 0.85)
+SELECT d.doc_id, coalesce(class_id, d.doc_id) AS class_id, coalesce(copies, 1) AS copies, (SELECT count(*) FROM link WHERE a = class_id) AS links FROM documents AS d LEFT JOIN one ON one.doc_id = d.doc_id LEFT JOIN class ON class.source = one.source AND class.digest = one.digest""")
+def near_dup_classes(spark, sf_dir):
+    """Near copies of a source in a row a document: its class, the class's copies, and how many classes are near it."""
+    members, links = retrieval.near_dup_classes(tables.documents(spark, sf_dir), "source_file", "doc_id", "content")
+    ends = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))
+    return members.join(ends, "class_id", "left").select("doc_id", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+
+
 @query()
 def near_dup_greedy(spark, sf_dir):
     """Chunks of each document without those that nearly repeat a better one; tests compare with a loop."""
