@@ -169,10 +169,10 @@ def graph_record_hash(spark, sf_dir):
     return edges.select("source", F.sha2(F.concat_ws("|", "source", "label", "target"), 256).alias("record_hash"))
 
 
-@query("SELECT 'doc-' || c_custkey AS document_id, 1::BIGINT AS version, 'public' AS visibility, 'high' AS severity FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT 'doc-' || p_partkey AS document_id, 1::BIGINT AS version, 'public' AS visibility, 'high' AS severity FROM part WHERE p_partkey NOT IN (SELECT o_custkey FROM orders)")
 def unlisted_file_registration(spark, sf_dir):
-    """Files that no manifest lists, registered as public first versions with a warning."""
-    files = tables.table(spark, sf_dir, "customer").select(F.concat(F.lit("doc-"), F.col("c_custkey").cast("string")).alias("document_id"))
+    """Files (a part each) that no manifest lists, registered as public first versions with a warning."""
+    files = tables.table(spark, sf_dir, "part").select(F.concat(F.lit("doc-"), F.col("p_partkey").cast("string")).alias("document_id"))
     return governance.register_unlisted(files, tables.versions(spark, sf_dir))
 
 
@@ -211,9 +211,9 @@ def semi_join_active_customers(spark, sf_dir):
     return tables.table(spark, sf_dir, "customer").select("c_custkey").join(orders, "c_custkey", "left_semi")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-01')")
 def anti_join_idle_customers(spark, sf_dir):
-    orders = tables.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    orders = tables.table(spark, sf_dir, "orders").where("o_orderdate >= timestamp'2000-01-01'").select(F.col("o_custkey").alias("c_custkey"))
     return tables.table(spark, sf_dir, "customer").select("c_custkey").join(orders, "c_custkey", "left_anti")
 
 

@@ -47,5 +47,6 @@ def test_same_rows(spark, duck, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(library.QUERIES) - set(library.SQL)))
-def test_runs(spark, name):
-    assert library.QUERIES[name](spark, SF).count() >= 0
+def test_gives_rows(spark, name):
+    """Queries that SQL can't express give rows; what they give is compared with loops elsewhere."""
+    assert library.QUERIES[name](spark, SF).count() > 0
