@@ -28,6 +28,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 QUESTION = "question_id"
+#: Numbers of a product of questions and chunks, and matches of terms, that a task holds at once.
+PRODUCT, MATCHES = 2_000_000, 2_000_000
 
 
 class Best:
@@ -36,17 +38,24 @@ class Best:
     def __init__(self, n: int, k: int):
         self.k, self.lists, self.least = k, [[] for _ in range(n)], np.full(n, -np.inf)
 
-    def add(self, q: int, scores: np.ndarray, ids: pa.Array, places: np.ndarray) -> None:
-        """Scores of one question and the rows' ids with their places in the order of ids."""
-        some = np.flatnonzero(scores >= self.least[q])
-        if len(some) > self.k:
-            some = some[np.lexsort((places[some], -scores[some]))[: self.k]]
-        own = self.lists[q]
-        for i in some:
-            insort(own, (-float(scores[i]), ids[int(i)].as_py()))
-        del own[self.k :]
-        if len(own) == self.k:
-            self.least[q] = -own[-1][0]
+    def add(self, question: np.ndarray, row: np.ndarray, score: np.ndarray, ids: pa.Array, places: np.ndarray) -> None:
+        """Scores of (question, row) pairs, with the rows' ids and their places in the order of ids. Only pairs that can be
+        among the best are looked at one by one: k a question at most."""
+        some = np.flatnonzero(score >= self.least[question])
+        question, row, score = question[some], row[some], score[some]
+        order = np.lexsort((places[row], -score, question))
+        question, row, score = question[order], row[order], score[order]
+        new = np.concatenate([[True], question[1:] != question[:-1]]) if len(question) else np.zeros(0, bool)
+        start = np.maximum.accumulate(np.where(new, np.arange(len(question)), 0)) if len(question) else np.zeros(0, np.int64)
+        first = np.flatnonzero(np.arange(len(question)) - start < self.k)
+        values = ids.take(pa.array(row[first])).to_pylist()
+        for q, x, i in zip(question[first].tolist(), score[first].tolist(), values, strict=True):
+            own = self.lists[q]
+            insort(own, (-x, i))
+            if len(own) > self.k:
+                own.pop()
+            if len(own) == self.k:
+                self.least[q] = -own[-1][0]
 
     def batch(self, numbers: list[int], kind: pa.DataType) -> pa.RecordBatch:
         rows = [(n, i, -s) for n, own in zip(numbers, self.lists, strict=True) for s, i in own]
@@ -120,7 +129,7 @@ def nearest(rows: DataFrame, questions: DataFrame, k: int, id_col: str = "chunk_
 
     def walk(batch: pa.RecordBatch, asked: np.ndarray, best: Best | None, n: int) -> Best:
         best = best or Best(n, k)
-        step = max(1, 1_000_000 // max(1, n))
+        step = max(1, PRODUCT // max(1, n))
         for at in range(0, batch.num_rows, step):
             ids, column = batch.column(0).slice(at, step), batch.column(1).slice(at, step)
             lengths = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
@@ -133,13 +142,12 @@ def nearest(rows: DataFrame, questions: DataFrame, k: int, id_col: str = "chunk_
                 x = np.where(good, x / np.where(good, size, 1), 0.0)
             else:
                 x = matrix(column.to_pylist(), asked.shape[1])
-            places, product = _order(ids), x @ asked.T
-            for q in range(n):
-                # The product picks, and what it picks is added up in one order, so that copies score the same.
-                some = np.flatnonzero(product[:, q] >= best.least[q] - 1e-9)
-                if len(some):
-                    scores = np.maximum(0.0, (x[some] * asked[q]).sum(axis=1))
-                    best.add(q, scores, ids.take(pa.array(some)), places[some])
+            # The product picks, and what it picks is added up in one order, so that copies score the same.
+            question, row = np.nonzero(asked @ x.T >= np.maximum(best.least, 0.0)[:, None] - 1e-9) if np.isfinite(best.least).all() else (np.repeat(np.arange(n), len(x)), np.tile(np.arange(len(x)), n))
+            places = _order(ids)
+            for part in range(0, len(row), PRODUCT // 8):
+                q, r = question[part : part + PRODUCT // 8], row[part : part + PRODUCT // 8]
+                best.add(q, r, np.maximum(0.0, (x[r] * asked[q]).sum(axis=1)), ids, places)
         return best
 
     blocks = _blocks(asked, 8 * F.coalesce(F.size("query"), F.lit(0)) + 64, block_bytes)
@@ -160,22 +168,21 @@ def with_chunks(hits: DataFrame, rows: DataFrame, id_col: str = "chunk_id", most
 
 
 def vector_batch(rows: DataFrame, questions: DataFrame, settings: DataFrame, id_col: str = "chunk_id") -> DataFrame:
-    """Hits (profile, question_id, pos, vector_score, score and the chunk's columns) of each question under each of its
-    settings (profile, question_id, top_k, candidates, min_score): what ``retrieval.vector_search`` gives for one.
+    """Hits (profile, question_id, pos, vector_score, score and the chunk's columns but its content) of each question under
+    each of its settings (profile, question_id, top_k, candidates, min_score): what ``retrieval.vector_search`` gives for one.
 
-    The nearest chunks are looked for once, as many as the most asking settings want."""
+    The nearest chunks are looked for once, as many as the most asking settings want, and scored once, whatever the number of
+    profiles; texts are read where they are scored and go no further (``with_chunks`` gives those of the hits that are left)."""
     most = settings.agg(F.max(F.greatest("candidates", "top_k"))).first()[0]
-    if most is None:
-        most = 1
-    near = with_chunks(nearest(rows, questions, int(most), id_col).withColumnRenamed("pos", "_near"), rows, id_col)
+    near = with_chunks(nearest(rows, questions, int(most or 1), id_col).withColumnRenamed("pos", "_near"), rows, id_col)
     asked = questions.select(QUESTION, F.col("category").alias("_category"), F.col("entities").alias("_entities"), F.col("files").alias("_files"))
-    both = near.join(asked, QUESTION).join(settings, QUESTION).where(F.col("_near") <= F.greatest("candidates", "top_k"))
     said = F.size(F.filter("_entities", lambda e: F.contains(F.col("content"), e)))
     named = F.when(F.size("_entities") > 0, F.least(F.lit(1.0), said / F.size("_entities"))).otherwise(0.0)
     score = 0.65 * F.col("vector_score") + 0.20 * (F.col("category") == F.col("_category")).cast("double") + 0.10 * named + 0.05 * F.coalesce(F.array_contains("_files", F.col("source_file")), F.lit(False)).cast("double")
-    scored = both.withColumn("score", score).where(F.col("score") >= F.col("min_score"))
+    scored = cut(near.join(asked, QUESTION).withColumn("score", score).drop("content", "_category", "_entities", "_files"))
+    both = scored.join(settings, QUESTION).where((F.col("_near") <= F.greatest("candidates", "top_k")) & (F.col("score") >= F.col("min_score")))
     place = F.row_number().over(Window.partitionBy("profile", QUESTION).orderBy(F.desc("score"), F.desc("vector_score"), id_col))
-    return scored.withColumn("pos", place).where(F.col("pos") <= F.col("candidates")).drop("_near", "_category", "_entities", "_files")
+    return both.withColumn("pos", place).where(F.col("pos") <= F.col("candidates")).drop("_near")
 
 
 def _by_terms(rows: DataFrame, questions: DataFrame, k: int, id_col: str, whole: bool, block_bytes: int) -> DataFrame:
@@ -207,38 +214,58 @@ def _by_terms(rows: DataFrame, questions: DataFrame, k: int, id_col: str, whole:
                     times.append(m)
         row, term, times = (np.array(x, np.int64) for x in (row, term, times))
         each = starts[term + 1] - starts[term]
-        match = np.repeat(np.arange(len(term)), each)
-        question = flat[np.arange(len(match)) + np.repeat(starts[term] - (np.cumsum(each) - each), each)] if len(match) else match
-        key, inverse = np.unique(question * batch.num_rows + row[match], return_inverse=True)
-        found = np.bincount(inverse, times[match] if whole else None, len(key))
-        of, at = key // batch.num_rows, key % batch.num_rows
-        bounds = np.searchsorted(of, np.arange(n + 1))
-        if whole:
-            for q in np.unique(of):
-                own = slice(bounds[q], bounds[q + 1])
-                best.add(q, np.minimum(1.0, 0.35 + 0.08 * found[own]), ids.take(pa.array(at[own])), places[at[own]])
-            return best
-        category, file = (batch.column(i).to_pylist() for i in (2, 3))
         groups: dict = {}
-        for i in np.argsort(places, kind="stable").tolist():
-            for name in ((), ("c", category[i]), ("f", file[i]), ("cf", category[i], file[i])):
-                some = groups.setdefault(name, [])
-                if len(some) < k:
-                    some.append(i)
-        for q in range(n):
-            own, c, fs = slice(bounds[q], bounds[q + 1]), categories[q], files[q]
-            some = at[own]
-            if best.least[q] <= 0.45 + 0.2 + 0.05:
-                # Chunks without a term: of those that score the same the lowest ids can be among the best alone.
-                more = [*groups[()], *groups.get(("c", c), ()), *(i for f in fs for name in (("f", f), ("cf", c, f)) for i in groups.get(name, ()))]
-                some = np.union1d(some, np.array(more, np.int64))
-            if not len(some):
-                continue
-            n_terms = np.zeros(len(some))
-            n_terms[np.searchsorted(some, at[own])] = found[own]
-            same = np.array([c is not None and category[i] == c for i in some], float)
-            named = np.array([file[i] in fs for i in some], float)
-            best.add(q, 0.45 + 0.2 * same + np.minimum(0.3, 0.08 * n_terms) + 0.05 * named, ids.take(pa.array(some)), places[some])
+        if not whole:
+            category, file = (batch.column(i).to_pylist() for i in (2, 3))
+            for i in np.argsort(places, kind="stable").tolist():
+                for name in ((), ("c", category[i]), ("f", file[i]), ("cf", category[i], file[i])):
+                    some = groups.setdefault(name, [])
+                    if len(some) < k:
+                        some.append(i)
+            codes: dict = {}
+            named = lambda values: np.array([codes.setdefault(v, len(codes)) for v in values], np.int64)
+            row_category, row_file, of_question = named([("c", c) for c in category]), named([("f", f) for f in file]), named([("c", c) if c is not None else None for c in categories])
+            wanted = {(q, codes[("f", f)]) for q in range(n) for f in files[q] if ("f", f) in codes}
+            pairs = np.array(sorted(q << 32 | f for q, f in wanted), np.int64)
+
+        def points(question: np.ndarray, at: np.ndarray, found: np.ndarray) -> np.ndarray:
+            if whole:
+                return np.minimum(1.0, 0.35 + 0.08 * found)
+            same, filed = row_category[at] == of_question[question], np.isin(question << 32 | row_file[at], pairs)
+            return 0.45 + 0.2 * same + np.minimum(0.3, 0.08 * found) + 0.05 * filed
+
+        # Matches go in slices of whole rows, so that a task holds so many at once, or one row's.
+        bounds, first = np.concatenate([[0], np.cumsum(each)]), 0
+        ends = np.searchsorted(row, np.arange(batch.num_rows), "right")
+        while first < len(row):
+            last = int(ends[row[first]])
+            while last < len(row) and bounds[ends[row[last]]] - bounds[first] <= MATCHES:
+                last = int(ends[row[last]])
+            own = slice(first, last)
+            match = np.repeat(np.arange(first, last), each[own])
+            question = flat[np.arange(len(match)) + np.repeat(starts[term[own]] - (bounds[first:last] - bounds[first]), each[own])]
+            key, inverse = np.unique(question * batch.num_rows + row[match], return_inverse=True)
+            found = np.bincount(inverse, times[match] if whole else None, len(key))
+            best.add(key // batch.num_rows, key % batch.num_rows, points(key // batch.num_rows, key % batch.num_rows, found), ids, places)
+            first = last
+        if not whole:
+            # Chunks without a term: of those that score the same the lowest ids can be among the best alone. One that has
+            # a term was added with its own, higher score; here it would come again, so it is left out.
+            q_in = np.flatnonzero(best.least <= 0.45 + 0.2 + 0.05)
+            have = [set() for _ in range(batch.num_rows)]
+            for i, t in zip(row.tolist(), term.tolist()):
+                have[i].add(t)
+            asked = {q: set() for q in q_in.tolist()}
+            for t in range(len(terms)):
+                for q in flat[starts[t] : starts[t + 1]].tolist():
+                    if q in asked:
+                        asked[q].add(t)
+            for q in q_in.tolist():
+                more = {*groups[()], *groups.get(("c", categories[q]), ()), *(i for f in files[q] for name in (("f", f), ("cf", categories[q], f)) for i in groups.get(name, ()))}
+                rows_of = np.array(sorted(i for i in more if not (have[i] & asked[q])), np.int64)
+                if len(rows_of):
+                    of = np.full(len(rows_of), q)
+                    best.add(of, rows_of, points(of, rows_of, np.zeros(len(rows_of))), ids, places)
         return best
 
     size = F.aggregate("terms", F.lit(64), lambda acc, t: acc + F.octet_length(t) * 40)
@@ -275,21 +302,26 @@ def question_settings(profiles: dict[str, RetrievalSettings], questions: DataFra
     return asked.withColumn("top_k", k).withColumn("candidates", F.greatest(4 * F.col("top_k"), F.col("candidate_k"))).drop("question", "base_k", "candidate_k")
 
 
+#: A hit's columns but its text.
+LIGHT = tuple(c for c in evidence.HIT if c != "content")
+
+
 def tool_batch(units: DataFrame, parents: DataFrame, questions: DataFrame, settings: DataFrame, graph: DataFrame | None = None) -> DataFrame:
     """The final hits (profile, question_id, pos and a hit's columns) of every question under every profile.
 
     questions have a ``mode``: vector, or hybrid, which takes the first hits of the vector stream, of ``graph``
     (question_id, pos and a hit's columns; none without it) and of the words in turn. Profiles without units see
     chunks of document granularity alone; parent context and near copies go by the profile's switches. One plan for
-    all: chunks are read once for each kind of search and not joined with questions."""
+    all: chunks are read once for each kind of search and not joined with questions, and texts come back to the hits that
+    are left, or that are compared with each other."""
     asked = questions.select(QUESTION, "mode")
     settings, hits = cut(settings.join(asked, QUESTION)), []
+    columns = [*SCOPE, "pos", *LIGHT]
     for every in (False, True):
         own = settings.where(F.col("units") == every)
         if own.isEmpty():
             continue
         seen = units if every else units.where(~F.col("granularity").isin(*evidence.CHILDREN))
-        columns = [*SCOPE, "pos", *evidence.HIT]
         vector = vector_batch(seen, questions, own).select(*columns)
         k = own.select(*SCOPE, "mode", "top_k", "candidates")
         plain = vector.join(k.where("mode = 'vector'").select(*SCOPE), list(SCOPE), "left_semi")
@@ -299,7 +331,8 @@ def tool_batch(units: DataFrame, parents: DataFrame, questions: DataFrame, setti
             continue
         most = int(both.agg(F.max("candidates")).first()[0])
         some = questions.join(both.select(QUESTION).distinct(), QUESTION, "left_semi")
-        words = with_chunks(term_batch(seen, some, most), seen).join(both, QUESTION).where(F.col("pos") <= F.col("candidates")).select(*columns)
+        found = term_batch(seen, some, most).join(seen.select(*[c for c in LIGHT if c != "score"]), "chunk_id")
+        words = found.join(both, QUESTION).where(F.col("pos") <= F.col("candidates")).select(*columns)
         streams = [vector.join(both, list(SCOPE)).where(F.col("pos") <= F.col("top_k")).select(*columns)]
         if graph is not None:
             streams.append(graph.join(both, QUESTION).where(F.col("pos") <= F.col("top_k")).select(*columns))
@@ -307,17 +340,27 @@ def tool_batch(units: DataFrame, parents: DataFrame, questions: DataFrame, setti
         hits.append(turns.join(both.select(*SCOPE, "candidates"), list(SCOPE)).where(F.col("pos") <= F.col("candidates")).select(*columns))
     if not hits:
         raise ValueError("no settings")
-    found = cut(reduce(DataFrame.unionByName, hits).join(settings.select(*SCOPE, "parents", "dedup", "top_k"), list(SCOPE)))
-    extra = {"matched_chunk_id": F.lit(None).cast("string"), "matched_granularity": F.lit(None).cast("string")}
-    up = evidence.with_parents(found.where("parents").select(*SCOPE, "pos", *evidence.HIT), parents, SCOPE)
-    flat = found.where("not parents").select(*SCOPE, "pos", *evidence.HIT).withColumns(extra)
-    rows = flat.unionByName(up).join(settings.select(*SCOPE, "dedup", "top_k", "threshold"), list(SCOPE))
-    out = rows.where("not dedup").select(*flat.columns, "top_k")
+    found = cut(reduce(DataFrame.unionByName, hits).join(settings.select(*SCOPE, "parents"), list(SCOPE)))
+    bare = F.lit(None).cast("string")
+    up = evidence.with_parents(found.where("parents").drop("parents").withColumn("content", bare), parents.withColumn("content", bare), SCOPE)
+    flat = found.where("not parents").drop("parents").withColumns({"content": bare, "matched_chunk_id": bare, "matched_granularity": bare})
+    switches = settings.select(*SCOPE, "dedup", "top_k", "threshold")
+    rows = cut(flat.unionByName(up.select(*flat.columns)).join(switches, list(SCOPE)).where(F.col("dedup") | (F.col("pos") <= F.col("top_k"))).drop("content"))
+    texts = _with_texts(rows, units, parents)
+    out = texts.where("not dedup").select(*flat.columns)
     for (threshold,) in settings.where("dedup").select("threshold").distinct().collect():  # one, as a rule
-        own = rows.where(F.col("dedup") & (F.col("threshold") == threshold))
-        kept = evidence.without_near_copies(own.select(*flat.columns), threshold, SCOPE)
-        out = out.unionByName(kept.join(settings.select(*SCOPE, "top_k"), list(SCOPE)))
-    return out.where(F.col("pos") <= F.col("top_k")).drop("top_k")
+        own = texts.where(F.col("dedup") & (F.col("threshold") == threshold))
+        kept = evidence.without_near_copies(own.select(*flat.columns), threshold, SCOPE).join(switches.select(*SCOPE, "top_k"), list(SCOPE))
+        out = out.unionByName(kept.where(F.col("pos") <= F.col("top_k")).select(*flat.columns))
+    return out
+
+
+def _with_texts(hits: DataFrame, units: DataFrame, parents: DataFrame) -> DataFrame:
+    """Hits with their content: that of their chunk, or of the parent that took its place."""
+    grown = F.col("matched_chunk_id").isNotNull()
+    own = hits.where(~grown).join(units.select("chunk_id", "content"), "chunk_id")
+    above = parents.select("document_id", "chunk_id", "content").dropDuplicates(["document_id", "chunk_id"])
+    return own.unionByName(hits.where(grown).join(above, ["document_id", "chunk_id"]).select(*own.columns))
 
 
 def sweep(hits: DataFrame, cases: DataFrame, settings: DataFrame, no_match: list[str]) -> DataFrame:

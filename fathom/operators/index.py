@@ -163,14 +163,12 @@ def search_vectors(
                 for name in np.unique(column):
                     of = by_list.get(int(name), ())
                     own = np.flatnonzero(column == name)
-                    for at in range(0, len(own), 4096):
-                        part = own[at : at + 4096]
-                        for i in of:
-                            product = x[part] @ q[i]
-                            some = part[np.flatnonzero(product >= max(best.least[i], 0.0) - 1e-9)]
-                            if len(some):
-                                scores = np.maximum(0.0, (x[some] * q[i]).sum(axis=1))
-                                best.add(i, scores, b.column(0).take(pa.array(some)), places[some])
+                    step = max(1, batch.PRODUCT // max(1, 8 * len(of)))
+                    for at in range(0, len(own) if len(of) else 0, step):
+                        part = own[at : at + step]
+                        i, j = np.nonzero(q[of] @ x[part].T >= np.maximum(best.least[of], 0.0)[:, None] - 1e-9)
+                        question, row = np.asarray(of)[i], part[j]
+                        best.add(question, row, np.maximum(0.0, (x[row] * q[question]).sum(axis=1)), b.column(0), places)
             if best is not None:
                 yield best.batch(numbers, kind)
 
