@@ -1,4 +1,4 @@
-"""Queries of the ten operators, by name, and their SQL where SQL can express them."""
+"""Queries of the thirteen operators, by name, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
