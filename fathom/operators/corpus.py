@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from fathom.functions.text import file_category, matched_terms
+from fathom.functions.text import file_category, matched_terms, source_topics
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -54,9 +54,12 @@ def rollup_by_document(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     return a.join(b, ["category", "document_id"], "full_outer").select("category", "document_id", F.coalesce("source_file", F.lit("")).alias("source_file"), F.coalesce("chunk_count", F.lit(0)).cast("long").alias("chunk_count"), F.coalesce("keyword_hits", none).alias("keyword_hits"))
 
 
-def memberships(docs: DataFrame, entities: dict[str, tuple[str, ...]]) -> DataFrame:
-    """One row a document and node it speaks of: document_id, source_file, category, topic (null for none)."""
+def memberships(docs: DataFrame, entities: dict[str, tuple[str, ...]], titles: bool = False) -> DataFrame:
+    """One row a document and node it speaks of: document_id, source_file, category, topic (null for none). ``titles``: what
+    the file's name and the head of its text quote, and its cleaned title, are topics, too."""
     topic = F.filter(F.array(*[F.when(F.size(matched_terms(F.lower("content"), terms)) > 0, F.lit(name)) for name, terms in entities.items()]), lambda x: x.isNotNull())
+    if titles:
+        topic = F.array_distinct(F.concat(topic, source_topics(F.regexp_replace("source_file", r"\.[^.]*$", ""), F.coalesce("content", F.lit("")))))
     return docs.select("document_id", "source_file", "category", F.explode_outer(topic).alias("topic"))
 
 

@@ -7,6 +7,7 @@ that what was left out can be seen."""
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 from fathom.functions import canonical
 from pyspark.sql import Column, DataFrame
@@ -164,6 +165,42 @@ def common_questions(categories: DataFrame, templates: dict[str, str], otherwise
     return every.withColumn("n", place).where((F.col("n") <= MOST_COMMON) & ((F.col("part") == 0) | (F.col("n") <= LEAST_COMMON))).select(F.col("n").alias("position"), "question")
 
 
+@dataclass(frozen=True)
+class Question:
+    """A question that is asked where none was made up: its intent is its category unless it says another."""
+
+    id: str
+    question: str
+    category: str
+    kind: str
+    modes: tuple[str, ...]
+    paths: bool = False
+    references: bool = True
+    intent: str = ""
+    sources: tuple[str, ...] = ()  # categories whose files are expected
+
+
+def fallback_questions(categories: DataFrame, templates: dict[str, Question], otherwise: Question, more: list[Question], defaults: tuple[str, ...]) -> DataFrame:
+    """position and the fields of questions that stand in for made-up ones: one for each of the first seven categories
+    (position, name, source_files) by its template, or ``otherwise`` with the name for {}; then ``more`` (about relations, a
+    follow-up, one that nothing answers); then those of ``defaults`` while there are less than eight. A question once, 14 at
+    most. Categories are a list; its first seven are taken by place, and files are looked up for the named ones alone."""
+    spark = categories.sparkSession
+    kind = "part int, position long, name string, id string, question string, category string, kind string, modes array<string>, paths boolean, references boolean, intent string, sources array<string>"
+    row = lambda part, i, q, name: (part, i, name, q.id.replace("{}", name), q.question.replace("{}", name), q.category.replace("{}", name), q.kind, list(q.modes), q.paths, q.references, q.intent or q.category.replace("{}", name), [x.replace("{}", name) for x in q.sources])
+    first = categories.where("name <> ''").orderBy("position").limit(7).select("name").collect()  # seven at most
+    rows = [row(0, i, templates.get(r["name"], otherwise), r["name"]) for i, r in enumerate(first)] + [row(1, i, q, "") for i, q in enumerate(more)]
+    have = len(rows)
+    rows += [row(2, i, templates.get(name, otherwise), name) for i, name in enumerate(defaults[: max(0, LEAST_QUESTIONS - have)])]
+    table = spark.createDataFrame(rows, kind)
+    wanted = table.select("part", "position", F.posexplode("sources").alias("at", "of"))
+    files = wanted.join(categories.select(F.col("name").alias("of"), "source_files"), "of").groupBy("part", "position").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("source_files", _strings()).alias("f")))), lambda x: x["f"])).alias("expected_sources"))
+    every = table.drop("sources").join(files, ["part", "position"], "left").withColumn("expected_sources", F.coalesce("expected_sources", _strings()))
+    once = every.withColumn("n", F.row_number().over(Window.partitionBy("question").orderBy("part", "position"))).where("n = 1")
+    place = F.row_number().over(Window.orderBy("part", "position"))  # a list of some twenty
+    return once.withColumn("n", place).where(F.col("n") <= MOST_QUESTIONS).drop("part", "position", "name").withColumnRenamed("n", "position")
+
+
 def fallback_name(categories: DataFrame, rules: list[tuple[tuple[str, ...], bool, str]], otherwise: str) -> DataFrame:
     """name: of a knowledge base by the first rule that holds: words of which one is a category (True) or is in one."""
     out = F.lit(otherwise)

@@ -127,6 +127,9 @@ CHINESE_ROUTING = Routing(
     hybrid_words=("地址迁移", "带宽变更", "欠费", "合同", "设备回收", "故障等级", "时限"),
 )
 
+# Fixed value: what begins a section in Chinese: a numeral with its mark, one in brackets, or a number.
+CHINESE_HEADING = r"(?:第?[一二三四五六七八九十]+[、.．]|[（(][一二三四五六七八九十]+[）)]|\d+[.．])"
+
 # Entities in Chinese with their other names, and what a question implies: groups of words, of each of which
 # one must be said, and the entity that comes along.
 CHINESE_ENTITIES = {

@@ -269,3 +269,28 @@ def test_scope_calls_references_and_approvals(spark):
     v = spark.createDataFrame([([[1.0, 2.0], [3.0, 4.0], [9.0, 9.0]], [1, 1, 0], [3.0, 4.0], [0.0, 0.0])], "s array<array<double>>, m array<int>, u array<double>, z array<double>")
     r = v.select(vectors.pooled(F.col("s"), F.col("m")).alias("mean"), vectors.pooled(F.col("s"), F.col("m"), True).alias("last"), vectors.unit(F.col("u")).alias("unit"), vectors.unit(F.col("z")).alias("zero"), vectors.yes_share(F.lit(0.0), F.lit(0.0)).alias("half")).first()
     assert (r["mean"], r["last"], r["unit"], r["zero"], r["half"]) == ([2.0, 3.0], [3.0, 4.0], [0.6, 0.8], [0.0, 0.0], 0.5)
+
+
+def test_questions_where_none_was_made_up(spark):
+    ask = records.Question
+    templates = {"a": ask("q_a", "About a?", "a", "rule", ("vector",), sources=("a", "b"))}
+    otherwise = ask("q_{}", "Sum up {}.", "{}", "rule", ("vector",), sources=("{}",))
+    more = [ask("r1", "Does x change y?", "change", "relation", ("graph", "hybrid"), paths=True, sources=("a", "none")), ask("again", "About a?", "a", "rule", ()), ask("edge", "Not here?", "out", "edge", ("vector",), references=False, intent="audit")]
+    table = lambda names: spark.createDataFrame([(i, n, [f"{n}.txt"]) for i, n in enumerate(names)], "position int, name string, source_files array<string>")
+    got = records.fallback_questions(table(["b", "a", ""]), templates, otherwise, more, ("d", "e", "f", "g", "h")).orderBy("position").collect()
+    assert [(r["id"], r["expected_sources"], r["intent"], r["paths"], r["references"]) for r in got] == [
+        ("q_b", ["b.txt"], "b", False, True), ("q_a", ["a.txt", "b.txt"], "a", False, True), ("r1", ["a.txt"], "change", True, True), ("edge", [], "audit", False, False), ("q_d", [], "d", False, True), ("q_e", [], "e", False, True), ("q_f", [], "f", False, True),
+    ]
+    many = records.fallback_questions(table([f"n{i}" for i in range(20)]), templates, otherwise, more * 4, ("d",)).collect()
+    assert len(many) == 10 and sorted(r["position"] for r in many) == list(range(1, 11))
+
+
+def test_titles_are_topics_and_numerals_are_headings(spark):
+    from fathom.operators import chunking, corpus
+    from fathom.params import CHINESE_HEADING
+
+    docs = spark.createDataFrame([("d", "v1 Travel costs 2024-01-02.txt", "c", 'speaks of “Blue line” and tokens')], "document_id string, source_file string, category string, content string")
+    topics = lambda titles: sorted(r["topic"] for r in corpus.memberships(docs, {"token": ("token",)}, titles).collect())
+    assert topics(False) == ["token"] and topics(True) == ["Blue line", "Travel costs", "token"]
+    text = spark.createDataFrame([("前言\n一、总则\n内容\n第二、范围\n（三）附则\n4．其他\n三人",)], "t string")
+    assert text.select(chunking.units(F.col("t"), CHINESE_HEADING)).first()[0] == ["前言", "一、总则\n内容", "第二、范围", "（三）附则", "4．其他\n三人"]
