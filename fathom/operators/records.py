@@ -16,10 +16,21 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
+# What stands before the parts of a record's text, what joins files, and the titles of a context's blocks.
+ENTITY = ("实体：", "类型：", "分类：", "来源文件：")
+RELATION = ("关系：", "描述：", "证据：", "来源文件：")
+FILES = "、"
+BLOCKS = ("Knowledge Graph Data (Entity)", "Knowledge Graph Data (Relationship)", "Document Chunks", "Reference Document List")
+
+
 def _text(c: Column | str) -> Column:
     return F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit(""))
 
 
+def _lines(titles: tuple[str, ...], *values: Column | str) -> Column:
+    return F.concat_ws("\n", *[F.concat(F.lit(t), v) for t, v in zip(titles, values, strict=True)])
+
+
 def _strings() -> Column:
     return F.array().cast("array<string>")
 
@@ -51,7 +62,7 @@ def entity_records(nodes: DataFrame) -> DataFrame:
         F.explode(F.when(F.size(ids) > 0, ids).otherwise(F.array(F.lit("")))).alias("document_id"),
     )
     name = F.concat(F.lit("entity::"), "id", F.when(F.col("document_id") != "", F.concat(F.lit("::doc::"), "document_id")).otherwise(""))
-    said = F.concat_ws("\n", F.concat(F.lit("实体："), "label"), F.concat(F.lit("类型："), "type"), F.concat(F.lit("分类："), "category"), F.concat(F.lit("来源文件："), F.array_join("source_files", "、")))
+    said = _lines(ENTITY, "label", "type", "category", F.array_join("source_files", FILES))
     return each.select(name.alias("record_id"), said.alias("text"), "id", "label", "type", "category", "source_files", "document_id")
 
 
@@ -60,7 +71,7 @@ def relationship_records(edges: DataFrame) -> DataFrame:
     document_id, confidence; null: empty, 0.8)."""
     rows = edges.select(*[_text(c).alias(c) for c in ("source", "label", "target", "description", "evidence", "source_file", "document_id")], F.coalesce("confidence", F.lit(0.8)).alias("confidence"))
     own = F.concat("source", F.lit("->"), "label", F.lit("->"), "target")
-    said = F.concat_ws("\n", F.concat(F.lit("关系："), F.concat_ws(" ", "source", "label", "target")), F.concat(F.lit("描述："), "description"), F.concat(F.lit("证据："), "evidence"), F.concat(F.lit("来源文件："), "source_file"))
+    said = _lines(RELATION, F.concat_ws(" ", "source", "label", "target"), "description", "evidence", "source_file")
     return rows.select(F.concat(F.lit("relationship::"), own).alias("record_id"), said.alias("text"), own.alias("id"), *rows.columns)
 
 
@@ -248,6 +259,6 @@ def answer_context(chunks: DataFrame, paths: DataFrame, questions: DataFrame, sc
     entities = once.groupBy(*scope).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "at", F.struct("id", "label").alias("r")))), lambda x: x["r"]).alias("entities"))
     rows = questions.select(*scope).distinct().join(said, scope, "left").join(told, scope, "left").join(entities, scope, "left")
     filled = lambda c: F.coalesce(F.col(c), F.array().cast(rows.schema[c].dataType))
-    blocks = [_block(title, filled(c), rows.schema[c].dataType) for title, c in (("Knowledge Graph Data (Entity)", "entities"), ("Knowledge Graph Data (Relationship)", "paths"), ("Document Chunks", "chunks"))]
+    blocks = [_block(title, filled(c), rows.schema[c].dataType) for title, c in zip(BLOCKS, ("entities", "paths", "chunks"))]
     files = F.array_join(F.transform(filled("chunks"), lambda x: F.concat(F.lit("["), x["reference_id"].cast("string"), F.lit("] "), F.coalesce(F.nullif(x["source_file"], F.lit("")), F.lit("unknown")))), "\n")
-    return rows.select(*scope, F.concat(*blocks, F.lit("Reference Document List:\n\n```\n"), files, F.lit("\n```\n")).alias("context"))
+    return rows.select(*scope, F.concat(*blocks, F.lit(f"{BLOCKS[-1]}:\n\n```\n"), files, F.lit("\n```\n")).alias("context"))

@@ -14,6 +14,8 @@ from xml.etree.ElementTree import Element, iterparse
 #: Bytes that the parts of one file may have in all.
 MOST = 1 << 30
 _ID = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+# What stands before a sheet's rows and a slide's texts.
+SHEET, SLIDE = "工作表：", "幻灯片 "
 # Numbers of the built-in formats that are dates or times.
 _DATES = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
 
@@ -124,7 +126,7 @@ def sheets(p: Package) -> str:
         rows = filter(None, (_joined([_cell(c, strings, dates, late) for c in _kids(r, "c")]) for r in p.events(part, "row")))
         first = next(rows, None)
         if first is not None:
-            out += [f"工作表：{name}", first, *rows]
+            out += [f"{SHEET}{name}", first, *rows]
     return "\n".join(out)
 
 
@@ -205,7 +207,7 @@ def slides(p: Package) -> str:
                         found += [_joined([_frame(next(iter(_kids(tc, "txBody")), None)) for tc in _kids(tr, "tc")]) for tr in _kids(table, "tr")]
         found = [x for x in found if x]
         if found:
-            out += [f"幻灯片 {n}", *found]
+            out += [f"{SLIDE}{n}", *found]
     return "\n".join(out)
 
 
