@@ -38,15 +38,16 @@ class Best:
     def __init__(self, n: int, k: int):
         self.k, self.lists, self.least = k, [[] for _ in range(n)], np.full(n, -np.inf)
 
-    def add(self, question: np.ndarray, row: np.ndarray, score: np.ndarray, ids: pa.Array, places: np.ndarray) -> None:
-        """Scores of (question, row) pairs, with the rows' ids and their places in the order of ids. Only pairs that can be
-        among the best are looked at one by one: k a question at most."""
-        some = np.flatnonzero(score >= self.least[question])
+    def add(self, question: np.ndarray, row: np.ndarray, score: np.ndarray, ids: pa.Array) -> None:
+        """Scores of (question, row) pairs and the rows' ids. Rows come in the order of ids, from call to call, too, so one
+        that only equals the worst of a full list is never better; what can be is looked at one by one, k a question at most."""
+        some = np.flatnonzero(score > self.least[question])
         question, row, score = question[some], row[some], score[some]
-        order = np.lexsort((places[row], -score, question))
+        if not len(some):
+            return
+        order = np.lexsort((row, -score, question))
         question, row, score = question[order], row[order], score[order]
-        new = np.concatenate([[True], question[1:] != question[:-1]]) if len(question) else np.zeros(0, bool)
-        start = np.maximum.accumulate(np.where(new, np.arange(len(question)), 0)) if len(question) else np.zeros(0, np.int64)
+        start = np.maximum.accumulate(np.where(np.concatenate([[True], question[1:] != question[:-1]]), np.arange(len(question)), 0))
         first = np.flatnonzero(np.arange(len(question)) - start < self.k)
         values = ids.take(pa.array(row[first])).to_pylist()
         for q, x, i in zip(question[first].tolist(), score[first].tolist(), values, strict=True):
@@ -63,10 +64,6 @@ class Best:
         return pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(i, kind), pa.array(s, pa.float64())], ["number", "id", "score"])
 
 
-def _order(ids: pa.Array) -> np.ndarray:
-    return pc.rank(ids, sort_keys="ascending", tiebreaker="dense").to_numpy().astype(np.int64)
-
-
 def _numbered(questions: DataFrame) -> DataFrame:
     return cut(questions.withColumn("number", F.monotonically_increasing_id()))
 
@@ -103,7 +100,7 @@ def _scan(rows: DataFrame, blocks: Iterator[list], send: Callable[[list], Broadc
             if best is not None:
                 yield best.batch(numbers, kind)
 
-        found.append(rows.mapInArrow(run, schema))
+        found.append(rows.sortWithinPartitions(id_col).mapInArrow(run, schema))
     return found
 
 
@@ -143,11 +140,10 @@ def nearest(rows: DataFrame, questions: DataFrame, k: int, id_col: str = "chunk_
             else:
                 x = matrix(column.to_pylist(), asked.shape[1])
             # The product picks, and what it picks is added up in one order, so that copies score the same.
-            question, row = np.nonzero(asked @ x.T >= np.maximum(best.least, 0.0)[:, None] - 1e-9) if np.isfinite(best.least).all() else (np.repeat(np.arange(n), len(x)), np.tile(np.arange(len(x)), n))
-            places = _order(ids)
+            row, question = np.nonzero(np.maximum(0.0, x @ asked.T) >= best.least[None, :] - 1e-9)  # in the order of rows
             for part in range(0, len(row), PRODUCT // 8):
                 q, r = question[part : part + PRODUCT // 8], row[part : part + PRODUCT // 8]
-                best.add(q, r, np.maximum(0.0, (x[r] * asked[q]).sum(axis=1)), ids, places)
+                best.add(q, r, np.maximum(0.0, (x[r] * asked[q]).sum(axis=1)), ids)
         return best
 
     blocks = _blocks(asked, 8 * F.coalesce(F.size("query"), F.lit(0)) + 64, block_bytes)
@@ -203,7 +199,7 @@ def _by_terms(rows: DataFrame, questions: DataFrame, k: int, id_col: str, whole:
 
     def walk(batch: pa.RecordBatch, told: tuple, best: Best | None, n: int) -> Best:
         token, terms, starts, flat, categories, files = told
-        best, ids, places = best or Best(n, k), batch.column(0), _order(batch.column(0))
+        best, ids = best or Best(n, k), batch.column(0)
         row, term, times = [], [], []
         if terms:
             automaton = _automaton(token, terms)
@@ -217,7 +213,7 @@ def _by_terms(rows: DataFrame, questions: DataFrame, k: int, id_col: str, whole:
         groups: dict = {}
         if not whole:
             category, file = (batch.column(i).to_pylist() for i in (2, 3))
-            for i in np.argsort(places, kind="stable").tolist():
+            for i in range(batch.num_rows):
                 for name in ((), ("c", category[i]), ("f", file[i]), ("cf", category[i], file[i])):
                     some = groups.setdefault(name, [])
                     if len(some) < k:
@@ -234,19 +230,21 @@ def _by_terms(rows: DataFrame, questions: DataFrame, k: int, id_col: str, whole:
             same, filed = row_category[at] == of_question[question], np.isin(question << 32 | row_file[at], pairs)
             return 0.45 + 0.2 * same + np.minimum(0.3, 0.08 * found) + 0.05 * filed
 
-        # Matches go in slices of whole rows, so that a task holds so many at once, or one row's.
-        bounds, first = np.concatenate([[0], np.cumsum(each)]), 0
+        # Matches go in slices of whole rows: so many cells of questions and rows, and so many matches, or one row's.
+        bounds, first, rows = np.concatenate([[0], np.cumsum(each)]), 0, max(1, PRODUCT // max(1, n))
         ends = np.searchsorted(row, np.arange(batch.num_rows), "right")
         while first < len(row):
-            last = int(ends[row[first]])
-            while last < len(row) and bounds[ends[row[last]]] - bounds[first] <= MATCHES:
-                last = int(ends[row[last]])
+            start = row[first]
+            stop = min(batch.num_rows, int(start) + rows)
+            while stop > start + 1 and bounds[ends[stop - 1]] - bounds[first] > MATCHES:
+                stop = int(start) + max(1, (stop - int(start)) // 2)
+            last = int(ends[stop - 1])
             own = slice(first, last)
             match = np.repeat(np.arange(first, last), each[own])
             question = flat[np.arange(len(match)) + np.repeat(starts[term[own]] - (bounds[first:last] - bounds[first]), each[own])]
-            key, inverse = np.unique(question * batch.num_rows + row[match], return_inverse=True)
-            found = np.bincount(inverse, times[match] if whole else None, len(key))
-            best.add(key // batch.num_rows, key % batch.num_rows, points(key // batch.num_rows, key % batch.num_rows, found), ids, places)
+            cells = np.bincount((row[match] - start) * n + question, times[match] if whole else None, (stop - start) * n)
+            at = np.flatnonzero(cells)
+            best.add(at % n, at // n + start, points(at % n, at // n + start, cells[at]), ids)
             first = last
         if not whole:
             # Chunks without a term: of those that score the same the lowest ids can be among the best alone. One that has
@@ -265,7 +263,7 @@ def _by_terms(rows: DataFrame, questions: DataFrame, k: int, id_col: str, whole:
                 rows_of = np.array(sorted(i for i in more if not (have[i] & asked[q])), np.int64)
                 if len(rows_of):
                     of = np.full(len(rows_of), q)
-                    best.add(of, rows_of, points(of, rows_of, np.zeros(len(rows_of))), ids, places)
+                    best.add(of, rows_of, points(of, rows_of, np.zeros(len(rows_of))), ids)
         return best
 
     size = F.aggregate("terms", F.lit(64), lambda acc, t: acc + F.octet_length(t) * 40)

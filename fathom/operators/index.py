@@ -155,24 +155,25 @@ def search_vectors(
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             q, by_list = sent.value
             best, kind = None, None
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                best, kind = best or Best(len(q), k), b.schema.field(0).type
-                column, x, places = b.column(2).to_numpy(), unit(b.column(1), dims), batch._order(b.column(0))
-                for name in np.unique(column):
-                    of = by_list.get(int(name), ())
-                    own = np.flatnonzero(column == name)
-                    step = max(1, batch.PRODUCT // max(1, 8 * len(of)))
-                    for at in range(0, len(own) if len(of) else 0, step):
-                        part = own[at : at + step]
-                        i, j = np.nonzero(q[of] @ x[part].T >= np.maximum(best.least[of], 0.0)[:, None] - 1e-9)
-                        question, row = np.asarray(of)[i], part[j]
-                        best.add(question, row, np.maximum(0.0, (x[row] * q[question]).sum(axis=1)), b.column(0), places)
+            for whole in batches:
+                for at in range(0, whole.num_rows, 1024):
+                    b = whole.slice(at, 1024)
+                    best, kind = best or Best(len(q), k), b.schema.field(0).type
+                    column, x, found = b.column(2).to_numpy(), unit(b.column(1), dims), []
+                    for name in np.unique(column):
+                        of, own = np.asarray(by_list.get(int(name), ()), np.int64), np.flatnonzero(column == name)
+                        i, j = np.nonzero(np.maximum(0.0, q[of] @ x[own].T) >= best.least[of][:, None] - 1e-9)
+                        found.append((of[i], own[j]))
+                    question, row = (np.concatenate(c) for c in zip(*found, strict=True))
+                    order = np.argsort(row, kind="stable")
+                    question, row = question[order], row[order]
+                    for part in range(0, len(row), batch.PRODUCT // 8):  # in the order of rows, which is that of ids
+                        n, r = question[part : part + batch.PRODUCT // 8], row[part : part + batch.PRODUCT // 8]
+                        best.add(n, r, np.maximum(0.0, (x[r] * q[n]).sum(axis=1)), b.column(0))
             if best is not None:
                 yield best.batch(numbers, kind)
 
-        return probed(rows, [int(n) for n, w in zip(names, wanted.T, strict=True) if w.any()]).select(id_col, vector_col, "_list").mapInArrow(run, kind)
+        return probed(rows, [int(n) for n, w in zip(names, wanted.T, strict=True) if w.any()]).select(id_col, vector_col, "_list").sortWithinPartitions(id_col).mapInArrow(run, kind)
 
     for some in batch._blocks(asked, F.lit(1), block):
         q = unit(pa.array([r["query"] for r in some], pa.list_(pa.float64())), dims) if dims else np.zeros((len(some), 0))
