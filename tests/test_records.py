@@ -294,3 +294,18 @@ def test_titles_are_topics_and_numerals_are_headings(spark):
     assert topics(False) == ["token"] and topics(True) == ["Blue line", "Travel costs", "token"]
     text = spark.createDataFrame([("前言\n一、总则\n内容\n第二、范围\n（三）附则\n4．其他\n三人",)], "t string")
     assert text.select(chunking.units(F.col("t"), CHINESE_HEADING)).first()[0] == ["前言", "一、总则\n内容", "第二、范围", "（三）附则", "4．其他\n三人"]
+
+
+def test_graphs_are_read_or_static(spark, tmp_path):
+    from fathom.sources.graph import read_graph
+
+    nodes, edges = spark.createDataFrame([("s",)], "id string"), spark.createDataFrame([("s", "l", "t")], "source string, label string, target string")
+    read = lambda name: read_graph(spark, str(tmp_path / name), nodes, edges)
+    graph = {"nodes": [{"id": "a", "label": "A", "source_files": ["f"]}, {"label": "only"}], "edges": [{"source": "a", "target": "b", "relation": "to", "confidence": 0.5}, {"source": "a"}], "other": 1}
+    (tmp_path / "good.json").write_text(json.dumps(graph, indent=1))
+    (tmp_path / "bad.json").write_text("{ not json")
+    (tmp_path / "empty.json").write_text('{"nodes": [], "edges": []}')
+    got = read("good.json")
+    assert got[2] == "dynamic_graph" and sorted(r["id"] for r in got[0].collect()) == ["a", "only"] and [(r["source"], r["label"], r["target"], r["confidence"]) for r in got[1].collect()] == [("a", "to", "b", 0.5)]
+    for name in ("bad.json", "empty.json", "none.json"):
+        assert read(name)[2] == "static_graph" and read(name)[1].count() == 1
