@@ -49,9 +49,10 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: pieces of documents, by sequence and offset; a null text is its end id alone, repeated rows
-    are documents of their own, no documents give no pieces."""
+    are documents of their own, no documents give no pieces. Workers take less at once than they do alone, as the executors
+    still hold what the stages before made of them."""
     small_batches(spark)
-    return packing.pack(docs)
+    return packing.pack(docs, portion_bytes=2_000_000, cached=150_000)
 
 
 STAGES = [

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import task, with_partition_offsets, written
-from .tokens import encoder, portions
+from .tokens import GENERATION, encoder, portions
 
 DIMENSIONS, BITS, HASHED = 3, 10, 4096
 
@@ -57,12 +57,19 @@ def hilbert_key(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def curve_keys(ids: np.ndarray, bounds: np.ndarray, signs: np.ndarray) -> np.ndarray:
-    """Hilbert keys of documents whose ids lie end to end in ``ids``: mean of the projected hashed ids, in cells."""
-    hashed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(52)).astype(np.int64)
-    sums = np.stack([np.add.reduceat(signs[hashed, d], bounds[:-1]) for d in range(signs.shape[1])], axis=1)
-    mean = sums / np.diff(bounds)[:, None]
-    return hilbert_key(np.clip(((mean + 1) / 2 * (1 << BITS)).astype(np.int64), 0, (1 << BITS) - 1))
+def curve_keys(ids: np.ndarray, bounds: np.ndarray, signs: np.ndarray, most: int = 1 << 18) -> np.ndarray:
+    """Hilbert keys of documents whose ids lie end to end in ``ids``: mean of the projected hashed ids, in cells. Documents go
+    in slices of about ``most`` ids, so what is made on the way stays small."""
+    out, at = [np.zeros(0, np.int64)], 0
+    while at < len(bounds) - 1:
+        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + most, "right")) - 1)
+        own = bounds[at : to + 1] - bounds[at]
+        hashed = (ids[bounds[at] : bounds[to]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(52)).astype(np.int64)
+        sums = np.stack([np.add.reduceat(signs[hashed, d], own[:-1]) for d in range(signs.shape[1])], axis=1)
+        mean = sums / np.diff(own)[:, None]
+        out.append(hilbert_key(np.clip(((mean + 1) / 2 * (1 << BITS)).astype(np.int64), 0, (1 << BITS) - 1)))
+        at = to
+    return np.concatenate(out)
 
 
 def pack(
@@ -72,12 +79,15 @@ def pack(
     length: int = 1024,
     id_col: str = "doc_id",
     text_col: str = "text",
+    portion_bytes: int = 8_000_000,
+    cached: int = GENERATION,
 ) -> DataFrame:
     """One row a piece: doc_id, start, length, ids (binary, little-endian 32-bit), doc_tokens, sequence_id, offset.
 
     Every id of every document, its end id included, lies in one piece; pieces fill sequences without gaps.
     A null text is empty (its end id alone); repeated rows are documents of their own; null ids are kept; an
-    empty table gives no pieces. Ties on the curve go by doc_id, then row, so any number of copies, which have
+    empty table gives no pieces. ``portion_bytes`` and ``cached``: bytes of text that a worker encodes at once and pieces that
+    it remembers, which change its memory and time alone. Ties on the curve go by doc_id, then row, so any number of copies, which have
     one key, spread over range partitions. The running sums are exact over all rows: one within each range
     partition, one over the partitions' totals.
     """
@@ -85,9 +95,9 @@ def pack(
 
     @task
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = encoder(tokenizer)
+        tok = encoder(tokenizer, cached)
         for batch in batches:
-            for rows in portions(batch, 2, 8_000_000):
+            for rows in portions(batch, 2, portion_bytes):
                 ids, bounds = tok.encode_with_end(rows.column(2), end_id)
                 binary = pa.Array.from_buffers(pa.binary(), rows.num_rows, [None, pa.py_buffer((bounds * 4).astype(np.int32)), pa.py_buffer(ids)])
                 columns = [rows.column(0), rows.column(1), pa.array(curve_keys(ids, bounds, signs)), pa.array(np.diff(bounds)), binary]

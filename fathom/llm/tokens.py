@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .shared import only
+from .shared import only, released
 
 #: Pieces in each of the two generations of a worker's cache, and the longest kept: at most some 200 MB.
 GENERATION, CACHE_CHARS = 500_000, 64
@@ -35,11 +35,13 @@ BYTE_CHARS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerat
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
-def encoder(name: str) -> "Encoder":
-    """The worker's own encoder of a tokenizer file, by its name in the public folder or by path."""
+def encoder(name: str, cached: int = GENERATION) -> "Encoder":
+    """The worker's own encoder of a tokenizer file, by its name in the public folder or by path, with so many pieces in
+    each generation of its cache."""
     only("tokens", _ENCODERS)
     if name not in _ENCODERS:
         _ENCODERS[name] = Encoder(name)
+    _ENCODERS[name].generation = cached
     return _ENCODERS[name]
 
 
@@ -67,6 +69,7 @@ class Encoder:
         tokens = self.tokenizer.get_added_tokens_decoder().values()
         self.added, self.any_case = "|".join(re.escape(t.content) for t in tokens), any(t.normalized for t in tokens)
         self.marks = {"": []} | {x: self.tokenizer.encode(x, add_special_tokens=False).ids for x in ",."}
+        self.generation = GENERATION
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -94,7 +97,7 @@ class Encoder:
 
     def _known(self, pieces: list[str]) -> list[bytes]:
         """Ids of distinct pieces, each behind a space; pieces in use move to the young generation."""
-        if len(self.young) > GENERATION:
+        if len(self.young) > self.generation:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
         out = list(map(young.get, pieces))
@@ -158,11 +161,13 @@ class Encoder:
 
 
 def portions(batch: pa.RecordBatch, text: int, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """A batch in portions whose texts, in column ``text``, have about so many bytes."""
+    """A batch in portions whose texts, in column ``text``, have about so many bytes. Behind each, what it took goes back: a
+    portion makes many small objects, which would else stay with the worker in pieces."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
     start, total = 0, np.cumsum(sizes, dtype=np.int64)
     while start < batch.num_rows:
         before = total[start - 1] if start else 0
         stop = max(start + 1, int(np.searchsorted(total, before + size, side="right")))
         yield batch.slice(start, stop - start)
+        released()
         start = stop
