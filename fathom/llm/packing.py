@@ -19,6 +19,8 @@ from .shared import task, with_partition_offsets, written
 from .tokens import GENERATION, encoder, portions
 
 DIMENSIONS, BITS, HASHED = 3, 10, 4096
+#: Bytes of text that a worker encodes at once; with less it also gives memory back in between.
+PORTION = 8_000_000
 
 
 def projection(seed: int = 7) -> np.ndarray:
@@ -79,7 +81,7 @@ def pack(
     length: int = 1024,
     id_col: str = "doc_id",
     text_col: str = "text",
-    portion_bytes: int = 8_000_000,
+    portion_bytes: int = PORTION,
     cached: int = GENERATION,
 ) -> DataFrame:
     """One row a piece: doc_id, start, length, ids (binary, little-endian 32-bit), doc_tokens, sequence_id, offset.
@@ -97,7 +99,7 @@ def pack(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = encoder(tokenizer, cached)
         for batch in batches:
-            for rows in portions(batch, 2, portion_bytes):
+            for rows in portions(batch, 2, portion_bytes, give_back=portion_bytes < PORTION):
                 ids, bounds = tok.encode_with_end(rows.column(2), end_id)
                 binary = pa.Array.from_buffers(pa.binary(), rows.num_rows, [None, pa.py_buffer((bounds * 4).astype(np.int32)), pa.py_buffer(ids)])
                 columns = [rows.column(0), rows.column(1), pa.array(curve_keys(ids, bounds, signs)), pa.array(np.diff(bounds)), binary]

@@ -43,7 +43,7 @@ def write_token_files(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, part, total = encoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for rows in portions(batch, 1, 8_000_000):
+            for rows in portions(batch, 1, 8_000_000, give_back=False):
                 ids, bounds = tok.encode_with_end(rows.column(1), end_id)
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.view("<i4")))
                 columns = [rows.column(0), pa.array(np.full(rows.num_rows, part, np.int32)), pa.array(total + bounds[:-1]), pa.array(np.diff(bounds)), lists]

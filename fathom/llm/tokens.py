@@ -160,14 +160,15 @@ class Encoder:
         return np.insert(ids, bounds[1:], end_id).astype("<u4"), bounds + np.arange(len(bounds))
 
 
-def portions(batch: pa.RecordBatch, text: int, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """A batch in portions whose texts, in column ``text``, have about so many bytes. Behind each, what it took goes back: a
-    portion makes many small objects, which would else stay with the worker in pieces."""
+def portions(batch: pa.RecordBatch, text: int, size: int = 4_000_000, give_back: bool = True) -> Iterator[pa.RecordBatch]:
+    """A batch in portions whose texts, in column ``text``, have about so many bytes. Behind each, what it took goes back (where
+    memory matters more than the time it takes): a portion makes many small objects, which would else stay in pieces."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
     start, total = 0, np.cumsum(sizes, dtype=np.int64)
     while start < batch.num_rows:
         before = total[start - 1] if start else 0
         stop = max(start + 1, int(np.searchsorted(total, before + size, side="right")))
         yield batch.slice(start, stop - start)
-        released()
+        if give_back:
+            released()
         start = stop
