@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from fathom.functions.text import source_topics
 from fathom.session import cut, free
@@ -36,6 +37,46 @@ def _automaton(token: str, terms: list[str]):
     return _BUILT[token]
 
 
+def _bordered(term: str) -> bool:
+    """Whether two occurrences of a term can overlap: it begins as it ends."""
+    return any(term.startswith(term[i:]) for i in range(1, len(term)))
+
+
+def _by_number(token: str, terms: list[str]):
+    if f"numbers-{token}" not in _BUILT:
+        import ahocorasick
+
+        found = ahocorasick.Automaton()
+        for i, t in enumerate(terms):
+            found.add_word(t, i)
+        found.make_automaton()
+        _BUILT.clear()
+        _BUILT[f"numbers-{token}"] = found, np.array([_bordered(t) for t in terms]), {i for i, t in enumerate(terms) if _bordered(t)}
+    return _BUILT[f"numbers-{token}"]
+
+
+def found_in(text: str, token: str, terms: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the terms in a text, and how often each occurs as ``counted`` says, as arrays."""
+    if not terms:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    automaton, bordered, _ = _by_number(token, terms)
+    number, n = np.unique(np.array([i for _, i in automaton.iter(text)], np.int64), return_counts=True)
+    for at in np.flatnonzero(bordered[number] & (n > 1)).tolist():
+        n[at] = text.count(terms[number[at]])  # from left to right, without overlaps
+    return number, n
+
+
+def hits_in(text: str, token: str, terms: list[str]) -> list[int]:
+    """The same for a short text as a list, each term as often as it occurs."""
+    if not terms:
+        return []
+    automaton, _, bordered = _by_number(token, terms)
+    hits = [i for _, i in automaton.iter(text)]
+    if len(hits) > 1 and not bordered.isdisjoint(hits):
+        return [i for i in set(hits) for _ in range(text.count(terms[i]))]
+    return hits
+
+
 def counted(text: str, automaton) -> dict[int, int]:
     """Terms (by number) in a text and how often each occurs from left to right without overlapping itself."""
     n: dict[int, int] = {}

@@ -1,5 +1,10 @@
 """Queries that look at all of their tables, on small tables made for it."""
 
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
+from fathom.operators import batch, index
 from fathom.plans import library
 
 
@@ -8,3 +13,48 @@ def test_idle_customers_have_no_order_of_any_year(spark, tmp_path):
     orders = spark.createDataFrame([(1, "1995-03-01 00:00:00"), (2, "2001-02-01 00:00:00")], "o_custkey long, o_orderdate string")
     orders.selectExpr("o_custkey", "cast(o_orderdate as timestamp) as o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
     assert [r[0] for r in library.QUERIES["anti_join_idle_customers"](spark, str(tmp_path)).collect()] == [3]
+
+
+def _written(spark):
+    return spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+
+def test_index_searches_make_no_row_a_text_and_question(spark, tmp_path):
+    units = spark.createDataFrame([(f"u{i:04}", "the fox " * (i % 3 + 1), f"c{i % 4}", f"f{i % 5}") for i in range(500)], "chunk_id string, content string, category string, source_file string")
+    questions = spark.createDataFrame([(q, ["the", "fox"], f"c{q % 4}", ["f1"]) for q in range(600)], "question_id long, terms array<string>, category string, files array<string>").repartition(4)
+    index.build_postings(units, str(tmp_path / "p"), buckets=8)
+    for search in (index.term_index_search, index.keyword_index_search):
+        before = _written(spark)
+        found = search(spark, str(tmp_path / "p"), units, questions, 5).collect()
+        assert len(found) == 3000 and _written(spark) - before < 500_000  # 300,000 pairs of a text and a question take more
+
+
+def test_the_best_of_many_questions_are_arrays():
+    n, k, rng = 20_000, 20, np.random.default_rng(3)
+    ids, question = pa.array([f"unit-{i:06}" for i in range(60)]), np.arange(n)
+    tracemalloc.start()
+    best, all_scores = batch.Best(n, k), []
+    for row in range(60):
+        all_scores.append(rng.integers(0, 9, n) / 8)
+        best.add(question, np.full(n, row), all_scores[-1], ids)
+    size = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert size - 60 * n * 8 < 20e6  # a list of tuples a question takes 60 MB and more
+    got = pa.Table.from_batches(best.batches(np.arange(n), pa.string())).to_pandas()
+    for q in (0, 1, 777, n - 1):
+        own = sorted((-s[q], i) for i, s in zip(ids.to_pylist(), all_scores, strict=True))[:k]
+        assert sorted((-s, i) for s, i in got[got.number == q][["score", "id"]].itertuples(index=False)) == own
+
+
+def test_questions_are_compared_with_their_own_category_first(spark, monkeypatch):
+    rows = [(f"u{i:04}", "fox and river" if i % 2 else "the fox", f"c{i % 4}", f"f{i % 5}") for i in range(400)]
+    units = spark.createDataFrame(rows, "chunk_id string, content string, category string, source_file string")
+    questions = spark.createDataFrame([(q, ["fox", "river"], f"c{q % 5}", ["f1"]) for q in range(20)], "question_id long, terms array<string>, category string, files array<string>")
+    looks, told = [], batch._Told.__init__
+    monkeypatch.setattr(batch._Told, "__init__", lambda self, block, own: looks.append((len(block), own)) or told(self, block, own))
+    found = batch.keyword_batch(units, questions, 3).collect()
+    assert looks == [(20, True), (4, False)]  # c4 has no rows
+    for r in found:
+        want = f"c{r['question_id'] % 5}"
+        scored = sorted((-(0.45 + 0.2 * (c == want) + 0.08 * sum(t in x for t in ("fox", "river")) + 0.05 * (f == "f1")), i) for i, x, c, f in rows)
+        assert r["chunk_id"] == scored[r["pos"] - 1][1]
