@@ -1,11 +1,16 @@
 """Queries that look at all of their tables, on small tables made for it."""
 
+import hashlib
 import tracemalloc
 
 import numpy as np
 import pyarrow as pa
-from fathom.operators import batch, index
+from fathom.functions import text as T
+from fathom.operators import batch, index, retrieval
+from fathom.params import LATIN, RetrievalSettings
+from fathom.plans import batch as plans
 from fathom.plans import library
+from pyspark.sql import functions as F
 
 
 def test_idle_customers_have_no_order_of_any_year(spark, tmp_path):
@@ -58,3 +63,55 @@ def test_questions_are_compared_with_their_own_category_first(spark, monkeypatch
         want = f"c{r['question_id'] % 5}"
         scored = sorted((-(0.45 + 0.2 * (c == want) + 0.08 * sum(t in x for t in ("fox", "river")) + 0.05 * (f == "f1")), i) for i, x, c, f in rows)
         assert r["chunk_id"] == scored[r["pos"] - 1][1]
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def _noise(n, size, seed=1):
+    rng = np.random.default_rng(seed)
+    return ["".join(map(chr, rng.integers(97, 123, size))) for _ in range(n)]
+
+
+def test_texts_do_not_go_on_to_questions(spark):
+    rows = [(f"u{i:04}", x, "c1", "f1", np.random.default_rng(i).standard_normal(8).tolist()) for i, x in enumerate(_noise(200, 10_000))]
+    units = spark.createDataFrame(rows, "chunk_id string, content string, category string, source_file string, embedding array<double>")
+    questions = spark.createDataFrame([(q, "q", np.random.default_rng(q).standard_normal(8).tolist(), "c1", ["aa"], ["f1"]) for q in range(60)], "question_id long, question string, query array<double>, category string, entities array<string>, files array<string>")
+    settings = batch.question_settings({"a": RetrievalSettings(top_k=3, candidate_k=20, min_score=0.0)}, questions, LATIN)
+    most, before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), _written(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert batch.vector_batch(units, questions, settings).count() == 60 * 20
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    assert _written(spark) - before < 2_000_000  # 1,200 hits with their texts have 12 MB
+
+
+def test_centres_are_fitted_in_slices():
+    x = np.random.default_rng(1).standard_normal((20_000, 8))
+    tracemalloc.start()
+    assert index.centres(x, 1500, 1, 1).shape == (1500, 8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6  # all products at once have 240 MB
+
+
+def test_hits_are_hashed_where_they_are_folded(spark):
+    rows = [(f"d{i % 40}", f"h{i}", x, i / 7 % 1, i) for i, x in enumerate(_noise(1000, 600))]
+    hits, before = spark.createDataFrame(rows, "scope string, id string, content string, score double, pos int"), _written(spark)
+    assert retrieval.near_dup_greedy(hits, "scope", "id", "content", "score", "pos").count() == 1000
+    assert _written(spark) - before < 2_000_000  # sets of hashes have 5 MB
+
+
+def test_digests_of_shingles(spark):
+    texts = [None, "", " -", "a", "ab", "abc", "a b", "A b c", "\u65e5\u672c", "\u65e5 a", "\u65e5\u672c\u8a9e ab \u00df", "\u00c4\u00d6 \u00e9", "the the the", "x" * 5000]
+    got = spark.createDataFrame([(x,) for x in texts], "t string").select(T.shingle_digest(F.col("t")).alias("s"), T.shingles(F.col("t")).alias("e")).select("s.*", "e").collect()
+    want = [(len(r["e"] or []), hashlib.sha256("|".join(sorted(r["e"])).encode()).hexdigest() if r["e"] else None) for r in got]
+    assert [(r["n"], r["digest"]) for r in got] == want
+
+
+def test_contexts_ask_for_one_profile_and_tools_join_units_once(spark):
+    settings = plans._tool(spark, SF, "parent_context_enabled")[2]
+    assert {r[0] for r in settings.select("profile").distinct().collect()} == {"parent_context_enabled"}
+    plan = library.QUERIES["hybrid_tool"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Relation [doc_id" not in plan  # units are read from what was joined once
