@@ -79,8 +79,8 @@ def generated_questions(spark, sf_dir):
 @query()
 def answer_contexts(spark, sf_dir):
     """What every first turn's answer is made from: the tool's chunks and the paths of a nation, within a budget."""
-    hits, questions, _ = batch._tool(spark, sf_dir)
-    hits = cut(hits.where("profile = 'parent_context_enabled'").drop("profile")).withColumns({"section_title": F.substring("content", 1, 20), "category": F.lit("")})
+    hits, questions, _ = batch._tool(spark, sf_dir, "parent_context_enabled")
+    hits = cut(hits.drop("profile")).withColumns({"section_title": F.substring("content", 1, 20), "category": F.lit("")})
     edges = evidence._edges(spark, sf_dir).withColumn("score", F.coalesce("confidence", F.lit(0.8))).where("label = 'part of'")
     number = F.regexp_extract("source", r"(\d+)$", 1).cast("long")
     paths = evidence.evidence.as_paths(edges, "entity_vector").join(edges.select(F.concat_ws(" -> ", "source", "label", "target").alias("path"), number.alias("n")), "path")
