@@ -150,16 +150,22 @@ SELECT doc_id, CASE WHEN doc_id % 40 <> 39 THEN sha256(coalesce(content, '')) EN
 def office_files(spark, sf_dir):
     """Documents as books of cells, texts of paragraphs and decks of slides, read again; some files are cut short."""
     suffix = F.element_at(F.array(*map(F.lit, ("docx", "xlsx", "pptx"))), (F.col("doc_id") % 3 + 1).cast("int"))
-    lines = F.filter(F.split(T.clean(F.col("content")), "\n"), lambda x: x != "")
-    docs = tables.documents(spark, sf_dir).select("doc_id", suffix.alias("suffix"), lines.alias("lines"))
+    docs = tables.documents(spark, sf_dir).select("doc_id", suffix.alias("suffix"), T.clean(F.col("content")).alias("text"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = {"docx": make_docx, "xlsx": lambda ls: make_xlsx([x.split(" ") for x in ls]), "pptx": make_pptx}
+        kinds = pa.schema([("path", pa.string()), ("suffix", pa.string()), ("content", pa.binary())])
         for batch in batches:
-            for row in batch.to_pylist():
-                ls = row["lines"] or []
-                data = {"docx": lambda: make_docx(ls), "xlsx": lambda: make_xlsx([x.split(" ") for x in ls]), "pptx": lambda: make_pptx(ls)}[row["suffix"]]()
-                data = data[: len(data) // 2] if row["doc_id"] % 40 == 39 else data
-                yield pa.RecordBatch.from_pylist([{"path": str(row["doc_id"]), "suffix": row["suffix"], "content": data}], pa.schema([("path", pa.string()), ("suffix", pa.string()), ("content", pa.binary())]))
+            out, size = [], 0
+            for doc_id, kind, text in zip(*batch.columns, strict=True):
+                i, text = doc_id.as_py(), text.as_py()
+                data = of[kind.as_py()](text.split("\n") if text else [])
+                out.append({"path": str(i), "suffix": kind.as_py(), "content": data[: len(data) // 2] if i % 40 == 39 else data})
+                size += len(data)
+                if size > files.PORTION:
+                    yield pa.RecordBatch.from_pylist(out, kinds)
+                    out, size = [], 0
+            yield pa.RecordBatch.from_pylist(out, kinds)
 
     made = docs.mapInArrow(make, "path string, suffix string, content binary")
     found = files.read(made.withColumn("file_hash", F.sha2("content", 256)))

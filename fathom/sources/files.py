@@ -14,7 +14,6 @@ from fathom.session import cut
 from fathom.sources import office
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.types import StringType
 
 #: Suffixes of plain files; those of office files are ``office.READERS``.
@@ -78,18 +77,6 @@ def detected(content: bytes, most: float = 0.2) -> str | None:
         return min(best)[2] if best and min(best)[0] <= most else None
 
 
-@F.pandas_udf(StringType())
-def _detected(content: pd.Series) -> pd.Series:
-    return content.map(lambda x: None if x is None else detected(bytes(x))).astype(object)
-
-
-def decoded(content: Column) -> Column:
-    """UTF-8; else GB18030 (a superset of GBK) or what a detector finds, which takes Python and sees only such files; null
-    where nothing fits."""
-    text = F.try_validate_utf8(content.cast("string"))
-    return F.coalesce(text, _detected(F.when(text.isNull(), content)))
-
-
 def rows_of(text: str) -> str:
     """A table's rows as lines: cells trimmed, without blank ones, joined by `` | ``. A quoted cell may hold anything."""
     csv.field_size_limit(1 << 30)
@@ -106,39 +93,64 @@ def csv_records(text: pd.Series) -> pd.Series:
 def csv_text(text: Column) -> Column:
     """Cells of each row, trimmed and joined by `` | ``, without blank cells and rows. What has no quotes is split in the
     JVM; only files with quoted cells, whose line ends may be in a cell, take Python."""
-    plain = lambda line: F.array_join(F.filter(F.transform(F.split(line, ","), lambda c: strip(c)), lambda x: x != ""), " | ")
-    simple = F.array_join(F.filter(F.transform(F.split(text, r"\r\n?|\n"), plain), lambda x: x != ""), "\n")
     quoted = F.contains(text, F.lit('"'))
-    return F.when(quoted, csv_records(F.when(quoted, text))).otherwise(simple)
+    return F.when(quoted, csv_records(F.when(quoted, text))).otherwise(_unquoted(text))
 
 
-_OFFICE = T.StructType([T.StructField("path", T.StringType()), T.StructField("file_hash", T.StringType()), T.StructField("content", T.StringType()), T.StructField("error", T.StringType())])
+def _unquoted(text: Column) -> Column:
+    plain = lambda line: F.array_join(F.filter(F.transform(F.split(line, ","), lambda c: strip(c)), lambda x: x != ""), " | ")
+    return F.array_join(F.filter(F.transform(F.split(text, r"\r\n?|\n"), plain), lambda x: x != ""), "\n")
+
+
+#: Characters of texts, or bytes of files, that go on at once; a larger one goes alone.
+PORTION = 1_000_000
 
 
-def _office(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _text(kind: str | None, valid: str | None, content: bytes | None) -> tuple[str | None, str | None, bool]:
+    """The text of a file, what is wrong with it, and whether it is a table that is still to be taken apart."""
+    if kind in office.READERS:
+        try:
+            return office.text_of(content, kind), None, False
+        except office.LoadError as e:
+            return None, str(e), False
+    if kind not in TEXT:
+        return None, "no reader for this kind", False
+    text = detected(content) if valid is None and content is not None else valid
+    if text is None:
+        return None, "no encoding fits", False
+    text = text.removeprefix("\ufeff")
+    quoted = kind == "csv" and '"' in text
+    return (rows_of(text) if quoted else text), None, kind == "csv" and not quoted
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = pa.schema([("path", pa.string()), ("file_hash", pa.string()), ("content", pa.string()), ("error", pa.string()), ("table", pa.bool_())])
     for batch in batches:
-        for i in range(batch.num_rows):  # a file at a time: it may be large
-            path, suffix_, digest, content = (batch.column(c)[i].as_py() for c in range(4))
-            text = error = None
-            try:
-                text = office.text_of(content, suffix_)
-            except office.LoadError as e:
-                error = str(e)
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.string()) for x in (path, digest, text, error)], _OFFICE.names)
+        out, size = [], 0
+        for row in zip(*batch.columns, strict=True):  # a file at a time: it may be large
+            path, digest, *given = (x.as_py() for x in row)
+            text, error, table = _text(*given)
+            out.append({"path": path, "file_hash": digest, "content": text, "error": error, "table": table})
+            size += len(text or "")
+            if size > PORTION:
+                yield pa.RecordBatch.from_pylist(out, kinds)
+                out, size = [], 0
+        yield pa.RecordBatch.from_pylist(out, kinds)
 
 
 def read(files: DataFrame) -> DataFrame:
     """path, file_hash, content, error of all scanned files, one row each: the cleaned text, or what is wrong. A file that
-    can't be read, whose suffix has no reader or that is blank where its kind mustn't be is an error, not a gap."""
-    known = F.col("suffix").isin(*TEXT, *office.READERS)
-    text = F.regexp_replace(decoded(F.col("content")), r"^\x{feff}", "")
-    text = F.when(F.col("suffix") == "csv", csv_text(text)).otherwise(text)
-    plain = files.where(F.col("suffix").isin(*TEXT)).select("path", "file_hash", text.alias("content"))
-    plain = plain.withColumn("error", F.when(F.col("content").isNull(), "no encoding fits"))
-    packed = files.where(F.col("suffix").isin(*office.READERS)).select("path", "suffix", "file_hash", "content").mapInArrow(_office, _OFFICE)
-    others = files.where(~F.coalesce(known, F.lit(False))).select("path", "file_hash", F.lit(None).cast("string").alias("content"), F.lit("no reader for this kind").alias("error"))
-    every = plain.unionByName(packed).unionByName(others)
-    return every.withColumn("content", F.when(F.col("error").isNull(), clean(F.col("content"))))
+    can't be read, whose suffix has no reader or that is blank where its kind mustn't be is an error, not a gap.
+
+    Every file is listed, read and hashed once, whatever its kind. Python reads office files, decodes what isn't UTF-8 (as
+    GB18030, a superset of GBK, or what a detector finds) and takes tables with quotes apart."""
+    kind = F.col("suffix")
+    valid = F.when(kind.isin(*TEXT), F.try_validate_utf8(F.col("content").cast("string")))
+    given = files.select("path", "file_hash", "suffix", valid.alias("valid"), "content")
+    left = F.when(F.col("valid").isNull() & kind.isin(*TEXT, *office.READERS), F.col("content"))
+    said = given.select("path", "file_hash", "suffix", "valid", left.alias("content")).mapInArrow(_texts, "path string, file_hash string, content string, error string, table boolean")
+    text = F.when(F.col("table"), _unquoted(F.col("content"))).otherwise(F.col("content"))
+    return said.select("path", "file_hash", clean(text).alias("content"), "error")
 
 
 def load(files: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Queries that look at all of their tables, on small tables made for it."""
 
 import hashlib
+import re
 import tracemalloc
 
 import numpy as np
@@ -10,6 +11,8 @@ from fathom.operators import batch, index, retrieval
 from fathom.params import LATIN, RetrievalSettings
 from fathom.plans import batch as plans
 from fathom.plans import library
+from fathom.sources import office
+from fathom.sources.make import docx, pptx, xlsx
 from pyspark.sql import functions as F
 
 
@@ -115,3 +118,29 @@ def test_contexts_ask_for_one_profile_and_tools_join_units_once(spark):
     assert {r[0] for r in settings.select("profile").distinct().collect()} == {"parent_context_enabled"}
     plan = library.QUERIES["hybrid_tool"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Relation [doc_id" not in plan  # units are read from what was joined once
+
+
+def test_files_are_made_and_read_once(spark):
+    plan = library.QUERIES["office_files"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [doc_id") == 1 and plan.count("MapInArrow") == 2  # a branch a kind had three of all
+
+
+def test_large_parts_of_office_files_say_the_same(monkeypatch):
+    lines = [f"line {i} <&> 日" for i in range(40)]
+    made = {"docx": docx(lines), "pptx": pptx(lines), "xlsx": xlsx([x.split(" ") for x in lines])}
+    at_once = {k: office.text_of(x, k) for k, x in made.items()}
+    monkeypatch.setattr(office, "SMALL", 0)
+    assert {k: office.text_of(x, k) for k, x in made.items()} == at_once
+    assert at_once["docx"].split("\n") == lines and at_once["xlsx"].count("\n") == 40 and at_once["pptx"].count("\n") == 79
+
+
+def test_cleaned_texts(spark):
+    texts = [None, "", " ", "\r", "a\r\nb\rc\n\n d ", "\ufeffa\u200b\x00b\x7f \t c\t", "\u3000\u00a0x \u2003 y\u2028\u0085", "x\u2028", "\u2028\n\u2029x\n", "\U0001f600 \U0001f600\t\t\U0001f600  ", " \ta\x0b\x0c \n\x1f\n", "\r\u200b\nq", "e\u200a\u200c\ufefe\uff00"]
+    got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string").orderBy("i").select(T.clean(F.col("t"))).collect()]
+
+    def cleaned(x):
+        x = re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "", re.sub(r"\r\n?", "\n", re.sub("[\ufeff\u200b]", "", x)))
+        blank = " \t\n\x0b\x0c\r\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+        return "\n".join(filter(None, (re.sub(r"[ \t]+", " ", y).strip(blank) for y in x.split("\n"))))
+
+    assert got == [None if x is None else cleaned(x) for x in texts]
