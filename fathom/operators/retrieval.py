@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from fathom.functions.text import count_of, hashed_shingles, shingle_hashes, token_estimate, truncated
+from fathom.functions.text import count_of, hashed_shingles, mixed, token_estimate, truncated
 from fathom.functions.vectors import cosine
 from fathom.session import cut, free, numbered
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 #: Up to so many rows a top-k is one limit, whose rows one task holds; more are numbered part by part.
@@ -83,59 +84,116 @@ def round_robin(streams: list[DataFrame], k: int, scope: list[str], identity: st
     return kept.withColumn("rank", F.row_number().over(Window.partitionBy(*scope).orderBy(pos, "stream"))).where(F.col("rank") <= k)
 
 
-def _prefixes(docs: DataFrame, threshold: float, frequent: int = 16, most: int = 1_000_000) -> DataFrame:
-    """Add ``prefix`` to rows with a column ``s`` of distinct shingle hashes: the first of them, rare ones before
-    frequent ones, of which two sets that reach the threshold share one. Hashes of many sets, at most ``most``,
-    are sent to the workers; which ones count as frequent changes the cost alone."""
-    df = cut(docs.select(F.explode("s").alias("g")).groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > frequent))
-    while df.where(F.col("n") > frequent).count() > most:
-        frequent *= 2
-    known = df.where(F.col("n") > frequent).toPandas().sort_values("g")
-    sent = docs.sparkSession.sparkContext.broadcast((known["g"].to_numpy(), known["n"].to_numpy()))
+#: Hashes that go on at once; a larger set goes alone.
+PORTION = 250_000
 
-    @F.pandas_udf("array<long>")
-    def prefix(sets: pd.Series) -> pd.Series:
-        hashes, counts = sent.value
 
-        def first(s: np.ndarray) -> np.ndarray:
-            take = len(s) - math.ceil(threshold * len(s) - 1e-9) + 1
-            if not len(hashes):
-                return np.sort(s)[:take]
-            at = np.minimum(np.searchsorted(hashes, s), len(hashes) - 1)
-            return s[np.lexsort((s, np.where(hashes[at] == s, counts[at], 0)))[:take]]
+def _lists(sets: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.array([], np.int64), *sets])))
 
-        return sets.map(first)
 
-    return docs.withColumn("prefix", prefix("s"))
+def _sets(docs: DataFrame, scope: str, id_col: str, content: str) -> DataFrame:
+    """scope, id, s: the shingles of each row, as sorted hashes."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            start, sets, size = 0, [], 0
+            for i, text in enumerate(batch.column(2)):
+                sets.append(hashed_shingles(text.as_py()))
+                size += len(sets[-1])
+                if size > PORTION or i + 1 == batch.num_rows:
+                    own = batch.slice(start, len(sets))
+                    yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), _lists(sets)], [scope, "id", "s"])
+                    start, sets, size = i + 1, [], 0
+
+    given = docs.select(F.col(scope), F.col(id_col).alias("id"), F.col(content).alias("_text"))
+    return given.mapInArrow(hashed, StructType([*given.schema.fields[:2], StructField("s", ArrayType(LongType()))]))
+
+
+class Pieces:
+    """Keys of sets that reach a similarity: sizes lie in intervals so wide that the larger of two sets is in the interval of
+    the smaller or in the next. For each interval hashes are dealt into more pieces than two such sets can have differences,
+    so that some pieces are equal; a key stands for a piece with all that is in it. Of so many equal ones the weakest needn't
+    have keys (few pairs of words, then few trigrams, come often), as any two sets put their common pieces in one order."""
+
+    def __init__(self, threshold: float):
+        self.t, self.bounds = threshold, [1]
+
+    def interval(self, n: int) -> int:
+        while self.bounds[-1] <= n:
+            self.bounds.append(max(self.bounds[-1] + 1, math.ceil(self.bounds[-1] / self.t)))
+        return bisect_right(self.bounds, n) - 1
+
+    def dealt(self, i: int) -> tuple[int, int, int]:
+        """Of an interval: pieces, those that have keys, and how many keys two sets share at least."""
+        most = self.bounds[i + 1] - 1
+        differences = math.floor((1 - self.t) / (1 + self.t) * (most + math.floor(most / self.t + 1e-6)) + 1e-6)
+        equal = 2 + differences // 5
+        shared = 1 + equal // 8
+        return differences + equal, differences + shared if differences else 0, shared
+
+    def keys(self, grams: np.ndarray, i: int) -> np.ndarray:
+        (n, kept, _), s = self.dealt(i), grams.view(np.uint64)
+        piece = ((s >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+        starts = np.flatnonzero(np.diff(piece, prepend=-1))
+        inside, pairs = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        inside[piece[starts]], pairs[piece[starts]] = np.add.reduceat(mixed([s], 3), starts), np.add.reduceat(s & np.uint64(1), starts)
+        keys = mixed([np.arange(n, dtype=np.uint64), inside], i + 1 << 32)
+        return keys[np.lexsort((keys, np.bincount(piece, minlength=n), pairs))[n - kept :]].view(np.int64)
+
+
+def _keyed(classes: DataFrame, scope: str, threshold: float) -> DataFrame:
+    """scope, id, own and before: keys of each set in the interval of its size and in the one before, and how many keys of its
+    own a set shares with one that is near."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = Pieces(threshold)
+        for batch in batches:
+            start, rows, size = 0, [], 0
+            for k, s in enumerate(batch.column(2)):
+                grams = s.values.to_numpy()
+                i = p.interval(len(grams))
+                rows.append((p.keys(grams, i), p.keys(grams, i - 1) if i else np.array([], np.int64), p.dealt(i)[2]))
+                size += sum(map(len, rows[-1][:2]))
+                if size > PORTION or k + 1 == batch.num_rows:
+                    held, (own, before, shared) = batch.slice(start, len(rows)), zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([held.column(0), held.column(1), _lists(own), _lists(before), pa.array(shared, pa.int32())], [scope, "id", "own", "before", "shared"])
+                    start, rows, size = k + 1, [], 0
+
+    given, lists = classes.select(scope, "id", "s"), ArrayType(LongType())
+    return given.mapInArrow(keyed, StructType([*given.schema.fields[:2], StructField("own", lists), StructField("before", lists), StructField("shared", IntegerType())]))
 
 
 def _near_classes(docs: DataFrame, scope: str, id_col: str, content: str, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """scope, id, c of rows with shingles (c: those with equal sets), and scope, c1, c2, similarity of classes that reach the
-    threshold, each pair once.
-
-    Candidates share a shingle of their prefixes (rare ones first) at places that leave room for the threshold, and their
-    sets, sorted hashes in one row each, are then intersected; copies are compared once, as one class."""
-    rows = cut(docs.select(scope, F.col(id_col).alias("id"), shingle_hashes(F.col(content)).alias("s"))).where(F.size("s") > 0)
-    rows = rows.withColumn("c", F.concat_ws(":", F.xxhash64("s").cast("string"), F.xxhash64(F.lit(1), "s").cast("string")))
-    classes = cut(_prefixes(cut(rows.groupBy(scope, "c").agg(F.first("s").alias("s"))), threshold))
-    keys = classes.select(scope, "c", F.size("s").alias("n"), F.posexplode("prefix").alias("pos", "g"))
-    x, y = (keys.select(scope, "g", *[F.col(k).alias(f"{k}{i}") for k in ("c", "n", "pos")]) for i in "12")
-    # What stands before the first shared place is in one set alone.
-    room = F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2"))
-    close = (F.col("c1") < F.col("c2")) & (F.least("n1", "n2") >= threshold * F.greatest("n1", "n2") - 1e-9) & ((1 + threshold) * room >= threshold * (F.col("n1") + F.col("n2")) - 1e-6)
-    pairs = x.join(y, [scope, "g"]).where(close).select(scope, "c1", "c2").distinct()
-    sets = [classes.select(scope, F.col("c").alias(f"c{i}"), F.col("s").alias(f"s{i}")) for i in "12"]
-    both = pairs.join(sets[0], [scope, "c1"]).join(sets[1], [scope, "c2"]).withColumn("k", F.size(F.array_intersect("s1", "s2")))
-    near = both.select(scope, "c1", "c2", (F.col("k") / (F.size("s1") + F.size("s2") - F.col("k"))).alias("similarity")).where(F.col("similarity") >= threshold)
-    return rows.select(scope, "id", "c"), near
+    """scope, id, class_id (the least id with an equal set of shingles; its own without shingles or scope) and copies of all
+    rows, and scope, id1, id2, similarity of classes that reach the threshold, each pair once.
+
+    Every text is hashed once. Candidates have as many pieces of their sets in common as the threshold asks for (``Pieces``),
+    which other sets hardly ever have, and their sets are then intersected; copies are compared once, as one class."""
+    rows = cut(_sets(docs, scope, id_col, content).withColumn("c", F.when((F.size("s") > 0) & F.col(scope).isNotNull(), F.concat_ws(":", F.xxhash64("s").cast("string"), F.xxhash64(F.lit(1), "s").cast("string")))))
+    found = rows.where("c is not null")
+    classes = cut(found.groupBy(scope, "c").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("s").alias("s")))
+    members = found.select(scope, "id", "c").join(classes.select(scope, "c", F.col("id").alias("class_id"), "copies"), [scope, "c"]).drop("c")
+    alone = rows.where("c is null").select(scope, "id", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("copies"))
+    keyed = cut(_keyed(classes, scope, threshold))
+    keys = lambda name, is_own, i: keyed.select(scope, F.col("id").alias(f"id{i}"), F.explode(name).alias("g"), F.lit(is_own).alias(f"own{i}"))
+    x, y = keys("own", True, 1).drop("own1"), keys("own", True, 2).unionByName(keys("before", False, 2))
+    common = x.join(y, [scope, "g"]).where((F.col("id1") != F.col("id2")) & (~F.col("own2") | (F.col("id1") < F.col("id2")))).groupBy(scope, "id1", "id2", "own2").agg(F.count("*").alias("n"))
+    pairs = common.join(keyed.select(scope, F.col("id").alias("id1"), "shared"), [scope, "id1"]).where("n >= shared")
+    pairs = pairs.select(scope, F.least("id1", "id2").alias("id1"), F.greatest("id1", "id2").alias("id2")).distinct()
+    sets = [classes.select(scope, F.col("id").alias(f"id{i}"), F.col("s").alias(f"s{i}")) for i in "12"]
+    both = pairs.join(sets[0], [scope, "id1"]).join(sets[1], [scope, "id2"]).withColumn("k", F.size(F.array_intersect("s1", "s2")))
+    near = both.select(scope, "id1", "id2", (F.col("k") / (F.size("s1") + F.size("s2") - F.col("k"))).alias("similarity")).where(F.col("similarity") >= threshold)
+    return members.unionByName(alone), near
 
 
 def near_dup_pairs(docs: DataFrame, scope: str, id_col: str, content: str, threshold: float = 0.85) -> DataFrame:
     """Pairs within a scope whose shingles reach the threshold. The result has a row for every pair of copies;
     ``near_dup_classes`` says as much in a row a document."""
     rows, near = _near_classes(docs, scope, id_col, content, threshold)
-    members = [rows.select(scope, F.col("c").alias(f"c{i}"), F.col("id").alias(f"id{i}")) for i in "12"]
-    across = near.join(members[0], [scope, "c1"]).join(members[1], [scope, "c2"])
+    members = [rows.select(scope, F.col("class_id").alias(f"c{i}"), F.col("id").alias(f"id{i}")) for i in "12"]
+    across = near.withColumnsRenamed({"id1": "c1", "id2": "c2"}).join(members[0], [scope, "c1"]).join(members[1], [scope, "c2"])
     inside = members[0].join(members[1].withColumnRenamed("c2", "c1"), [scope, "c1"]).where("id1 < id2").withColumn("similarity", F.lit(1.0))
     named = lambda df: df.select(scope, F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b"), "similarity")
     return named(across).unionByName(named(inside))
@@ -145,14 +203,9 @@ def near_dup_classes(docs: DataFrame, scope: str, id_col: str, content: str, thr
     """scope, id, class_id (the smallest id with an equal set of shingles; its own without shingles) and copies of every
     document, and scope, a, b, similarity of classes that nearly repeat each other, by their class_id. Any number of copies is
     one row a document, not a row a pair."""
-    rows, near = _near_classes(docs, scope, id_col, content, threshold)
-    named = cut(rows.groupBy(scope, "c").agg(F.min("id").alias("class_id"), F.count("*").alias("copies")))
-    members = rows.join(named, [scope, "c"]).select(scope, F.col("id").alias(id_col), "class_id", "copies")
-    without = docs.select(scope, F.col(id_col).alias("id"), shingle_hashes(F.col(content)).alias("s")).where(F.size("s") == 0)
-    members = members.unionByName(without.select(scope, F.col("id").alias(id_col), F.col("id").alias("class_id"), F.lit(1).cast("long").alias("copies")))
-    of = lambda i: named.select(scope, F.col("c").alias(f"c{i}"), F.col("class_id").alias(f"id{i}"))
-    links = near.join(of("1"), [scope, "c1"]).join(of("2"), [scope, "c2"])
-    return members, links.select(scope, F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b"), "similarity")
+    members, near = _near_classes(docs, scope, id_col, content, threshold)
+    links = near.select(scope, F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b"), "similarity")
+    return members.withColumnRenamed("id", id_col), links
 
 
 def near_dup_greedy(hits: DataFrame, scope: str, id_col: str, content: str, score: str, pos: str, threshold: float = 0.85) -> DataFrame:

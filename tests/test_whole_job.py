@@ -144,3 +144,29 @@ def test_cleaned_texts(spark):
         return "\n".join(filter(None, (re.sub(r"[ \t]+", " ", y).strip(blank) for y in x.split("\n"))))
 
     assert got == [None if x is None else cleaned(x) for x in texts]
+
+
+def test_near_sets_share_enough_keys():
+    p, rng = retrieval.Pieces(0.85), np.random.default_rng(7)
+    for n in [*range(7, 60), 100, 333, 905, 2500] * 3:
+        most = int(n / 0.85 + 1e-9) - n  # the last of them has just the threshold
+        extra = int(rng.integers(0, most + 1))
+        large = np.unique(rng.integers(0, 1 << 63, n + extra).astype(np.uint64)).view(np.int64)
+        small = np.delete(large, rng.choice(len(large), extra, replace=False))
+        i, j = p.interval(len(small)), p.interval(len(large))
+        assert j in (i, i + 1)
+        shared = len(np.intersect1d(p.keys(small, i), p.keys(large, i)))
+        assert shared >= p.dealt(i)[2] or extra == 0 and n < 7
+    # Texts of the same few shingles have a first shingle in common, but hardly a piece.
+    words = [f"w{i}" for i in range(300)]
+    sets = [T.hashed_shingles(" ".join(rng.choice(words, 400))) for _ in range(150)]
+    keys = [set(p.keys(s, p.interval(len(s))).tolist()) for s in sets]
+    assert sum(len(a & b) for k, a in enumerate(keys) for b in keys[:k]) < 150
+
+
+def test_near_classes_hash_texts_once_and_keep_rows_without_scope(spark):
+    rows = [(1, "a", "the fox and the river run " * 9), (2, "a", "The fox, and the river run " * 9), (3, "a", ""), (4, None, "the fox"), (5, "b", None), (6, "a", "the fox and the river run " * 9 + "off")]
+    members, links = retrieval.near_dup_classes(spark.createDataFrame(rows, "doc_id int, scope string, content string"), "scope", "doc_id", "content")
+    assert "Python" not in members._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["doc_id"], r["class_id"], r["copies"]) for r in members.collect()) == [(1, 1, 2), (2, 1, 2), (3, 3, 1), (4, 4, 1), (5, 5, 1), (6, 6, 1)]
+    assert [(r["a"], r["b"]) for r in links.collect()] == [(1, 6)]
