@@ -170,3 +170,12 @@ def test_near_classes_hash_texts_once_and_keep_rows_without_scope(spark):
     assert "Python" not in members._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r["doc_id"], r["class_id"], r["copies"]) for r in members.collect()) == [(1, 1, 2), (2, 1, 2), (3, 3, 1), (4, 4, 1), (5, 5, 1), (6, 6, 1)]
     assert [(r["a"], r["b"]) for r in links.collect()] == [(1, 6)]
+
+
+def test_shingles_go_on_in_portions(spark, monkeypatch):
+    docs, held = spark.createDataFrame([(1, "a", "x")], "id long, scope string, content string"), []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: held.append(f))
+    retrieval._sets(docs, "scope", "id", "content")
+    batch = pa.RecordBatch.from_arrays([pa.array(["a"] * 600), pa.array(range(600)), pa.array(_noise(600, 4000))], ["scope", "id", "_text"])
+    got = [(b.num_rows, len(b.column(2).flatten())) for b in held[0](iter([batch]))]
+    assert sum(n for n, _ in got) == 600 and sum(m for _, m in got) > 1_500_000 and max(m for _, m in got) < retrieval.PORTION + 5000
