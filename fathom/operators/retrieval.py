@@ -87,6 +87,9 @@ def round_robin(streams: list[DataFrame], k: int, scope: list[str], identity: st
 #: Hashes that go on at once; a larger set goes alone.
 PORTION = 250_000
 
+#: Bytes of texts or sets that a worker gets at once; Spark's own bound, 64 MB, is held several times by every task.
+BATCH_BYTES = 4 << 20
+
 
 def _lists(sets: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
@@ -171,15 +174,16 @@ def _near_classes(docs: DataFrame, scope: str, id_col: str, content: str, thresh
 
     Every text is hashed once. Candidates have as many pieces of their sets in common as the threshold asks for (``Pieces``),
     which other sets hardly ever have, and their sets are then intersected; copies are compared once, as one class."""
-    rows = cut(_sets(docs, scope, id_col, content).withColumn("c", F.when((F.size("s") > 0) & F.col(scope).isNotNull(), F.concat_ws(":", F.xxhash64("s").cast("string"), F.xxhash64(F.lit(1), "s").cast("string")))))
+    rows = cut(_sets(docs, scope, id_col, content).withColumn("c", F.when((F.size("s") > 0) & F.col(scope).isNotNull(), F.concat_ws(":", F.xxhash64("s").cast("string"), F.xxhash64(F.lit(1), "s").cast("string")))), BATCH_BYTES)
     found = rows.where("c is not null")
     classes = cut(found.groupBy(scope, "c").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("s").alias("s")))
     members = found.select(scope, "id", "c").join(classes.select(scope, "c", F.col("id").alias("class_id"), "copies"), [scope, "c"]).drop("c")
     alone = rows.where("c is null").select(scope, "id", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("copies"))
-    keyed = cut(_keyed(classes, scope, threshold))
-    keys = lambda name, is_own, i: keyed.select(scope, F.col("id").alias(f"id{i}"), F.explode(name).alias("g"), F.lit(is_own).alias(f"own{i}"))
-    x, y = keys("own", True, 1).drop("own1"), keys("own", True, 2).unionByName(keys("before", False, 2))
-    common = x.join(y, [scope, "g"]).where((F.col("id1") != F.col("id2")) & (~F.col("own2") | (F.col("id1") < F.col("id2")))).groupBy(scope, "id1", "id2", "own2").agg(F.count("*").alias("n"))
+    keyed = cut(_keyed(classes, scope, threshold), BATCH_BYTES)
+    # Keys are told apart by scope in one number, which sorts faster than a scope and a number.
+    keys = lambda name, is_own, i: keyed.select(scope, F.col("id").alias(f"id{i}"), F.explode(name).alias("g"), F.lit(is_own).alias(f"own{i}")).withColumn("g", F.xxhash64(scope, "g"))
+    x, y = keys("own", True, 1).drop("own1"), keys("own", True, 2).unionByName(keys("before", False, 2)).drop(scope)
+    common = x.join(y, "g").where((F.col("id1") != F.col("id2")) & (~F.col("own2") | (F.col("id1") < F.col("id2")))).groupBy(scope, "id1", "id2", "own2").agg(F.count("*").alias("n"))
     pairs = common.join(keyed.select(scope, F.col("id").alias("id1"), "shared"), [scope, "id1"]).where("n >= shared")
     pairs = pairs.select(scope, F.least("id1", "id2").alias("id1"), F.greatest("id1", "id2").alias("id2")).distinct()
     sets = [classes.select(scope, F.col("id").alias(f"id{i}"), F.col("s").alias(f"s{i}")) for i in "12"]

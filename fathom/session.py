@@ -33,11 +33,20 @@ def _checkpoint_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, batch_bytes: int | None = None) -> DataFrame:
     """A table computed once for several uses, in the folder that the cluster names for checkpoints (in local
-    tests without one, a temporary folder), so a lost executor doesn't lose it."""
+    tests without one, a temporary folder), so a lost executor doesn't lose it. Arrow batches that go to Python
+    meanwhile have at most ``batch_bytes``, unless the session says less."""
     _checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = conf.get(key)
+    own = before.rstrip("b")
+    if batch_bytes and (not own.isdigit() or int(own) > batch_bytes):
+        conf.set(key, f"{batch_bytes}b")
+    try:
+        return df.checkpoint()
+    finally:
+        conf.set(key, before)
 
 
 def shared_path(spark: SparkSession, name: str) -> str:

@@ -6,6 +6,7 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+from fathom import session
 from fathom.functions import text as T
 from fathom.operators import batch, index, retrieval
 from fathom.params import LATIN, RetrievalSettings
@@ -179,3 +180,26 @@ def test_shingles_go_on_in_portions(spark, monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(["a"] * 600), pa.array(range(600)), pa.array(_noise(600, 4000))], ["scope", "id", "_text"])
     got = [(b.num_rows, len(b.column(2).flatten())) for b in held[0](iter([batch]))]
     assert sum(n for n, _ in got) == 600 and sum(m for _, m in got) > 1_500_000 and max(m for _, m in got) < retrieval.PORTION + 5000
+
+
+def test_near_pairs_give_workers_small_batches_and_keep_scopes_apart(spark, monkeypatch):
+    key, asked = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    before = spark.conf.get(key)
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches)
+    texts = spark.range(3000).coalesce(1).select(F.repeat(F.lit("x"), 1000).alias("t"))
+    got = [r["n"] for r in session.cut(texts.mapInArrow(sizes, "n long"), 1 << 18).collect()]
+    assert sum(got) >= 3_000_000 and max(got) < 1 << 19 and spark.conf.get(key) == before
+
+    def cut(df, batch_bytes=None):
+        if "MapInArrow" in df._jdf.queryExecution().optimizedPlan().toString():
+            asked.append(batch_bytes)
+        return session.cut(df, batch_bytes)
+
+    monkeypatch.setattr(retrieval, "cut", cut)
+    text = "the fox and the river run " * 9
+    rows = [(i, scope, x) for scope in "ab" for i, x in enumerate([text + "off", text, _noise(1, 900)[0]])] + [(3, "b", text + "on"), (4, "b", text)]
+    found = retrieval.near_dup_pairs(spark.createDataFrame(rows, "id long, scope string, content string"), "scope", "id", "content").collect()
+    sets = {(s, i): set(T.hashed_shingles(x).tolist()) for i, s, x in rows}
+    near = lambda x, y: len(x & y) >= 0.85 * len(x | y)
+    assert sorted((r["scope"], r["a"], r["b"]) for r in found) == sorted((s, i, j) for s, i in sets for t, j in sets if s == t and i < j and near(sets[s, i], sets[t, j]))
+    assert asked == [retrieval.BATCH_BYTES] * 2
