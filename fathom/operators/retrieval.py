@@ -181,10 +181,10 @@ def _near_classes(docs: DataFrame, scope: str, id_col: str, content: str, thresh
     alone = rows.where("c is null").select(scope, "id", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("copies"))
     keyed = cut(_keyed(classes, scope, threshold), BATCH_BYTES)
     # Keys are told apart by scope in one number, which sorts faster than a scope and a number.
-    keys = lambda name, is_own, i: keyed.select(scope, F.col("id").alias(f"id{i}"), F.explode(name).alias("g"), F.lit(is_own).alias(f"own{i}")).withColumn("g", F.xxhash64(scope, "g"))
-    x, y = keys("own", True, 1).drop("own1"), keys("own", True, 2).unionByName(keys("before", False, 2)).drop(scope)
-    common = x.join(y, "g").where((F.col("id1") != F.col("id2")) & (~F.col("own2") | (F.col("id1") < F.col("id2")))).groupBy(scope, "id1", "id2", "own2").agg(F.count("*").alias("n"))
-    pairs = common.join(keyed.select(scope, F.col("id").alias("id1"), "shared"), [scope, "id1"]).where("n >= shared")
+    keys = lambda name, i, *more: keyed.select(scope, F.col("id").alias(f"id{i}"), F.explode(name).alias("g"), *more).withColumn("g", F.xxhash64(scope, "g"))
+    x, y = keys("own", 1, "shared"), keys("own", 2, F.lit(True).alias("own2")).unionByName(keys("before", 2, F.lit(False).alias("own2"))).drop(scope)
+    common = x.join(y, "g").where((F.col("id1") != F.col("id2")) & (~F.col("own2") | (F.col("id1") < F.col("id2"))))
+    pairs = common.groupBy(scope, "id1", "id2", "own2").agg(F.count("*").alias("n"), F.min("shared").alias("shared")).where("n >= shared")
     pairs = pairs.select(scope, F.least("id1", "id2").alias("id1"), F.greatest("id1", "id2").alias("id2")).distinct()
     sets = [classes.select(scope, F.col("id").alias(f"id{i}"), F.col("s").alias(f"s{i}")) for i in "12"]
     both = pairs.join(sets[0], [scope, "id1"]).join(sets[1], [scope, "id2"]).withColumn("k", F.size(F.array_intersect("s1", "s2")))
