@@ -4,12 +4,13 @@ import hashlib
 import re
 import tracemalloc
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 from fathom import session
 from fathom.functions import text as T
-from fathom.operators import batch, index, retrieval
-from fathom.params import LATIN, RetrievalSettings
+from fathom.operators import batch, evidence, index, retrieval
+from fathom.params import LATIN, RetrievalSettings, evaluation_profiles
 from fathom.plans import batch as plans
 from fathom.plans import library
 from fathom.sources import office
@@ -203,3 +204,27 @@ def test_near_pairs_give_workers_small_batches_and_keep_scopes_apart(spark, monk
     near = lambda x, y: len(x & y) >= 0.85 * len(x | y)
     assert sorted((r["scope"], r["a"], r["b"]) for r in found) == sorted((s, i, j) for s, i in sets for t, j in sets if s == t and i < j and near(sets[s, i], sets[t, j]))
     assert asked == [retrieval.BATCH_BYTES] * 2
+
+
+def test_the_sweep_has_profiles_without_near_copies(spark, tmp_path):
+    """All twelve profiles, and DuckDB's rows, where half the texts of a group nearly repeat each other."""
+    for name in ("embeddings", "conversations"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    told = F.concat(F.repeat(F.concat(F.lit("the fox of "), F.col("doc_id") % 40, F.lit(" and the river run ")), 20), F.when(F.col("doc_id") % 3 == 0, F.lit("off")).otherwise(F.lit("")))
+    spark.read.parquet(f"{SF}/documents.parquet").withColumn("text", F.when(F.col("doc_id") % 4 < 2, told).otherwise(F.col("text"))).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    for name in ("embeddings", "conversations", "documents"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    found = plans.evaluation_sweep(spark, str(tmp_path))
+    told = con.execute(library.SQL["evaluation_sweep"])
+    columns = [d[0] for d in told.description]
+    got = {r["profile"]: tuple(round(r[c], 5) if isinstance(r[c], float) else r[c] for c in columns) for r in found.collect()}
+    assert got == {r[columns.index("profile")]: tuple(round(x, 5) if isinstance(x, float) else x for x in r) for r in told.fetchall()}
+    assert set(got) == set(evaluation_profiles(RetrievalSettings())) and got["dedup_enabled"][1:] != got["baseline_new_retrieval"][1:]
+
+
+def test_hits_without_others_of_their_size_have_no_near_copy(spark):
+    rows = [("p", 1, i, "d" if i < 5 else "e", n) for i, n in enumerate([100, 117, 50, 0, 0, 100, 118])]
+    hits = spark.createDataFrame(rows, "profile string, question_id int, pos int, document_id string, n int").withColumn("source_file", F.lit("f"))
+    got = hits.withColumn("close", evidence.may_repeat(hits, "n", 0.85, batch.SCOPE)).where("close").collect()
+    assert sorted(r["pos"] for r in got) == [0, 1]
