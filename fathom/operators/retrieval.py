@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -10,10 +12,10 @@ import numpy as np
 import pyarrow as pa
 from fathom.functions.text import count_of, hashed_shingles, mixed, token_estimate, truncated
 from fathom.functions.vectors import cosine
-from fathom.session import cut, free, numbered
+from fathom.session import cut, free, numbered, small_batches
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, ByteType, IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 #: Up to so many rows a top-k is one limit, whose rows one task holds; more are numbered part by part.
@@ -146,50 +148,168 @@ class Pieces:
         return keys[np.lexsort((keys, np.bincount(piece, minlength=n), pairs))[n - kept :]].view(np.int64)
 
 
-def _keyed(classes: DataFrame, scope: str, threshold: float) -> DataFrame:
-    """scope, id, own and before: keys of each set in the interval of its size and in the one before, and how many keys of its
-    own a set shares with one that is near."""
+#: Texts that the rarity of shingles is counted in, at most (about), and cells of the count.
+RARITY_ROWS, RARITY_BITS = 4_096, 23
+
+#: Parts that shingles are dealt into by their hashes, which are counted.
+DEALT = 192
+
+#: Classes with candidates that are sent to the texts.
+MOST_SENT = 500_000
+
+#: Classes whose sets a cell of comparisons has from either side, about.
+CELL = 256
+
+
+def _rarity(docs: DataFrame, scope: str, id_col: str, content: str) -> np.ndarray:
+    """How often shingles come in a bounded sample of texts, by the first bits of their hashes, 255 at most. It only says in which
+    order a set's shingles become keys, so no result depends on the sample."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(1 << RARITY_BITS, np.uint8)
+        for batch in batches:
+            cell, n = np.unique(batch.column(2).flatten().to_numpy().view(np.uint64) >> np.uint64(64 - RARITY_BITS), return_counts=True)
+            found[cell] = np.minimum(found[cell] + n, 255)
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(found, 1)])], ["n"])
+
+    some = F.pmod(F.xxhash64(id_col), F.lit(max(1, -(-docs.count() // RARITY_ROWS)))) == 0
+    out = np.zeros(1 << RARITY_BITS, np.uint8)
+    with small_batches(docs.sparkSession, BATCH_BYTES):
+        parts = _sets(docs.where(some), scope, id_col, content).mapInArrow(count, "n binary").collect()
+    for (part,) in parts:
+        x = np.frombuffer(zlib.decompress(part), np.uint8)
+        out = np.where(out > 255 - x, np.uint8(255), out + x)
+    return out
+
+
+def shared_keys(n: int) -> int:
+    """How many keys a set of so many shingles has in common with one that is near, if that has as many at least."""
+    return 1 + (n >= 20) + (n >= 60)
+
+
+def rare_keys(grams: np.ndarray, rarity: np.ndarray, threshold: float) -> np.ndarray:
+    """The rarest shingles of a set, as many as leave so few that a near set must have some of them: of two such sets the
+    first ``shared_keys`` of all that they have in common are keys of both, whatever the order, as long as it is one."""
+    s, n = grams.view(np.uint64), len(grams)
+    most = n - math.ceil(threshold * n - 1e-9) + shared_keys(n)
+    rank = rarity[s >> np.uint64(64 - RARITY_BITS)].astype(np.uint64) << np.uint64(56) | s & np.uint64((1 << 56) - 1)
+    return s[np.argpartition(rank, most - 1)[:most]] if most < n else s
+
+
+def _digest(grams: np.ndarray) -> bytes:
+    return hashlib.blake2b(np.ascontiguousarray(grams), digest_size=16).digest()
+
+
+def _keyed(docs: DataFrame, scope: str, id_col: str, content: str, threshold: float) -> DataFrame:
+    """scope, id, c (what equal sets have in common), n, keys and dealt of each row: the number of its shingles, the rarest of them
+    as numbers of 32 bits, which differ by scope, and how many fall into each of ``DEALT`` parts (from -128). Without shingles or
+    scope c is null. The sets themselves aren't kept."""
+    sent = docs.sparkSession.sparkContext.broadcast(_rarity(docs, scope, id_col, content))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = Pieces(threshold)
         for batch in batches:
-            start, rows, size = 0, [], 0
-            for k, s in enumerate(batch.column(2)):
+            digests, sizes, keys, dealt = [], [], [], []
+            for name, s in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                grams = s.values.to_numpy()
+                known = len(grams) > 0 and name is not None
+                digests.append(_digest(grams) if known else None)
+                sizes.append(len(grams))
+                apart = np.uint64(int.from_bytes(hashlib.blake2b(repr(name).encode(), digest_size=8).digest(), "little"))
+                keys.append((mixed([rare_keys(grams, sent.value, threshold), apart], 7) >> np.uint64(32)).astype(np.uint32).view(np.int32) if known else np.array([], np.int32))
+                dealt.append((np.minimum(np.bincount((grams.view(np.uint64) >> np.uint64(40)).astype(np.int64) % DEALT, minlength=DEALT), 255) - 128).astype(np.int8) if known else np.array([], np.int8))
+            ends, parts = (np.cumsum([0, *map(len, x)], dtype=np.int32) for x in (keys, dealt))
+            counts = pa.ListArray.from_arrays(pa.array(parts), pa.array(np.concatenate([np.array([], np.int8), *dealt])))
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.array([], np.int32), *keys])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), lists, counts], names)
+
+    sets = _sets(docs, scope, id_col, content)
+    schema = StructType([*sets.schema.fields[:2], StructField("c", BinaryType()), StructField("n", IntegerType()), StructField("keys", ArrayType(IntegerType())), StructField("dealt", ArrayType(ByteType()))])
+    names = schema.names
+    return sets.mapInArrow(keyed, schema)
+
+
+def _candidates(classes: DataFrame, threshold: float) -> DataFrame:
+    """k1, k2: classes (k, n, keys, dealt) of near sizes that have as many keys in common as near sets have and differ by no more
+    than those can in ``dealt``, each pair once."""
+    keys = lambda i: classes.select(F.col("k").alias(f"k{i}"), F.col("n").alias(f"n{i}"), F.explode("keys").alias("g"))
+    least = F.least("n1", "n2")
+    some = (F.col("k1") < F.col("k2")) & (least >= threshold * F.greatest("n1", "n2") - 1e-6)
+    shared = 1 + (least >= 20).cast("int") + (least >= 60).cast("int")
+    common = keys(1).join(keys(2), "g").where(some).select("k1", "k2", shared.alias("shared"))
+    pairs = common.groupBy("k1", "k2").agg(F.count("*").alias("_n"), F.min("shared").alias("shared")).where("_n >= shared").select("k1", "k2")
+    # Sets that only have a passage in common differ by more, part by part, than near ones can.
+    side = lambda i: classes.select(F.col("k").alias(f"k{i}"), F.col("n").alias(f"n{i}"), F.col("dealt").alias(f"d{i}"))
+    apart = F.aggregate(F.zip_with("d1", "d2", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda total, x: total + x)
+    both = cut(pairs).join(side(1), "k1").join(side(2), "k2")
+    return both.where(apart <= (1 - threshold) / (1 + threshold) * (F.col("n1") + F.col("n2")) + 1e-6).select("k1", "k2")
+
+
+def _compared(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """k1, k2, similarity of the pairs that reach the threshold. texts: k, c, content.
+
+    Pairs go into cells by the least class that the first of them is paired with; a group of many classes is dealt into cells
+    of about ``CELL`` classes by as many. A text goes once to each cell, not once to each pair, and is hashed there."""
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("k1").alias("k"), F.col("k1").alias("other")), F.struct(F.col("k2").alias("k"), F.col("k1").alias("other")))).alias("e")).select("e.*")
+    lead = ends.groupBy("k").agg(F.min("other").alias("lead"))
+    deals = lead.groupBy("lead").agg(F.ceil(F.count("*") / CELL).alias("_deals"))
+    led = pairs.join(lead.withColumnRenamed("k", "k1"), "k1").join(deals, "lead")
+    dealt = lambda c: F.pmod(F.xxhash64(c), F.col("_deals")).cast("string")
+    cells = led.select("k1", "k2", F.concat_ws("/", F.col("lead").cast("string"), dealt("k1"), dealt("k2")).alias("cell"))
+    none = F.lit(None).cast("long")
+    sides = cells.select("cell", F.explode(F.array(F.struct(F.col("k1").alias("k"), F.col("k2").alias("other")), F.struct(F.col("k2").alias("k"), none.alias("other")))).alias("e"))
+    asked = sides.select("cell", "e.*").groupBy("cell", "k").agg(F.collect_list("other").alias("others"))
+    rows = asked.join(texts, "k").select("cell", F.struct("k", "c", "others").alias("id"), "content")
+    dealt_out = _sets(rows.repartition("cell").sortWithinPartitions("cell"), "cell", "id", "content")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sets, others = None, {}, {}
+
+        def near() -> Iterator[pa.RecordBatch]:
+            found = []
+            for k, ks in others.items():
+                for j in ks:
+                    shared = len(np.intersect1d(sets[k], sets[j], assume_unique=True))
+                    similar = shared / (len(sets[k]) + len(sets[j]) - shared)
+                    if similar >= threshold:
+                        found.append((k, j, similar))
+            for at in range(0, len(found), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*found[at : at + 10_000], strict=True)], ["k1", "k2", "similarity"])
+
+        for batch in batches:
+            for cell, row, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if cell != now:
+                    yield from near()
+                    now, sets, others = cell, {}, {}
                 grams = s.values.to_numpy()
-                i = p.interval(len(grams))
-                rows.append((p.keys(grams, i), p.keys(grams, i - 1) if i else np.array([], np.int64), p.dealt(i)[2]))
-                size += sum(map(len, rows[-1][:2]))
-                if size > PORTION or k + 1 == batch.num_rows:
-                    held, (own, before, shared) = batch.slice(start, len(rows)), zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([held.column(0), held.column(1), _lists(own), _lists(before), pa.array(shared, pa.int32())], [scope, "id", "own", "before", "shared"])
-                    start, rows, size = k + 1, [], 0
+                if _digest(grams) == row["c"]:  # another text may have the same id
+                    sets[row["k"]], others[row["k"]] = grams.copy(), row["others"]
+        yield from near()
 
-    given, lists = classes.select(scope, "id", "s"), ArrayType(LongType())
-    return given.mapInArrow(keyed, StructType([*given.schema.fields[:2], StructField("own", lists), StructField("before", lists), StructField("shared", IntegerType())]))
+    return dealt_out.mapInArrow(compare, "k1 long, k2 long, similarity double")
 
 
 def _near_classes(docs: DataFrame, scope: str, id_col: str, content: str, threshold: float) -> tuple[DataFrame, DataFrame]:
     """scope, id, class_id (the least id with an equal set of shingles; its own without shingles or scope) and copies of all
     rows, and scope, id1, id2, similarity of classes that reach the threshold, each pair once.
 
-    Every text is hashed once. Candidates have as many pieces of their sets in common as the threshold asks for (``Pieces``),
-    which other sets hardly ever have, and their sets are then intersected; copies are compared once, as one class."""
-    rows = cut(_sets(docs, scope, id_col, content).withColumn("c", F.when((F.size("s") > 0) & F.col(scope).isNotNull(), F.concat_ws(":", F.xxhash64("s").cast("string"), F.xxhash64(F.lit(1), "s").cast("string")))), BATCH_BYTES)
+    A text's set becomes a digest and a few keys, its rarest shingles (``rare_keys``), which other texts hardly ever have. Only
+    texts that may be near another are read again and compared; copies are compared once, as one class."""
+    rows = cut(_keyed(docs, scope, id_col, content, threshold), BATCH_BYTES)
     found = rows.where("c is not null")
-    classes = cut(found.groupBy(scope, "c").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("s").alias("s")))
+    one = found.groupBy(scope, "c").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("dealt").alias("dealt"))
+    classes = cut(one.withColumn("k", F.monotonically_increasing_id()))
     members = found.select(scope, "id", "c").join(classes.select(scope, "c", F.col("id").alias("class_id"), "copies"), [scope, "c"]).drop("c")
     alone = rows.where("c is null").select(scope, "id", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("copies"))
-    keyed = cut(_keyed(classes, scope, threshold), BATCH_BYTES)
-    # Keys are told apart by scope in one number, which sorts faster than a scope and a number.
-    keys = lambda name, i, *more: keyed.select(scope, F.col("id").alias(f"id{i}"), F.explode(name).alias("g"), *more).withColumn("g", F.xxhash64(scope, "g"))
-    x, y = keys("own", 1, "shared"), keys("own", 2, F.lit(True).alias("own2")).unionByName(keys("before", 2, F.lit(False).alias("own2"))).drop(scope)
-    common = x.join(y, "g").where((F.col("id1") != F.col("id2")) & (~F.col("own2") | (F.col("id1") < F.col("id2"))))
-    pairs = common.groupBy(scope, "id1", "id2", "own2").agg(F.count("*").alias("n"), F.min("shared").alias("shared")).where("n >= shared")
-    pairs = pairs.select(scope, F.least("id1", "id2").alias("id1"), F.greatest("id1", "id2").alias("id2")).distinct()
-    sets = [classes.select(scope, F.col("id").alias(f"id{i}"), F.col("s").alias(f"s{i}")) for i in "12"]
-    both = pairs.join(sets[0], [scope, "id1"]).join(sets[1], [scope, "id2"]).withColumn("k", F.size(F.array_intersect("s1", "s2")))
-    near = both.select(scope, "id1", "id2", (F.col("k") / (F.size("s1") + F.size("s2") - F.col("k"))).alias("similarity")).where(F.col("similarity") >= threshold)
-    return members.unionByName(alone), near
+    pairs = cut(_candidates(classes, threshold))
+    named = classes.select("k", "c", scope, "id")
+    some = cut(named.join(pairs.select(F.explode(F.array("k1", "k2")).alias("k")).distinct(), "k", "left_semi"))
+    # So that other texts aren't shuffled, the classes are sent to them where their measured number allows it.
+    sent = F.broadcast(some) if some.count() <= MOST_SENT else some
+    texts = docs.select(scope, F.col(id_col).alias("id"), F.col(content).alias("content")).join(sent, [scope, "id"]).select("k", "c", "content")
+    near = cut(_compared(pairs, texts, threshold), BATCH_BYTES)
+    first = near.join(named.select(F.col("k").alias("k1"), scope, F.col("id").alias("a")), "k1")
+    both = first.join(named.select(F.col("k").alias("k2"), F.col("id").alias("b")), "k2")
+    return members.unionByName(alone), both.select(scope, F.least("a", "b").alias("id1"), F.greatest("a", "b").alias("id2"), "similarity")
 
 
 def near_dup_pairs(docs: DataFrame, scope: str, id_col: str, content: str, threshold: float = 0.85) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,22 +35,28 @@ def _checkpoint_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def cut(df: DataFrame, batch_bytes: int | None = None) -> DataFrame:
-    """A table computed once for several uses, in the folder that the cluster names for checkpoints (in local
-    tests without one, a temporary folder), so a lost executor doesn't lose it. Arrow batches that go to Python
-    meanwhile have at most ``batch_bytes``, unless the session says less."""
-    _checkpoint_folder(df.sparkSession)
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+@contextmanager
+def small_batches(spark: SparkSession, batch_bytes: int | None) -> Iterator[None]:
+    """Arrow batches that go to Python meanwhile have at most ``batch_bytes``, unless the session says less."""
+    conf, key = spark.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     before = conf.get(key)
     own = before.rstrip("b")
     if batch_bytes and (not own.isdigit() or int(own) > batch_bytes):
         conf.set(key, f"{batch_bytes}b")
     try:
-        return df.checkpoint()
+        yield
     finally:
         conf.set(key, before)
 
 
+def cut(df: DataFrame, batch_bytes: int | None = None) -> DataFrame:
+    """A table computed once for several uses, in the folder that the cluster names for checkpoints (in local
+    tests without one, a temporary folder), so a lost executor doesn't lose it. ``batch_bytes``: see ``small_batches``."""
+    _checkpoint_folder(df.sparkSession)
+    with small_batches(df.sparkSession, batch_bytes):
+        return df.checkpoint()
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new folder where the cluster keeps checkpoints, which driver and executors share."""
     return f"{_checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"

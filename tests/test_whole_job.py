@@ -228,3 +228,33 @@ def test_hits_without_others_of_their_size_have_no_near_copy(spark):
     hits = spark.createDataFrame(rows, "profile string, question_id int, pos int, document_id string, n int").withColumn("source_file", F.lit("f"))
     got = hits.withColumn("close", evidence.may_repeat(hits, "n", 0.85, batch.SCOPE)).where("close").collect()
     assert sorted(r["pos"] for r in got) == [0, 1]
+
+
+def test_near_sets_share_enough_rare_keys():
+    rng = np.random.default_rng(11)
+    for n in [*range(1, 80), 333, 905, 2500] * 2:
+        rarity = rng.integers(0, 4, 1 << retrieval.RARITY_BITS).astype(np.uint8)  # whatever the order
+        extra = int(rng.integers(0, int(n / 0.85 + 1e-9) - n + 1))
+        large = np.unique(rng.integers(0, 1 << 63, n + extra).astype(np.uint64) << np.uint64(1)).view(np.int64)
+        large.sort()
+        small = np.delete(large, rng.choice(len(large), extra, replace=False))
+        keys = [retrieval.rare_keys(x, rarity, 0.85) for x in (small, large)]
+        assert len(np.intersect1d(*keys)) >= retrieval.shared_keys(len(small)) and all(len(k) <= 0.15 * n / 0.85 + 5 for k in keys)
+
+
+def test_near_classes_write_keys_not_sets_and_compare_few(spark, monkeypatch):
+    """Texts of one passage aren't compared, all near copies of a large group are, in cells, and what is written is small."""
+    passage, compared, kept = _noise(1, 200)[0], [], []
+    texts = [f"{x} {passage}" for x in _noise(40, 3000)] + [passage * 3 + f" {i} off{i % 7}" for i in range(90)]
+    whole = retrieval._compared
+    monkeypatch.setattr(retrieval, "_compared", lambda pairs, *more: compared.append(pairs.count()) or whole(pairs, *more))
+    monkeypatch.setattr(retrieval, "cut", lambda df, *more: kept.append(session.cut(df, *more)) or kept[-1])
+    monkeypatch.setattr(retrieval, "CELL", 8)
+    rows = spark.createDataFrame([(i, "a", x) for i, x in enumerate(texts)], "doc_id int, scope string, content string")
+    _, links = retrieval.near_dup_classes(rows, "scope", "doc_id", "content")
+    sets = [set(T.hashed_shingles(x).tolist()) for x in texts]
+    near = {(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) >= 0.85 * len(sets[i] | sets[j])}
+    assert {(r["a"], r["b"]) for r in links.collect()} == near and len(near) > 3000 and links.count() == len(near)
+    assert compared[0] <= len(near) + 10
+    written = sum(len(x) for df in kept for c, kind in df.dtypes if kind in ("array<int>", "array<bigint>") for (x,) in df.select(c).where(f"{c} is not null").collect())
+    assert written < 0.6 * sum(map(len, sets))
