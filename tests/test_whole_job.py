@@ -258,3 +258,16 @@ def test_near_classes_write_keys_not_sets_and_compare_few(spark, monkeypatch):
     assert compared[0] <= len(near) + 10
     written = sum(len(x) for df in kept for c, kind in df.dtypes if kind in ("array<int>", "array<bigint>") for (x,) in df.select(c).where(f"{c} is not null").collect())
     assert written < 0.6 * sum(map(len, sets))
+
+
+def test_tools_scan_each_chunk_once_for_all_profiles(spark, monkeypatch):
+    rows = [(f"u{i}", "d", None, [None, "paragraph", "document"][i % 3], "f", f"the fox {i}", "c", [1.0, float(i)]) for i in range(30)]
+    units = spark.createDataFrame(rows, "chunk_id string, document_id string, parent_chunk_id string, granularity string, source_file string, content string, category string, embedding array<double>")
+    questions = spark.createDataFrame([(1, "q", "hybrid", [1.0, 2.0], "c", ["fox"], ["f"], ["fox"])], "question_id long, question string, mode string, query array<double>, category string, entities array<string>, files array<string>, terms array<string>")
+    scanned = {"nearest": [], "term_batch": []}
+    for name in scanned:
+        whole = getattr(batch, name)
+        monkeypatch.setattr(batch, name, lambda rows, *more, name=name, whole=whole: scanned[name].extend(r[0] for r in rows.select("chunk_id").collect()) or whole(rows, *more))
+    settings = batch.question_settings({"whole": RetrievalSettings(), "parts": RetrievalSettings(multi_vector_enabled=True)}, questions, LATIN)
+    assert batch.tool_batch(units, units, questions, settings).count() == 4
+    assert all(sorted(ids) == sorted(f"u{i}" for i in range(30)) for ids in scanned.values())
