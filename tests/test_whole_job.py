@@ -12,6 +12,7 @@ from fathom.functions import text as T
 from fathom.operators import batch, evidence, index, retrieval
 from fathom.params import LATIN, RetrievalSettings, evaluation_profiles
 from fathom.plans import batch as plans
+from fathom.plans import corpus as plans_of_corpus
 from fathom.plans import library
 from fathom.sources import office
 from fathom.sources.make import docx, pptx, xlsx
@@ -271,3 +272,29 @@ def test_tools_scan_each_chunk_once_for_all_profiles(spark, monkeypatch):
     settings = batch.question_settings({"whole": RetrievalSettings(), "parts": RetrievalSettings(multi_vector_enabled=True)}, questions, LATIN)
     assert batch.tool_batch(units, units, questions, settings).count() == 4
     assert all(sorted(ids) == sorted(f"u{i}" for i in range(30)) for ids in scanned.values())
+
+
+def test_graph_edges_are_made_once_for_all_that_is_said_of_them(spark, tmp_path):
+    rows = [(1, "Apache license, a token", "src1"), (1, "the secret", "src1"), (1, "the secret", "src1"), (2, None, "src2"), (3, "MIT License", None), (None, "token and", "src1"), (4, "", ""), (5, "plain and TOKEN", "src2")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "'en' lang").write.parquet(f"{tmp_path}/documents.parquet")
+
+    members = [tuple(r) for r in plans_of_corpus._members(spark, str(tmp_path)).select("document_id", "source_file", "category", "topic").collect()]
+    behind = {}
+    for document, file, category, topic in members:
+        file_node, category_node, topic_node = (None if x is None else f"{kind}:{x}" for kind, x in (("file", file), ("category", category), ("topic", topic)))
+        for edge in ((category_node, "contains", file_node), (file_node, "mentions", topic_node), (category_node, "relates", topic_node)):
+            if edge[2] is not None:
+                behind.setdefault((*edge, file), set()).add(document)
+    want = {edge: len(found - {None}) for edge, found in behind.items()}
+
+    edges = library.QUERIES["graph_edges"](spark, str(tmp_path))
+    assert {tuple(r)[:4]: r["evidence"] for r in edges.collect()} == want and edges.count() == len(want)
+    stats = library.QUERIES["graph_stats"](spark, str(tmp_path))
+    ends = {n for edge in want for n in (edge[0], edge[2])} - {None}
+    assert stats.columns == ["nodes", "edges", "source_files", "evidence"]
+    assert tuple(stats.first()) == (len(ends), len(want), len({edge[3] for edge in want} - {None}), sum(want.values()))
+    for found in (edges, stats):  # a branch a kind of edge had three scans, and the ends three more
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [doc_id") == 1
+
+    spark.createDataFrame([], "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert tuple(library.QUERIES["graph_stats"](spark, f"{tmp_path}/none").first()) == (0, 0, 0, None)
