knowledge_base_terms makes a text's lists where the text is

Symptom: knowledge_base_terms shuffled 29 MB for 600,000 lines and 20,000 parts, half of it to gather hits that were already beside each other, and kept texts and hits as checkpoints.
Evidence: of 29 MB, 14.1 MB came from the notes themselves, 11.9 MB from gathering terms by text, 1.6 MB from gathering files and 1.4 MB from joining both to the texts; 14.0 s of JVM CPU, 1,137 MB of an executor, 4 joins, and checkpoints of texts and of hits.
Fix: terms go to the texts in their shards together with the files they stand for, within the same bound of a shard; term_hits can give a text's lists instead of a row a hit, so knowledge_terms has no join, and gathers only where terms fill several shards (term_hits, term_index_search and keyword_index_search share the step).
Effect, together with 2 more commits on this code: at 1 GB of input CPU 394 -> 327 s, shuffle 1.77 -> 0.86 GB, spill 0.00 -> 0.00 GB, read 0.41 -> 0.41 GB, longest task 9 -> 14 s, most memory of a task 252 -> 84 MB; at 6 GB of input CPU 1944 -> 1328 s, shuffle 15.37 -> 8.35 GB, spill 4.38 -> 0.00 GB, read 2.62 -> 2.61 GB, longest task 12 -> 12 s, most memory of a task 306 -> 306 MB; with hot keys, at 1 GB of input CPU 396 -> 271 s, shuffle 1.67 -> 0.85 GB, spill 0.00 -> 0.00 GB, read 0.39 -> 0.39 GB, longest task 8 -> 10 s, most memory of a task 252 -> 83 MB.

@@ -7,12 +7,12 @@ texts are read once a shard."""
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from fathom.functions.text import source_topics
-from fathom.session import cut, free
+from fathom.session import cut
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,12 +24,12 @@ NODE = 40
 _BUILT: dict[str, object] = {}
 
 
-def _automaton(token: str, terms: list[str]):
+def _automaton(token: str, terms: pa.Array):
     if token not in _BUILT:
         import ahocorasick
 
         found = ahocorasick.Automaton()
-        for i, t in enumerate(terms):
+        for i, t in enumerate(terms.to_pylist()):
             found.add_word(t, (i, len(t)))
         found.make_automaton()
         _BUILT.clear()
@@ -88,69 +88,100 @@ def counted(text: str, automaton) -> dict[int, int]:
     return n
 
 
+def _portions(texts: pa.Array, automaton) -> Iterator[tuple[int, list[int], list[int], list[int]]]:
+    """Texts in portions of some 50,000 hits: the place of the first, how many terms each has, their numbers and counts."""
+    first, each, found, n = 0, [], [], []
+    for i, x in enumerate(texts):
+        hits = counted(x.as_py() or "", automaton)
+        each.append(len(hits))
+        found += hits.keys()
+        n += hits.values()
+        if len(found) >= 50_000 or i + 1 == len(texts):
+            yield first, each, found, n
+            first, each, found, n = i + 1, [], [], []
+
+
 def shards(terms: DataFrame, most_bytes: int) -> list[Broadcast]:
-    """Distinct terms, not empty, in lists whose automata have about so many bytes at most."""
-    said = cut(terms.select(F.col(terms.columns[0]).cast("string").alias("t")).where("t <> ''").distinct())
-    n = max(1, -(-(said.agg(F.sum(F.octet_length("t"))).first()[0] or 0) * NODE // most_bytes))
+    """Distinct terms, not empty, in tables whose automata have about so many bytes at most, with what else stands beside
+    a term."""
+    more = terms.columns[1:]
+    said = cut(terms.select(F.col(terms.columns[0]).cast("string").alias("t"), *more).where("t <> ''").distinct().toDF("t", *[f"m{i}" for i in range(len(more))]))
+    beside = F.octet_length(F.to_json(F.struct(*said.columns[1:]))) if more else F.lit(0)
+    n = max(1, -(-(said.agg(F.sum(F.octet_length("t") * NODE + beside)).first()[0] or 0) // most_bytes))
     out = []
     for i in range(n):
-        some = sorted(r["t"] for r in said.where(F.pmod(F.xxhash64("t"), F.lit(n)) == i).toLocalIterator())
-        if some:
+        some = said.where(F.pmod(F.xxhash64("t"), F.lit(n)) == i).toArrow().sort_by("t").combine_chunks()
+        if some.num_rows:
             out.append(terms.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, some)))
     return out
 
 
-def term_hits(rows: DataFrame, keys: list[str], text: str, terms: DataFrame, term: str = "term", count: str = "n", most_bytes: int = 256 << 20) -> DataFrame:
+def term_hits(rows: DataFrame, keys: list[str], text: str, terms: DataFrame, term: str = "term", count: str = "n", most_bytes: int = 256 << 20, listed: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
     """keys, term, n: one row a text and term that it contains, with the number of occurrences.
 
-    ``terms`` has one column; empty terms, null terms and null texts meet nothing, a term that repeats counts once.
-    Case and white space are as they are. Rows with the same keys are texts of their own. No shuffle."""
-    kinds = rows.select(*keys).schema.fields
-    plain = rows.select(*keys, text).toDF(*[f"c{i}" for i in range(len(keys) + 1)])
-    schema = T.StructType([*[T.StructField(f"c{i}", k.dataType) for i, k in enumerate(kinds)], T.StructField(term, T.StringType()), T.StructField(count, T.LongType())])
+    The first column of ``terms`` has the terms; empty terms, null terms and null texts meet nothing, a term that repeats
+    counts once. Further columns, the same wherever a term repeats, come with its hits. Case and white space are as they
+    are. Rows with the same keys are texts of their own. No shuffle.
+
+    ``listed``: one row a text instead, also for texts without hits, with arrays by name, which are made of the text's
+    array of hits (term, n and the further columns) where the text is. Of terms in several shards a text has arrays of
+    each, which a shuffle puts together in any order."""
+    hit = T.StructType([T.StructField(term, T.StringType()), T.StructField(count, T.LongType()), *terms.schema.fields[1:]])
+    plain, sent = rows.select(*keys, text), shards(terms, most_bytes)
+    apart = bool(listed) and len(sent) > 1
+    if apart:  # by numbers that stay as they are for all shards
+        plain = cut(plain.select(F.monotonically_increasing_id(), *plain.columns))
+    names = [f"c{i}" for i in range(len(plain.columns) - 1)]
+    plain = plain.toDF(*names, "text")
+    own = plain.drop("text").schema.fields
+    schema = T.StructType([*own, T.StructField("hits", T.ArrayType(hit))] if listed else [*own, *hit.fields])
+    lists = [make(F.col("hits")).alias(f"l{i}") for i, make in enumerate((listed or {}).values())]
     out = None
-    for sent in shards(terms, most_bytes):
+    for one in sent:
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            token, known = sent.value
-            automaton, at, found, n = _automaton(token, known), [], [], []
+        def run(batches: Iterator[pa.RecordBatch], one=one) -> Iterator[pa.RecordBatch]:
+            token, known = one.value
+            automaton = _automaton(token, known.column(0).combine_chunks())
             for batch in batches:
-                for i, x in enumerate(batch.column(len(keys))):
-                    for t, m in counted(x.as_py() or "", automaton).items():
-                        at.append(i)
-                        found.append(known[t])
-                        n.append(m)
-                    if len(at) >= 50_000 or (at and i + 1 == batch.num_rows):
-                        taken = batch.take(pa.array(at))
-                        yield pa.RecordBatch.from_arrays([*taken.columns[: len(keys)], pa.array(found, pa.string()), pa.array(n, pa.int64())], schema.names)
-                        at, found, n = [], [], []
+                for first, each, found, n in _portions(batch.column(len(names)), automaton):
+                    told, *more = (c.combine_chunks() for c in known.take(pa.array(found, pa.int64())).columns)
+                    columns = [told, pa.array(n, pa.int64()), *more]
+                    if listed:
+                        ends = np.cumsum([0, *each])
+                        columns = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, hit.names))]
+                        taken = batch.slice(first, len(each))
+                    else:
+                        taken = batch.take(pa.array(np.repeat(np.arange(first, first + len(each)), each)))
+                    yield pa.RecordBatch.from_arrays([*taken.columns[: len(names)], *columns], schema.names)
 
         some = plain.mapInArrow(run, schema)
+        some = some.select(*names, *lists) if listed else some
         out = some if out is None else out.unionByName(some)
     if out is None:
-        out = rows.sparkSession.createDataFrame([], schema)
-    return out.toDF(*keys, term, count)
+        out = plain.withColumn("hits", F.array().cast(T.ArrayType(hit))).select(*names, *lists) if listed else rows.sparkSession.createDataFrame([], schema)
+    if apart:
+        out = out.groupBy("c0").agg(*[F.first(c) for c in names[1:]], *[F.flatten(F.collect_list(f"l{i}")) for i in range(len(lists))]).drop("c0")
+    return out.toDF(*keys, *(listed or hit.names))
 
 
-def knowledge_terms(texts: DataFrame, keys: list[str], text: str, categories: DataFrame) -> DataFrame:
+def knowledge_terms(texts: DataFrame, keys: list[str], text: str, categories: DataFrame, most_bytes: int = 256 << 20) -> DataFrame:
     """keys, files, terms of each text: what of the knowledge base it names (categories: source_file, keywords).
 
     A term is a keyword of a file or a topic of its name that the text contains; a file is named if the text has its
-    name or one of its topics. Both are sorted, once each; a text that names nothing has empty arrays."""
+    name or one of its topics. Both are sorted, once each; a text that names nothing has empty arrays. Terms go to the
+    texts with what they stand for, so a text's hits are never dealt by term or gathered by text."""
     files = categories.select("source_file").where("source_file <> ''").distinct()
     stem = F.regexp_replace("source_file", r"\.[^.]*$", "")
-    topics = files.select("source_file", F.explode(source_topics(stem, F.lit(""))).alias("term"))
-    said = topics.select("term").unionByName(categories.select(F.explode("keywords").alias("term")))
-    names = topics.unionByName(files.select("source_file", F.col("source_file").alias("term")))
-    row = free("_row", texts)
-    rows = cut(texts.select(*keys, text).withColumn(row, F.monotonically_increasing_id()))
-    hits = cut(term_hits(rows, [row], text, said.unionByName(names.select("term"))))
-    listed = lambda c: F.array_sort(F.collect_set(c))
-    terms = hits.join(said.distinct(), "term", "left_semi").groupBy(row).agg(listed("term").alias("terms"))
-    named = hits.join(names, "term").groupBy(row).agg(listed("source_file").alias("files"))
-    none = F.array().cast("array<string>")
-    both = rows.join(terms, row, "left").join(named, row, "left")
-    return both.select(*keys, F.coalesce("files", none).alias("files"), F.coalesce("terms", none).alias("terms"))
+    topics = files.select(F.explode(source_topics(stem, F.lit(""))).alias("term"), F.lit(True).alias("said"), "source_file")
+    names = files.select(F.col("source_file").alias("term"), F.lit(False).alias("said"), "source_file")
+    keywords = categories.select(F.explode("keywords").alias("term"), F.lit(True).alias("said"), F.lit(None).cast("string").alias("source_file"))
+    known = topics.unionByName(names).unionByName(keywords).groupBy("term").agg(F.max("said").alias("said"), F.collect_set("source_file").alias("files"))
+    lists = {
+        "files": lambda hits: F.array_distinct(F.flatten(F.transform(hits, lambda h: h["files"]))),
+        "terms": lambda hits: F.transform(F.filter(hits, lambda h: h["said"]), lambda h: h["term"]),
+    }
+    found = term_hits(texts, keys, text, known, most_bytes=most_bytes, listed=lists)
+    return found.select(*keys, F.array_sort(F.array_distinct("files")).alias("files"), F.array_sort("terms").alias("terms"))
 
 
 def contains_any(text: Column, terms: list[str]) -> Column:

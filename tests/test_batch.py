@@ -196,3 +196,20 @@ def test_knowledge_terms_equal_a_loop(spark):
     assert sorted((r["id"], tuple(r["files"]), tuple(r["terms"])) for r in got.collect()) == [(1, ("2024 Travel costs.txt",), ("Travel costs",)), (1, ("“Blue line” rules.md",), ("Blue line", "fare", "line")), (2, ("x.txt",), ("hotel",)), (3, (), ()), (4, (), ())]
     (r,) = spark.range(1).select(contains_any(F.lit("abc"), ["", "bc"]).alias("a"), contains_any(F.lit("abc"), []).alias("b")).collect()
     assert r["a"] and not r["b"]
+
+
+@pytest.mark.parametrize("most_bytes", [256 << 20, 400])
+def test_knowledge_terms_gather_no_hits(spark, most_bytes):
+    base = [("a.txt", ["fare", "hotel", "", None]), ("b.txt", ["hotel", "a.txt"]), ("b.txt", None), ("“Blue line” one.md", []), ("“Blue line” two.md", ["été"]), (None, ["ghost"]), ("", ["日本"])]
+    texts = [(1, "fare hotel a.txt"), (1, "fare hotel a.txt"), (1, "Blue line été"), (None, "ghost 日本"), (None, None), (2, ""), (3, "nothing"), (3, "b.txtb.txt"), (4, "hotel hotel")] + [(9, "hotel, Blue line")] * 40
+    categories = spark.createDataFrame(base, "source_file string, keywords array<string>")
+    assert most_bytes > 1000 or len(shards(categories.select(F.explode("keywords")), most_bytes)) > 1
+    got = knowledge_terms(spark.createDataFrame(texts, "id int, body string").repartition(3), ["id"], "body", categories, most_bytes)
+
+    topics = {"a.txt": set(), "b.txt": set(), "“Blue line” one.md": {"Blue line"}, "“Blue line” two.md": {"Blue line"}}
+    said = {k for _, ks in base for k in ks or [] if k} | {"Blue line"}
+    want = [(i, tuple(sorted(f for f, of in topics.items() if any(t in (x or "") for t in {f} | of))), tuple(sorted(t for t in said if t in (x or "")))) for i, x in texts]
+    assert sorted(((r["id"], tuple(r["files"]), tuple(r["terms"])) for r in got.collect()), key=str) == sorted(want, key=str)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Aggregate") == (most_bytes < 1000)  # hits were joined twice, gathered twice and joined to the texts twice
+    assert got.columns == ["id", "files", "terms"]
